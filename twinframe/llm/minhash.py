@@ -3,8 +3,10 @@
 Each document's set of word shingles gives PERMUTATIONS MinHash samples. Bands of ROWS samples deal the
 documents into buckets; the samples are also folded into an odd sketch, a bitmap of parities in which each
 sample flips one bit, so that the population count of the XOR of two sketches estimates how many samples
-differ, most precisely where the sets are very similar. Candidates whose count is too high for the asked
-similarity go without a look at their texts; the others are confirmed on their full sets.
+differ, most precisely where the sets are very similar. A second odd sketch has the parities of the whole set:
+its count is never more than the elements in which two sets differ, so that it excludes pairs for certain, and
+nearly all of them where the sets are not much larger than the bitmap. Candidates whose counts are too high for
+the asked similarity go without a look at their texts; the others are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Cache, as_bytes, is_empty, keep_rows, scratch, slices
 from .components import connected_components
 
-BANDS, ROWS, SKETCH_BITS = 25, 4, 512
+BANDS, ROWS, SKETCH_BITS, PARITY_BITS = 25, 4, 512, 1024
 PERMUTATIONS = BANDS * ROWS
 _MASK = (1 << 64) - 1
 _draw = np.random.default_rng(20240607)
@@ -69,17 +71,24 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The odd sketch of a whole set."""
+    flips = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def sketch_limit(similarity: float) -> int:
     """The most bits that differ between the sketches of sets at least this similar, but for odds of less than one in a million: five standard deviations of the differing samples, two bits for each."""
     p = 1 - similarity
     return int(2 * (PERMUTATIONS * p + 5 * (PERMUTATIONS * p * (1 - p)) ** 0.5) + 1)
 
 
-SIGNATURE = "n_shingles bigint, fp binary, bands array<bigint>, sketch array<bigint>"
+SIGNATURE = "n_shingles bigint, fp binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>"
+FIELDS = ("n_shingles", "fp", "bands", "sketch", "parity")
 
 
 def _signatures(k: int):
-    kind = pa.struct([("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    kind = pa.struct([("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     @F.arrow_udf(SIGNATURE)
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -88,8 +97,8 @@ def _signatures(k: int):
             for text in (t for part in slices(texts) for t in as_bytes(part)):
                 s = shingle_set(text, k)
                 low = min_hashes(s) if len(s) else None
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(low), odd_sketch(low)) if len(s) else (0, None, None, None))
-            yield pa.array([dict(zip(("n_shingles", "fp", "bands", "sketch"), x, strict=True)) for x in out], kind)
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(low), odd_sketch(low), parities(s)) if len(s) else (0, None, None, None, None))
+            yield pa.array([dict(zip(FIELDS, x, strict=True)) for x in out], kind)
 
     return signature
 
@@ -109,13 +118,22 @@ def _verifier(k: int, percent: int):
     return similar
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sketches are near enough and whose full sets then are."""
-    a, b = (sketches.select(F.col("cid").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    differing = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    near = scratch(pairs.join(a, "a").join(b, "b").where(differing <= sketch_limit(percent / 100)).select("a", "b"), "near")
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns))
+
+
+def _may_link(percent: int) -> Column:
+    """What the sizes and both sketches allow, of rows with n, sketch and parity on the sides a and b."""
+    count = lambda c, bits: sum((F.bit_count(F.col(f"{c}_a")[i].bitwiseXOR(F.col(f"{c}_b")[i])) for i in range(bits // 64)), F.lit(0))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    differ = (100 + percent) * count("parity", PARITY_BITS) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return sizes & differ & (count("sketch", SKETCH_BITS) <= sketch_limit(percent / 100))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are near enough."""
     ta, tb = (texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return scratch(near.join(ta, "a").join(tb, "b").where(_verifier(k, percent)("ta", "tb")).select("a", "b"), "links")
+    return scratch(pairs.join(ta, "a").join(tb, "b").where(_verifier(k, percent)("ta", "tb")).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -134,8 +152,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     rows = docs.select("doc_id", _signatures(k)("text").alias("s")).select("doc_id", "s.*")
     rows = scratch(rows, "signatures")
-    classes = scratch(rows.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("cid"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
-    sketches = classes.select("cid", "sketch")
+    grouped = rows.where("n_shingles > 0 and doc_id is not null").groupBy("fp")
+    classes = scratch(grouped.agg(F.min("doc_id").alias("cid"), *(F.any_value(c).alias(c) for c in ("bands", "sketch", "parity")), F.any_value("n_shingles").alias("n")), "classes")
+    sketches = classes.select("cid", "n", "sketch", "parity")
     dealt = classes.select("cid", F.explode("bands").alias("key"))
     leaders = dealt.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = scratch(dealt.join(leaders, "key").select("key", "cid", "leader"), "buckets")
@@ -143,16 +162,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = scratch(keep_rows(texts, buckets.select("cid").distinct(), "cid").groupBy("cid").agg(F.first("text").alias("text")), "texts")
 
     first = buckets.where("cid <> leader").groupBy("cid").agg(F.min("leader").alias("b")).select(F.col("cid").alias("a"), "b")
-    links = _confirmed(first, sketches, texts, k, percent)
+    first = first.join(_side(sketches, "a"), F.col("a") == F.col("cid_a")).join(_side(sketches, "b"), F.col("b") == F.col("cid_b")).where(_may_link(percent)).select("a", "b")
+    links = _confirmed(scratch(first, "first"), texts, k, percent)
     labels = scratch(connected_components(links), "components")
 
     named = buckets.join(labels, buckets.cid == labels.node, "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
     named = scratch(named, "named")
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_rows = scratch(named.join(mixed, "key"), "open")
-    x, y = (open_rows.select("key", F.col("cid").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-    rest = x.join(y, "key").where("comp_a < comp_b").select("a", "b").distinct()
-    more = _confirmed(rest, sketches, texts, k, percent)
+    open_rows = scratch(named.join(mixed, "key").join(sketches, "cid"), "open")
+    x, y = _side(open_rows, "a"), _side(open_rows, "b")
+    rest = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") < F.col("comp_b")) & _may_link(percent)).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
+    more = _confirmed(scratch(rest, "rest"), texts, k, percent)
     if not is_empty(more):
         labels = scratch(connected_components(more.union(labels.select("node", "component"))), "components")
 
