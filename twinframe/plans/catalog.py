@@ -1,8 +1,674 @@
-"""All queries of the reference's own operators, with their SQL."""
+"""All queries of the library's own operators, each with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import keys
+from ..operators import audit, geometry, grid, neardup, pairing, series, split
+from ..sources.sinks import plan_copies
+from . import inputs as I
+from .inputs import table
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a function (spark, sf_dir) with its SQL."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r6(df, *cols):
+    """Doubles to six places; null stays null and minus zero becomes zero."""
+    return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in cols})
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Pairs and groups of each split and category under the searched split, beside the number of exact duplicates that leak."""
+    rows = I.samples(spark, sf_dir)
+    groups = split.nested_group_split(rows)
+    members = pairing.split_members(rows, groups)
+    leaks = audit.exact_duplicates(rows, members).where("level = 'error'").agg(F.count("*").alias("leaks"))
+    return audit.category_counts(rows, members).join(F.broadcast(leaks)).orderBy("split", "category")
+
+
+# --- projections -------------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, 'customer' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS id, 'day' || CAST(n AS VARCHAR) AS day,
+  CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 2, '0') ELSE CAST(n AS VARCHAR) END AS clip
+  FROM (SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS n FROM customer)""")
+def p1_p2_norm_ids(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("d", F.regexp_extract("c_name", "([0-9]+)$", 1))
+    return c.select("c_custkey", keys.norm_id(F.concat(F.lit("Customer "), "d"), "customer").alias("id"), keys.norm_day(F.concat(F.lit("DAY_"), "d")).alias("day"), keys.norm_clip(F.col("d")).alias("clip"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'none' WHEN 'R' THEN 'returned' END AS slug FROM lineitem")
+def p3_category_map(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", keys.norm_category(F.col("l_returnflag"), {"A": "accepted", "N": "none", "R": "returned"}).alias("slug"))
+
+
+@query("SELECT doc_id, source || '__' || lang || '__c__k__' || CASE WHEN doc_id < 1000000 THEN lpad(CAST(doc_id AS VARCHAR), 6, '0') ELSE CAST(doc_id AS VARCHAR) END AS sample_id, source || '__' || lang AS experiment_key FROM documents")
+def p4_sample_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", keys.sample_id(F.col("source"), F.col("lang"), F.lit("c"), F.lit("k"), F.col("doc_id")).alias("sample_id"), keys.experiment_key(F.col("source"), F.col("lang")).alias("experiment_key"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false END AS flag FROM events")
+def p5_parse_bool(spark, sf_dir):
+    words = F.element_at(F.array(*(F.lit(x) for x in (" Yes", "1", "no", "", "maybe"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", keys.parse_bool(words).alias("flag"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN p WHEN page_id % 4 = 3 THEN replace(p, '/', '\\') END IS NOT NULL AND p NOT LIKE '%//%' AND p NOT LIKE '%/' AND p <> '' AS safe,
+  CASE WHEN p LIKE '%/%' THEN regexp_extract(p, '[^/]*$') ELSE p END AS ref FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)""")
+def p6_p7_paths(spark, sf_dir):
+    p = F.regexp_replace("url", "^https?://", "")
+    made = F.expr("case page_id % 4 when 0 then p when 1 then concat('/', p) when 2 then concat(p, '/../x') else replace(p, '/', '\\\\') end")
+    return table(spark, sf_dir, "pages").select("page_id", p.alias("p")).select("page_id", keys.safe_path(made).isNotNull().alias("safe"), keys.source_ref(F.col("p")).alias("ref"))
+
+
+@query("""SELECT n_nationkey, '{"key":' || CAST(n_nationkey AS VARCHAR) || ',"name":"' || n_name || '"}' AS json FROM nation""")
+def p9_stable_json(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", keys.stable_json(name=F.col("n_name"), key=F.col("n_nationkey")).alias("json"))
+
+
+@query("SELECT event_id, event_id % 3 <> 1 AS matches, 'day1/clip/previews/' || CASE WHEN event_id < 1000000 THEN lpad(CAST(event_id AS VARCHAR), 6, '0') ELSE CAST(event_id AS VARCHAR) END || '.png' AS preview FROM events")
+def p10_p11_names(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("f", F.concat(F.format_string("%06d", F.col("event_id").cast("int")), F.lit(".png")))
+    return e.select("event_id", keys.name_matches_sequence(F.col("f"), F.col("event_id") + F.when(F.col("event_id") % 3 == 1, 1).otherwise(0)).alias("matches"), keys.preview_path(F.concat(F.lit("day1/clip/ir/"), "f")).alias("preview"))
+
+
+@query("SELECT l_orderkey, l_linenumber, concat_ws(';', CASE WHEN l_discount > 0.08 THEN 'discount' END, CASE WHEN l_tax > 0.06 THEN 'tax' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END) AS reason, NOT (l_discount > 0.08 OR l_tax > 0.06 OR l_returnflag = 'R') AS usable FROM lineitem")
+def p12_usability(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("r", keys.reasons(discount=F.col("l_discount") > 0.08, tax=F.col("l_tax") > 0.06, returned=F.col("l_returnflag") == "R"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join("r", ";").alias("reason"), (F.size("r") == 0).alias("usable"))
+
+
+@query("""WITH m AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 1280 ELSE 640 END AS iw, CASE WHEN p_size % 7 = 0 THEN 25.1 ELSE 25.0 END AS rf FROM part)
+SELECT p_partkey AS pair_key, 'error' AS level, 'ir_size' AS code FROM m WHERE iw <> 640 UNION ALL SELECT p_partkey, 'error', 'fps_differ' FROM m WHERE rf <> 25.0""")
+def p13_media_contract(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    side = lambda m, w, f: p.select(F.col("p_partkey").alias("pair_key"), F.lit(m).alias("modality"), w.alias("width"), F.lit(480).alias("height"), f.alias("fps"), F.lit(100).alias("frame_count"))
+    ir = side("ir", F.when(F.col("p_size") % 5 == 0, 1280).otherwise(640), F.lit(25.0))
+    return audit.check_media_pair(ir.union(side("rgb", F.lit(640), F.when(F.col("p_size") % 7 == 0, 25.1).otherwise(25.0))), 640, 480)
+
+
+@query("""SELECT p_partkey, round(p_size / 25.0, 6) AS seconds, abs(p_size / 10.0 - p_size * 1.004 / 10.0) <= 0.005 * (p_size * 1.004 / 10.0) AS aspect_ok, CAST(ceil(p_size * 20 / 16.0) * 16 AS BIGINT) AS padded_width,
+  CASE WHEN ceil(p_size * 20 / 16.0) * 16 * ceil(p_size * 15 / 16.0) * 16 / 16 <= 12544 THEN 'full' ELSE 'sliding' END AS mode FROM part""")
+def p14_p16_media_plan(spark, sf_dir):
+    s = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(keys.duration(s, F.lit(25.0)), 6).alias("seconds"), keys.aspect_within(s, F.lit(10.0), s * 1.004, F.lit(10.0)).alias("aspect_ok"), keys.padded(s * 20, 16).alias("padded_width"), keys.inference_mode(s * 20, s * 15).alias("mode"))
+
+
+@query(f"WITH {I.GRID}, {I.OTHER} SELECT frame_id, round(avg(0.299 * g.v + 0.587 * o.v + 0.114 * g.v), 6) + 0.0 AS luma FROM grid g JOIN other o USING (frame_id, y, x) GROUP BY frame_id")
+def p17_luma(spark, sf_dir):
+    g = I.grid(spark, sf_dir)
+    both = g.join(I.other(g).withColumnRenamed("v", "u"), ["frame_id", "y", "x"])
+    return r6(both.groupBy("frame_id").agg(F.avg(keys.luma(F.col("v"), F.col("u"), F.col("v"))).alias("luma")), "luma")
+
+
+@query(f"WITH {I.GRID} SELECT frame_id, min(v) >= 0 AND max(v) <= 1 AS valid FROM grid GROUP BY frame_id")
+def p19_unit_range(spark, sf_dir):
+    return grid.check_unit_range(I.grid(spark, sf_dir))
+
+
+# --- joins and pairing ----------------------------------------------------------------------------------------
+
+_SIDES = "a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), c AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 11 <> 0)"
+
+
+def _sides(spark, sf_dir):
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = lambda n: o.where(F.col("o_orderkey") % n != 0).select(F.col("o_orderkey").alias("k"))
+    return key(7), l.select(F.col("l_orderkey").alias("k")).distinct(), key(11)
+
+
+@query(f"""WITH {_SIDES}, j AS (SELECT k, a.k IS NULL AS na, b.k IS NULL AS nb, c.k IS NULL AS nc FROM a FULL JOIN b USING (k) FULL JOIN c USING (k))
+SELECT k, concat_ws(';', CASE WHEN na THEN 'missing_ir' END, CASE WHEN nb THEN 'missing_rgb' END, CASE WHEN nc THEN 'missing_frame_metadata' END) AS reason, NOT (na OR nb OR nc) AS usable FROM
+ (SELECT k, max(CASE WHEN s = 1 THEN 1 END) IS NULL AS na, max(CASE WHEN s = 2 THEN 1 END) IS NULL AS nb, max(CASE WHEN s = 3 THEN 1 END) IS NULL AS nc FROM (SELECT k, 1 AS s FROM a UNION ALL SELECT k, 2 FROM b UNION ALL SELECT k, 3 FROM c) GROUP BY k)""")
+def j1_pair_samples(spark, sf_dir):
+    return pairing.pair_samples(*_sides(spark, sf_dir), ["k"]).select("k", F.array_join("exclusion_reasons", ";").alias("reason"), "usable")
+
+
+@query(f"WITH {_SIDES} SELECT 'only_left' AS code, k FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT 'only_right', k FROM b WHERE k NOT IN (SELECT k FROM a)")
+def j2_pair_strict(spark, sf_dir):
+    a, b, _ = _sides(spark, sf_dir)
+    return pairing.pair_strict(a, b, ["k"])[1]
+
+
+_FILES = """files AS (SELECT CAST(s_nationkey AS INT) AS g, CASE WHEN s_suppkey % 2 = 0 THEN 'ir' ELSE 'rgb' END AS modality, CASE WHEN s_suppkey % 10 = 9 THEN 'x' || CAST(s_suppkey AS VARCHAR) ELSE lpad(CAST(s_suppkey // 2 % 7 AS VARCHAR), 2, '0') END AS stem FROM supplier)"""
+
+
+def _files(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("int").alias("g"), F.when(k % 2 == 0, "ir").otherwise("rgb").alias("modality"), F.when(k % 10 == 9, F.concat(F.lit("x"), k.cast("string"))).otherwise(F.lpad(F.expr("s_suppkey div 2 % 7").cast("string"), 2, F.lit("0"))).alias("stem"))
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT g, modality, CAST(stem AS INT) AS number, count(*) AS c FROM files WHERE stem NOT LIKE 'x%' GROUP BY 1, 2, 3)
+SELECT a.g, a.number FROM n a JOIN n b ON a.g = b.g AND a.number = b.number WHERE a.modality = 'ir' AND b.modality = 'rgb' AND a.c = 1 AND b.c = 1""")
+def j3_pair_numeric(spark, sf_dir):
+    return pairing.pair_numeric(_files(spark, sf_dir), ["g"])[0].select("g", "number")
+
+
+@query(f"""WITH {_FILES}, n AS (SELECT g, modality, CAST(stem AS INT) AS number, min(stem) AS stem, count(*) AS c FROM files WHERE stem NOT LIKE 'x%' GROUP BY 1, 2, 3), s AS (SELECT * FROM n WHERE c = 1)
+SELECT 'not_a_number' AS code, g, stem FROM files WHERE stem LIKE 'x%' UNION ALL SELECT 'ambiguous_number', g, stem FROM n WHERE c > 1
+UNION ALL SELECT 'unpaired', g, stem FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.g = s.g AND t.number = s.number AND t.modality <> s.modality)""")
+def j3_pair_numeric_issues(spark, sf_dir):
+    return pairing.pair_numeric(_files(spark, sf_dir), ["g"])[1]
+
+
+@query("""WITH a AS (SELECT lower(p_brand || p_type) AS stem_key, min(upper(p_brand || p_type)) AS a_stem, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1), b AS (SELECT lower(p_brand || p_type) AS stem_key, min(p_brand || p_type) AS b_stem, count(*) AS m FROM part WHERE p_size % 3 = 0 GROUP BY 1)
+SELECT stem_key, a_stem, b_stem, COALESCE(n, 0) > 1 OR COALESCE(m, 0) > 1 AS is_duplicate FROM a FULL JOIN b USING (stem_key)""")
+def j4_pair_casefold(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("s", F.concat("p_brand", "p_type"))
+    return pairing.pair_casefold(p.where("p_size % 2 = 0").select(F.upper("s").alias("s")), p.where("p_size % 3 = 0").select("s"), "s")
+
+
+@query("""WITH a AS (SELECT n_regionkey AS clip, n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0), b AS (SELECT n_regionkey AS clip, CASE WHEN n_regionkey < 2 THEN n_nationkey ELSE n_nationkey + 100 END AS k FROM nation WHERE n_nationkey % 4 < 3),
+x AS (SELECT clip, a.k FROM a JOIN b USING (clip) WHERE a.k = b.k)
+SELECT clip, k AS a_key, k AS b_key, 'key' AS how FROM x UNION ALL SELECT clip, p.k, q.k, 'position' FROM (SELECT clip, k, row_number() OVER (PARTITION BY clip ORDER BY k) AS i FROM a) p JOIN (SELECT clip, k, row_number() OVER (PARTITION BY clip ORDER BY k) AS i FROM b) q USING (clip, i) WHERE clip NOT IN (SELECT clip FROM x)""")
+def j5_pair_or_zip(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("clip"), F.col("n_nationkey").alias("k"))
+    return pairing.pair_or_zip(n.where("k % 2 = 0"), n.where("k % 4 < 3").withColumn("k", F.when(F.col("clip") < 2, F.col("k")).otherwise(F.col("k") + 100)), "clip", "k")
+
+
+@query("""SELECT c_custkey, n_name AS leakage_group_id, CASE WHEN n_name IS NULL THEN 'unmatched' END AS issue FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey""")
+def j6_attach_groups(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
+    n = table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("leakage_group_id"))
+    return pairing.attach_groups(c, n, ["k"]).select("c_custkey", "leakage_group_id", "issue")
+
+
+@query("""WITH e AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey % 3 <> 0), m AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey % 4 <> 0)
+SELECT COALESCE(e.k, m.k) AS k, CASE WHEN m.k IS NULL THEN 'experiment_without_model' WHEN e.k IS NULL THEN 'model_without_experiment' ELSE 'matched' END AS status FROM e FULL JOIN m ON e.k = m.k""")
+def j7_match_models(spark, sf_dir):
+    s, n = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    return pairing.match_models(s.where("k % 3 <> 0"), n.where("k % 4 <> 0"), ["k"])
+
+
+@query("""WITH o AS (SELECT user_id, event_type, 0 AS r, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_type, 1, event_id FROM events WHERE event_id % 3 = 0)
+SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY r DESC, event_id DESC) AS i FROM o) WHERE i = 1""")
+def j8_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return pairing.upsert_pairs(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["user_id", "event_type"])
+
+
+@query("""WITH m AS (SELECT user_id AS clip, count(*) AS n FROM events GROUP BY 1), f AS (SELECT clip, n, unnest(range(0, n)) AS i FROM m)
+SELECT clip, CAST(i AS INT) AS base_index, round(i / 10.0, 6) AS t, CAST(least(n + 4, round_even(i / 10.0 * 15.0, 0)) AS BIGINT) AS other_index FROM f WHERE i < floor(least(n / 10.0, (n + 5) / 15.0) * 10.0)""")
+def j10_align_streams(spark, sf_dir):
+    m = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("clip")).agg(F.count("*").alias("base_frames"))
+    return pairing.align_streams(m.select("clip", F.lit(10.0).cast("double").alias("base_fps"), "base_frames", F.lit(15.0).cast("double").alias("other_fps"), (F.col("base_frames") + 5).alias("other_frames")))
+
+
+@query("""WITH e AS (SELECT user_id, event_id FROM events) SELECT user_id, CAST(count(CASE WHEN event_id % 6 = 0 THEN 1 END) AS BIGINT) AS common, CAST(count(CASE WHEN event_id % 2 = 0 THEN 1 END) AS BIGINT) AS n_a, CAST(count(CASE WHEN event_id % 3 = 0 THEN 1 END) AS BIGINT) AS n_b,
+ count(CASE WHEN event_id % 2 = 0 THEN 1 END) <> count(CASE WHEN event_id % 3 = 0 THEN 1 END) AS ended_early FROM e WHERE event_id % 2 = 0 OR event_id % 3 = 0 GROUP BY user_id""")
+def j11_align_by_index(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    return pairing.align_by_index(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), "user_id", "event_id")
+
+
+@query(f"WITH {I.SAMPLES}, {I.SPLITS} SELECT sample_id, split FROM members")
+def j12_split_members(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    return pairing.split_members(s, I.group_splits(s))
+
+
+@query(f"WITH {I.SAMPLES}, {I.SPLITS} SELECT sample_id, experiment_key, category FROM samples JOIN members USING (sample_id) WHERE split = 'val'")
+def j13_select_split(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    return pairing.select_split(s, pairing.split_members(s, I.group_splits(s)), "val")[0].select("sample_id", "experiment_key", "category")
+
+
+@query("""WITH d AS (SELECT a.label AS grp, a.vec_id AS a_id, b.vec_id AS b_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)))) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp, a_id ORDER BY d, b_id) AS r FROM d)
+SELECT x.grp, x.a_id, x.b_id, round(x.d, 6) AS d1 FROM r x JOIN r y ON x.a_id = y.a_id AND x.r = 1 AND y.r = 2 WHERE x.d < 0.95 * y.d""")
+def j14_ratio_match(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return r6(neardup.ratio_match(e.where("id % 2 = 0"), e.where("id % 2 = 1"), ["grp"], 0.95).select("grp", "a_id", "b_id", "d1"), "d1")
+
+
+# --- near duplicates --------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {I.HASHES} SELECT a.modality, a.id AS id_a, b.id AS id_b, CAST(hamming(a.h, b.h) AS BIGINT) AS distance FROM hashes a JOIN hashes b ON a.id < b.id WHERE hamming(a.h, b.h) <= 5")
+def n2_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(I.hashes(spark, sf_dir), 5)
+
+
+@query(f"""WITH {I.GRID}, c AS (SELECT i, k, cos(pi() * (2 * i + 1) * k / 16) AS c FROM range(8) a(i), range(8) b(k)),
+t AS (SELECT frame_id, p.k AS ky, q.k AS kx, sum(v * p.c * q.c) AS v FROM grid JOIN c p ON y = p.i JOIN c q ON x = q.i GROUP BY 1, 2, 3),
+m AS (SELECT frame_id, median(v) AS m FROM t WHERE ky + kx > 0 GROUP BY 1)
+SELECT frame_id, CAST(sum(CASE WHEN v > m AND ky + kx > 0 THEN 1 ELSE 0 END) AS BIGINT) AS ones FROM t JOIN m USING (frame_id) GROUP BY 1""")
+def n1_phash(spark, sf_dir):
+    return neardup.phash(I.grid(spark, sf_dir), 8).select("frame_id", (F.bit_count("hi") + F.bit_count("lo")).cast("bigint").alias("ones"))
+
+
+# --- aggregations and audit ----------------------------------------------------------------------------------------
+
+_REQUIRED = ["de", "en", "es", "fr"]
+
+
+@query(f"""WITH {I.SAMPLES}, c AS (SELECT experiment_key, category, count(DISTINCT clip_id) AS n FROM samples GROUP BY 1, 2), g AS (SELECT experiment_key, count(DISTINCT leakage_group_id) AS n_groups FROM samples GROUP BY 1),
+w AS (SELECT experiment_key, 4 - count(*) FILTER (category IN ('de', 'en', 'es', 'fr')) AS lacking, count(*) FILTER (n <> 1) AS bad FROM c GROUP BY 1)
+SELECT experiment_key, CAST(lacking AS BIGINT) AS n_missing, CAST(bad AS BIGINT) AS bad_clip_counts, CAST(n_groups AS BIGINT) AS n_groups, lacking = 0 AND bad = 0 AND n_groups = 1 AS ok FROM w JOIN g USING (experiment_key)""")
+def a1_experiment_contract(spark, sf_dir):
+    n = F.when(F.col("missing") == "", 0).otherwise(F.size(F.split("missing", ","))).cast("bigint")
+    return audit.experiment_contract(I.samples(spark, sf_dir), _REQUIRED).select("experiment_key", n.alias("n_missing"), "bad_clip_counts", "n_groups", "ok")
+
+
+@query(f"""WITH {I.SAMPLES} SELECT leakage_group_id, string_agg(DISTINCT experiment_key, ',' ORDER BY experiment_key) AS experiment_keys, string_agg(DISTINCT category, ',' ORDER BY category) AS categorys, CAST(count(*) FILTER (usable) AS BIGINT) AS pair_count,
+ concat_ws(',', CASE WHEN count(DISTINCT experiment_key) > 1 THEN 'experiment_key' END, CASE WHEN count(DISTINCT category) > 1 THEN 'category' END) AS not_single FROM samples GROUP BY 1""")
+def a2_group_rollup(spark, sf_dir):
+    return audit.group_rollup(I.samples(spark, sf_dir), ["experiment_key", "category"], ["experiment_key", "category"])
+
+
+_FEATURES = """u AS (SELECT * FROM samples WHERE usable), features AS (SELECT leakage_group_id, 'pairs' AS kind, 'all' AS name, CAST(count(*) AS DOUBLE) AS value FROM u GROUP BY 1
+ UNION ALL SELECT leakage_group_id, 'experiments', 'all', CAST(count(DISTINCT experiment_key) AS DOUBLE) FROM u GROUP BY 1 UNION ALL SELECT leakage_group_id, 'category', category, CAST(count(*) AS DOUBLE) FROM u GROUP BY 1, 3)"""
+
+
+@query(f"WITH {I.SAMPLES}, {_FEATURES} SELECT * FROM features")
+def a3_group_features(spark, sf_dir):
+    return split.group_features(I.samples(spark, sf_dir))
+
+
+@query(f"WITH {I.SAMPLES}, {I.SPLITS} SELECT split, category, CAST(count(*) AS BIGINT) AS pairs, CAST(count(DISTINCT leakage_group_id) AS BIGINT) AS groups FROM members JOIN samples USING (sample_id) GROUP BY 1, 2")
+def a4_category_counts(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    return audit.category_counts(s, pairing.split_members(s, I.group_splits(s)))
+
+
+@query(f"WITH {I.SAMPLES} SELECT CAST(count(DISTINCT leakage_group_id) AS BIGINT) AS groups, count(DISTINCT leakage_group_id) >= 6 AS enough FROM samples WHERE usable")
+def a5_sufficiency(spark, sf_dir):
+    return audit.sufficiency(I.samples(spark, sf_dir), 6)
+
+
+@query(f"""WITH {I.SAMPLES}, c AS (SELECT count(*) AS n FROM (SELECT experiment_key FROM samples WHERE category IN ('de', 'en', 'es', 'fr') GROUP BY 1 HAVING count(DISTINCT category) = 4))
+SELECT category, CAST(count(DISTINCT clip_id) AS BIGINT) AS clips, CAST((SELECT n FROM c) AS BIGINT) AS complete_experiments FROM samples GROUP BY 1""")
+def a6_readiness(spark, sf_dir):
+    return audit.readiness(I.samples(spark, sf_dir), _REQUIRED)
+
+
+@query("""WITH r AS (SELECT sha256('{"n_nationkey":"' || CAST(n_nationkey AS VARCHAR) || '","n_name":"' || n_name || '"}') AS h FROM nation), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1)
+SELECT sha256(string_agg(h, '' ORDER BY b)) AS digest FROM b""")
+def a7_table_digest(spark, sf_dir):
+    return audit.table_digest(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"])
+
+
+@query(f"""WITH {I.SAMPLES}, {I.SPLITS} SELECT sha, CAST(count(DISTINCT leakage_group_id) AS BIGINT) AS groups, CAST(count(DISTINCT split) AS BIGINT) AS splits, CAST(count(*) AS BIGINT) AS copies, CASE WHEN count(DISTINCT split) > 1 THEN 'error' ELSE 'warning' END AS level
+ FROM samples LEFT JOIN (SELECT * FROM members WHERE split <> 'train_pool') USING (sample_id) GROUP BY 1 HAVING count(DISTINCT leakage_group_id) > 1""")
+def a8_exact_duplicates(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    return audit.exact_duplicates(s, pairing.split_members(s, I.group_splits(s)))
+
+
+@query("""SELECT sha256(text) AS sha, CAST(count(DISTINCT source) AS BIGINT) AS tasks, CAST(count(*) AS BIGINT) AS files FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1""")
+def a9_duplicate_media(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("task"), F.col("n_chars").alias("length"), "text")
+    return audit.duplicate_media(d, lambda f: f.select("task", F.sha2("text", 256).alias("sha")))
+
+
+@query(f"""WITH {I.SAMPLES}, {I.SPLITS} SELECT sha AS fp, CAST(count(DISTINCT inner_split) AS BIGINT) AS splits FROM samples JOIN group_splits USING (leakage_group_id) GROUP BY 1 HAVING count(DISTINCT inner_split) > 1""")
+def a10_fingerprint_leaks(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    return audit.fingerprint_leaks(s.select("leakage_group_id", F.array("sha").alias("fingerprints")), I.group_splits(s))
+
+
+@query("""WITH e AS (SELECT p_brand, abs(l_extendedprice - l_quantity * p_retailprice) / 1000 AS e FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT p_brand, round(sqrt(avg(e * e)), 8) AS rmse, round(quantile_cont(e, 0.5), 8) AS median, round(quantile_cont(e, 0.95), 8) AS p95, round(max(e), 8) AS max_error, CAST(count(*) FILTER (e <= 1) AS BIGINT) AS within_1 FROM e GROUP BY 1""")
+def a11_error_metrics(spark, sf_dir):
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    e = l.join(p, l.l_partkey == p.p_partkey).select("p_brand", (F.abs(F.col("l_extendedprice") - F.col("l_quantity") * F.col("p_retailprice")) / 1000).alias("e"))
+    return series.error_metrics(e, ["p_brand"]).select("p_brand", *(F.round(c, 8).alias(c) for c in ("rmse", "median", "p95", "max_error")), "within_1")
+
+
+@query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(min(l_quantity / 50), 6) AS min_ratio, round(avg(l_quantity / 50), 6) AS mean_ratio, round(max(l_quantity / 50), 6) AS max_ratio, CAST(count(*) FILTER (l_quantity / 50 < 0.5) AS BIGINT) AS warnings FROM lineitem GROUP BY 1")
+def a12_coverage_summary(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").withColumn("ratio", F.col("l_quantity") / 50)
+    return r6(series.coverage_summary(l, "l_returnflag", "ratio"), "min_ratio", "mean_ratio", "max_ratio")
+
+
+@query("SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS pairs FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def a13_preflight(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    return series.preflight(c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey), ["r_name", "n_name"])
+
+
+@query("""WITH m AS (SELECT event_type AS run, CAST(day(ts) AS INT) AS epoch, round(sum(value * n) / sum(n), 6) AS mean_loss FROM (SELECT *, 1 + event_id % 4 AS n FROM events) GROUP BY 1, 2)
+SELECT run, epoch, mean_loss, COALESCE(mean_loss < min(mean_loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM m""")
+def a14_metric_history(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch"), F.col("value").alias("loss"), (1 + F.col("event_id") % 4).alias("n"))
+    return r6(series.metric_history(log), "mean_loss")
+
+
+@query(f"""WITH {I.GRID} SELECT frame_id, y, x, CAST(CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 255) ELSE 0 END AS INT) AS v FROM (SELECT *, min(v) OVER (PARTITION BY frame_id) AS lo, max(v) OVER (PARTITION BY frame_id) AS hi FROM grid)""")
+def a15_normalise_8bit(spark, sf_dir):
+    return grid.normalise_8bit(I.grid(spark, sf_dir)).select(F.col("frame_id"), F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "v")
+
+
+# --- windows and series ----------------------------------------------------------------------------------------------
+
+_JOINT = f"""{I.FRAMES}, m AS (SELECT clip, greatest(median(s1), 1e-9) AS ma, greatest(median(s2), 1e-9) AS mb FROM frames GROUP BY 1), j AS (SELECT clip, idx, CASE WHEN s1 / ma + s2 / mb > 0 THEN 2 * (s1 / ma) * (s2 / mb) / (s1 / ma + s2 / mb) ELSE 0 END AS joint FROM frames JOIN m USING (clip))"""
+
+
+@query(f"WITH {_JOINT} SELECT clip, idx, round(joint, 6) AS joint FROM j")
+def w1_joint_score(spark, sf_dir):
+    return r6(series.joint_score(I.frames(spark, sf_dir), "clip", "s1", "s2").select("clip", "idx", "joint"), "joint")
+
+
+@query(f"""WITH {_JOINT}, b AS (SELECT *, ntile(4) OVER (PARTITION BY clip ORDER BY idx) AS bin, count(*) OVER (PARTITION BY clip) AS n FROM j), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip, bin ORDER BY round(joint, 9) DESC, idx) AS r FROM b WHERE n >= 4) WHERE r = 1),
+s AS (SELECT clip, idx, CAST(row_number() OVER (PARTITION BY clip ORDER BY idx) AS INT) AS sequence, round(idx / 10.0, 6) AS timestamp_seconds FROM p)
+SELECT clip, idx, sequence, lpad(CAST(sequence AS VARCHAR), 6, '0') || '.png' AS filename, timestamp_seconds, round(abs(timestamp_seconds - lag(timestamp_seconds) OVER (PARTITION BY clip ORDER BY idx)), 6) AS delta_seconds FROM s""")
+def w2_w3_selected_frames(spark, sf_dir):
+    j = series.joint_score(I.frames(spark, sf_dir), "clip", "s1", "s2").withColumn("joint", F.round("joint", 9))
+    picked = series.select_bin_maxima(j, "clip", "idx", "joint", 4).select("clip", "idx")
+    return series.selected_frames(picked, "clip", "idx", 10.0)
+
+
+_LAG = f"""{I.SERIES}, c AS (SELECT a.clip, g.lag, a.a, b.b FROM series a CROSS JOIN (SELECT CAST(unnest(range(-5, 6)) AS INT) AS lag) g JOIN series b ON b.t = a.t + g.lag),
+r AS (SELECT clip, lag, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(a) * stddev_pop(b) > 1e-12 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS r FROM c GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_LAG} SELECT clip, lag, n, round(r, 6) AS r FROM r")
+def w5_lag_correlation(spark, sf_dir):
+    return r6(series.lag_correlation(I.series(spark, sf_dir), "clip"), "r")
+
+
+@query(None)
+def w6_sync_diagnostic(spark, sf_dir):
+    return series.sync_diagnostic(I.series(spark, sf_dir), "clip")
+
+
+@query(f"""WITH {I.FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n FROM frames) SELECT clip, idx, CASE WHEN idx = 0 THEN 'first' WHEN idx = n - 1 THEN 'last' ELSE 'middle' END AS place FROM n WHERE idx IN (0, n // 2, n - 1)""")
+def w7_representatives(spark, sf_dir):
+    return series.representatives(I.frames(spark, sf_dir), "clip", "idx")
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY sha256('42:3:' || CAST(doc_id AS VARCHAR))) AS BIGINT) AS place FROM documents")
+def o2_epoch_order(spark, sf_dir):
+    return series.epoch_order(table(spark, sf_dir, "documents"), "doc_id", 42, 3)
+
+
+@query("SELECT s_nationkey, s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS r FROM supplier) WHERE r = 1")
+def o4_best_candidate(spark, sf_dir):
+    return series.best_candidate(table(spark, sf_dir, "supplier"), "s_nationkey", ["s_acctbal"], "s_suppkey")
+
+
+@query(f"""WITH {I.GRID}, f AS (SELECT vec_id AS frame_id, label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings), r AS (SELECT clip, i, y, x, v FROM grid JOIN f USING (frame_id))
+SELECT r.clip, CAST(r.i AS INT) AS i, round(avg(abs(r.v - p.v)), 6) AS motion FROM r JOIN r p ON r.clip = p.clip AND r.i = p.i + 1 AND r.y = p.y AND r.x = p.x GROUP BY 1, 2""")
+def w4_motion_signal(spark, sf_dir):
+    f = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("label").alias("clip"), F.col("vec_id").alias("t"))
+    return r6(grid.motion_signal(I.grid(spark, sf_dir), f), "motion")
+
+
+# --- sets, splits, gates ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {I.SAMPLES}, {I.SPLITS}, s AS (SELECT DISTINCT sha, split FROM members JOIN samples USING (sample_id) WHERE split <> 'train_pool')
+SELECT CASE WHEN a.split = 'train' OR b.split = 'train' THEN 'train' ELSE 'val' END AS split_a, CASE WHEN a.split = 'test' OR b.split = 'test' THEN 'test' ELSE 'val' END AS split_b, CAST(count(*) AS BIGINT) AS shared FROM s a JOIN s b ON a.sha = b.sha AND a.split < b.split GROUP BY 1, 2""")
+def u1_split_overlaps(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    m = pairing.split_members(s, I.group_splits(s)).where("split <> 'train_pool'").join(s.select("sample_id", "sha"), "sample_id")
+    return audit.split_overlaps(m, "sha")
+
+
+@query(f"""WITH {I.SAMPLES}, {I.SPLITS} SELECT DISTINCT sample_id, 'missing_in_pool' AS code FROM members WHERE split IN ('train', 'val') AND right(sample_id, 1) = '7'""")
+def u2_pool_consistency(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    m = pairing.split_members(s, I.group_splits(s))
+    return audit.pool_consistency(m.where("split <> 'train_pool' or substring(sample_id, -1, 1) <> '7'"))
+
+
+@query(f"""WITH {_SIDES} SELECT k, 'missing' AS code FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'unknown' FROM b WHERE k NOT IN (SELECT k FROM a)""")
+def u3_assignment_coverage(spark, sf_dir):
+    a, b, _ = _sides(spark, sf_dir)
+    return audit.assignment_coverage(a, b, "k")
+
+
+@query(f"""WITH {I.SAMPLES} SELECT 'val' AS split, sample_id, 'excluded' AS code FROM samples WHERE NOT usable UNION ALL SELECT 'val', 'x' || CAST(n_nationkey AS VARCHAR), 'unknown' FROM nation""")
+def u4_member_issues(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    listed = s.select("sample_id").union(table(spark, sf_dir, "nation").select(F.concat(F.lit("x"), F.col("n_nationkey").cast("string"))))
+    return audit.member_issues(listed.withColumn("split", F.lit("val")), s)
+
+
+_TRIALS = f"""{I.SAMPLES}, {_FEATURES}, g AS (SELECT DISTINCT leakage_group_id FROM features), n AS (SELECT count(*) AS n FROM g),
+trials AS (SELECT t.trial, leakage_group_id, row_number() OVER (PARTITION BY trial ORDER BY sha256('42:' || CAST(t.trial AS VARCHAR) || ':' || leakage_group_id)) <= (SELECT least(n - 1, greatest(1, CAST(floor(n * 0.2 + 0.5) AS INT))) FROM n) AS second FROM g CROSS JOIN (SELECT unnest(range(0, 256)) AS trial) t),
+totals AS (SELECT kind, name, sum(value) AS total FROM features GROUP BY 1, 2), got AS (SELECT trial, kind, name, sum(CASE WHEN second THEN value ELSE 0 END) AS got FROM trials JOIN features USING (leakage_group_id) GROUP BY 1, 2, 3),
+scores AS (SELECT trial, round(sum(CASE kind WHEN 'pairs' THEN 4.0 WHEN 'experiments' THEN 3.0 WHEN 'category' THEN 2.0 ELSE 0.2 END * ((got / total - 0.2) / 0.2) * ((got / total - 0.2) / 0.2)), 9) AS score FROM got JOIN totals USING (kind, name) GROUP BY 1)"""
+
+
+@query(f"WITH {_TRIALS} SELECT trial, round(score, 6) AS score FROM scores")
+def g2_stage_score(spark, sf_dir):
+    f = split.group_features(I.samples(spark, sf_dir))
+    n = f.select("leakage_group_id").distinct().count()
+    return r6(split.stage_score(f, split.trial_table(f, 42, 256, split.target_groups(n, 0.2)), 0.2), "score")
+
+
+@query(f"WITH {_TRIALS} SELECT leakage_group_id, second FROM trials WHERE trial = (SELECT trial FROM scores ORDER BY score, trial LIMIT 1)")
+def g3_assign_stage(spark, sf_dir):
+    return split.assign_stage(split.group_features(I.samples(spark, sf_dir)), 0.2, 42)
+
+
+@query(None)
+def g4_nested_group_split(spark, sf_dir):
+    return split.nested_group_split(I.samples(spark, sf_dir))
+
+
+@query(f"WITH {I.SAMPLES}, {I.SPLITS} SELECT DISTINCT experiment_key, leakage_group_id, outer_split, inner_split FROM samples JOIN group_splits USING (leakage_group_id)")
+def g5_experiment_assignments(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    return split.experiment_assignments(s, I.group_splits(s))
+
+
+@query(f"""WITH {I.SAMPLES} SELECT sample_id, 'warning' AS level, 'excluded_sample' AS code FROM samples WHERE NOT usable UNION ALL SELECT sample_id, 'fatal', 'short_file' FROM samples WHERE n_chars < 100""")
+def q1_row_issues(spark, sf_dir):
+    return audit.row_issues(I.samples(spark, sf_dir), {"excluded_sample": ("warning", ~F.col("usable")), "short_file": ("fatal", F.col("n_chars") < 100)})
+
+
+@query(f"""WITH {I.SAMPLES} SELECT CAST(count(*) FILTER (n_chars < 100) AS BIGINT) AS fatals, CAST(0 AS BIGINT) AS errors, CAST(count(*) FILTER (NOT usable) AS BIGINT) AS warnings, count(*) FILTER (n_chars < 100) = 0 AS formal_ready FROM samples""")
+def q4_audit_summary(spark, sf_dir):
+    return audit.audit_summary(q1_row_issues(spark, sf_dir), True)
+
+
+@query(None)
+def q5_basic_audit(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    return audit.basic_audit(s, pairing.split_members(s, I.group_splits(s)))
+
+
+@query("""SELECT o_orderkey AS task, CASE WHEN present >= expected THEN 'skip' WHEN present > 0 THEN 'fail' ELSE 'run' END AS action FROM (SELECT o_orderkey, count(l_orderkey) FILTER (l_linestatus = 'F') AS present, CASE WHEN count(l_orderkey) = 0 THEN 1 ELSE count(l_orderkey) END AS expected FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)""")
+def q8_pending_tasks(spark, sf_dir):
+    out = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("task")).agg(F.count("*").alias("expected"), F.count_if(F.col("l_linestatus") == "F").alias("present"))
+    return audit.pending_tasks(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task")), out)
+
+
+@query("SELECT doc_id AS task, CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'changed' END AS code FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 0")
+def q9_task_issues(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task"), F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha"))
+    return audit.task_issues(d, d.where("task % 5 <> 0").select("path", F.when(F.col("task") % 3 == 0, F.lit("x")).otherwise(F.col("sha")).alias("sha")))
+
+
+@query("""WITH f AS (SELECT l_suppkey AS task, l_linenumber AS name, count(DISTINCT l_linestatus) AS m, bool_and(l_tax < 0.08) AS ok FROM lineitem GROUP BY 1, 2)
+SELECT task, CAST(count(*) AS BIGINT) AS names, CAST(count(*) FILTER (m <> 2) AS BIGINT) AS one_sided, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS unreadable, count(*) = 7 AND count(*) FILTER (m <> 2) = 0 AND count(*) FILTER (NOT ok) = 0 AS valid FROM f GROUP BY 1""")
+def q10_output_validation(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), F.col("l_linestatus").alias("modality"), F.col("l_linenumber").alias("name"), (F.col("l_tax") < 0.08).alias("readable"))
+    return audit.output_validation(f, 7)
+
+
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS path, CASE WHEN d.doc_id % 4 = 0 THEN 'copy' WHEN d.doc_id % 4 = 1 THEN 'conflict' ELSE 'identical' END AS action FROM documents d""")
+def k4_plan_copies(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+    there = d.where("doc_id % 4 <> 0").select("path", F.when(F.col("doc_id") % 4 == 1, F.lit("x")).otherwise(F.col("sha256")).alias("sha256"))
+    return plan_copies(d.select("path", "sha256"), there)
+
+
+# --- grids and tiles --------------------------------------------------------------------------------------------------------
+
+_LAPLACE = "SELECT frame_id, y, x, sum(w * v) AS v FROM (SELECT g.frame_id, t.y, t.x, t.w, g.v FROM (SELECT f.frame_id, p.y, p.x, k.w, least(greatest(p.y + k.dy, 0), 7) AS sy, least(greatest(p.x + k.dx, 0), 7) AS sx FROM (SELECT DISTINCT frame_id FROM grid) f CROSS JOIN (SELECT i // 8 AS y, i % 8 AS x FROM range(64) r(i)) p CROSS JOIN (VALUES (0, 0, -4.0), (0, 1, 1.0), (0, -1, 1.0), (1, 0, 1.0), (-1, 0, 1.0)) k(dy, dx, w)) t JOIN grid g ON g.frame_id = t.frame_id AND g.y = t.sy AND g.x = t.sx) GROUP BY 1, 2, 3"
+
+
+@query(f"WITH {I.GRID}, c AS ({_LAPLACE}) SELECT frame_id, round(var_pop(v), 6) AS sharpness FROM c GROUP BY 1")
+def x1_x2_sharpness(spark, sf_dir):
+    return r6(grid.sharpness(I.grid(spark, sf_dir), (8, 8)), "sharpness")
+
+
+_GRAD = """SELECT frame_id, y, x, sqrt(gy * gy + gx * gx) AS g FROM (SELECT frame_id, y, x, CASE WHEN yb IS NULL THEN ya - v WHEN ya IS NULL THEN v - yb ELSE (ya - yb) / 2 END AS gy, CASE WHEN xb IS NULL THEN xa - v WHEN xa IS NULL THEN v - xb ELSE (xa - xb) / 2 END AS gx
+ FROM (SELECT *, lag(v) OVER (PARTITION BY frame_id, x ORDER BY y) AS yb, lead(v) OVER (PARTITION BY frame_id, x ORDER BY y) AS ya, lag(v) OVER (PARTITION BY frame_id, y ORDER BY x) AS xb, lead(v) OVER (PARTITION BY frame_id, y ORDER BY x) AS xa FROM {0}))"""
+
+
+@query(f"""WITH {I.GRID}, {I.OTHER}, a AS ({_GRAD.format('grid')}), b AS ({_GRAD.format('other')})
+SELECT frame_id, round(CASE WHEN count(a.g) = count(*) AND count(b.g) = count(*) AND stddev_pop(a.g) >= 1e-8 AND stddev_pop(b.g) >= 1e-8 THEN covar_pop(a.g, b.g) / (stddev_pop(a.g) * stddev_pop(b.g)) END, 6) AS edge_correlation FROM a FULL JOIN b USING (frame_id, y, x) GROUP BY 1""")
+def x3_edge_correlation(spark, sf_dir):
+    g = I.grid(spark, sf_dir)
+    return r6(grid.edge_correlation(g, I.other(g)), "edge_correlation")
+
+
+@query(f"""WITH {I.GRID}, {I.OTHER}, a AS ({_GRAD.format('grid')}), b AS ({_GRAD.format('other')}), e AS (SELECT frame_id, round(CASE WHEN count(a.g) = count(*) AND count(b.g) = count(*) THEN covar_pop(a.g, b.g) / (stddev_pop(a.g) * stddev_pop(b.g)) END, 6) AS c FROM a FULL JOIN b USING (frame_id, y, x) GROUP BY 1)
+SELECT frame_id, CASE WHEN c >= 0.1 THEN 'pass_information_only' ELSE 'manual_review' END AS review, CASE WHEN c IS NULL THEN 'no_edges_or_sizes_differ' WHEN c < 0.1 THEN 'weak_edges' ELSE '' END AS note FROM e""")
+def q3_registration_review(spark, sf_dir):
+    return audit.registration_review(x3_edge_correlation(spark, sf_dir)).select("frame_id", "review", "note")
+
+
+@query(None)
+def x4_ssim(spark, sf_dir):
+    g = I.grid(spark, sf_dir)
+    return r6(grid.ssim(g, I.other(g)), "ssim")
+
+
+@query(None)
+def x5_fusion_quality(spark, sf_dir):
+    g = I.grid(spark, sf_dir)
+    return r6(grid.fusion_quality(grid.baseline(g, I.other(g)), g, I.other(g)), "intensity", "gradient", "structure", "edge", "total")
+
+
+@query(None)
+def x19_warp(spark, sf_dir):
+    g = I.grid(spark, sf_dir)
+    h = g.select("frame_id").distinct().select("frame_id", F.array(*(F.lit(x) for x in (1.0, 0.0, 0.25, 0.0, 1.0, -0.5, 0.0, 0.0, 1.0))).alias("h"))
+    return r6(grid.warp_grid(g, h, (8, 8))[1], "overlap")
+
+
+@query("""SELECT clip, y, x, CAST(count(DISTINCT frame) AS BIGINT) AS frames FROM (SELECT l_returnflag AS clip, l_orderkey % 3 AS frame, CAST(l_quantity AS INT) AS y, l_linenumber AS x FROM lineitem WHERE l_discount > 0.05) GROUP BY 1, 2, 3 HAVING count(DISTINCT frame) >= 2""")
+def x20_temporal_consensus(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").where("l_discount > 0.05").select(F.col("l_returnflag").alias("clip"), (F.col("l_orderkey") % 3).alias("frame"), F.col("l_quantity").cast("int").alias("y"), F.col("l_linenumber").alias("x"))
+    return grid.temporal_consensus(p, 2)
+
+
+_SETS = "a AS (SELECT DISTINCT p_brand AS grp, p_size AS y, CAST(floor(p_retailprice / 20) AS INT) AS x FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT p_brand AS grp, p_size AS y, CAST(floor(p_retailprice / 20) AS INT) AS x FROM part WHERE p_partkey % 2 = 1)"
+
+
+@query(f"""WITH {_SETS}, d AS (SELECT a.grp, a.y, a.x, least(8.0, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2))) AS d FROM a JOIN b USING (grp) GROUP BY 1, 2, 3 UNION ALL SELECT b.grp, b.y, b.x, least(8.0, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2))) FROM a JOIN b USING (grp) GROUP BY 1, 2, 3)
+SELECT grp, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.9), 6) AS p90, round(avg(CASE WHEN d <= 1.5 THEN 1.0 ELSE 0.0 END), 6) AS within FROM d GROUP BY 1""")
+def x21_chamfer(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("grp"), F.col("p_size").alias("y"), F.floor(F.col("p_retailprice") / 20).cast("int").alias("x"))
+    return r6(grid.chamfer(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "grp"), "median", "p75", "p90", "within")
+
+
+_TILES = "f AS (SELECT p_partkey AS frame_id, p_size + 40 AS h, p_size * 2 + 35 AS w FROM part), ys AS (SELECT DISTINCT frame_id, w, unnest(list_append(range(0, h - 32 + 1, 24), h - 32)) AS y0 FROM f), t AS (SELECT DISTINCT frame_id, CAST(y0 AS INT) AS y0, CAST(unnest(list_append(range(0, w - 32 + 1, 24), w - 32)) AS INT) AS x0 FROM ys)"
+
+
+@query(f"WITH {_TILES} SELECT * FROM t")
+def x23_plan_tiles(spark, sf_dir):
+    f = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("frame_id"), (F.col("p_size") + 40).alias("height"), (F.col("p_size") * 2 + 35).alias("width"))
+    return grid.plan_tiles(f, 32, 8)
+
+
+@query(f"WITH {I.GRID} SELECT frame_id, y, x, round(v, 6) + 0.0 AS v FROM grid")
+def x24_blend_identity(spark, sf_dir):
+    """Tiles of 4 with an overlap of 2, scored by the identity, blend to the grid itself."""
+    g = I.grid(spark, sf_dir)
+    tiles = grid.plan_tiles(g.select("frame_id").distinct().select("frame_id", F.lit(8).alias("height"), F.lit(8).alias("width")), 4, 2)
+    inside = F.expr("y >= y0 and y < y0 + 4 and x >= x0 and x < x0 + 4")
+    values = g.join(tiles, "frame_id").where(inside).select("frame_id", "y0", "x0", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")
+    out = grid.blend_tiles(grid.score(values, lambda it: it, values.schema), 4)
+    return r6(out.select("frame_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "v"), "v")
+
+
+@query(f"WITH {I.GRID}, {I.OTHER} SELECT frame_id, y, x, round(CASE WHEN o.v IS NULL THEN g.v ELSE 0.5 * g.v + 0.5 * o.v END, 6) + 0.0 AS v FROM grid g LEFT JOIN (SELECT * FROM other WHERE y > 2) o USING (frame_id, y, x)")
+def x26_blend_masked(spark, sf_dir):
+    g = I.grid(spark, sf_dir)
+    out = grid.blend_masked(g, I.other(g).where("y > 2"))
+    return r6(out.select("frame_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "v"), "v")
+
+
+@query("""WITH u AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS sample_id FROM documents), d AS (SELECT sample_id, CAST(('0x' || substr(sha256('42:1:' || sample_id || ':y'), 1, 12)) AS BIGINT) / 281474976710656.0 AS uy, CAST(('0x' || substr(sha256('42:1:' || sample_id || ':flip'), 1, 12)) AS BIGINT) / 281474976710656.0 AS uf FROM u)
+SELECT sample_id, CAST(floor(uy * 33) AS INT) AS crop_y, uf < 0.5 AS flip FROM d""")
+def x27_augment_params(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), F.lit(96).alias("height"), F.lit(96).alias("width"))
+    return grid.augment_params(s, 42, 1, 64).select("sample_id", "crop_y", "flip")
+
+
+@query(f"WITH {I.GRID} SELECT frame_id, y - 1 AS y, CASE WHEN frame_id % 2 = 0 THEN 5 - (x - 2) ELSE x - 2 END AS x, v FROM grid WHERE y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 7")
+def x28_apply_geometry(spark, sf_dir):
+    g = I.grid(spark, sf_dir)
+    p = g.select("frame_id").distinct().select("frame_id", F.lit(1).alias("crop_y"), F.lit(2).alias("crop_x"), (F.col("frame_id") % 2 == 0).alias("flip"))
+    return grid.apply_geometry(g, p, 6).select("frame_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "v")
+
+
+# --- geometry -----------------------------------------------------------------------------------------------------------------
+
+
+def _models(p):
+    return p.select("grp").distinct().select("grp", F.array(*(F.lit(x) for x in I.MODEL)).alias("h"))
+
+
+@query(f"""WITH {I.POINTS}, e AS (SELECT grp, sqrt((((1.1 * ir_x + 0.02 * ir_y + 3.0) / (0.001 * ir_x + 1.0)) - rgb_x) ** 2 + (((0.03 * ir_x + 0.9 * ir_y + 2.0) / (0.001 * ir_x + 1.0)) - rgb_y) ** 2) AS e FROM points)
+SELECT grp, round(sqrt(avg(e * e)), 6) AS rmse, round(quantile_cont(e, 0.5), 6) AS median, round(quantile_cont(e, 0.95), 6) AS p95, round(max(e), 6) AS max_error, CAST(count(*) FILTER (e <= 1) AS BIGINT) AS within_1 FROM e GROUP BY 1""")
+def x8_x15_projection_errors(spark, sf_dir):
+    p = I.points(spark, sf_dir)
+    return r6(series.error_metrics(geometry.project_points(p, _models(p), ["grp"]), ["grp"]), "rmse", "median", "p95", "max_error")
+
+
+@query("SELECT p_partkey, round(2.2 * 1.1 * s, 6) AS h11, round(0.03 * s / 2, 6) AS h21, round(0.001 * s, 9) AS h31, s > 0 AS valid FROM (SELECT p_partkey, CAST(p_size % 10 AS DOUBLE) AS s FROM part)")
+def x6_x7_adapt_homography(spark, sf_dir):
+    s = (F.col("p_size") % 10).cast("double")
+    rows = table(spark, sf_dir, "part").withColumn("h", F.array(*(F.lit(x) for x in I.MODEL)))
+    rows = rows.withColumn("a", geometry.scale_homography(F.col("h"), s, s, F.lit(2.2), F.lit(0.5)))
+    return rows.select("p_partkey", F.round(F.col("a")[0], 6).alias("h11"), F.round(F.col("a")[3], 6).alias("h21"), F.round(F.col("a")[6], 9).alias("h31"), geometry.is_valid(F.col("a")).alias("valid"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN n < 4 OR rmse > 2.0 THEN 'failed' WHEN w > 0 THEN 'provisional_warning' WHEN n >= 18 THEN 'formal' ELSE 'provisional' END AS status,
+ CASE WHEN n < 4 OR rmse > 2.0 THEN 'reject' WHEN w = 0 AND n >= 18 THEN 'accept' ELSE 'review' END AS rating, n >= 10 AS accepted FROM (SELECT s_suppkey, s_suppkey % 25 AS n, s_acctbal / 4000 AS rmse, s_suppkey % 3 AS w FROM supplier)""")
+def x17_x18_x22_status(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).alias("pairs"), (F.col("s_acctbal") / 4000).alias("rmse"), F.lit(2.0).alias("most_rmse"), (F.col("s_suppkey") % 3).alias("warnings"))
+    rows = geometry.quality_status(s).withColumns({"chamfer_rating": F.lit("good"), "overlap": F.lit(0.9)})
+    rows = geometry.geometric_rating(rows).withColumns({"inliers": F.col("pairs") * 2, "matches": F.col("pairs") * 4, "coverage": F.lit(0.5), "median_error": F.lit(1.0), "area_ratio": F.lit(1.0)})
+    return geometry.refine_gate(rows).select("s_suppkey", "status", "rating", "accepted")
+
+
+@query(None)
+def x10_fit_homography(spark, sf_dir):
+    """Errors of the fitted matrices: as low as the noise that the points were given."""
+    p = I.points(spark, sf_dir)
+    return r6(series.error_metrics(geometry.project_points(p, geometry.fit_homography(p, ["grp"]), ["grp"]), ["grp"]).select("grp", "rmse"), "rmse")
+
+
+@query(None)
+def x11_fit_robust(spark, sf_dir):
+    p = I.points(spark, sf_dir)
+    return geometry.fit_robust(p, ["grp"], 16, 0.05).select("grp", "inliers")
+
+
+@query(None)
+def x13_leave_one_out(spark, sf_dir):
+    return r6(geometry.leave_one_out(I.points(spark, sf_dir), ["grp"], "pair"), "rmse")
+
+
+@query(None)
+def x14_medoid(spark, sf_dir):
+    p = I.points(spark, sf_dir)
+    models = geometry.fit_homography(p, ["grp", "pair"]).where("h is not null")
+    return geometry.select_medoid(models, ["grp"], "pair", 1.0, 1.0).select("grp", F.round("spread", 4).alias("spread"))
+
+
+@query(None)
+def x16_diversity(spark, sf_dir):
+    return r6(geometry.diversity(I.points(spark, sf_dir), ["grp"], "pair"), "span_x", "span_y", "area_ratio")
