@@ -29,7 +29,7 @@ _draw = np.random.default_rng(20240607)
 _MUL = _draw.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _draw.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _SALT = _draw.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
-_words = Cache(xxhash.xxh3_64_intdigest)
+_words = Cache(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,12 +93,15 @@ def _signatures(k: int):
     @F.arrow_udf(SIGNATURE)
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = []
-            for text in (t for part in slices(texts) for t in as_bytes(part)):
-                s = shingle_set(text, k)
-                low = min_hashes(s) if len(s) else None
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(low), odd_sketch(low), parities(s)) if len(s) else (0, None, None, None, None))
-            yield pa.array([dict(zip(FIELDS, x, strict=True)) for x in out], kind)
+            done = [pa.array([], kind)]
+            for part in slices(texts):
+                out = []
+                for s in (shingle_set(t, k) for t in as_bytes(part)):
+                    low = min_hashes(s) if len(s) else None
+                    out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(low), odd_sketch(low), parities(s)) if len(s) else (0, None, None, None, None))
+                done.append(pa.array([dict(zip(FIELDS, x, strict=True)) for x in out], kind))
+                _words.trim()
+            yield pa.concat_arrays(done)
 
     return signature
 
@@ -113,6 +116,7 @@ def _verifier(k: int, percent: int):
                     s, t = shingle_set(s, k), shingle_set(t, k)
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     out.append(100 * both >= percent * (len(s) + len(t) - both))
+                _words.trim()
             yield pa.array(out, pa.bool_())
 
     return similar
