@@ -73,9 +73,10 @@ def as_strings(texts: pa.Array) -> list[str]:
 
 
 def slices(texts: pa.Array, rows: int = 256):
-    """Parts of an Arrow array, so that only a few texts at a time are Python objects."""
+    """Parts of an Arrow array, so that only a few texts at a time are Python objects; after them, what Arrow holds of memory that is free again is given back."""
     for i in range(0, len(texts), rows):
         yield texts.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 class Cache(dict):

@@ -35,7 +35,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Cache(lambda word: self.encode_words([word])[0], 1_000_000)
+        self.words = Cache(lambda word: self.encode_words([word])[0], 200_000)
 
     def encode_words(self, words: list[str], together: int = 256) -> list[bytes]:
         """The ids of each word; words are encoded many to a call, and each token goes to the word in which it starts."""
