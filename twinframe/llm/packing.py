@@ -24,18 +24,18 @@ from pyspark.sql import functions as F
 from .common import Cache, as_strings, is_empty, scratch, slices
 
 Bins = list[list[int]]
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids by a tokenizer that drops white space and never looks across it; what stands between blanks is encoded once for each worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Cache(lambda word: self.encode_words([word])[0], 200_000)
+        self.words = Cache(lambda word: self.encode_words([word])[0], most_words)
 
     def encode_words(self, words: list[str], together: int = 256) -> list[bytes]:
         """The ids of each word; words are encoded many to a call, and each token goes to the word in which it starts."""
@@ -58,20 +58,20 @@ class WordEncoder:
         return out
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, most_words: int) -> WordEncoder:
+    if (path, most_words) not in _encoders:
+        _encoders[path, most_words] = WordEncoder(path, most_words)
+    return _encoders[path, most_words]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, most_words: int = 1_000_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. A document's ids, then end_id, cut where they are longer than size."""
     kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
     end = end_id.to_bytes(4, "little")
 
     @F.arrow_udf("array<struct<piece int, start bigint, length bigint, ids_crc32 bigint>>")
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = _encoder(tokenizer)
+        own = _encoder(tokenizer, most_words)
         for texts in batches:
             out = []
             for ids in (x + end for part in slices(texts) for x in own.encode(as_strings(part))):
@@ -193,7 +193,7 @@ def _pack_blocks(items: DataFrame, size: int, per_block: int, islands: int, epoc
     return scratch(placed.select("block", "bin", F.col("r.at").alias("load"), F.explode("r.out").alias("o")).select("block", "bin", "load", "o.*"), "placed")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per_block: int = 4096, islands: int = 2, epochs: int = 3, generations: int = 12) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per_block: int = 4096, islands: int = 2, epochs: int = 3, generations: int = 12, most_words: int = 1_000_000) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A sequence holds at most size tokens, its pieces without gaps from offset 0. Pieces of full size are
@@ -202,10 +202,12 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per
     Bins that a block leaves with more than one part in 64 free are dissolved, and their pieces go through the
     same search again in new blocks, until there is one block or no gain.
 
+    A worker keeps the ids of most_words words at most, about 200 MB for a million; fewer cost time, and change no result.
+
     Null texts count as empty: their one token is end_id. Null doc_ids stay null; repeated rows are packed
     each; an empty table gives no rows. Columns other than doc_id and text are not read.
     """
-    pieces = scratch(token_pieces(docs, tokenizer, size, end_id).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    pieces = scratch(token_pieces(docs, tokenizer, size, end_id, most_words).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     items = pieces.where(F.col("length") < size).select("uid", "length")
     done, level = None, 0
     while not is_empty(items):
