@@ -26,7 +26,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Workers still hold memory of the stages before, so they keep fewer words than by default."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), most_words=200_000)
 
 
 STAGES = [("toxicity", toxicity), ("quality rules", quality), ("MinHash near-dedup", near_copies), ("best-fit packing", packing)]
