@@ -117,6 +117,17 @@ def test_quality_thresholds(spark):
     assert [r[0] for r in df.select(quality.bucket("value")).collect()] == [floor(v) for v in values]
 
 
+def test_quality_limits_follow_the_groups(spark):
+    """The same texts are junk where no others have symbols, and as good as any where all have some."""
+    rng = random.Random(4)
+    marked = lambda n: " ".join(w + "#" * (j < n) for j, w in enumerate(prose(rng, 80).split()))
+    rows = [(i, marked(0), "en", "plain") for i in range(100)] + [(100 + i, marked(i % 25), "en", "marked") for i in range(100)]
+    rows += [(200 + i, marked(11), "en", "plain" if i < 5 else "marked") for i in range(10)] + [(300, marked(2), "en", "plain"), (301, marked(80).replace("#", "###"), "en", "marked")]
+    docs = spark.createDataFrame([(*r, 0, "", "", 0, "") for r in rows], DOCS)
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()}
+    assert {i for i in got if not got[i]} == {200, 201, 202, 203, 204, 301}
+
+
 def test_token_counts(spark):
     from sentencepiece import SentencePieceProcessor
 

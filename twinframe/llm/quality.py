@@ -22,8 +22,11 @@ from .common import as_bytes, scratch, slices
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\v\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks")
-#: Metric: (numerator, units for each word, floor of its upper limit). Below the floor, no threshold cuts.
-METRICS = {"symbols": ("n_symbols", 1000, 150), "marks": ("n_marks", 1000, 250), "dup_lines": ("n_dup_lines", 1000, 150), "length": ("word_chars", 100, 0)}
+#: Metric: (numerator, units for each word).
+METRICS = {"symbols": ("n_symbols", 1000), "marks": ("n_marks", 1000), "dup_lines": ("n_dup_lines", 1000), "length": ("word_chars", 100)}
+#: A limit is so many spreads beyond the quartile.
+SPREADS = 8
+QUANTILES = (10, 25, 50, 75)
 #: Fewer documents than these take the sketch of their language.
 LEAST_ROWS = 40
 #: More groups than these are joined by a shuffle, fewer by a broadcast.
@@ -82,7 +85,8 @@ def bucket(value: str) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """rows (lang, source, COUNTS) -> lang, source, metric, bucket, n: of the rows that don't fail the base rules."""
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(f"{k} * {c} div nullif(n_words, 0)").alias("value")) for m, (c, k, _) in METRICS.items())))
+    values = {m: f"{k} * {c} div nullif(n_words, 0)" for m, (c, k) in METRICS.items()} | {"words": "n_words"}
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(v).alias("value")) for m, v in values.items())))
     long = rows.where(~failed_base()).select("lang", "source", each.alias("m")).select("lang", "source", "m.metric", "m.value")
     return long.withColumn("bucket", bucket("value")).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
@@ -92,29 +96,35 @@ def merged(sketch: DataFrame, *by: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """by, metric, total, q10, q50: a sketch's windows are over its buckets, at most a few thousand whatever the rows."""
+    """by, metric, total, q10, q25, q50, q75: a sketch's windows are over its buckets, at most a few thousand whatever the rows."""
     group = W.partitionBy(*by, "metric")
     running = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
     at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
-    return running.groupBy(*by, "metric").agg(F.max("total").alias("total"), at(10).alias("q10"), at(50).alias("q50"))
+    return running.groupBy(*by, "metric").agg(F.max("total").alias("total"), *(at(p).alias(f"q{p}") for p in QUANTILES))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """lang, source and a column <metric>_max for each metric, and length_min.
 
-    An upper limit is the median plus four times its distance to the first tenth, which junk that makes up less
-    than half of a group doesn't move, and no less than the metric's floor; words may be half as long as the
-    median, or twice as long.
+    An upper limit is the upper quartile plus SPREADS times its distance to the median, which junk that makes up
+    less than a quarter of a group doesn't move. To each spread comes what one more occurrence, or one more word's
+    length, makes in a text of the group's tenth-lowest number of words: where most texts have none, short ones with
+    a few are not junk; and to the limit, one bucket of the sketch. The least length mirrors this below the median.
+    A language with fewer than LEAST_ROWS documents takes all languages' sketch, but not for lengths.
     """
     sketch = scratch(sketches(rows), "sketch")
     own, wide = quantiles(sketch, "lang", "source"), quantiles(merged(sketch, "lang"), "lang")
-    wide = wide.select(F.col("lang").alias("l"), F.col("metric").alias("m"), F.col("q10").alias("w10"), F.col("q50").alias("w50"))
+    named = lambda df, c, *also: df.select(*also, F.col("metric").alias(f"{c}_metric"), F.col("total").alias(f"{c}_total"), *(F.col(f"q{p}").alias(f"{c}{p}") for p in QUANTILES))
+    wide, all_ = named(wide, "w", F.col("lang").alias("l")), named(quantiles(merged(sketch)), "a")
     few = F.col("total") < LEAST_ROWS
-    both = own.join(wide, own.lang.eqNullSafe(wide.l) & (own.metric == wide.m))
-    both = both.select("lang", "source", "metric", F.when(few, F.col("w10")).otherwise(F.col("q10")).alias("q10"), F.when(few, F.col("w50")).otherwise(F.col("q50")).alias("q50"))
-    limit = F.col("q50") + 4 * (F.col("q50") - F.col("q10"))
-    of = lambda m, c: F.max(F.when(F.col("metric") == m, c))
-    return both.groupBy("lang", "source").agg(*(of(m, F.greatest(limit, F.expr("2 * q50") if m == "length" else F.lit(floor).cast("bigint"))).alias(f"{m}_max") for m, (_, _, floor) in METRICS.items()), of("length", F.expr("q50 div 2")).alias("length_min"))
+    rare = few & (F.col("w_total") < LEAST_ROWS) & ~F.col("metric").isin("length", "words")
+    both = own.join(wide, own.lang.eqNullSafe(wide.l) & (own.metric == wide.w_metric)).join(F.broadcast(all_), F.col("metric") == F.col("a_metric"))
+    both = both.select("lang", "source", "metric", *(F.when(rare, F.col(f"a{p}")).when(few, F.col(f"w{p}")).otherwise(F.col(f"q{p}")).alias(f"q{p}") for p in QUANTILES))
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.struct(*(f"q{p}" for p in QUANTILES)))).alias(m)
+    each = both.groupBy("lang", "source").agg(*(of(m) for m in (*METRICS, "words")))
+    one = lambda m: f"{SPREADS} * {'length.q50' if m == 'length' else METRICS[m][1]} div words.q10"
+    upper = [F.expr(f"{m}.q75 + {m}.q75 div 64 + {SPREADS} * ({m}.q75 - {m}.q50) + {one(m)}").alias(f"{m}_max") for m in METRICS]
+    return each.select("lang", "source", *upper, F.expr(f"length.q25 - {SPREADS} * (length.q50 - length.q25) - {one('length')}").alias("length_min"))
 
 
 def _judged(rows: DataFrame, counts: str | None, limits: DataFrame) -> DataFrame:
@@ -124,7 +134,7 @@ def _judged(rows: DataFrame, counts: str | None, limits: DataFrame) -> DataFrame
     few = limits.count() <= MOST_BROADCAST
     joined = rows.join(F.broadcast(limits) if few else limits, rows["lang"].eqNullSafe(F.col("_limits.lang")) & rows["source"].eqNullSafe(F.col("_limits.source")), "left")
     failed = F.expr(f"{get('n_words')} < 10 or 100 * {get('n_repeat_words')} > 20 * {get('n_words')}")
-    tests = [F.expr(f"{k} * {get(c)} div nullif({get('n_words')}, 0) <= _limits.{m}_max") for m, (c, k, _) in METRICS.items()]
+    tests = [F.expr(f"{k} * {get(c)} div nullif({get('n_words')}, 0) <= _limits.{m}_max") for m, (c, k) in METRICS.items()]
     tests.append(F.expr(f"100 * {get('word_chars')} div nullif({get('n_words')}, 0) >= _limits.length_min"))
     passed = tests[0]
     for t in tests[1:]:
