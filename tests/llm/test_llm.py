@@ -229,6 +229,25 @@ def test_extraction(spark):
     assert texts[2] == ["word " * 39 + "word end."] and texts[3] == texts[4] == [""] and texts[None] == ["plain"]
 
 
+def test_extraction_ends_what_it_skips():
+    body = "<article><p>" + "word " * 30 + "</p><p>End.</p></article>"
+    want = "word " * 30 + "End."
+    for page in (
+        '<p class="notice">We <b>moved' + body,
+        '<ul><li class="share">A<li>B</ul>' + body,
+        '<div><p class="notice">We moved</div>' + body,
+        '<table><tr><td class="ad">x<td>y<tr><td class=promo>z</table>' + body,
+        '<dl><dt class="menu">a<dd class="menu">b</dl>' + body,
+        "<head><meta charset=utf-8><body>" + body,
+        '<div class="layout has-sidebar">' + body + '<div class="sidebar">Links</div></div>',
+        '<form id="all">' + body + "</form>",
+        '<span class="ad"><span>x</span>y</span>' + body,
+    ):
+        assert extract.main_text(page) == want, page
+    assert extract.main_text('<div class="has-sidebar"><p>' + "word " * 30 + "</p><p>End.</p></div>") == want
+    assert extract.main_text('<main><p>' + "word " * 30 + '</p><p>End.</p><div id="comments">' + "<article><p>nice " * 90 + "</div></main>") == want
+
+
 def toxic_docs(spark, n=600):
     rng = random.Random(2)
     rows, marks = [], []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,15 @@ _BLANK = re.compile(r"\s+")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is never part of the article.
 BOILERPLATE = frozenset("aside button dialog footer form head menu nav select".split())
+_CELLS = frozenset("td th tr tbody thead tfoot".split())
+_ITEMS = frozenset("li dd dt".split())
+#: Elements whose end tag may be left out: the start tags that end them.
+ENDED_BY = {
+    "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()) | _CELLS | _ITEMS,
+    "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]),
+    "td": _CELLS, "th": _CELLS, "tr": _CELLS - {"td", "th"}, "tbody": frozenset(["tbody", "tfoot"]), "thead": frozenset(["tbody", "tfoot"]), "tfoot": frozenset(["tbody"]),
+    "head": BLOCKS - {"head", "html"},
+}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that mark such text in an element of any kind.
 _MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
@@ -35,52 +45,119 @@ def _is_marked(attributes: str) -> bool:
     return any(_MARKED.search(" ".join(filter(None, m.groups()))) for m in _NAMES.finditer(attributes)) if attributes else False
 
 
+def _is_boilerplate(name: str, attributes: str) -> bool:
+    return name in BOILERPLATE or name == "header" or (name not in ("html", "body") and _is_marked(attributes))
+
+
+def _ends(tags: list[re.Match]) -> dict[int, int]:
+    """Of each element that may be boilerplate, by the index of its start tag: the index of the tag that ends it."""
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []  # blocks, and other elements if one of their name is boilerplate
+    times: Counter[str] = Counter()
+
+    def end(at: int) -> None:
+        name, start = open_.pop()
+        times[name] -= 1
+        if start in ends:
+            ends[start] = at
+
+    for i, m in enumerate(tags):
+        name = (m[2] or "").lower()
+        if not name or name in VOID and name != "hr":
+            continue
+        block = name in BLOCKS or name in BOILERPLATE
+        if m[1]:
+            at = len(open_) - 1
+            if times[name]:
+                while open_[at][0] != name and (block or open_[at][0] not in BLOCKS):
+                    at -= 1
+                if open_[at][0] == name:
+                    while len(open_) > at:
+                        end(i)
+            continue
+        if block:
+            while open_:
+                at = len(open_) - 1
+                while at > 0 and open_[at][0] not in BLOCKS and open_[at][0] not in BOILERPLATE:
+                    at -= 1
+                if name not in ENDED_BY.get(open_[at][0], ()):
+                    break
+                while len(open_) > at:
+                    end(i)
+        if name in VOID:
+            continue
+        skippable = _is_boilerplate(name, m[3])
+        if block or skippable or times[name]:
+            if skippable:
+                ends[i] = len(tags)
+            open_.append((name, i))
+            times[name] += 1
+    return ends
+
+
 def lines_of(page: str) -> tuple[list[str], bool]:
-    """The page's lines, boilerplate as empty ones, and whether an article or main element limits them."""
+    """The page's lines, boilerplate as empty ones, and whether an article or main element limits them.
+
+    Boilerplate that holds most of the page's articles, or of a page without any nearly all text, is a wrapper and
+    not skipped.
+    """
     page = _SKIP.sub(" ", page)
+    tags = list(_TAG.finditer(page))
+    ends = _ends(tags)
+    # before each tag: characters of text, of those the ones in <article> or <main>, and such elements started
+    texts, within, starts = [0], [0], [0]
+    at = depth = 0
+    for m in tags:
+        n = len(page[at : m.start()].strip())
+        at = m.end()
+        texts.append(texts[-1] + n)
+        within.append(within[-1] + n * (depth > 0))
+        started = (m[2] or "").lower() in ("article", "main")
+        starts.append(starts[-1] + (started and not m[1]))
+        if started:
+            depth = max(0, depth - 1) if m[1] else depth + 1
+    total = texts[-1] + len(page[at:].strip())
+
+    def wraps(i: int, name: str) -> bool:
+        last = min(ends[i], len(tags) - 1) + 1
+        if not within[-1]:
+            return (name == "form" or name not in BOILERPLATE) and 4 * (texts[last] - texts[i + 1]) > 3 * total
+        own, before = within[last] - within[i + 1], within[i + 1]
+        return starts[last] > starts[i + 1] and 2 * own > within[-1] and (not article or 10 * before < own)
+
     lines: list[str] = []
     inside: list[bool] = []  # of each line: does it stand in <article> or <main>
     text: list[str] = []
-    skipped: list[str] = []  # open elements from the outermost boilerplate on
-    article, at = 0, 0
+    article, at, i = 0, 0, 0
 
     def end_line() -> None:
         lines.append(_BLANK.sub(" ", entities.unescape("".join(text))).strip())
         inside.append(article > 0)
         text.clear()
 
-    for m in _TAG.finditer(page):
-        if not skipped:
-            text.append(page[at : m.start()])
+    while i < len(tags):
+        m = tags[i]
+        text.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
+        i += 1
         if not name:
             continue
-        closing = bool(m[1])
-        if skipped:
-            if name in VOID:
-                continue
-            if not closing and (name in BOILERPLATE or name == skipped[0]):
-                skipped.append(name)
-            elif closing and name in skipped:
-                while skipped.pop() != name:
-                    pass
-            continue
         if name in BLOCKS or name in BOILERPLATE:
             end_line()
         elif name == "br":
             text.append(" ")
-        if closing:
+        if m[1]:
             article -= name in ("article", "main") and article > 0
         elif name in ("article", "main"):
             article += 1
-        elif name in BOILERPLATE or (name == "header" and not article) or (name not in VOID and name not in ("html", "body") and _is_marked(m[3])):
+        elif i - 1 in ends and not (name == "header" and article and not _is_marked(m[3])) and not wraps(i - 1, name):
             end_line()
             lines += [""] * WINDOW
             inside += [article > 0] * WINDOW
-            skipped.append(name)
-    if not skipped:
-        text.append(page[at:])
+            i = ends[i - 1]
+            at = len(page) if i == len(tags) else tags[i].start()
+    text.append(page[at:])
     end_line()
     if limited := any(x and a for x, a in zip(lines, inside, strict=True)):
         lines = [x if a else "" for x, a in zip(lines, inside, strict=True)]
