@@ -248,6 +248,15 @@ def test_extraction_ends_what_it_skips():
     assert extract.main_text('<main><p>' + "word " * 30 + '</p><p>End.</p><div id="comments">' + "<article><p>nice " * 90 + "</div></main>") == want
 
 
+def test_extraction_keeps_paragraphs_in_divs():
+    long = "word " * 40
+    page = f"<div><p>{long}</p></div><div><h2>Head</h2></div><div><p>No.</p></div><table><tr><td>a</td></tr><tr><td>b</td></tr></table><div><p>{long}</p></div><div><p>Short closing line.</p></div>"
+    assert extract.main_text(page) == f"{long}Head No. a b {long}Short closing line."
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(9)) + "</ul></div>"
+    assert extract.main_text(f"{menu}<div><p>{long}</p></div><div><p><a href=/>Source</a></p></div><nav>x</nav>{menu}") == f"{long}Source"
+    assert extract.main_text(f"<h1><a href=/>Title</a></h1><div><p>{long}</p></div>{menu}<p>{long}</p>").startswith(f"Title {long}Item 0")
+
+
 def toxic_docs(spark, n=600):
     rng = random.Random(2)
     rows, marks = [], []

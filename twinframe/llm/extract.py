@@ -11,6 +11,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,8 +96,14 @@ def _ends(tags: list[re.Match]) -> dict[int, int]:
     return ends
 
 
-def lines_of(page: str) -> tuple[list[str], bool]:
-    """The page's lines, boilerplate as empty ones, and whether an article or main element limits them.
+class Line(NamedTuple):
+    text: str
+    inside: bool  # does it stand in <article> or <main>
+    link: bool  # is all of it a link
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's lines, boilerplate as empty ones; tags with no text between them make no line.
 
     Boilerplate that holds most of the page's articles, or of a page without any nearly all text, is a wrapper and
     not skipped.
@@ -125,19 +132,26 @@ def lines_of(page: str) -> tuple[list[str], bool]:
         own, before = within[last] - within[i + 1], within[i + 1]
         return starts[last] > starts[i + 1] and 2 * own > within[-1] and (not article or 10 * before < own)
 
-    lines: list[str] = []
-    inside: list[bool] = []  # of each line: does it stand in <article> or <main>
+    lines: list[Line] = []
     text: list[str] = []
+    plain = link = False  # has the line text outside of links, and is a link open
     article, at, i = 0, 0, 0
 
+    def add(part: str) -> None:
+        nonlocal plain
+        text.append(part)
+        plain = plain or not link and bool(part.strip())
+
     def end_line() -> None:
-        lines.append(_BLANK.sub(" ", entities.unescape("".join(text))).strip())
-        inside.append(article > 0)
+        nonlocal plain, link
+        if line := _BLANK.sub(" ", entities.unescape("".join(text))).strip():
+            lines.append(Line(line, article > 0, not plain))
         text.clear()
+        plain = link = False
 
     while i < len(tags):
         m = tags[i]
-        text.append(page[at : m.start()])
+        add(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         i += 1
@@ -147,49 +161,53 @@ def lines_of(page: str) -> tuple[list[str], bool]:
             end_line()
         elif name == "br":
             text.append(" ")
+        elif name == "a":
+            link = not m[1]
         if m[1]:
             article -= name in ("article", "main") and article > 0
         elif name in ("article", "main"):
             article += 1
         elif i - 1 in ends and not (name == "header" and article and not _is_marked(m[3])) and not wraps(i - 1, name):
             end_line()
-            lines += [""] * WINDOW
-            inside += [article > 0] * WINDOW
+            lines += [Line("", article > 0, False)] * WINDOW
             i = ends[i - 1]
             at = len(page) if i == len(tags) else tags[i].start()
-    text.append(page[at:])
+    add(page[at:])
     end_line()
-    if limited := any(x and a for x, a in zip(lines, inside, strict=True)):
-        lines = [x if a else "" for x, a in zip(lines, inside, strict=True)]
-    return lines, limited
-
-
-def between_surge_and_dive(lines: list[str], limited: bool, surge: int = SURGE) -> list[str]:
-    """The lines of each stretch that starts where a window's text reaches surge and ends where windows are empty; all lines if an element limits them; the longest stretch if none surges."""
-    lengths = [len(x) for x in lines]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lines))]
-    stretches: list[list[str]] = []
-    kept: list[bool] = []
-    open_ = False
-    for i, line in enumerate(lines):
-        if not sums[i]:
-            open_ = False
-        elif lengths[i]:
-            if not open_:
-                stretches.append([])
-                kept.append(False)
-                open_ = True
+    return lines
+
+
+def _peak(lines: list[Line]) -> int:
+    """The most text in a window."""
+    return max((sum(len(x.text) for x in lines[i : i + WINDOW]) for i in range(max(1, len(lines) - WINDOW + 1))), default=0)
+
+
+def _without_menus(stretch: list[Line], surge: int) -> list[Line]:
+    """Without windows of short links at its start and its end, if it has other text."""
+    for _ in range(2):
+        run = next((i for i, x in enumerate(stretch) if x.inside or not x.link), 0)
+        stretch = stretch[run if run >= WINDOW and _peak(stretch[:run]) < surge else 0 :][::-1]
+    return stretch
+
+
+def between_surge_and_dive(page: list[Line], surge: int = SURGE) -> list[str]:
+    """The lines of each stretch in which a window's text reaches surge; a stretch ends where boilerplate dives to nothing. All lines if an element limits them; the longest stretch if none surges."""
+    limited = any(x.text and x.inside for x in page)
+    stretches: list[list[Line]] = [[]]
+    for line in page:
+        if line.text and (line.inside or not limited):
             stretches[-1].append(line)
-            kept[-1] = kept[-1] or sums[i] >= surge
-    if limited:
-        return [x for s in stretches for x in s]
-    if not any(kept):
-        return max(stretches, key=lambda s: sum(map(len, s)), default=[])
-    return [x for s, k in zip(stretches, kept, strict=True) if k for x in s]
+        elif stretches[-1]:
+            stretches.append([])
+    stretches = [_without_menus(s, surge) for s in stretches if s]
+    kept = stretches if limited else [s for s in stretches if _peak(s) >= surge]
+    if not kept and stretches:
+        kept = [max(stretches, key=lambda s: sum(len(x.text) for x in s))]
+    return [x.text for s in kept for x in s]
 
 
 def main_text(page: str) -> str:
-    return " ".join(between_surge_and_dive(*lines_of(page)))
+    return " ".join(between_surge_and_dive(lines_of(page)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
