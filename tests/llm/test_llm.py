@@ -257,6 +257,13 @@ def test_extraction_keeps_paragraphs_in_divs():
     assert extract.main_text(f"<h1><a href=/>Title</a></h1><div><p>{long}</p></div>{menu}<p>{long}</p>").startswith(f"Title {long}Item 0")
 
 
+def test_extraction_takes_articles_as_hints():
+    long = "word " * 40
+    cards = "<article><h3>Teaser</h3></article>" * 2
+    assert extract.main_text(f"<div><p>{long}</p><p>End.</p></div>{cards}") == f"{long}End."
+    assert extract.main_text(f"<div>{'other ' * 20}</div><article><p>{long}</p><aside>x</aside><p>End.</p></article>") == f"{long}End."
+
+
 def toxic_docs(spark, n=600):
     rng = random.Random(2)
     rows, marks = [], []
