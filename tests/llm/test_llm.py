@@ -290,6 +290,14 @@ def test_toxicity(spark):
     assert len(none) == 10 and all(r["score"] == 0 for r in none)
 
 
+def test_toxicity_reads_whole_words(spark):
+    assert {*toxicity.parts_of("a" * 500 + "vile"), *toxicity.parts_of("vile" + "a" * 90)} >= {*toxicity.parts_of("avile")} & {*toxicity.parts_of("bvile")}
+    docs, labels = toxic_docs(spark)
+    joined = docs.withColumn("text", F.concat(F.lit("ba" * 40 + "/"), F.regexp_replace("text", " ", "/")))
+    got = toxicity.toxicity(joined, labels).collect()
+    assert np.mean([r["predicted"] == (r["doc_id"] % 6 == 0) for r in got]) > 0.97
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for i, t in rows:

@@ -31,10 +31,11 @@ _EDGE = ".,;:!?\"'()[]{}…»«"
 
 
 def parts_of(word: str) -> list[int]:
-    """Buckets of a word and of its four-letter parts, with marks for its start and end; longer words than 64 letters count by their first 64."""
-    w = f"^{word.strip(_EDGE)[:64]}$"
-    grams = {w, *(w[i : i + 4] for i in range(len(w) - 3))} if len(w) > 2 else set()
-    return [xxhash.xxh32_intdigest(g) % BUCKETS for g in grams]
+    """Buckets of a word and of its four-letter parts, with marks for its start and end; of a word of any length, at most BUCKETS."""
+    w = f"^{word.strip(_EDGE)}$"
+    if len(w) <= 2:
+        return []
+    return list({xxhash.xxh32_intdigest(w) % BUCKETS, *(xxhash.xxh32_intdigest(w[i : i + 4]) % BUCKETS for i in range(len(w) - 3))})
 
 
 def words_of(text: str) -> set[str]:
