@@ -298,6 +298,13 @@ def test_toxicity_reads_whole_words(spark):
     assert np.mean([r["predicted"] == (r["doc_id"] % 6 == 0) for r in got]) > 0.97
 
 
+def test_toxicity_with_a_label_on_every_document(spark):
+    docs, _ = toxic_docs(spark)
+    labels = docs.select("doc_id", (F.col("doc_id") % 6 == 0).cast("int").alias("toxic"))
+    got = toxicity.toxicity(docs, labels).collect()
+    assert np.mean([r["predicted"] == (r["doc_id"] % 6 == 0) for r in got]) > 0.97
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for i, t in rows:

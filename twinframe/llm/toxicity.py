@@ -78,15 +78,16 @@ def train(frame: pd.DataFrame, n_parts: int, prior: float, steps: int = 150, rat
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] | None:
-    """Weight of each part's bucket, and the bias; None if no label can be learnt from, or no document is unlabelled."""
+    """Weight of each part's bucket, and the bias; None if no positive can be learnt from. If no document is without a label, all learnable ones are the rest."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select(F.col("doc_id").alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     ids = scratch(ids.join(known, ids.id == known.doc_id, "left").select("id", "toxic"), "learnable")
     n = ids.agg(F.count_if(F.expr("toxic = 1")).alias("p"), F.count("toxic").alias("known"), F.count_if(F.expr("toxic is null")).alias("u")).first()
-    if not n["p"] or not n["u"]:
+    if not n["p"]:
         return None
+    rest, n_rest = (ids.where("toxic is null"), n["u"]) if n["u"] else (ids, n["known"])
     prior = min(0.95, max(0.001, n["p"] / n["known"]))
-    sample = _share(ids.where("toxic = 1"), n["p"], MOST_POSITIVE).select("id", F.lit(True).alias("positive")).union(_share(ids.where("toxic is null"), n["u"], MOST_UNLABELLED).select("id", F.lit(False).alias("positive")))
+    sample = _share(ids.where("toxic = 1"), n["p"], MOST_POSITIVE).select("id", F.lit(True).alias("positive")).union(_share(rest, n_rest, MOST_UNLABELLED).select("id", F.lit(False).alias("positive")))
     # the sample is bounded by MOST_POSITIVE and MOST_UNLABELLED, but for the spread of the hash
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
     texts = scratch(texts.select("id", "positive", F.coalesce("text", F.lit("")).alias("text")), "toxic_sample")
@@ -104,6 +105,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] |
 
     total = texts.agg(F.count_if(F.expr("positive")).alias("p"), F.count_if(F.expr("not positive")).alias("u")).first()
     table = texts.select("text", "positive").mapInArrow(counts, "bucket bigint, p bigint, u bigint, zero bigint").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    if not n["u"]:  # of all documents' share of a part, what is not the positives'; else a common class would hide its own parts
+        clean = (F.col("u") - prior * F.col("p") / max(1, total["p"]) * total["u"]) / (1 - prior)
+        table = table.withColumn("u", F.greatest(F.lit(0.0), clean))
     ratio = ((F.col("p") - F.sqrt("p")) / max(1, total["p"])) / ((F.col("u") + 0.5) / max(1, total["u"]))
     used = table.where((F.col("p") >= max(2, LEAST_SHARE * total["p"])) & (ratio >= LEAST_RATIO)).orderBy(F.desc(F.col("p") * F.ln(ratio)), "bucket").limit(MOST_PARTS).toPandas()["bucket"].tolist()
     place = {b: i for i, b in enumerate(used)}
@@ -151,7 +155,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts get the score of no words. Null doc_ids stay null, are not held out and have no label;
     where a doc_id has several labels, toxic wins; repeated rows are scored each. Without a positive label to
-    learn from, or without unlabelled documents, all scores are 0. An empty table gives no rows.
+    learn from, all scores are 0. An empty table gives no rows.
     """
     score = score_column(fit(docs, labels), docs.sparkSession)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
