@@ -156,29 +156,44 @@ def test_byte_bpe(spark):
     assert all(codec(path, P.PATTERN).words[t.decode()] == r.to_bytes(4, "little") for t, r in list(ranks.items())[1000:1200] if t.isalpha() and t.isascii())
 
 
-def test_vectors_against_brute_force(spark):
-    rng = np.random.default_rng(5)
-    base = rng.normal(size=(300, 16))
-    near = base[:120] + rng.normal(size=(120, 16)) * 0.05
-    x = np.vstack([base, near, near[:10] * 2, base[:5]]).astype(np.float32)
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    rows += [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [None] + [1.0] * 15, 0), (None, x[0].tolist(), 0)]
-    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+VECTORS = "vec_id bigint, embedding array<float>, label int"
+
+
+def brute_links(x, least=0.95):
+    """Number of links and component of each row, over all pairs."""
     u = x.astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    linked = u @ u.T >= 0.95
-    assert sum(got[i]["n_links"] for i in range(len(x))) >= 0.9 * (linked.sum() - len(x))
-    assert all(got[i]["n_links"] <= linked[i].sum() - 1 for i in range(len(x)))
-    comp = list(range(len(x)))
-    for _ in range(len(x)):
-        new = [min(comp[j] for j in np.flatnonzero(linked[i])) for i in range(len(x))]
-        if new == comp:
-            break
+    linked = u @ u.T >= least
+    comp = np.arange(len(x))
+    while True:
+        new = np.where(linked, comp[None], len(x)).min(axis=1)
+        if (new == comp).all():
+            return linked.sum(1) - 1, comp
         comp = new
-    assert np.mean([got[i]["component_id"] == comp[i] for i in range(len(x))]) > 0.97
-    for i in (1000, 1001, 1002, 1003):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
-    assert got[None]["component_id"] is None
+
+
+@pytest.mark.parametrize("size", [4, 8, 16, 64])
+def test_vectors_against_brute_force(spark, monkeypatch, size):
+    """Every link and component, where one in two vectors has a neighbour near the limit; with small blocks, so that groups are divided."""
+    monkeypatch.setattr(vectors, "BLOCK", 150)
+    monkeypatch.setattr(vectors, "QUERIES", 200)
+    monkeypatch.setattr(vectors, "LIST_ROWS", 30)
+    rng = np.random.default_rng(size)
+    base = rng.normal(size=(400, size))
+    near = base + rng.normal(size=base.shape) * rng.random((400, 1)) * 0.5
+    x = np.vstack([base, near, base[:10] * 2, base[:5]]).astype(np.float32)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)).collect()}
+    links, comp = brute_links(x)
+    assert links.sum() > 300 and len(got) == len(x)
+    assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links[i], comp[i], comp[i] == i) for i in range(len(x)))
+
+
+def test_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [2.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [1e30, 1e30, 0.0, 0.0], 0), (5, [1e-30, 1e-30, 0.0, 0.0], 0), (6, [1.0, 0.0, 0.0, 0.0], 0), (7, [0.0, 0.0, 1.0, 0.0], 0), (8, [3.0], 0), (9, [1.0, 0.0, 0.0, 0.0, 0.0], 0)]
+    none = [(1000, None, 0), (1001, [0.0] * 4, 0), (1002, [float("nan")] * 4, 0), (1003, [None, 1.0], 0), (1004, [float("inf"), 1.0], 0), (1005, [], 0), (None, [1.0, 0.0], 0)]
+    got = Counter(tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows + none, VECTORS)).collect())
+    linked = {(1, 3, 1, True): 1, (2, 3, 1, False): 1, (3, 3, 1, False): 2, (4, 1, 4, True): 1, (5, 1, 4, False): 1}
+    assert got == Counter(linked | {(i, 0, i, True): 1 for i in (6, 7, 8, 9, 1000, 1001, 1002, 1003, 1004, 1005, None)})
 
 
 def test_warc_round_trip(spark):

@@ -4,6 +4,10 @@ A bounded sample fits coarse centres and, for the residuals, a codebook for each
 then in the inverted list of its nearest centre, with the codes of its residual and the length of what the
 codes miss. A query probes every list whose cell comes near enough, adds up table entries for the codes of a
 list's vectors, and the vectors whose estimated distance allows it are compared exactly.
+
+Two vectors at most r apart in different cells lie, together, at most r from the border between the cells of
+their two centres. So one of them lies within r / 2 of it: if all vectors are queries and probe that far, every
+pair meets, from one side at least, and no link is lost.
 """
 
 from __future__ import annotations
@@ -20,22 +24,11 @@ from .components import connected_components
 
 #: The index is fitted on at most so many vectors, those of the lowest hash.
 SAMPLE = 16_384
-SUBSPACES, CODES, MOST_LISTS = 8, 256, 1024
-#: A list is probed if the query is no further than this from the border of its cell. Vectors of cosine 0.95 are
-#: 0.32 apart; of a step of that length, the part across a border is 0.04 as a rule in 64 dimensions.
-PROBE_MARGIN = 0.12
-#: About so many vectors, and so many queries, of a list meet in one task.
-BLOCK = 1024
-
-
-def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    centres = x[np.random.default_rng(1).permutation(len(x))[:k]].copy()
-    for _ in range(rounds):
-        near = nearest(x, centres)[1]
-        for j, n in enumerate(np.bincount(near, minlength=len(centres))):
-            if n:
-                centres[j] = x[near == j].mean(axis=0)
-    return centres
+SUBSPACES, CODES = 8, 256
+#: A list has about LIST_ROWS vectors, as long as there are not more than MOST_LISTS lists.
+LIST_ROWS, MOST_LISTS = 256, 4096
+#: Neighbouring lists form groups; about so many vectors of a group, and so many of its queries, meet in one task.
+BLOCK, QUERIES = 4096, 16_384
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,59 +37,86 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return d, d.argmin(axis=1)
 
 
+def own_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([nearest(x[i : i + 1024], centres)[1] for i in range(0, len(x), 1024)])
+
+
+def k_means(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    centres = x[np.random.default_rng(1).permutation(len(x))[:k]].copy()
+    for _ in range(rounds):
+        near = own_centre(x, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        n = np.bincount(near, minlength=len(centres))
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+    return centres
+
+
 def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """Vectors of one length, scaled to length 1; the largest component goes first, so that no square overflows."""
     x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 class Index:
-    """Coarse centres and codebooks; the dimensions are padded with zeros to a multiple of the subspaces."""
+    """Coarse centres, their groups and codebooks, over the first size components.
+
+    Vectors of another length are cut or filled with zeros for the index alone: that brings no two of one length
+    further apart, so what it excludes is excluded for certain.
+    """
 
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.centres = k_means(sample, lists)
-        residuals = self.split(sample - self.centres[nearest(sample, self.centres)[1]])
+    def __init__(self, sample: np.ndarray, total: int):
+        self.size = sample.shape[1]
+        self.centres = k_means(sample, int(min(MOST_LISTS, max(1, -(-total // LIST_ROWS)))))
+        self.group = own_centre(self.centres, k_means(self.centres, int(min(len(self.centres), max(1, -(-total // BLOCK))))))
+        residuals = self.split(sample - self.centres[own_centre(sample, self.centres)])
         self.books = [k_means(r, min(CODES, len(r))) for r in residuals]
+        self.apart = np.sqrt(nearest(self.centres, self.centres)[0])
+
+    def fitted(self, x: np.ndarray) -> np.ndarray:
+        return np.pad(x, ((0, 0), (0, max(0, self.size - x.shape[1]))))[:, : self.size]
 
     @staticmethod
     def split(x: np.ndarray) -> list[np.ndarray]:
         wide = np.pad(x, ((0, 0), (0, -x.shape[1] % SUBSPACES)))
         return np.split(wide, SUBSPACES, axis=1)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-        """List, codes, length of what the codes miss, and lists to probe, of each vector."""
+    def encode(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+        """List, codes, length of what the codes miss, and lists whose border is within margin, of each vector."""
+        x = self.fitted(x)
         d, own = nearest(x, self.centres)
         parts = self.split(x - self.centres[own])
-        codes = np.stack([nearest(p, b)[1] for p, b in zip(parts, self.books, strict=True)], axis=1)
+        codes = np.stack([own_centre(p, b) for p, b in zip(parts, self.books, strict=True)], axis=1)
         missed = sum(((p - b[c]) ** 2).sum(1) for p, b, c in zip(parts, self.books, codes.T, strict=True))
-        apart = np.sqrt(nearest(self.centres, self.centres)[0])
         rows = np.arange(len(x))
-        to_border = (d - d[rows, own][:, None]) / (2 * apart[own] + 1e-12)
+        to_border = (d - d[rows, own][:, None]) / (2 * self.apart[own] + 1e-12)
         to_border[rows, own] = 0
-        return own, codes.astype(np.uint8), np.sqrt(missed), [np.flatnonzero(r <= PROBE_MARGIN).tolist() for r in to_border]
+        return own, codes.astype(np.uint8), np.sqrt(missed), [np.flatnonzero(r <= margin).tolist() for r in to_border]
 
     def tables(self, q: np.ndarray, at: int) -> list[np.ndarray]:
         """Squared distance of each query's residual to each code, for each subspace."""
-        return [nearest(p, b)[0] for p, b in zip(self.split(q - self.centres[at]), self.books, strict=True)]
+        return [nearest(p, b)[0] for p, b in zip(self.split(self.fitted(q) - self.centres[at]), self.books, strict=True)]
 
 
-def _labels(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
-    """A forest with the components of a bipartite graph: (id, smallest id of its component) where they differ."""
-    r, c = np.nonzero(linked)
-    if not len(r):
-        return []
+def _forest(r: np.ndarray, c: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """A forest with the components of the edges rows[r], columns[c]: (id, smallest id of its component) where they differ."""
     low_r, low_c = rows.copy(), columns.copy()
-    while True:
+    while len(r):
         was = low_r.copy(), low_c.copy()
         np.minimum.at(low_c, c, low_r[r])
         np.minimum.at(low_r, r, low_c[c])
         if (was[0] == low_r).all() and (was[1] == low_c).all():
             break
-    used_r, used_c = linked.any(1), linked.any(0)
+    used_r, used_c = np.unique(r), np.unique(c)
     return [(int(i), int(m)) for i, m in zip(np.r_[rows[used_r], columns[used_c]], np.r_[low_r[used_r], low_c[used_c]], strict=True) if i != m]
 
 
 def _meet(index, least: float):
-    """Of one block of a list and one block of its queries: each query's links, and a forest of what they connect."""
+    """Of one block of a group and one block of its queries: links of both sides, and a forest of what they connect.
+
+    Where both vectors of a pair probe the other's list, the pair counts in the list of the lower number alone.
+    """
     reach = np.sqrt(max(0.0, 2 - 2 * least))
 
     def compare(key, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
@@ -104,82 +124,101 @@ def _meet(index, least: float):
         if not len(queries) or not len(entries):
             return out
         fitted = index.value
-        x, ids, weight = unit_rows(entries["v"]), entries["cid"].to_numpy(), entries["w"].to_numpy()
+        x, ids, weight, lists = unit_rows(entries["v"]), entries["cid"].to_numpy(), entries["w"].to_numpy(), entries["list"].to_numpy()
+        q, qids, qweight, home = unit_rows(queries["qv"]), queries["qid"].to_numpy(), queries["qw"].to_numpy(), queries["home"].to_numpy()
         codes = np.array([np.frombuffer(c, np.uint8) for c in entries["codes"]])
         allowed = (reach + entries["missed"].to_numpy() + 1e-9) ** 2
-        q, qids = unit_rows(queries["qv"]), queries["qid"].to_numpy()
-        linked = np.zeros((len(q), len(x)), bool)
-        for i in range(0, len(q), 256):
-            near = np.zeros((len(q[i : i + 256]), len(x)))
-            for t, code in zip(fitted.tables(q[i : i + 256], key[0]), codes.T, strict=True):
-                near += t[:, code]
-            near = near <= allowed[None]
-            rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-            if len(rows):
-                exact = q[i + rows] @ x[columns].T >= least
-                linked[np.ix_(i + rows, columns)] = exact & near[np.ix_(rows, columns)]
-        linked &= qids[:, None] != ids[None]
-        found = linked @ weight
-        counts = pd.DataFrame({"id": qids, "other": qids, "links": found})[found > 0]
-        forest = _labels(linked, qids, ids)
-        edges = pd.DataFrame({"id": [a for a, _ in forest], "other": [b for _, b in forest], "links": 0}).astype("int64")
-        return pd.concat([counts.astype("int64"), edges])
+        reached = np.zeros((len(x), len(fitted.centres)), bool)
+        reached[np.repeat(np.arange(len(x)), entries["probes"].map(len)), np.concatenate(entries["probes"].to_list())] = True
+        at, wanted = np.repeat(np.arange(len(q)), queries["qprobes"].map(len)), np.concatenate(queries["qprobes"].to_list())
+        found, other = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        for place in np.unique(lists):
+            columns, asking = np.flatnonzero(lists == place), at[wanted == place]
+            for i in range(0, len(asking), 512):
+                rows = asking[i : i + 512]
+                near = np.zeros((len(rows), len(columns)))
+                for t, code in zip(fitted.tables(q[rows], place), codes[columns].T, strict=True):
+                    near += t[:, code]
+                near = near <= allowed[columns][None]
+                far = home[rows] != place
+                near &= ~far[:, None] | (place < home[rows])[:, None] | ~reached[np.ix_(columns, home[rows])].T
+                r, c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if not len(r):
+                    continue
+                linked = near[np.ix_(r, c)] & (q[rows[r]] @ x[columns[c]].T >= least)
+                linked &= qids[rows[r]][:, None] != ids[columns[c]][None]
+                found[rows[r]] += linked @ weight[columns[c]]
+                other[columns[c]] += (linked & far[r][:, None]).T @ qweight[rows[r]]
+                a, b = np.nonzero(linked)
+                edges.append((rows[r[a]], columns[c[b]]))
+        count = lambda i, n: pd.DataFrame({"id": i, "other": i, "links": n})[n > 0]
+        forest = _forest(*(np.concatenate(e) for e in zip(*edges, strict=True)), qids, ids) if edges else []
+        parts = [count(qids, found), count(ids, other), pd.DataFrame({"id": [a for a, _ in forest], "other": [b for _, b in forest], "links": 0})]
+        return pd.concat([p.astype("int64") for p in parts])
 
     return compare
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, margin: float | None = None) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Links are the pairs found with cosine >= least, in double precision; n_links counts the other vectors linked
     directly, component_id is the smallest vec_id that links reach, kept says that it is the row's own. Equal
-    vectors are one class with a weight. Long lists, and the queries of lists that many probe, are dealt to
-    blocks that meet two by two, so no list has to fit in one task; a block yields counts and a forest, never
-    its pairs.
-
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components link with
-    nothing: 0 links, themselves as component. A null vec_id links with nothing (component_id null, kept true).
-    Repeated rows of one vec_id count as vectors of their own. An empty table gives no rows.
+    vectors are one class with a weight. Neighbouring lists share a group, to which a query goes once; large
+    groups, and the queries of those that many probe, are dealt to blocks that meet two by two, so no list has
+    to fit in one task; a block yields counts and a forest, never its pairs.
+
+    margin is how far from its border a query still probes a list. By default it is half the largest distance of
+    a link, with which every link is found; a smaller one loses links whose direction is nearly that between two
+    centres, and probes less.
+
+    Vectors of different lengths never link. Vectors that are null, zero, or hold null or non-finite components
+    link with nothing: 0 links, themselves as component. A null vec_id links with nothing (component_id null,
+    kept true). Repeated rows of one vec_id count as vectors of their own. Where a cosine is within rounding of
+    least, either verdict is right. An empty table gives no rows.
     """
     spark = vectors.sparkSession
+    half = float(np.sqrt(max(0.0, 2 - 2 * least)) / 2 if margin is None else margin) + 1e-9
     values = F.col("embedding").cast("array<double>")
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = vectors.select("vec_id", values.alias("v"), F.when(sound & F.col("vec_id").isNotNull(), F.xxhash64(values)).alias("h"))
-    good = rows.where("h is not null")
-    size = good.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
+    ok = sound & F.col("vec_id").isNotNull()
+    # two 64-bit hashes name a vector, so that the vectors themselves are shuffled once
+    rows = vectors.select("vec_id", values.alias("v"), F.when(ok, F.xxhash64(values)).alias("h"), F.when(ok, F.xxhash64(F.lit(1), values)).alias("g"))
+    classes = scratch(rows.where("h is not null").groupBy("h", "g").agg(F.any_value("v").alias("v"), F.min("vec_id").alias("cid"), F.count("*").alias("w")), "vector_classes")
+    size = classes.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
     none = vectors.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if size is None:
         return none
-    good = good.where(F.size("v") == size["n"])
-    classes = scratch(good.groupBy("v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("w")), "vector_classes")
-    sample = classes.select("v").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toPandas()
-    total = classes.count()
-    index = spark.sparkContext.broadcast(Index(unit_rows(sample["v"]), int(min(MOST_LISTS, max(1, total**0.5)))))
+    sample = classes.where(F.size("v") == size["n"]).select("v").orderBy("h", "g").limit(SAMPLE).toPandas()
+    index = spark.sparkContext.broadcast(Index(unit_rows(sample["v"]), classes.count()))
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i in range(0, len(frame), 1024):
-                part = frame.iloc[i : i + 1024]
-                own, codes, missed, probes = index.value.encode(unit_rows(part["v"]))
-                yield pd.DataFrame({"cid": part["cid"], "w": part["w"], "v": part["v"], "list": own, "codes": [c.tobytes() for c in codes], "missed": missed, "probes": probes})
-
-    coded = scratch(classes.mapInPandas(encoded, "cid bigint, w bigint, v array<double>, list int, codes binary, missed double, probes array<int>"), "coded")
-    probing = coded.select("cid", F.explode("probes").alias("list"))
-    # one row for each list, and there are at most MOST_LISTS
-    blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    blocks = F.broadcast(scratch(blocks.join(probing.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_queries")), "list"), "blocks"))
+            for _, same in frame.groupby(frame["v"].map(len)):
+                for i in range(0, len(same), 512):
+                    part = same.iloc[i : i + 512]
+                    own, codes, missed, probes = index.value.encode(unit_rows(part["v"]), half)
+                    group = index.value.group
+                    yield pd.DataFrame({"cid": part["cid"], "w": part["w"], "v": part["v"], "size": part["v"].map(len), "list": own, "grp": group[own], "codes": [c.tobytes() for c in codes], "missed": missed, "probes": probes, "groups": [np.unique(group[p]).tolist() for p in probes]})
+
+    kinds = "cid bigint, w bigint, v array<double>, size int, list int, grp int, codes binary, missed double, probes array<int>, groups array<int>"
+    coded = scratch(classes.select("cid", "w", "v").mapInPandas(encoded, kinds), "coded")
+    # one row for each length and group, of which there are at most MOST_LISTS of a length
+    cells = coded.groupBy("size", "grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    asked = coded.select("size", F.explode("groups").alias("grp")).groupBy("size", "grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("n_queries"))
+    blocks = scratch(cells.join(asked, ["size", "grp"]), "blocks")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     floats = F.col("v").cast("array<float>") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("v")
-    entries = coded.join(blocks, "list").select("list", dealt("n_blocks").alias("b"), each("n_queries").alias("q"), "cid", "w", floats.alias("v"), "codes", "missed")
-    queries = coded.select("cid", floats.alias("v"), F.explode("probes").alias("list")).join(blocks, "list")
-    queries = queries.select(F.col("list").alias("ql"), each("n_blocks").alias("qb"), dealt("n_queries").alias("qq"), F.col("cid").alias("qid"), F.col("v").alias("qv"))
-    met = queries.groupBy("ql", "qb", "qq").cogroup(entries.groupBy("list", "b", "q")).applyInPandas(_meet(index, least), "id bigint, other bigint, links bigint")
+    entries = coded.join(blocks, ["size", "grp"]).select("size", "grp", dealt("n_blocks").alias("b"), each("n_queries").alias("q"), "cid", "w", floats.alias("v"), "list", "codes", "missed", "probes")
+    queries = coded.select("size", "cid", "w", "list", "probes", floats.alias("v"), F.explode("groups").alias("grp")).join(blocks, ["size", "grp"])
+    queries = queries.select(F.col("size").alias("qs"), F.col("grp").alias("qg"), each("n_blocks").alias("qb"), dealt("n_queries").alias("qq"), F.col("cid").alias("qid"), F.col("w").alias("qw"), F.col("v").alias("qv"), F.col("list").alias("home"), F.col("probes").alias("qprobes"))
+    met = queries.groupBy("qs", "qg", "qb", "qq").cogroup(entries.groupBy("size", "grp", "b", "q")).applyInPandas(_meet(index, least), "id bigint, other bigint, links bigint")
     met = scratch(met, "met")
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(met.where("id <> other"), "id", "other")
-    found = classes.select("v", "cid", "w").join(links.withColumnRenamed("id", "cid"), "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    found = found.select(F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "cid").alias("component"))
-    rows = rows.withColumn("v", F.when(F.col("h").isNotNull(), F.col("v")))
-    named = rows.join(found, F.col("v") == F.col("cv"), "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    found = classes.select("h", "g", "cid", "w").join(links.withColumnRenamed("id", "cid"), "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    found = found.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "cid").alias("component"))
+    named = rows.select("vec_id", "h", "g").join(found, ["h", "g"], "left").select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return named.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
