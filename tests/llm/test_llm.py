@@ -217,6 +217,40 @@ def test_warc_reader_refuses_damage():
     assert list(warc.members(io.BytesIO(warc.gzip_member(b"a") + warc.gzip_member(b"b")), 3)) == [b"a", b"b"]
 
 
+def test_warc_revisits_are_verified(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", 2), (2, "u", "<p>x</p>", None)], "page_id bigint, url string, html string, refers_to bigint")
+    good = warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/a"))
+    assert warc.verified(good).count() == 2
+    tampered = warc.record(1, "u", b"<p>y</p>", 2)
+    assert warc.parse(tampered).kind == "revisit"  # alone, it looks right
+    with open(f"{tmp_path}/t.warc.gz", "wb") as f:
+        f.write(warc.gzip_member(tampered) + warc.gzip_member(warc.record(2, "u", b"<p>x</p>", None)))
+    bad = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/t.warc.gz", 2)], "archive string, n_records bigint"))
+    with pytest.raises(Exception, match="the revisit 1 isn't"):
+        warc.verified(bad).collect()
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_warc_by_both_joins_and_of_bytes_that_are_no_text(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", most)
+    rows = spark.createDataFrame([(1, b"u\xff", b"\xff\xfe"), (2, b"u", b"\xff\xfe"), (3, b"u", b"ok")], "page_id bigint, url binary, html binary")
+    got = {r["page_id"]: r for r in warc.archive_round_trip(rows.selectExpr("page_id", "cast(url as string) url", "cast(html as string) html")).collect()}
+    digest = base64.b32encode(hashlib.sha1(b"\xff\xfe").digest()).decode()
+    assert [(got[i]["payload_digest"] == digest, got[i]["payload_bytes"], got[i]["refers_to"]) for i in (1, 2, 3)] == [(True, 2, 2), (True, 2, None), (False, 2, None)]
+    assert got[1]["url"] == "u\ufffd"
+
+
+def test_written_shards(spark, tmp_path):
+    docs = odd_docs(spark, [(1, "x" * 30)] * 3 + [(1, "y" * 300), (2, "z"), (None, None)]).withColumn("shard", F.lit("own"))
+    for limit, name in ((64, "many"), (10_000, "one")):
+        names = sharding.write_shards(docs, limit, f"{tmp_path}/{name}")
+        back = spark.read.parquet(f"{tmp_path}/{name}")
+        assert names == ("_shard", "page") and set(back.columns) == {*docs.columns, *names} and back.where("_shard is null").count() == 0
+        assert Counter(map(tuple, back.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+        sizes = back.groupBy(*names).agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+        assert all(r["n"] == 1 or r["b"] <= limit for r in sizes)
+
+
 def test_shards(spark):
     rows = [(i, "x" * (i % 50)) for i in range(500)] + [(9999, "y" * 5000)] + [(7777, "z" * 30)] * 40 + [(None, None)]
     got = sharding.assign_shards(odd_docs(spark, rows), 400).collect()

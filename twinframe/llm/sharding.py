@@ -54,27 +54,19 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    parts = scratch(rows.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "overflow")
+    parts = scratch(rows.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "overflow")
     small = F.when(2 * F.col("n_bytes") <= limit, F.col("n_bytes")).otherwise(0)
     totals = parts.groupBy("shard", "part").agg(F.sum(small).alias("b"), F.count("*").alias("k"))
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("shard", "part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"))
-    inside = W.partitionBy("shard", "part").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("shard", "part").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     placed = parts.join(totals, ["shard", "part"]).withColumn("b", F.col("b0") + F.coalesce(F.sum(small).over(inside), F.lit(0))).withColumn("k", F.col("k0") + F.coalesce(F.count("*").over(inside), F.lit(0)))
     half = max(1, limit // 2)
-    return placed.withColumn("page", F.when(2 * F.col("n_bytes") <= limit, F.floor(F.col("b") / half)).otherwise(-1 - F.col("k"))).drop("part", "row", "b0", "k0", "b", "k")
+    return placed.withColumn("page", F.when(2 * F.col("n_bytes") <= limit, F.floor(F.col("b") / half)).otherwise(-1 - F.col("k"))).drop("part", "place", "b0", "k0", "b", "k")
 
 
-def assign_shards(docs: DataFrame, limit: int) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, shard (the prefix, as bits), depth, shard_bytes, page.
-
-    n_bytes is the UTF-8 length of the text (null: 0). Every shard has at most limit bytes, but for a single
-    larger document. page is 0, except where rows of one doc_id alone exceed the limit: such a shard is divided
-    into pages that fit. A null doc_id hashes as empty text; an empty table gives no rows; other columns are not
-    read.
-    """
-    rows = scratch(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), key_hash(F.col("doc_id")).alias("hash")), "sizes")
-    directory = shard_directory(rows.select("hash", "n_bytes"), limit)
+def _placed(rows: DataFrame, directory: DataFrame, limit: int) -> DataFrame:
+    """rows (row, n_bytes, hash) -> row, n_bytes, shard, depth, shard_bytes, page; one row for each."""
     widths = [r["bits"] for r in directory.select("bits").distinct().collect()]  # at most BITS / STEP
     found = None
     for bits in widths:
@@ -83,15 +75,45 @@ def assign_shards(docs: DataFrame, limit: int) -> DataFrame:
     if found is None:
         found = rows.join(directory, rows.hash == directory.fine)
     bits_of = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("shard").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
-    found = found.select("doc_id", "n_bytes", bits_of.alias("shard"), "depth", "shard_bytes", F.lit(0).cast("bigint").alias("page"), "shard_rows")
+    found = found.select("row", "n_bytes", bits_of.alias("shard"), "depth", "shard_bytes", F.lit(0).cast("bigint").alias("page"), "shard_rows")
     over = (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
     if not is_empty(directory.where(over)):
-        found = found.where(~over).unionByName(_pages(found.where(over).drop("page"), limit))
-    return found.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", F.col("page").cast("bigint").alias("page"))
+        found = found.where(~over).unionByName(_pages(found.where(over).drop("page"), limit).withColumn("page", F.col("page").cast("bigint")))
+    return found.drop("shard_rows")
+
+
+def _with_hash(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as row, a struct of the columns, beside n_bytes and hash."""
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    return docs.select(row.alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), key_hash(F.col("doc_id")).alias("hash"))
+
 
+def assign_shards(docs: DataFrame, limit: int) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, shard (the prefix, as bits), depth, shard_bytes, page.
 
-def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """The rows of docs as Parquet under path, one folder for each shard and page; texts are shuffled once."""
-    ids = assign_shards(docs, limit).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("page").alias("_page")).distinct()
-    placed = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    placed.repartition("_shard", "_page").write.partitionBy("_shard", "_page").parquet(path)
+    n_bytes is the UTF-8 length of the text (null: 0). Every shard has at most limit bytes, but for a single
+    larger document. page is 0, except where rows of one doc_id alone exceed the limit: such a shard is divided
+    into pages that fit. A null doc_id hashes as empty text; an empty table gives no rows; other columns are not
+    read.
+    """
+    rows = scratch(_with_hash(docs, "doc_id"), "sizes")
+    placed = _placed(rows, shard_directory(rows.select("hash", "n_bytes"), limit), limit)
+    return placed.select("row.doc_id", "n_bytes", "shard", "depth", "shard_bytes", "page")
+
+
+def write_shards(docs: DataFrame, limit: int, path: str) -> tuple[str, str]:
+    """The rows of docs, all columns, as Parquet under path, one folder for each shard and page; the two names of the folders' columns.
+
+    Each row is placed by itself, by the hash of its doc_id, so rows of one doc_id stay as many as they are. The
+    folders are named by shard, an s and the bits, and page; where docs has such columns, by these names with more
+    underscores. An empty table writes no folders.
+    """
+    names = ["shard", "page"]
+    for i in range(2):
+        while names[i] in docs.columns:
+            names[i] = f"_{names[i]}"
+    sizes = scratch(_with_hash(docs, "doc_id").select("hash", "n_bytes"), "sizes")
+    placed = _placed(_with_hash(docs, *docs.columns), shard_directory(sizes, limit), limit)
+    placed = placed.select("row.*", F.concat(F.lit("s"), "shard").alias(names[0]), F.col("page").alias(names[1]))
+    placed.repartition(*names).write.partitionBy(*names).parquet(path)
+    return names[0], names[1]
