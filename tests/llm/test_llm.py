@@ -306,6 +306,42 @@ def test_extraction_keeps_paragraphs_in_divs():
     assert extract.main_text(f"<h1><a href=/>Title</a></h1><div><p>{long}</p></div>{menu}<p>{long}</p>").startswith(f"Title {long}Item 0")
 
 
+def test_extraction_keeps_what_only_looks_marked():
+    long = "word " * 30
+    for page in (
+        f'<div class="content with-sidebar"><article><p>{long}</p><p>End.</p></article></div>',
+        f'<article><div class="page-header"><h2>{long}</h2></div><p>End.</p></article>',
+        f'<article><section class="social-history"><p>{long}</p></section><p>End.</p></article>',
+        f"<p><a href=it's>word</a> {long[5:]}</p><p>End.</p>",
+        f'<p data-id="ad">{long}</p><p title="a > b" class=x>End.</p>',
+        f"<article><p>{long}</p><p class='ad-free'>End.</p><div class='top-ad-box'>Buy</div><div id=user_comments>Nice</div><div class='x siteHeader site-header'>Y</div></article>",
+    ):
+        assert extract.main_text(page) == long + "End.", page
+
+
+def brute_between(lines, surge):
+    """The same by its definition: sums of every three lines that stand together, each looked at by itself."""
+    n = len(lines)
+    first = lambda i: next(j + 1 for j in range(i, -2, -1) if j < 0 or not lines[j])
+    last = lambda i: next(j for j in range(i, n + 1) if j == n or not lines[j])
+    kept = set()
+    for i in range(n):
+        for width in (1, 2, 3):
+            if i + width <= n and all(lines[i : i + width]) and sum(map(len, lines[i : i + width])) >= surge:
+                kept |= set(range(first(i), last(i)))
+    if not kept:
+        spans = sorted({(first(i), last(i)) for i in range(n) if lines[i]}, key=lambda s: (-sum(map(len, lines[s[0] : s[1]])), s))
+        kept = set(range(*spans[0])) if spans else set()
+    return [lines[i] for i in sorted(kept)]
+
+
+def test_line_blocks_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(500):
+        lines = [rng.choice(["", "", "x" * rng.randint(1, 50), "y" * rng.randint(1, 30), "z" * rng.randint(1, 90)]) for _ in range(rng.randint(0, 25))]
+        assert extract.between_surge_and_dive([extract.Line(x, False, False) for x in lines]) == brute_between(lines, extract.SURGE)
+
+
 def test_extraction_takes_articles_as_hints():
     long = "word " * 40
     cards = "<article><h3>Teaser</h3></article>" * 2

@@ -23,8 +23,9 @@ WINDOW, SURGE = 3, 80
 #: Text in <article> or <main> weighs so many times as much: it surges earlier, and decides unless other text is far longer.
 HINT = 4
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|title|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?)/?>|<[!?/][^>]*>")
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A tag by HTML's rules: a value begins behind its equals sign, in quotes or up to the next blank.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)(?![^\s/>])((?>[^>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?|[\"'])*)>|<[!?/][^>]*>")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLANK = re.compile(r"\s+")
 #: Elements that end a line of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -40,12 +41,20 @@ ENDED_BY = {
     "head": BLOCKS - {"head", "html"},
 }
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class, id or role that mark such text in an element of any kind.
-_MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: A class, id or role marks such text in an element of any kind if it is made of these words alone ...
+MARKS = frozenset("ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: ... and of these, which say nothing by themselves.
+FILLERS = frozenset("area articles bar block bottom box button buttons container desktop form global icons inner item items left link links list mobile panel posts reader right row signup site slot sticky thread top unit user wrap wrapper".split())
+_PARTS = re.compile(r"[^a-z]+")
+
+
+def _is_mark(name: str) -> bool:
+    words = set(filter(None, _PARTS.split(name.lower())))
+    return not words.isdisjoint(MARKS) and words <= MARKS | FILLERS
 
 
 def _is_marked(attributes: str) -> bool:
-    return any(_MARKED.search(" ".join(filter(None, m.groups()))) for m in _NAMES.finditer(attributes)) if attributes else False
+    return any(_is_mark(name) for m in _NAMES.finditer(attributes) for name in "".join(filter(None, m.groups())).split()) if attributes else False
 
 
 def _is_boilerplate(name: str, attributes: str) -> bool:
