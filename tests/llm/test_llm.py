@@ -100,7 +100,6 @@ def test_quality_counts(spark):
 
 
 def test_quality_thresholds(spark):
-    """Against the same rules over exact quantiles of the sketch's buckets."""
     rng = random.Random(1)
     rows = []
     for i in range(400):
@@ -117,6 +116,43 @@ def test_quality_thresholds(spark):
     assert [r[0] for r in df.select(quality.bucket("value")).collect()] == [floor(v) for v in values]
 
 
+def test_quality_limits_against_exact_quantiles(spark):
+    """The limits of every language and source, from sorted values instead of sketches."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        lang, source = rng.choice(["en", "de", None]), f"s{rng.choice([0, 0, 0, 1, 1, 2])}"
+        words = prose(rng, rng.randint(10, 120)).split()
+        marks = rng.choice([0, 0, 1, 4]) if source == "s1" else rng.choice([0, 0, 0, 1])
+        rows.append((i, " ".join(w + rng.choice(["#", "!", "|"]) * (rng.random() < 0.05 * marks) + "\n" * (rng.random() < 0.1) for w in words), lang, source, 0, "", "", 0, ""))
+    docs = spark.createDataFrame(rows, DOCS)
+    counts = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    values = defaultdict(list)
+    for i, _, lang, source, *_ in rows:
+        r = counts[i]
+        if not r["base_failed"]:
+            for m, (c, k) in quality.METRICS.items():
+                values[lang, source, m].append(k * r[c] // r["n_words"])
+            values[lang, source, "words"].append(r["n_words"])
+    floor = lambda v: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0)
+    exact = lambda x: [floor(sorted(x)[max(0, -(-p * len(x) // 100) - 1)]) for p in quality.QUANTILES]
+    mix = lambda own, n, wide: [(n * n * a + quality.SHRINK**2 * b) // (n * n + quality.SHRINK**2) for a, b in zip(own, wide, strict=True)]
+    limits = {(r["lang"], r["source"]): r for r in quality.thresholds(spark.createDataFrame([(r["doc_id"], *(r[c] for c in quality.COUNTS), rows[i][2], rows[i][3]) for i, r in counts.items()], "doc_id bigint, " + ", ".join(f"{c} bigint" for c in quality.COUNTS) + ", lang string, source string")).collect()}
+    assert len(limits) == len({k[:2] for k in values}) == 9
+    for (lang, source), got in limits.items():
+        q = {}
+        for m in (*quality.METRICS, "words"):
+            of_lang = [v for k, x in values.items() if k[0] == lang and k[2] == m for v in x]
+            of_all = [v for k, x in values.items() if k[2] == m for v in x]
+            wide = exact(of_lang) if m in ("length", "words") else mix(exact(of_lang), len(of_lang), exact(of_all))
+            q[m] = mix(exact(values[lang, source, m]), len(values[lang, source, m]), wide)
+        one = lambda m: 8 * (q["length"][2] if m == "length" else 1000) // q["words"][0]  # noqa: E731, B023
+        for m in quality.METRICS:
+            assert got[f"{m}_max"] == q[m][3] + q[m][3] // 64 + 8 * (q[m][3] - q[m][2]) + one(m)
+        assert got["length_min"] == q["length"][1] - 8 * (q["length"][2] - q["length"][1]) - one("length")
+    assert len({got["symbols_max"] for got in limits.values()}) > 4
+
+
 def test_quality_limits_follow_the_groups(spark):
     """The same texts are junk where no others have symbols, and as good as any where all have some."""
     rng = random.Random(4)

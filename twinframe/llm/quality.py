@@ -1,8 +1,8 @@
 """Quality rules whose thresholds come from the data: quantile sketches per language and source.
 
 The sketch is a histogram with logarithmic buckets, each less than one part in 64 wide; sketches merge by adding
-counts, so that they are built by partial sums on every task and a group of few documents can take the merged
-sketch of its language.
+counts, so that they are built by partial sums on every task. A group's quantiles are drawn towards those of its
+language's merged sketch, and these towards those of all documents, the more so the fewer documents stand behind them.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ METRICS = {"symbols": ("n_symbols", 1000), "marks": ("n_marks", 1000), "dup_line
 #: A limit is so many spreads beyond the quartile.
 SPREADS = 8
 QUANTILES = (10, 25, 50, 75)
-#: Fewer documents than these take the sketch of their language.
-LEAST_ROWS = 40
+#: A group of so many documents has the mean of its own quantiles and the wider group's; the weights are squares.
+SHRINK = 12
 #: More groups than these are joined by a shuffle, fewer by a broadcast.
 MOST_BROADCAST = 20_000
 
@@ -103,6 +103,12 @@ def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
     return running.groupBy(*by, "metric").agg(F.max("total").alias("total"), *(at(p).alias(f"q{p}") for p in QUANTILES))
 
 
+def shrunk(own: str, wide: str) -> Column:
+    """The mean of two quantiles, own with the weight of the square of total, wide with that of SHRINK's."""
+    n = F.col("total").cast("double") * F.col("total")
+    return F.floor((n * F.col(own) + SHRINK**2 * F.col(wide)) / (n + SHRINK**2)).cast("bigint")
+
+
 def thresholds(rows: DataFrame) -> DataFrame:
     """lang, source and a column <metric>_max for each metric, and length_min.
 
@@ -110,16 +116,16 @@ def thresholds(rows: DataFrame) -> DataFrame:
     less than a quarter of a group doesn't move. To each spread comes what one more occurrence, or one more word's
     length, makes in a text of the group's tenth-lowest number of words: where most texts have none, short ones with
     a few are not junk; and to the limit, one bucket of the sketch. The least length mirrors this below the median.
-    A language with fewer than LEAST_ROWS documents takes all languages' sketch, but not for lengths.
+    Quantiles are shrunk() towards the language's and these, but for the lengths of words and texts, towards all documents'.
     """
     sketch = scratch(sketches(rows), "sketch")
-    own, wide = quantiles(sketch, "lang", "source"), quantiles(merged(sketch, "lang"), "lang")
+    own, wide, all_ = quantiles(sketch, "lang", "source"), quantiles(merged(sketch, "lang"), "lang"), quantiles(merged(sketch))
     named = lambda df, c, *also: df.select(*also, F.col("metric").alias(f"{c}_metric"), F.col("total").alias(f"{c}_total"), *(F.col(f"q{p}").alias(f"{c}{p}") for p in QUANTILES))
-    wide, all_ = named(wide, "w", F.col("lang").alias("l")), named(quantiles(merged(sketch)), "a")
-    few = F.col("total") < LEAST_ROWS
-    rare = few & (F.col("w_total") < LEAST_ROWS) & ~F.col("metric").isin("length", "words")
-    both = own.join(wide, own.lang.eqNullSafe(wide.l) & (own.metric == wide.w_metric)).join(F.broadcast(all_), F.col("metric") == F.col("a_metric"))
-    both = both.select("lang", "source", "metric", *(F.when(rare, F.col(f"a{p}")).when(few, F.col(f"w{p}")).otherwise(F.col(f"q{p}")).alias(f"q{p}") for p in QUANTILES))
+    wide = wide.join(F.broadcast(named(all_, "a")), F.col("metric") == F.col("a_metric"))  # one row for each metric
+    like_all = ~F.col("metric").isin("length", "words")
+    wide = named(wide.select("lang", "metric", "total", *(F.when(like_all, shrunk(f"q{p}", f"a{p}")).otherwise(F.col(f"q{p}")).alias(f"q{p}") for p in QUANTILES)), "w", F.col("lang").alias("l"))
+    both = own.join(wide, own.lang.eqNullSafe(wide.l) & (own.metric == wide.w_metric))
+    both = both.select("lang", "source", "metric", *(shrunk(f"q{p}", f"w{p}").alias(f"q{p}") for p in QUANTILES))
     of = lambda m: F.max(F.when(F.col("metric") == m, F.struct(*(f"q{p}" for p in QUANTILES)))).alias(m)
     each = both.groupBy("lang", "source").agg(*(of(m) for m in (*METRICS, "words")))
     one = lambda m: f"{SPREADS} * {'length.q50' if m == 'length' else METRICS[m][1]} div words.q10"
