@@ -28,7 +28,7 @@ SUBSPACES, CODES = 8, 256
 #: A list has about LIST_ROWS vectors, as long as there are not more than MOST_LISTS lists.
 LIST_ROWS, MOST_LISTS = 256, 4096
 #: Neighbouring lists form groups; about so many vectors of a group, and so many of its queries, meet in one task.
-BLOCK, QUERIES = 4096, 16_384
+BLOCK, QUERIES = 8192, 16_384
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,9 +94,14 @@ class Index:
         to_border[rows, own] = 0
         return own, codes.astype(np.uint8), np.sqrt(missed), [np.flatnonzero(r <= margin).tolist() for r in to_border]
 
-    def tables(self, q: np.ndarray, at: int) -> list[np.ndarray]:
-        """Squared distance of each query's residual to each code, for each subspace."""
-        return [nearest(p, b)[0] for p, b in zip(self.split(self.fitted(q) - self.centres[at]), self.books, strict=True)]
+    def offsets(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What of the squared distance of a query to each vector's code depends on the vector alone."""
+        centres = self.split(self.centres[lists])
+        return sum(((b[c] + 2 * part) * b[c]).sum(1) for b, c, part in zip(self.books, codes.T, centres, strict=True)).astype(np.float32)
+
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each subspace, a row for each code with what it takes from the squared distance to each query."""
+        return [(2 * b @ part.T).astype(np.float32) for part, b in zip(self.split(self.fitted(q)), self.books, strict=True)]
 
 
 def _forest(r: np.ndarray, c: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
@@ -127,31 +132,41 @@ def _meet(index, least: float):
         x, ids, weight, lists = unit_rows(entries["v"]), entries["cid"].to_numpy(), entries["w"].to_numpy(), entries["list"].to_numpy()
         q, qids, qweight, home = unit_rows(queries["qv"]), queries["qid"].to_numpy(), queries["qw"].to_numpy(), queries["home"].to_numpy()
         codes = np.array([np.frombuffer(c, np.uint8) for c in entries["codes"]])
-        allowed = (reach + entries["missed"].to_numpy() + 1e-9) ** 2
+        allowed = ((reach + entries["missed"].to_numpy()) ** 2 + 1e-4).astype(np.float32)  # beyond the rounding of single precision
         reached = np.zeros((len(x), len(fitted.centres)), bool)
         reached[np.repeat(np.arange(len(x)), entries["probes"].map(len)), np.concatenate(entries["probes"].to_list())] = True
-        at, wanted = np.repeat(np.arange(len(q)), queries["qprobes"].map(len)), np.concatenate(queries["qprobes"].to_list())
+        places, where = np.unique(lists, return_inverse=True)
+        asks = np.zeros((len(q), len(fitted.centres)), bool)
+        asks[np.repeat(np.arange(len(q)), queries["qprobes"].map(len)), np.concatenate(queries["qprobes"].to_list())] = True
+        asks = asks[:, places]
+        offsets = fitted.offsets(lists, codes)
         found, other = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
-        for place in np.unique(lists):
-            columns, asking = np.flatnonzero(lists == place), at[wanted == place]
-            for i in range(0, len(asking), 512):
-                rows = asking[i : i + 512]
-                near = np.zeros((len(rows), len(columns)))
-                for t, code in zip(fitted.tables(q[rows], place), codes[columns].T, strict=True):
-                    near += t[:, code]
-                near = near <= allowed[columns][None]
-                far = home[rows] != place
-                near &= ~far[:, None] | (place < home[rows])[:, None] | ~reached[np.ix_(columns, home[rows])].T
-                r, c = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        order = np.argsort(home, kind="stable")
+        for i in range(0, len(q), 1024):
+            part = order[i : i + 1024]
+            tables = fitted.tables(q[part])
+            to_centre = nearest(fitted.fitted(q[part]), fitted.centres[places])[0].astype(np.float32)
+            for k, place in enumerate(places):
+                columns, asking = np.flatnonzero(where == k), np.flatnonzero(asks[part, k])
+                if not len(asking):
+                    continue
+                rows = part[asking]
+                near = offsets[columns][:, None] + to_centre[asking, k][None]
+                for t, code in zip(tables, codes[columns].T, strict=True):
+                    near -= t[:, asking][code]
+                near = near <= allowed[columns][:, None]
+                r, c = rows[near.any(0)], columns[near.any(1)]
                 if not len(r):
                     continue
-                linked = near[np.ix_(r, c)] & (q[rows[r]] @ x[columns[c]].T >= least)
-                linked &= qids[rows[r]][:, None] != ids[columns[c]][None]
-                found[rows[r]] += linked @ weight[columns[c]]
-                other[columns[c]] += (linked & far[r][:, None]).T @ qweight[rows[r]]
+                linked = near[np.ix_(near.any(1), near.any(0))].T & (q[r] @ x[c].T >= least)
+                far = home[r] != place
+                linked &= ~far[:, None] | (place < home[r])[:, None] | ~reached[np.ix_(c, home[r])].T
+                linked &= qids[r][:, None] != ids[c][None]
+                found[r] += linked @ weight[c]
+                other[c] += (linked & far[:, None]).T @ qweight[r]
                 a, b = np.nonzero(linked)
-                edges.append((rows[r[a]], columns[c[b]]))
+                edges.append((r[a], c[b]))
         count = lambda i, n: pd.DataFrame({"id": i, "other": i, "links": n})[n > 0]
         forest = _forest(*(np.concatenate(e) for e in zip(*edges, strict=True)), qids, ids) if edges else []
         parts = [count(qids, found), count(ids, other), pd.DataFrame({"id": [a for a, _ in forest], "other": [b for _, b in forest], "links": 0})]
