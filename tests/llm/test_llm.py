@@ -78,6 +78,58 @@ def test_genetic_search_never_worsens():
     assert sorted(i for b in child for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 2048 for b in child)
 
 
+def triples(n, rng):
+    """Lengths that n bins of 2048 can hold without a gap, three to each."""
+    lengths = []
+    for _ in range(n):
+        a = rng.randint(500, 900)
+        b = rng.randint(500, min(900, 1848 - a))
+        lengths += [a, b, 2048 - a - b]
+    rng.shuffle(lengths)
+    return lengths
+
+
+def test_genetic_search_gains_on_exact_triples():
+    for seed in range(3):
+        lengths = triples(100, random.Random(seed))
+        best_fit = packing.evolve([], lengths, 2048, 1, 0)[0]
+        found = packing.evolve([], lengths, 2048, 1, 100)[0]
+        assert len(best_fit) >= 106 and len(found) <= 102
+        assert sorted(i for b in found for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 2048 for b in found)
+
+
+def test_packing_of_exact_triples(spark):
+    rows = [(i, n) for i, n in enumerate(triples(60, random.Random(9)))]
+    placed = packing._pack_blocks(spark.createDataFrame(rows, "uid bigint, length bigint"), 2048, 4096, 2, 3, 60, 0).collect()
+    assert sorted((r["uid"], r["length"]) for r in placed) == rows and len({r["bin"] for r in placed}) <= 62
+
+
+def test_fewest_bins_is_a_bound():
+    def optimum(lengths, size):
+        best = len(lengths)
+
+        def put(i, loads):
+            nonlocal best
+            if len(loads) >= best:
+                return
+            if i == len(lengths):
+                best = len(loads)
+                return
+            for b in range(len(loads)):
+                if loads[b] + lengths[i] <= size:
+                    put(i + 1, [*loads[:b], loads[b] + lengths[i], *loads[b + 1 :]])
+            put(i + 1, [*loads, lengths[i]])
+
+        put(0, [])
+        return best
+
+    rng = random.Random(5)
+    for _ in range(60):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 7))]
+        assert max(-(-sum(lengths) // 20), sum(2 * x > 20 for x in lengths)) <= packing.fewest(lengths, 20) <= optimum(lengths, 20)
+    assert packing.fewest([11, 11, 10], 20) == 3 and packing.fewest([7, 7, 7, 7], 20) == 2
+
+
 def brute_counts(text):
     words = "".join(c if c not in " \t\n\v\f\r" else " " for c in text).split(" ")
     words = [w for w in words if w]

@@ -1,8 +1,9 @@
 """Packing of documents into fixed-length sequences by a grouping genetic algorithm on islands.
 
 A solution is a set of bins. Crossover injects whole well-filled bins of one parent into the other, drops the
-bins that hold a document twice, and best-fits the documents so displaced; mutation empties the worst bins in
-the same way. Blocks of a bounded number of pieces are packed apart, each by several islands, tasks of their
+bins that hold a document twice, and fits the documents so displaced anew: first they take the places of one or
+two documents that fill a bin less, then the rest is best-fitted. Mutation empties the worst bins in the same
+way. Blocks of a bounded number of pieces are packed apart, each by several islands, tasks of their
 own; between epochs an island's elite moves to the next one. What the blocks leave badly filled is gathered
 and packed again.
 """
@@ -10,6 +11,7 @@ and packed again.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import random
 import zlib
@@ -98,9 +100,45 @@ def best_fit(bins: Bins, loads: list[int], items: list[int], lengths: list[int],
             bisect.insort(free, (size - loads[b], b))
 
 
-def _refit(kept: Bins, displaced: list[int], lengths: list[int], size: int) -> Bins:
+def exchange(bins: Bins, loads: list[int], displaced: list[int], lengths: list[int], size: int, rng: random.Random) -> list[int]:
+    """In each bin in turn, the one or two documents that one or two displaced ones can replace with the most gain in fill; returns who is displaced then."""
+    pool = sorted(displaced, key=lambda i: (lengths[i], i))
+    weights = np.array([lengths[i] for i in pool], np.int64)
+    for b in rng.sample(range(len(bins)), len(bins)):
+        free = size - loads[b]
+        if not free or not pool:
+            continue
+        gain, out, into = 0, (), ()
+        for leaving in [*((i,) for i in bins[b]), *itertools.combinations(bins[b][:12], 2)]:
+            gone = sum(lengths[i] for i in leaving)
+            room = gone + free
+            one = int(np.searchsorted(weights, room, "right")) - 1
+            if one >= 0 and weights[one] - gone > gain:
+                gain, out, into = int(weights[one]) - gone, leaving, (one,)
+            if gain == free:
+                break
+            left = np.arange(one + 1)  # the longest partner of each that still fits, before it in the pool
+            right = np.minimum(np.searchsorted(weights, room - weights[: one + 1], "right") - 1, left - 1)
+            if (both := np.where(right >= 0, weights[: one + 1] + weights[right], 0)).size and (most := int(both.max())) - gone > gain:
+                at = int(both.argmax())
+                gain, out, into = most - gone, leaving, (at, int(right[at]))
+            if gain == free:
+                break
+        if gain:
+            coming = [pool[i] for i in into]
+            bins[b] = [i for i in bins[b] if i not in out] + coming
+            loads[b] += gain
+            pool = sorted([i for i in pool if i not in coming] + list(out), key=lambda i: (lengths[i], i))
+            weights = np.array([lengths[i] for i in pool], np.int64)
+    return pool
+
+
+def _refit(kept: Bins, displaced: list[int], lengths: list[int], size: int, rng: random.Random | None = None) -> Bins:
     bins = [list(b) for b in kept]
-    best_fit(bins, [sum(lengths[i] for i in b) for b in bins], displaced, lengths, size)
+    loads = [sum(lengths[i] for i in b) for b in bins]
+    if rng is not None:
+        displaced = exchange(bins, loads, displaced, lengths, size, rng)
+    best_fit(bins, loads, displaced, lengths, size)
     return bins
 
 
@@ -121,7 +159,7 @@ def crossover(one: Bins, two: Bins, lengths: list[int], size: int, rng: random.R
             whole.append(b)
         else:
             displaced += [i for i in b if i not in taken]
-    return _refit(injected + whole, displaced, lengths, size)
+    return _refit(injected + whole, displaced, lengths, size, rng)
 
 
 def mutate(bins: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
@@ -130,12 +168,24 @@ def mutate(bins: Bins, lengths: list[int], size: int, rng: random.Random) -> Bin
     n = max(2, len(bins) // 50)
     rest = ranked[n:]
     gone = ranked[:n] + [rest.pop(rng.randrange(len(rest))) for _ in range(min(n, len(rest)))]
-    return _refit(rest, [i for b in gone for i in b], lengths, size)
+    return _refit(rest, [i for b in gone for i in b], lengths, size, rng)
 
 
 def fewest(lengths: list[int], size: int) -> int:
-    """No packing has fewer bins: by volume, or by the items of which no two share a bin."""
-    return max(-(-sum(lengths) // size), sum(2 * x > size for x in lengths))
+    """No packing has fewer bins.
+
+    Items over half a bin share none with each other, and where they are over size - k, none with an item of k or
+    more; so for each k, the items from k to half a bin need what room those over half leave them, or bins of their own.
+    """
+    x = np.sort(np.array(lengths, np.int64))
+    total = np.concatenate([[0], np.cumsum(x)])
+    half = int(np.searchsorted(x, size // 2, "right"))
+    best = max(-(-int(total[-1]) // size), len(x) - half)
+    for k in np.unique(x[:half]):
+        low, high = int(np.searchsorted(x, k)), int(np.searchsorted(x, size - k, "right"))
+        open_ = (high - half) * size - int(total[high] - total[half])
+        best = max(best, len(x) - half + max(0, -(-(int(total[half] - total[low]) - open_) // size)))
+    return best
 
 
 def evolve(population: list[Bins], lengths: list[int], size: int, seed: int, generations: int, members: int = 4) -> list[Bins]:
@@ -173,11 +223,11 @@ def _epoch(state: DataFrame, size: int, epoch: int, generations: int) -> DataFra
     return state.mapInPandas(run, _STATE)
 
 
-def _pack_blocks(items: DataFrame, size: int, per_block: int, islands: int, epochs: int, generations: int) -> DataFrame:
-    """items (uid, length) -> (uid, length, block, bin, offset, load)."""
+def _pack_blocks(items: DataFrame, size: int, per_block: int, islands: int, epochs: int, generations: int, level: int) -> DataFrame:
+    """items (uid, length) -> (uid, length, block, bin, offset, load); every level deals them to blocks anew."""
     n = items.count()
     blocks = max(1, -(-n // per_block))
-    grouped = items.groupBy(F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("x"))
+    grouped = items.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("x"))
     state = grouped.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.uid").alias("uids"), F.col("x.length").cast("array<int>").alias("lengths"), F.lit(None).cast("array<array<array<int>>>").alias("population"))
     for epoch in range(epochs):
         tasks = max(1, min(blocks * islands, -(-blocks * islands // 4)))
@@ -193,14 +243,14 @@ def _pack_blocks(items: DataFrame, size: int, per_block: int, islands: int, epoc
     return scratch(placed.select("block", "bin", F.col("r.at").alias("load"), F.explode("r.out").alias("o")).select("block", "bin", "load", "o.*"), "placed")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per_block: int = 4096, islands: int = 2, epochs: int = 3, generations: int = 12, most_words: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per_block: int = 4096, islands: int = 2, epochs: int = 3, generations: int = 60, most_words: int = 1_000_000) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A sequence holds at most size tokens, its pieces without gaps from offset 0. Pieces of full size are
     sequences of their own. The others are dealt, by a hash of a row number, to blocks of about per_block;
     islands, epochs and generations bound the search in a block, which ends where it reaches the lower bound.
     Bins that a block leaves with more than one part in 64 free are dissolved, and their pieces go through the
-    same search again in new blocks, until there is one block or no gain.
+    same search again in new blocks, until there is one block or a round saves no bin.
 
     A worker keeps the ids of most_words words at most, about 200 MB for a million; fewer cost time, and change no result.
 
@@ -209,20 +259,18 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per
     """
     pieces = scratch(token_pieces(docs, tokenizer, size, end_id, most_words).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     items = pieces.where(F.col("length") < size).select("uid", "length")
-    done, level = None, 0
+    done, level, before = None, 0, None
     while not is_empty(items):
-        placed = _pack_blocks(items, size, per_block, islands, epochs, generations).withColumn("sequence_id", F.lit(level << 56) + F.col("block") * (1 << 20) + F.col("bin"))
-        loose = placed.where(F.col("load") < size - size // 64)
-        last = level == 6 or placed.agg(F.max("block")).first()[0] == 0
-        own = (placed if last else placed.where(F.col("load") >= size - size // 64)).select("uid", "sequence_id", "offset")
+        placed = _pack_blocks(items, size, per_block, islands, epochs, generations, level).withColumn("sequence_id", F.lit(level << 56) + F.col("block") * (1 << 20) + F.col("bin"))
+        bins = placed.groupBy("sequence_id", "block").agg(F.any_value("load").alias("load"))
+        full = F.col("load") >= size - size // 64
+        n = bins.agg(F.max("block").alias("last"), F.count("*").alias("all"), F.count_if(~full).alias("loose")).first()
+        last = n["last"] == 0 or not n["loose"] or (before is not None and n["all"] >= before)
+        own = (placed if last else placed.where(full)).select("uid", "sequence_id", "offset")
         done = own if done is None else done.union(own)
         if last:
             break
-        fewer = loose.select("uid", "length")
-        if level and fewer.count() > 0.5 * items.count():  # more rounds gain nothing
-            done = done.union(loose.select("uid", "sequence_id", "offset"))
-            break
-        items, level = fewer, level + 1
+        items, level, before = placed.where(~full).select("uid", "length"), level + 1, n["loose"]
     if done is None:
         done = items.select("uid", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     whole = pieces.where(F.col("length") >= size).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))

@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Cache, as_strings, scratch, slices
 
-#: At most about so many positives and unlabelled documents are learnt from, those of the lowest hash.
-MOST_POSITIVE, MOST_UNLABELLED = 6_000, 12_000
-#: Buckets of the hash of word parts, parts that the classifiers use at most, and classifiers.
-BUCKETS, MOST_PARTS, SHARDS = 1 << 20, 8_192, 4
+#: Buckets of the hash of word parts, and classifiers.
+BUCKETS, SHARDS = 1 << 20, 4
 #: A part is used if so many times as large a share of the positives has it, even with one standard deviation
 #: fewer of them, and so large a share of the positives does.
 LEAST_RATIO, LEAST_SHARE = 3.0, 0.005
@@ -77,8 +75,13 @@ def train(frame: pd.DataFrame, n_parts: int, prior: float, steps: int = 150, rat
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] | None:
-    """Weight of each part's bucket, and the bias; None if no positive can be learnt from. If no document is without a label, all learnable ones are the rest."""
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 6_000, most_rest: int = 12_000, most_parts: int = 8_192) -> tuple[dict[int, float], float] | None:
+    """Weight of each part's bucket, and the bias; None if no positive can be learnt from. If no document is without a label, all learnable ones are the rest.
+
+    The prior is counted over all labels. The classifiers are fitted on a sample: about most_positive of the positives
+    and most_rest of the rest, those of the lowest hash, or all of them if there are fewer; and on the most_parts parts
+    that tell the two apart best. Larger bounds cost time in proportion, on SHARDS tasks.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select(F.col("doc_id").alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     ids = scratch(ids.join(known, ids.id == known.doc_id, "left").select("id", "toxic"), "learnable")
@@ -87,15 +90,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] |
         return None
     rest, n_rest = (ids.where("toxic is null"), n["u"]) if n["u"] else (ids, n["known"])
     prior = min(0.95, max(0.001, n["p"] / n["known"]))
-    sample = _share(ids.where("toxic = 1"), n["p"], MOST_POSITIVE).select("id", F.lit(True).alias("positive")).union(_share(rest, n_rest, MOST_UNLABELLED).select("id", F.lit(False).alias("positive")))
-    # the sample is bounded by MOST_POSITIVE and MOST_UNLABELLED, but for the spread of the hash
+    sample = _share(ids.where("toxic = 1"), n["p"], most_positive).select("id", F.lit(True).alias("positive")).union(_share(rest, n_rest, most_rest).select("id", F.lit(False).alias("positive")))
+    # the sample is bounded by most_positive and most_rest, but for the spread of the hash
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
     texts = scratch(texts.select("id", "positive", F.coalesce("text", F.lit("")).alias("text")), "toxic_sample")
 
     def counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, seen = Cache(parts_of, 100_000), np.zeros((2, BUCKETS), np.int64)
         for batch in frames:
-            for text, positive in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist(), strict=True):
+            for text, positive in zip(as_strings(batch.column("text")), batch.column("positive").to_pylist(), strict=True):
                 seen[int(positive), list({p for w in words_of(text) for p in parts[w]})] += 1
             parts.trim()
         bucket = np.flatnonzero(seen[1])
@@ -109,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float] |
         clean = (F.col("u") - prior * F.col("p") / max(1, total["p"]) * total["u"]) / (1 - prior)
         table = table.withColumn("u", F.greatest(F.lit(0.0), clean))
     ratio = ((F.col("p") - F.sqrt("p")) / max(1, total["p"])) / ((F.col("u") + 0.5) / max(1, total["u"]))
-    used = table.where((F.col("p") >= max(2, LEAST_SHARE * total["p"])) & (ratio >= LEAST_RATIO)).orderBy(F.desc(F.col("p") * F.ln(ratio)), "bucket").limit(MOST_PARTS).toPandas()["bucket"].tolist()
+    used = table.where((F.col("p") >= max(2, LEAST_SHARE * total["p"])) & (ratio >= LEAST_RATIO)).orderBy(F.desc(F.col("p") * F.ln(ratio)), "bucket").limit(most_parts).toPandas()["bucket"].tolist()
     place = {b: i for i, b in enumerate(used)}
 
     def shorten(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,18 +153,18 @@ def score_column(model: tuple[dict[int, float], float] | None, spark, column: st
     return score(column)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= 0.5).
+def toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= 0.5). bounds are those of fit().
 
     Null and empty texts get the score of no words. Null doc_ids stay null, are not held out and have no label;
     where a doc_id has several labels, toxic wins; repeated rows are scored each. Without a positive label to
     learn from, all scores are 0. An empty table gives no rows.
     """
-    score = score_column(fit(docs, labels), docs.sparkSession)
+    score = score_column(fit(docs, labels, **bounds), docs.sparkSession)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below 0.5, all columns as they are."""
-    return docs.where(score_column(fit(docs, labels), docs.sparkSession) < 0.5)
+def drop_toxic(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+    """The rows of docs that score below 0.5, all columns as they are; edge cases as in toxicity()."""
+    return docs.where(score_column(fit(docs, labels, **bounds), docs.sparkSession) < 0.5)
