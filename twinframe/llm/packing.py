@@ -208,7 +208,24 @@ def evolve(population: list[Bins], lengths: list[int], size: int, seed: int, gen
     return population
 
 
-_STATE = "block bigint, island int, uids array<bigint>, lengths array<int>, population array<array<array<int>>>, bins int, least int"
+def packed(population: list[Bins], n: int) -> bytes:
+    """A population of solutions over n items: for each solution, the number of each item's bin as a 32-bit integer."""
+    out = np.empty((len(population), n), "<i4")
+    for row, bins in zip(out, population, strict=True):
+        for number, items in enumerate(bins):
+            row[items] = number
+    return out.tobytes()
+
+
+def unpacked(data: bytes | None, n: int) -> list[Bins]:
+    out = []
+    for row in np.frombuffer(data or b"", "<i4").reshape(-1, n):
+        order = np.argsort(row, kind="stable")
+        out.append([x.tolist() for x in np.split(order, np.flatnonzero(np.diff(row[order])) + 1)])
+    return out
+
+
+_STATE = "block bigint, island int, uids array<bigint>, lengths array<int>, population binary, bins int, least int"
 
 
 def _epoch(state: DataFrame, size: int, epoch: int, generations: int) -> DataFrame:
@@ -216,31 +233,40 @@ def _epoch(state: DataFrame, size: int, epoch: int, generations: int) -> DataFra
         for frame in frames:
             for row in frame.itertuples(index=False):
                 lengths = [int(x) for x in row.lengths]
-                immigrants = [[[int(i) for i in b] for b in bins] for bins in row.population] if row.population is not None else []
-                found = evolve(immigrants, lengths, size, (row.block * 31 + row.island) * 31 + epoch, generations)
-                yield pd.DataFrame({"block": [row.block], "island": [row.island], "uids": [row.uids], "lengths": [row.lengths], "population": [found], "bins": [len(found[0])], "least": [fewest(lengths, size)]})
+                found = evolve(unpacked(row.population, len(lengths)), lengths, size, (row.block * 31 + row.island) * 31 + epoch, generations)
+                yield pd.DataFrame({"block": [row.block], "island": [row.island], "uids": [row.uids], "lengths": [row.lengths], "population": [packed(found, len(lengths))], "bins": [len(found[0])], "least": [fewest(lengths, size)]})
 
     return state.mapInPandas(run, _STATE)
 
 
+def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best solution of each row, one row for each item: its bin, where it starts there, and how full that is."""
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            lengths = np.asarray(row.lengths, np.int64)
+            number = np.frombuffer(row.population, "<i4", len(lengths))
+            order = np.argsort(number, kind="stable")
+            load = np.bincount(number, weights=lengths).astype(np.int64)
+            offset = np.cumsum(lengths[order]) - lengths[order] - np.repeat(np.cumsum(load) - load, np.bincount(number))
+            yield pd.DataFrame({"block": row.block, "bin": number[order], "load": load[number[order]], "uid": np.asarray(row.uids)[order], "length": lengths[order], "offset": offset})
+
+
 def _pack_blocks(items: DataFrame, size: int, per_block: int, islands: int, epochs: int, generations: int, level: int) -> DataFrame:
     """items (uid, length) -> (uid, length, block, bin, offset, load); every level deals them to blocks anew."""
     n = items.count()
     blocks = max(1, -(-n // per_block))
     grouped = items.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("x"))
-    state = grouped.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.uid").alias("uids"), F.col("x.length").cast("array<int>").alias("lengths"), F.lit(None).cast("array<array<array<int>>>").alias("population"))
+    state = grouped.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.uid").alias("uids"), F.col("x.length").cast("array<int>").alias("lengths"), F.lit(None).cast("binary").alias("population"))
     for epoch in range(epochs):
         tasks = max(1, min(blocks * islands, -(-blocks * islands // 4)))
         state = scratch(_epoch(state.repartition(tasks, "block", "island"), size, epoch, generations), "islands")
         if epoch == epochs - 1 or is_empty(state.where("bins > least")):
             break
-        elites = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.slice("population", 1, 1).alias("elite"))
+        elites = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.expr("substring(population, 1, 4 * size(lengths))").alias("elite"))
         state = state.join(elites, ["block", "island"]).select("block", "island", "uids", "lengths", F.concat("population", "elite").alias("population"))
     best = state.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("best")).select("block", F.col("best.island").alias("island"))
-    chosen = state.join(best, ["block", "island"]).select("block", "uids", "lengths", F.posexplode(F.col("population")[0]).alias("bin", "members"))
-    running = F.aggregate("members", F.expr("named_struct('at', 0L, 'out', cast(array() as array<struct<uid: bigint, length: bigint, offset: bigint>>))"), lambda s, i: F.struct((s["at"] + F.get("lengths", i)).alias("at"), F.concat(s["out"], F.array(F.struct(F.get("uids", i).alias("uid"), F.get("lengths", i).cast("bigint").alias("length"), s["at"].alias("offset")))).alias("out")))
-    placed = chosen.select("block", "bin", running.alias("r"))
-    return scratch(placed.select("block", "bin", F.col("r.at").alias("load"), F.explode("r.out").alias("o")).select("block", "bin", "load", "o.*"), "placed")
+    chosen = state.join(best, ["block", "island"]).select("block", "uids", "lengths", "population")
+    return scratch(chosen.mapInPandas(_places, "block bigint, bin int, load bigint, uid bigint, length bigint, offset bigint"), "placed")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per_block: int = 4096, islands: int = 2, epochs: int = 3, generations: int = 60, most_words: int = 1_000_000) -> DataFrame:
