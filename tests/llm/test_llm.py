@@ -498,8 +498,10 @@ def brute_components(rows, k, percent):
     return sets, comp
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_against_brute_force(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "large"), [(3, 85, 64), (5, 80, 64), (5, 80, 1)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, k, percent, large):
+    """The last case divides every bucket of several components."""
+    monkeypatch.setattr(minhash, "LARGE", large)
     rng = random.Random(7)
     rows = [(i, prose(rng, rng.randint(20, 120))) for i in range(40)]
     for i in range(40, 130):
@@ -514,6 +516,21 @@ def test_near_duplicates_against_brute_force(spark, k, percent):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (comp[i] == i) for i, r in got.items())
 
 
+def test_near_duplicates_with_a_passage_in_all(spark, monkeypatch):
+    """Documents that have half of their words in common, and near copies of some of them."""
+    monkeypatch.setattr(minhash, "LARGE", 8)
+    rng = random.Random(3)
+    passage = prose(rng, 60)
+    rows = [(i, f"{passage} {prose(rng, 55)}") for i in range(90)]
+    rows += [(100 + i, rows[i][1].replace(rows[i][1].split()[-1], "neu")) for i in range(20)]
+    seen = []
+    fine = minhash._fine_keys
+    monkeypatch.setattr(minhash, "_fine_keys", lambda *a: seen.append(a) or fine(*a))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(odd_docs(spark, rows), 3, 85).collect()}
+    assert seen and got == brute_components(rows, 3, 85)[1] and sum(i != c for i, c in got.items()) == 20
+    assert (1 - 0.85**minhash.FINE_ROWS) ** minhash.fine_bands(85) <= 1e-6 and minhash.fine_bands(100) == 1
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = odd_docs(spark)
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, 3, 85).collect()), key=repr)

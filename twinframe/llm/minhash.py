@@ -11,6 +11,7 @@ the asked similarity go without a look at their texts; the others are confirmed
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from .components import connected_components
 
 BANDS, ROWS, SKETCH_BITS, PARITY_BITS = 25, 4, 512, 1024
 PERMUTATIONS = BANDS * ROWS
+#: Buckets with more components than LARGE are divided: their documents are dealt again, by bands of FINE_ROWS other samples.
+LARGE, FINE_ROWS = 64, 8
 _MASK = (1 << 64) - 1
 _draw = np.random.default_rng(20240607)
 _MUL = _draw.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,20 +55,25 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(_mix(x))
 
 
-def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    low = np.full(PERMUTATIONS, _MASK, np.uint64)
+def min_hashes(hashes: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
+    low = np.full(len(mul), _MASK, np.uint64)
     for i in range(0, len(hashes), 8192):
-        np.minimum(low, (_MUL[:, None] * hashes[None, i : i + 8192] + _ADD[:, None]).min(axis=1), out=low)
+        np.minimum(low, (mul[:, None] * hashes[None, i : i + 8192] + add[:, None]).min(axis=1), out=low)
     return low
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
-    x = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
+def band_keys(low: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    x = np.arange(1, len(low) // rows + 1, dtype=np.uint64)
+    for column in low.reshape(-1, rows).T:
         x = _mix(x) + column
     return _mix(x).view(np.int64)
 
 
+def fine_bands(percent: int) -> int:
+    """So many bands of FINE_ROWS that they miss a pair at the limit with odds of one in a million."""
+    return max(1, math.ceil(math.log(1e-6) / math.log1p(-((percent / 100) ** FINE_ROWS)))) if percent < 100 else 1
+
+
 def odd_sketch(low: np.ndarray) -> np.ndarray:
     flips = np.bincount((_mix(low ^ _SALT) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
@@ -106,6 +114,24 @@ def _signatures(k: int):
     return signature
 
 
+def _fine_keys(k: int, bands: int):
+    """Keys of other bands, for the documents of large buckets."""
+    draw = np.random.default_rng(20240608)
+    mul = draw.integers(0, 2**63, bands * FINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = draw.integers(0, 2**63, bands * FINE_ROWS, dtype=np.uint64)
+
+    @F.arrow_udf("array<bigint>")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for part in slices(texts):
+                out += [band_keys(min_hashes(shingle_set(t, k), mul, add), FINE_ROWS) for t in as_bytes(part)]
+                _words.trim()
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    return keys
+
+
 def _verifier(k: int, percent: int):
     @F.arrow_udf("boolean")
     def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -134,12 +160,26 @@ def _may_link(percent: int) -> Column:
     return sizes & differ & (count("sketch", SKETCH_BITS) <= sketch_limit(percent / 100))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are near enough."""
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """cid and text of the documents in ids (one column)."""
+    return keep_rows(docs.select(F.col("doc_id").alias("cid"), "text"), ids.distinct(), "cid").groupBy("cid").agg(F.first("text").alias("text"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) that the sketches allow, those whose full sets are near enough; only their texts are fetched."""
+    pairs = scratch(pairs, "pairs")
+    texts = scratch(_texts(docs, pairs.select("a").union(pairs.select("b"))), "texts")
     ta, tb = (texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     return scratch(pairs.join(ta, "a").join(tb, "b").where(_verifier(k, percent)("ta", "tb")).select("a", "b"), "links")
 
 
+def _met(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components (key, cid, comp) with a key in common that sizes and sketches allow."""
+    rows = scratch(rows.join(sketches, "cid"), "open")
+    x, y = _side(rows, "a"), _side(rows, "b")
+    return x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") < F.col("comp_b")) & _may_link(percent)).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -148,7 +188,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     equal sets are one class from the start, so copies cost one row each. Of any two texts at the limit, bands
     miss one pair in 10 ** 5 or fewer: (1 - s ** ROWS) ** BANDS is 9e-9 at 0.85 and 2e-6 at 0.8. A first pass
     links each class to the first one it shares a bucket with; then only pairs of a bucket that are not in one
-    component yet are looked at, so a large group of near copies never becomes all its pairs.
+    component yet are looked at, so a large group of near copies never becomes all its pairs. A bucket of more than
+    LARGE components, as of documents that share a long passage, is not compared as such: its documents are dealt
+    again by fine_bands() bands of FINE_ROWS other samples, which miss a pair at the limit with odds of one in a
+    million and keep few of those that have less in common.
 
     Null or empty texts and texts without words have no shingles and link with nothing. Rows of one doc_id are
     one document. A null doc_id links with nothing: component_id null, kept true. An empty table gives no rows;
@@ -162,21 +205,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     dealt = classes.select("cid", F.explode("bands").alias("key"))
     leaders = dealt.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = scratch(dealt.join(leaders, "key").select("key", "cid", "leader"), "buckets")
-    texts = docs.select(F.col("doc_id").alias("cid"), "text")
-    texts = scratch(keep_rows(texts, buckets.select("cid").distinct(), "cid").groupBy("cid").agg(F.first("text").alias("text")), "texts")
-
     first = buckets.where("cid <> leader").groupBy("cid").agg(F.min("leader").alias("b")).select(F.col("cid").alias("a"), "b")
     first = first.join(_side(sketches, "a"), F.col("a") == F.col("cid_a")).join(_side(sketches, "b"), F.col("b") == F.col("cid_b")).where(_may_link(percent)).select("a", "b")
-    links = _confirmed(scratch(first, "first"), texts, k, percent)
+    links = _confirmed(first, docs, k, percent)
     labels = scratch(connected_components(links), "components")
 
     named = buckets.join(labels, buckets.cid == labels.node, "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
     named = scratch(named, "named")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_rows = scratch(named.join(mixed, "key").join(sketches, "cid"), "open")
-    x, y = _side(open_rows, "a"), _side(open_rows, "b")
-    rest = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") < F.col("comp_b")) & _may_link(percent)).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
-    more = _confirmed(scratch(rest, "rest"), texts, k, percent)
+    mixed = scratch(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("comp").alias("n")).where("lo <> hi").select("key", "n"), "mixed")
+    rest = _met(named.join(mixed.where(F.col("n") <= LARGE).select("key"), "key"), sketches, percent)
+    again = named.join(mixed.where(F.col("n") > LARGE).select("key"), "key").select("cid", "comp").distinct()
+    if not is_empty(again):
+        again = scratch(again, "again")
+        fine = _texts(docs, again.select("cid")).select("cid", F.explode(_fine_keys(k, fine_bands(percent))("text")).alias("key"))
+        fine = scratch(fine.join(again, "cid").select("key", "cid", "comp"), "fine")
+        shared = fine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        rest = rest.union(_met(fine.join(shared, "key"), sketches, percent))
+    more = _confirmed(rest.distinct(), docs, k, percent)
     if not is_empty(more):
         labels = scratch(connected_components(more.union(labels.select("node", "component"))), "components")
 
