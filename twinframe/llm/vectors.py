@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +53,9 @@ def k_means(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
-def unit_rows(vectors: pd.Series) -> np.ndarray:
+def unit_rows(vectors: pd.Series | np.ndarray) -> np.ndarray:
     """Vectors of one length, scaled to length 1; the largest component goes first, so that no square overflows."""
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x = np.array([np.asarray(v, np.float64) for v in vectors]) if isinstance(vectors, pd.Series) else vectors.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -92,7 +93,7 @@ class Index:
         rows = np.arange(len(x))
         to_border = (d - d[rows, own][:, None]) / (2 * self.apart[own] + 1e-12)
         to_border[rows, own] = 0
-        return own, codes.astype(np.uint8), np.sqrt(missed), [np.flatnonzero(r <= margin).tolist() for r in to_border]
+        return own, codes, np.sqrt(missed), [np.flatnonzero(r <= margin).tolist() for r in to_border]
 
     def offsets(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """What of the squared distance of a query to each vector's code depends on the vector alone."""
@@ -117,6 +118,24 @@ def _forest(r: np.ndarray, c: np.ndarray, rows: np.ndarray, columns: np.ndarray)
     return [(int(i), int(m)) for i, m in zip(np.r_[rows[used_r], columns[used_c]], np.r_[low_r[used_r], low_c[used_c]], strict=True) if i != m]
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy().reshape(len(flat), -1)
+
+
+def _marked(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """For each list of numbers below n, a row that is true at these."""
+    flat = column.combine_chunks()
+    out = np.zeros((len(flat), n), bool)
+    out[np.repeat(np.arange(len(flat)), flat.value_lengths().to_numpy()), flat.flatten().to_numpy()] = True
+    return out
+
+
+def _counted(rows: list[tuple[int, int, int]]) -> pa.Table:
+    return pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(("id", "other", "links"))})
+
+
 def _meet(index, least: float):
     """Of one block of a group and one block of its queries: links of both sides, and a forest of what they connect.
 
@@ -124,53 +143,42 @@ def _meet(index, least: float):
     """
     reach = np.sqrt(max(0.0, 2 - 2 * least))
 
-    def compare(key, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"id": [], "other": [], "links": []}).astype("int64")
+    def compare(key, queries: pa.Table, entries: pa.Table) -> pa.Table:
         if not len(queries) or not len(entries):
-            return out
+            return _counted([])
         fitted = index.value
-        x, ids, weight, lists = unit_rows(entries["v"]), entries["cid"].to_numpy(), entries["w"].to_numpy(), entries["list"].to_numpy()
-        q, qids, qweight, home = unit_rows(queries["qv"]), queries["qid"].to_numpy(), queries["qw"].to_numpy(), queries["home"].to_numpy()
-        codes = np.array([np.frombuffer(c, np.uint8) for c in entries["codes"]])
-        allowed = ((reach + entries["missed"].to_numpy()) ** 2 + 1e-4).astype(np.float32)  # beyond the rounding of single precision
-        reached = np.zeros((len(x), len(fitted.centres)), bool)
-        reached[np.repeat(np.arange(len(x)), entries["probes"].map(len)), np.concatenate(entries["probes"].to_list())] = True
+        x, q = unit_rows(_rows(entries["v"])), unit_rows(_rows(queries["qv"]))
+        ids, weight, lists, missed = (entries[c].to_numpy() for c in ("cid", "w", "list", "missed"))
+        qids, qweight, home = (queries[c].to_numpy() for c in ("qid", "qw", "home"))
+        codes = _rows(entries["codes"])
+        allowed = ((reach + missed) ** 2 + 1e-4).astype(np.float32)  # beyond the rounding of single precision
+        reached, asks = _marked(entries["probes"], len(fitted.centres)), _marked(queries["qprobes"], len(fitted.centres))
         places, where = np.unique(lists, return_inverse=True)
-        asks = np.zeros((len(q), len(fitted.centres)), bool)
-        asks[np.repeat(np.arange(len(q)), queries["qprobes"].map(len)), np.concatenate(queries["qprobes"].to_list())] = True
         asks = asks[:, places]
         offsets = fitted.offsets(lists, codes)
         found, other = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         order = np.argsort(home, kind="stable")
-        for i in range(0, len(q), 1024):
-            part = order[i : i + 1024]
-            tables = fitted.tables(q[part])
-            to_centre = nearest(fitted.fitted(q[part]), fitted.centres[places])[0].astype(np.float32)
-            for k, place in enumerate(places):
-                columns, asking = np.flatnonzero(where == k), np.flatnonzero(asks[part, k])
-                if not len(asking):
-                    continue
-                rows = part[asking]
-                near = offsets[columns][:, None] + to_centre[asking, k][None]
-                for t, code in zip(tables, codes[columns].T, strict=True):
-                    near -= t[:, asking][code]
-                near = near <= allowed[columns][:, None]
-                r, c = rows[near.any(0)], columns[near.any(1)]
-                if not len(r):
-                    continue
-                linked = near[np.ix_(near.any(1), near.any(0))].T & (q[r] @ x[c].T >= least)
-                far = home[r] != place
-                linked &= ~far[:, None] | (place < home[r])[:, None] | ~reached[np.ix_(c, home[r])].T
-                linked &= qids[r][:, None] != ids[c][None]
-                found[r] += linked @ weight[c]
-                other[c] += (linked & far[:, None]).T @ qweight[r]
-                a, b = np.nonzero(linked)
-                edges.append((r[a], c[b]))
-        count = lambda i, n: pd.DataFrame({"id": i, "other": i, "links": n})[n > 0]
+        for part in (some for same in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) for some in np.array_split(same, -(-len(same) // 256))):
+            own = home[part[0]]  # queries of one list ask for much the same lists
+            columns = np.flatnonzero(asks[part].any(0)[where] & ((lists <= own) | ~reached[:, own]))
+            near = nearest(fitted.fitted(q[part]), fitted.centres[places])[0].T.astype(np.float32)[where[columns]]
+            near += offsets[columns][:, None]
+            for t, code in zip(fitted.tables(q[part]), codes[columns].T, strict=True):
+                near -= t.take(code, axis=0)
+            near = near <= allowed[columns][:, None]
+            r, c = part[near.any(0)], columns[near.any(1)]
+            if not len(r):
+                continue
+            linked = near[np.ix_(near.any(1), near.any(0))].T & (q[r] @ x[c].T >= least) & asks[np.ix_(r, where[c])]
+            linked &= qids[r][:, None] != ids[c][None]
+            found[r] += linked @ weight[c]
+            other[c] += (linked & (lists[c] != own)[None]).T @ qweight[r]
+            a, b = np.nonzero(linked)
+            edges.append((r[a], c[b]))
         forest = _forest(*(np.concatenate(e) for e in zip(*edges, strict=True)), qids, ids) if edges else []
-        parts = [count(qids, found), count(ids, other), pd.DataFrame({"id": [a for a, _ in forest], "other": [b for _, b in forest], "links": 0})]
-        return pd.concat([p.astype("int64") for p in parts])
+        counted = [(i, i, n) for of, k in ((qids, found), (ids, other)) for i, n in zip(of[k > 0].tolist(), k[k > 0].tolist(), strict=True)]
+        return _counted(counted + [(a, b, 0) for a, b in forest])
 
     return compare
 
@@ -215,9 +223,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, margin: float | None =
                     part = same.iloc[i : i + 512]
                     own, codes, missed, probes = index.value.encode(unit_rows(part["v"]), half)
                     group = index.value.group
-                    yield pd.DataFrame({"cid": part["cid"], "w": part["w"], "v": part["v"], "size": part["v"].map(len), "list": own, "grp": group[own], "codes": [c.tobytes() for c in codes], "missed": missed, "probes": probes, "groups": [np.unique(group[p]).tolist() for p in probes]})
+                    yield pd.DataFrame({"cid": part["cid"], "w": part["w"], "v": part["v"], "size": part["v"].map(len), "list": own, "grp": group[own], "codes": codes.tolist(), "missed": missed, "probes": probes, "groups": [np.unique(group[p]).tolist() for p in probes]})
 
-    kinds = "cid bigint, w bigint, v array<double>, size int, list int, grp int, codes binary, missed double, probes array<int>, groups array<int>"
+    kinds = "cid bigint, w bigint, v array<double>, size int, list int, grp int, codes array<smallint>, missed double, probes array<int>, groups array<int>"
     coded = scratch(classes.select("cid", "w", "v").mapInPandas(encoded, kinds), "coded")
     # one row for each length and group, of which there are at most MOST_LISTS of a length
     cells = coded.groupBy("size", "grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
@@ -229,7 +237,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, margin: float | None =
     entries = coded.join(blocks, ["size", "grp"]).select("size", "grp", dealt("n_blocks").alias("b"), each("n_queries").alias("q"), "cid", "w", floats.alias("v"), "list", "codes", "missed", "probes")
     queries = coded.select("size", "cid", "w", "list", "probes", floats.alias("v"), F.explode("groups").alias("grp")).join(blocks, ["size", "grp"])
     queries = queries.select(F.col("size").alias("qs"), F.col("grp").alias("qg"), each("n_blocks").alias("qb"), dealt("n_queries").alias("qq"), F.col("cid").alias("qid"), F.col("w").alias("qw"), F.col("v").alias("qv"), F.col("list").alias("home"), F.col("probes").alias("qprobes"))
-    met = queries.groupBy("qs", "qg", "qb", "qq").cogroup(entries.groupBy("size", "grp", "b", "q")).applyInPandas(_meet(index, least), "id bigint, other bigint, links bigint")
+    met = queries.groupBy("qs", "qg", "qb", "qq").cogroup(entries.groupBy("size", "grp", "b", "q")).applyInArrow(_meet(index, least), "id bigint, other bigint, links bigint")
     met = scratch(met, "met")
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(met.where("id <> other"), "id", "other")
