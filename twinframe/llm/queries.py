@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import oracles
 from .byte_bpe import round_trip
 from .common import table
 from .extract import extract_pages
@@ -62,4 +63,11 @@ def op10_odd_sketch_near_duplicates(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_grouping_genetic_packing, op2_adaptive_quality_rules, op3_heap_token_counts, op4_product_quantised_near_vectors, op5_warc_round_trip, op6_extendible_sharding, op7_line_block_extraction, op8_byte_bpe_round_trip, op9_positive_unlabelled_toxicity, op10_odd_sketch_near_duplicates)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Tokens, packings, extracted texts and scores have no SQL; their tests hold them against the libraries or brute force.
+ORACLE_SQL: dict[str, str] = {
+    op2_adaptive_quality_rules.__name__: oracles.quality(),
+    op4_product_quantised_near_vectors.__name__: oracles.vectors(),
+    op5_warc_round_trip.__name__: oracles.archives(),
+    op6_extendible_sharding.__name__: oracles.shards(SHARD_BYTES),
+    op10_odd_sketch_near_duplicates.__name__: oracles.near_copies(),
+}
