@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from twinframe.llm import extract, minhash, packing, quality, sharding, tokens, toxicity, vectors, warc
+from twinframe.llm import extract, minhash, packing, quality, queries, sharding, tokens, toxicity, vectors, warc
 from twinframe.llm.byte_bpe import codec, decode_ids, encode_texts, round_trip
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, score string, cid int, component string"
@@ -44,6 +44,28 @@ def test_empty_tables(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.archive_round_trip(pages).count() == 0 and extract.extract_pages(pages).count() == 0
+    for kept in (toxicity.drop_toxic(docs, labels), quality.keep_quality(docs), minhash.drop_near_duplicates(docs)):
+        assert kept.columns == docs.columns and kept.count() == 0
+
+
+def test_stages_of_odd_documents(spark):
+    """Every stage returns the columns and whole rows of its input, of documents with nulls, no words, repeated ids and clashing names."""
+    docs = odd_docs(spark)
+    rows = Counter(map(tuple, docs.collect()))
+    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1)], "doc_id bigint, toxic int")
+    for kept in (toxicity.drop_toxic(docs, labels), quality.keep_quality(docs), minhash.drop_near_duplicates(docs)):
+        got = Counter(map(tuple, kept.collect()))
+        assert kept.columns == docs.columns and got and not got - rows
+    assert Counter(r["doc_id"] for r in quality.keep_quality(docs).collect()) == {5: 2, 6: 1}
+    assert 6 not in {r["doc_id"] for r in minhash.drop_near_duplicates(docs, 3, 85).collect()}
+    wrong = [n for n in (None, 1) if sum(r["doc_id"] == n for r in minhash.drop_near_duplicates(docs).collect()) != 1]
+    assert not wrong
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    odd_docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_packing(spark):
@@ -562,6 +584,23 @@ def test_pipeline_follows_its_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "MinHash near-dedup", "best-fit packing"]
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
+    """Whole results on the smallest tables against DuckDB's."""
+    duckdb = pytest.importorskip("duckdb")
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df, sql = queries.QUERIES[name](spark, data), con.sql(queries.ORACLE_SQL[name])
+    cols = sorted(df.columns)
+    at = [sql.columns.index(c) for c in cols]
+    assert sorted(sql.columns) == cols
+    assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in sql.fetchall()), key=repr)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

@@ -188,8 +188,8 @@ def fewest(lengths: list[int], size: int) -> int:
     return best
 
 
-def evolve(population: list[Bins], lengths: list[int], size: int, seed: int, generations: int, members: int = 4) -> list[Bins]:
-    """The population after some generations, best first; ends early where no packing can have fewer bins."""
+def evolve(population: list[Bins], lengths: list[int], size: int, seed: int, generations: int, members: int = 4, patience: int = 12) -> list[Bins]:
+    """The population after some generations, best first; ends early where no packing can have fewer bins, and where patience generations save none."""
     rng = random.Random(seed)
     n, least = len(lengths), fewest(lengths, size)
     score = lambda bins: (len(bins), -fitness(bins, lengths, size))
@@ -199,12 +199,15 @@ def evolve(population: list[Bins], lengths: list[int], size: int, seed: int, gen
             part = set(rng.sample(range(n), n // 2))
             population.append(_refit(_refit([], list(part), lengths, size), [i for i in range(n) if i not in part], lengths, size))
     population = sorted(population, key=score)
+    fewest_yet, since = len(population[0]), 0
     for _ in range(generations):
-        if len(population[0]) <= least:
+        if len(population[0]) <= least or since == patience:
             break
         one, two = rng.choice(population), population[0]
         child = crossover(one, two, lengths, size, rng) if rng.random() < 0.7 else mutate(one, lengths, size, rng)
         population = sorted([*population, child], key=score)[:members]
+        since = 0 if len(population[0]) < fewest_yet else since + 1
+        fewest_yet = len(population[0])
     return population
 
 
@@ -274,7 +277,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per
 
     A sequence holds at most size tokens, its pieces without gaps from offset 0. Pieces of full size are
     sequences of their own. The others are dealt, by a hash of a row number, to blocks of about per_block;
-    islands, epochs and generations bound the search in a block, which ends where it reaches the lower bound.
+    islands, epochs and generations bound the search in a block, which ends where it reaches the lower bound; an epoch
+    ends where 12 generations save no bin.
     Bins that a block leaves with more than one part in 64 free are dissolved, and their pieces go through the
     same search again in new blocks, until there is one block or a round saves no bin.
 
