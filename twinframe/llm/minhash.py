@@ -217,8 +217,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     again = named.join(mixed.where(F.col("n") > LARGE).select("key"), "key").select("cid", "comp").distinct()
     if not is_empty(again):
         again = scratch(again, "again")
-        fine = _texts(docs, again.select("cid")).select("cid", F.explode(_fine_keys(k, fine_bands(percent))("text")).alias("key"))
-        fine = scratch(fine.join(again, "cid").select("key", "cid", "comp"), "fine")
+        fine = _texts(docs, again.select("cid")).join(again, "cid").select("cid", "comp", _fine_keys(k, fine_bands(percent))("text").alias("keys"))
+        fine = scratch(fine, "fine").select("cid", "comp", F.explode("keys").alias("key"))
         shared = fine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         rest = rest.union(_met(fine.join(shared, "key"), sketches, percent))
     more = _confirmed(rest.distinct(), docs, k, percent)
