@@ -7,27 +7,40 @@ from pyspark.sql import functions as F
 
 
 def norm_id(col: Column, prefix: str, width: int = 3) -> Column:
-    """'Day 7', 'day007' or '7' -> 'day007'; wider numbers keep all their digits; anything else is null."""
-    digits = F.regexp_extract(F.lower(F.trim(col)), f"^(?:{prefix})?[ _-]*0*([0-9]{{1,9}})$", 1)
-    return F.when(digits != "", F.format_string(f"{prefix}%0{width}d" if width else f"{prefix}%d", digits.cast("int")))
+    """'Day7', 'day007' or '7' -> 'day007'; wider numbers keep all their digits; anything else is null."""
+    return _numbered(col, f"(?:{prefix})?", f"{prefix}%0{width}d")
+
+
+def _numbered(col: Column, prefix: str, pattern: str) -> Column:
+    """The number behind a prefix, in any case and between blanks, by a pattern; null for anything else or more than nine digits."""
+    digits = F.regexp_extract(F.trim(col), f"^(?i:{prefix})0*([0-9]{{1,9}})$", 1)
+    return F.when(digits != "", F.format_string(pattern, digits.cast("int")))
 
 
 def norm_day(col: Column) -> Column:
-    return norm_id(col, "day", 0)
+    """'day07' -> 'day7'; the word is needed."""
+    return _numbered(col, "day", "day%d")
 
 
 def norm_experiment(col: Column) -> Column:
-    return norm_id(col, "experiment", 0)
+    return _numbered(col, "(?:experiment)?", "experiment%d")
 
 
 def norm_clip(col: Column) -> Column:
-    return norm_id(col, "", 2)
+    """'clip1' or '1' -> '01'."""
+    return _numbered(col, "(?:clip)?", "%02d")
 
 
 def norm_category(col: Column, slugs: dict[str, str]) -> Column:
-    """Label to slug by a fixed map; an unknown label is null."""
-    pairs = [F.lit(x) for kv in sorted(slugs.items()) for x in kv]
-    return F.create_map(*pairs)[col]
+    """Label, or slug, to slug by a fixed map of labels; an unknown name is null."""
+    both = {slug: slug for slug in slugs.values()} | slugs
+    return F.create_map(*(F.lit(x) for kv in sorted(both.items()) for x in kv))[F.trim(col)]
+
+
+def category_label(col: Column, slugs: dict[str, str]) -> Column:
+    """Label, or slug, to label; an unknown name is null."""
+    both = {slug: label for label, slug in slugs.items()} | {label: label for label in slugs}
+    return F.create_map(*(F.lit(x) for kv in sorted(both.items()) for x in kv))[F.trim(col)]
 
 
 def sample_id(day: Column, experiment: Column, category: Column, clip: Column, sequence: Column) -> Column:

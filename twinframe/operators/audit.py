@@ -7,6 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import safe_path
+from .pairing import select_split
+
 
 def experiment_contract(samples: DataFrame, required: list[str], n_clips: int = 1) -> DataFrame:
     """Per experiment: categories that are missing or not allowed, categories with another number of clips, and the number of groups; ok if all is as asked."""
@@ -33,7 +36,7 @@ def category_counts(samples: DataFrame, members: DataFrame) -> DataFrame:
 def uncovered(counts: DataFrame) -> DataFrame:
     """Splits that lack a category; both lists are as small as the enumerations they name."""
     splits, cats = counts.select("split").distinct(), counts.select("category").distinct()
-    return splits.join(F.broadcast(cats)).join(counts, ["split", "category"], "left_anti")
+    return splits.join(cats).join(counts, ["split", "category"], "left_anti")
 
 
 def sufficiency(samples: DataFrame, least: int) -> DataFrame:
@@ -46,20 +49,22 @@ def readiness(samples: DataFrame, required: list[str]) -> DataFrame:
     return samples.groupBy("category").agg(F.countDistinct("clip_id").alias("clips")).join(F.broadcast(complete))
 
 
-def table_digest(df: DataFrame, columns: list[str], bits: int = 8) -> DataFrame:
-    """A SHA-256 of the rows whatever their order: of each row, of each bucket's sorted digests, of the buckets in order."""
+def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A SHA-256 of the rows whatever their order: of how many there are and, for four parts of their own digests, the sums. One aggregation with partial sums, so no task holds rows together."""
     row = F.sha2(F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns))), 256)
-    nibbles = bits // 4
-    per = df.select(row.alias("h")).groupBy(F.substring("h", 1, nibbles).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return per.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    part = lambda i: F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")
+    sums = [F.coalesce(F.sum(part(i)), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)]
+    return df.select(row.alias("h")).agg(F.count("*").cast("string").alias("n"), *sums).select(F.sha2(F.concat_ws(":", "n", "s0", "s1", "s2", "s3"), 256).alias("digest"))
 
 
-def exact_duplicates(samples: DataFrame, members: DataFrame) -> DataFrame:
-    """Content that more than one group has: an error if it is in two splits or more, else a warning; unusable rows count too."""
-    splits = members.where("split <> 'train_pool'")
-    rows = samples.join(splits, "sample_id", "left")
-    out = rows.groupBy("sha").agg(F.countDistinct("leakage_group_id").alias("groups"), F.countDistinct("split").alias("splits"), F.count("*").alias("copies")).where("groups > 1")
-    return out.withColumn("level", F.when(F.col("splits") > 1, "error").otherwise("warning"))
+def exact_duplicates(samples: DataFrame, members: DataFrame, hashes: dict[str, str]) -> DataFrame:
+    """Content that more than one group has, of each modality (hashes: its column): fatal if it is in two splits or more, else a warning. Unusable rows count too; null and empty hashes are none."""
+    splits = members.where("split <> 'train_pool'").select("sample_id", "split")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("modality"), F.col(c).alias("sha")) for m, c in sorted(hashes.items()))))
+    rows = samples.select("sample_id", "leakage_group_id", each.alias("h")).select("sample_id", "leakage_group_id", "h.modality", "h.sha").where("sha <> ''")
+    out = rows.join(splits, "sample_id", "left").groupBy("modality", "sha").agg(F.countDistinct("leakage_group_id").alias("groups"), F.countDistinct("split").alias("splits"), F.countDistinct("sample_id").alias("copies")).where("groups > 1")
+    across = F.col("splits") > 1
+    return out.withColumn("level", F.when(across, "fatal").otherwise("warning")).withColumn("code", F.when(across, "cross_split_exact_duplicate").otherwise("cross_group_exact_duplicate"))
 
 
 def duplicate_media(files: DataFrame, digest) -> DataFrame:
@@ -90,11 +95,13 @@ def pool_consistency(members: DataFrame) -> DataFrame:
     return code(pool.exceptAll(parts), "pool_only").union(code(parts.exceptAll(pool), "missing_in_pool")).union(code(pool.intersect(ids("test")), "pool_and_test"))
 
 
-def assignment_coverage(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """Keys that only one side has, or that the assignment lists twice."""
-    a = expected.select(key).distinct().withColumn("e", F.lit(1))
-    b = actual.groupBy(key).agg(F.count("*").alias("n"))
-    return a.join(b, key, "full_outer").select(key, F.when(F.col("n").isNull(), "missing").when(F.col("e").isNull(), "unknown").when(F.col("n") > 1, "duplicate").alias("code")).where("code is not null")
+def assignment_coverage(expected: DataFrame, actual: DataFrame, key: str, value: str | None = None) -> DataFrame:
+    """Keys that only one side has, that the assignment lists twice, or for which it has another value than expected."""
+    of = lambda df, c: df.groupBy(key).agg(F.count("*").alias(c), *([F.min(value).alias(f"{c}_v"), F.max(value).alias(f"{c}_w")] if value else []))
+    code = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "unknown").when(F.col("a") > 1, "duplicate")
+    if value:
+        code = code.when(~F.col("e_v").eqNullSafe(F.col("a_v")) | ~F.col("e_w").eqNullSafe(F.col("a_w")), "mismatch")
+    return of(expected, "e").join(of(actual, "a"), key, "full_outer").select(key, code.alias("code")).where("code is not null")
 
 
 def member_issues(members: DataFrame, samples: DataFrame) -> DataFrame:
@@ -109,6 +116,35 @@ def row_issues(samples: DataFrame, rules: dict[str, tuple[str, object]], key: st
     return samples.select(key, F.explode(hits).alias("i")).select(key, "i.level", "i.code")
 
 
+def sample_issues(samples: DataFrame, groups: DataFrame, files: DataFrame, ir_modes: list[str], rgb_modes: list[str]) -> DataFrame:
+    """key, level, code: all that is wrong with samples (sample_id, leakage_group_id, ir_path, rgb_path, usable).
+
+    groups (leakage_group_id) are the known ones, files (path, readable, width, height, mode) what is there. Paths and
+    files are only looked at for usable samples, files only where both paths are safe.
+    """
+    times = samples.groupBy("sample_id").agg(F.count("*").alias("times"))
+    known = groups.select("leakage_group_id", F.lit(True).alias("known")).distinct()
+    image = lambda m: files.select(F.col("path").alias(f"{m}_file"), *(F.col(c).alias(f"{m}_{c}") for c in ("readable", "width", "height", "mode")))
+    rows = samples.join(times, "sample_id", "left").join(known, "leakage_group_id", "left").withColumns({f"{m}_safe": safe_path(F.col(f"{m}_path")) for m in ("ir", "rgb")})
+    for m in ("ir", "rgb"):
+        rows = rows.join(image(m), F.col(f"{m}_safe") == F.col(f"{m}_file"), "left")
+    c = F.col
+    safe = c("usable") & c("ir_safe").isNotNull() & c("rgb_safe").isNotNull()
+    there = safe & c("ir_file").isNotNull() & c("rgb_file").isNotNull()
+    seen = there & c("ir_readable") & c("rgb_readable")
+    stem = lambda m: F.regexp_replace(f"{m}_safe", r"^.*/|\.[^./]*$", "")
+    empty = F.coalesce(F.trim("leakage_group_id"), F.lit("")) == ""
+    rules = {
+        "duplicate_sample_id": ("fatal", c("times") > 1), "sample_missing_group": ("fatal", empty), "unknown_group": ("fatal", ~empty & c("known").isNull()),
+        "preview_in_samples": ("fatal", F.coalesce("ir_path", F.lit("")).contains("sync_preview") | F.coalesce("rgb_path", F.lit("")).contains("sync_preview")),
+        "excluded_sample": ("warning", ~c("usable")), "invalid_path": ("fatal", c("usable") & ~safe), "stem_mismatch": ("fatal", safe & (stem("ir") != stem("rgb"))),
+        "missing_ir": ("fatal", safe & c("ir_file").isNull()), "missing_rgb": ("fatal", safe & c("rgb_file").isNull()), "unreadable_image": ("fatal", there & ~seen),
+        "size_mismatch": ("fatal", seen & ((c("ir_width") != c("rgb_width")) | (c("ir_height") != c("rgb_height")))),
+        "ir_mode_mismatch": ("fatal", seen & ~c("ir_mode").isin(*ir_modes)), "rgb_mode_mismatch": ("fatal", seen & ~c("rgb_mode").isin(*rgb_modes)),
+    }
+    return row_issues(rows, rules)
+
+
 def registration_review(correlations: DataFrame, least: float = 0.10) -> DataFrame:
     """edge_correlation of at least so much passes, for information only; less, or none, is reviewed by a person."""
     ok = F.col("edge_correlation") >= least
@@ -120,13 +156,17 @@ def audit_summary(issues: DataFrame, enough_groups: bool) -> DataFrame:
     return out.withColumn("formal_ready", (F.col("fatals") == 0) & F.lit(enough_groups))
 
 
+def shared_issues(samples: DataFrame, inner: DataFrame) -> DataFrame:
+    """level, code, key: a fatal issue for each two splits that share samples or groups."""
+    shared = lambda df, key, code: split_overlaps(df, key).select(F.lit("fatal").alias("level"), F.lit(code).alias("code"), F.concat_ws("/", "split_a", "split_b").alias("key"))
+    groups = inner.join(samples.select("sample_id", "leakage_group_id"), "sample_id")
+    return shared(inner, "sample_id", "shared_sample").union(shared(groups, "leakage_group_id", "shared_group"))
+
+
 def basic_audit(samples: DataFrame, members: DataFrame) -> DataFrame:
     """Issues of a split: shared samples or groups, an inconsistent pool, splits without a category."""
     inner = members.where("split <> 'train_pool'")
-    shared = lambda df, key, code: split_overlaps(df, key).select(F.lit("fatal").alias("level"), F.lit(code).alias("code"), F.concat_ws("/", "split_a", "split_b").alias("key"))
-    groups = inner.join(samples.select("sample_id", "leakage_group_id"), "sample_id")
-    out = shared(inner, "sample_id", "shared_sample").union(shared(groups, "leakage_group_id", "shared_group"))
-    out = out.union(pool_consistency(members).select(F.lit("fatal"), "code", "sample_id"))
+    out = shared_issues(samples, inner).union(pool_consistency(members).select(F.lit("fatal"), "code", "sample_id"))
     return out.union(uncovered(category_counts(samples, inner)).select(F.lit("fatal"), F.lit("category_missing"), F.concat_ws("/", "split", "category")))
 
 
@@ -145,6 +185,23 @@ def assert_usable(version: DataFrame, digest: str, audit: DataFrame) -> None:
         raise ValueError(f"the split can't be used: {', '.join(failed)}")
 
 
+def collect_heldout(version: DataFrame, digest: str, audit: DataFrame, samples: DataFrame, members: DataFrame, split: str = "test") -> tuple[DataFrame, DataFrame]:
+    """The pairs of a split for evaluation, and one row of metadata: the version's, the split's name, its size and its digest.
+
+    Refused, with the names of what fails, unless the version may be used, no split shares samples or groups with
+    another, every split has members, and all members are known, usable and listed once.
+    """
+    assert_usable(version, digest, audit)
+    inner = members.where(F.col("split").isin("train", "val", "test"))
+    lacking = samples.sparkSession.createDataFrame([(s,) for s in ("train", "val", "test")], "key string").join(inner.select(F.col("split").alias("key")).distinct(), "key", "left_anti")
+    bad = member_issues(inner, samples).select(F.lit("fatal").alias("level"), F.concat(F.lit("member_"), "code").alias("code"), F.col("sample_id").alias("key"))
+    twice = samples.groupBy("sample_id").count().where("count > 1").select(F.lit("fatal"), F.lit("duplicate_sample_id"), "sample_id")
+    raise_on_fatal(shared_issues(samples, inner).union(bad).union(twice).union(lacking.select(F.lit("fatal"), F.lit("empty_split"), "key")))
+    rows = select_split(samples, members, split)[0]
+    about = table_digest(rows, ["sample_id"]).select(F.lit(split).alias("split"), F.col("digest").alias("split_digest")).join(rows.agg(F.count("*").alias("pairs"))).join(version.select("digest"))
+    return rows, about
+
+
 def pending_tasks(tasks: DataFrame, outputs: DataFrame, forced: bool = False) -> DataFrame:
     """task, action: outputs (task, expected, present) that are complete are skipped, partial ones fail, unless forced; the others run."""
     rows = tasks.join(outputs, "task", "left")
@@ -165,9 +222,13 @@ def output_validation(files: DataFrame, expected: int) -> DataFrame:
     return out.withColumn("valid", (F.col("names") == expected) & (F.col("one_sided") == 0) & (F.col("unreadable") == 0))
 
 
-def check_media_pair(media: DataFrame, width: int, height: int, fps_tolerance: float = 0.001) -> DataFrame:
-    """media (pair_key, modality, width, height, fps, frame_count): issues of each pair."""
-    side = lambda m: media.where(F.col("modality") == m).select("pair_key", *(F.col(c).alias(f"{m}_{c}") for c in ("width", "height", "fps", "frame_count")))
-    both = side("ir").join(side("rgb"), "pair_key")
+def check_media_pair(media: DataFrame, width: int, height: int, fps_tolerance: float = 0.001, categories: list[str] | None = None) -> DataFrame:
+    """media (pair_key, modality, width, height, fps, frame_count, and category if categories are given): issues of each pair, a missing side among them."""
+    own = ["category"] if categories else []
+    side = lambda m: media.where(F.col("modality") == m).select("pair_key", F.lit(True).alias(m), *(F.col(c).alias(f"{m}_{c}") for c in ("width", "height", "fps", "frame_count", *own)))
+    both = side("ir").join(side("rgb"), "pair_key", "full_outer")
     bad = lambda m: (F.col(f"{m}_width") != width) | (F.col(f"{m}_height") != height)
-    return row_issues(both, {"ir_size": ("error", bad("ir")), "rgb_size": ("error", bad("rgb")), "fps_differ": ("error", F.abs(F.col("ir_fps") - F.col("rgb_fps")) > fps_tolerance), "no_frames": ("error", (F.col("ir_frame_count") <= 0) | (F.col("rgb_frame_count") <= 0))}, "pair_key")
+    rules = {"missing_ir": ("error", F.col("ir").isNull()), "missing_rgb": ("error", F.col("rgb").isNull()), "ir_size": ("error", bad("ir")), "rgb_size": ("error", bad("rgb")), "fps_differ": ("error", F.abs(F.col("ir_fps") - F.col("rgb_fps")) > fps_tolerance), "no_frames": ("error", (F.col("ir_frame_count") <= 0) | (F.col("rgb_frame_count") <= 0))}
+    if categories:
+        rules["unknown_category"] = ("error", ~F.coalesce(F.coalesce("ir_category", "rgb_category").isin(*categories), F.lit(False)))
+    return row_issues(both, rules, "pair_key")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.steps import written
 from .series import error_metrics
 
 
@@ -114,7 +115,7 @@ def fit_robust(points: DataFrame, by: list[str], trials: int = 64, threshold: fl
 
     rows = points.withColumn("_p", F.sha2(F.concat_ws(":", "ir_x", "ir_y", "rgb_x", "rgb_y"), 256))
     drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    order = F.xxhash64(F.lit(seed), F.col("trial"), F.col("_p"))
+    order = F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), F.col("trial").cast("string"), "_p"), 256)
     drawn = drawn.withColumn("r", F.row_number().over(W.partitionBy(*by, "trial").orderBy(order))).where("r <= 4")
     models = fit_homography(drawn, [*by, "trial"]).where("h is not null")
     counted = project_points(points.drop("h"), models, by).where(F.col("e") <= threshold).groupBy(*by, "trial").agg(F.count("*").alias("inliers"), F.sum("e").alias("total"))
@@ -123,17 +124,30 @@ def fit_robust(points: DataFrame, by: list[str], trials: int = 64, threshold: fl
     return fit_homography(kept, by).join(best.drop("trial"), by)
 
 
-def filter_pairs(points: DataFrame, by: list[str], pair: str, most_rmse: float, least_pairs: int = 4) -> DataFrame:
-    """The pairs of each group that stay within most_rmse of the group's common fit, which is made anew while any goes; each pass drops one pair or more, so it ends."""
+def passing_pairs(points: DataFrame, models: DataFrame, by: list[str], pair: str, most_rmse: float, most_p95: float, most_error: float) -> DataFrame:
+    """by, pair: the pairs whose RMSE, 95th percentile and largest error under their group's model are all within the limits."""
+    errors = error_metrics(project_points(points, models, by), [*by, pair])
+    return errors.where((F.col("rmse") <= most_rmse) & (F.col("p95") <= most_p95) & (F.col("max_error") <= most_error)).select(*by, pair)
+
+
+def filter_pairs(points: DataFrame, by: list[str], pair: str, most_rmse: float = 0.9, most_p95: float = 1.5, most_error: float = 2.25, trials: int = 64, threshold: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """The points of the pairs that are kept, and by, pair, stage of those rejected; whole pairs, never single points.
+
+    First all pairs that fail the limits under the group's robust fit go, then, again and again until none does, all
+    that fail under the least-squares fit of what is left. Every pass is for all groups at once and drops a pair or
+    more, so there are at most as many passes as a group has pairs. A group of which nothing fits has no rows.
+    """
+    gate = lambda df, models: df.join(passing_pairs(df, models, by, pair, most_rmse, most_p95, most_error), [*by, pair], "left_semi")
+    pairs = lambda df: df.select(*by, pair).distinct()
+    kept = written(gate(points, fit_robust(points, by, trials, threshold).select(*by, "h")), "robust_pairs")
+    first, before = pairs(kept), pairs(kept).count()
     while True:
-        errors = error_metrics(project_points(points, fit_homography(points, by), by), [*by, pair])
-        bad = errors.where(~(F.col("rmse") <= most_rmse))
-        enough = points.groupBy(*by).agg(F.countDistinct(pair).alias("k")).where(F.col("k") > least_pairs).select(*by)
-        drop = bad.join(enough, by).groupBy(*by).agg(F.max_by(pair, "rmse").alias(pair))
-        drop = drop.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else drop.cache()
-        if not drop.limit(1).count():
-            return points
-        points = points.join(drop, [*by, pair], "left_anti")
+        kept = written(gate(kept, fit_homography(kept, by)), "kept_pairs")
+        if (now := pairs(kept).count()) == before:
+            break
+        before = now
+    rejected = pairs(points).join(pairs(kept), [*by, pair], "left_anti").join(first.withColumn("f", F.lit(True)), [*by, pair], "left")
+    return kept, rejected.select(*by, pair, F.when(F.col("f"), "final_global").otherwise("robust_global").alias("stage"))
 
 
 def leave_one_out(points: DataFrame, by: list[str], pair: str) -> DataFrame:
@@ -148,7 +162,7 @@ def leave_one_out(points: DataFrame, by: list[str], pair: str) -> DataFrame:
 
 def select_medoid(models: DataFrame, by: list[str], name: str, width: float, height: float) -> DataFrame:
     """Of each group's models (by, name, h), the one whose projections of a 3 x 3 grid lie nearest to the others' (median distance), and how far apart they are."""
-    grid = F.array(*(F.struct(F.lit(float(width * i / 2)).alias("x"), F.lit(float(height * j / 2)).alias("y")) for i in range(3) for j in range(3)))
+    grid = F.array(*(F.struct(F.lit((width - 1) * i / 2).alias("x"), F.lit((height - 1) * j / 2).alias("y")) for i in range(3) for j in range(3)))
     rows = models.select(*by, name, "h", F.posexplode(grid).alias("k", "p"))
     px, py = project(F.col("h"), F.col("p.x"), F.col("p.y"))
     rows = rows.select(*by, name, "k", px.alias("x"), py.alias("y"))
@@ -157,29 +171,37 @@ def select_medoid(models: DataFrame, by: list[str], name: str, width: float, hei
     return d.groupBy(*by).agg(F.min_by(name, F.struct("spread", name)).alias("medoid"), F.min("spread").alias("spread"), F.max("spread").alias("widest"))
 
 
-def diversity(points: DataFrame, by: list[str], pair: str) -> DataFrame:
-    """How far board centres span, and the largest board area over the smallest: hull areas of one board's points at a time."""
-    def hull(frame: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(frame["ir_x"], frame["ir_y"], strict=True)))
-        chain: list = []
-        for side in (pts, pts[::-1]):
-            start = len(chain)
-            for p in side:
-                while len(chain) - start >= 2 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
-                    chain.pop()
-                chain.append(p)
-            chain.pop()
-        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(chain, chain[1:] + chain[:1], strict=True))) / 2 if len(chain) > 2 else 0.0
-        return frame[[*by, pair]].head(1).assign(area=area, cx=frame["ir_x"].mean(), cy=frame["ir_y"].mean())
+def hull_area(x: np.ndarray, y: np.ndarray) -> float:
+    """Area of the convex hull of points."""
+    pts, chain = sorted(set(zip(x.tolist(), y.tolist(), strict=True))), []
+    for side in (pts, pts[::-1]):
+        start = len(chain)
+        for p in side:
+            while len(chain) - start >= 2 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                chain.pop()
+            chain.append(p)
+        chain.pop()
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(chain, chain[1:] + chain[:1], strict=True))) / 2 if len(chain) > 2 else 0.0
+
+
+def diversity(points: DataFrame, by: list[str], pair: str, width: float, height: float, least_span: float = 0.05, least_ratio: float = 1.05) -> DataFrame:
+    """How far the boards' RGB centres span, as shares of the image, and the largest board's area over the smallest; a warning if both are small. One board's points are a group."""
+    @F.pandas_udf("double")
+    def area(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([hull_area(np.asarray(a), np.asarray(b)) for a, b in zip(x, y, strict=True)])
 
-    kinds = dict(points.dtypes)
-    boards = points.groupBy(*by, pair).applyInPandas(hull, ", ".join([*(f"`{c}` {kinds[c]}" for c in [*by, pair]), "area double, cx double, cy double"]))
-    return boards.groupBy(*by).agg((F.max("cx") - F.min("cx")).alias("span_x"), (F.max("cy") - F.min("cy")).alias("span_y"), F.try_divide(F.max("area"), F.min("area")).alias("area_ratio"))
+    boards = points.groupBy(*by, pair).agg(F.collect_list("rgb_x").alias("xs"), F.collect_list("rgb_y").alias("ys"), F.avg("rgb_x").alias("cx"), F.avg("rgb_y").alias("cy"))
+    boards = boards.withColumn("area", area("xs", "ys"))
+    span = lambda c, size: ((F.max(c) - F.min(c)) / size)
+    out = boards.groupBy(*by).agg(span("cx", width).alias("span_x"), span("cy", height).alias("span_y"), F.when(F.min("area") > 0, F.max("area") / F.min("area")).alias("area_ratio"))
+    return out.withColumn("warning", (F.greatest("span_x", "span_y") < least_span) & F.coalesce(F.col("area_ratio") < least_ratio, F.lit(False)))
 
 
-def quality_status(df: DataFrame, formal: int = 18, provisional: int = 4) -> DataFrame:
-    """df (pairs, rmse, most_rmse, warnings) with status."""
-    return df.withColumn("status", F.when((F.col("pairs") < provisional) | ~(F.col("rmse") <= F.col("most_rmse")), "failed").when(F.col("warnings") > 0, "provisional_warning").when(F.col("pairs") >= formal, "formal").otherwise("provisional"))
+def quality_status(df: DataFrame, formal: int = 18, provisional: int = 4, most_rmse: float = 0.75, most_p95: float = 1.2, most_error: float = 2.25, most_left_out: float = 1.2) -> DataFrame:
+    """df (pairs, rmse, p95, max_error, left_out: the worst RMSE of leaving a pair out, warning: of diversity) with status; only too few pairs fail."""
+    fits = (F.col("rmse") <= most_rmse) & (F.col("p95") <= most_p95) & (F.col("max_error") <= most_error) & (F.col("left_out") <= most_left_out)
+    fits = F.coalesce(fits, F.lit(False))
+    return df.withColumn("status", F.when(F.col("pairs") < provisional, "failed").when(F.col("warning") | ~fits, "provisional_warning").when(F.col("pairs") >= formal, "formal").otherwise("provisional"))
 
 
 def refine_gate(df: DataFrame, inliers: int = 20, ratio: float = 0.4, coverage: float = 0.15, median: float = 2.0, area: tuple[float, float] = (0.7, 1.4)) -> DataFrame:
@@ -189,5 +211,7 @@ def refine_gate(df: DataFrame, inliers: int = 20, ratio: float = 0.4, coverage:
 
 
 def geometric_rating(df: DataFrame) -> DataFrame:
-    """df (chamfer_rating, status, overlap) with one rating."""
-    return df.withColumn("rating", F.when((F.col("status") == "failed") | (F.col("chamfer_rating") == "poor") | (F.col("overlap") < 0.5), "reject").when((F.col("status") == "formal") & (F.col("chamfer_rating") == "good"), "accept").otherwise("review"))
+    """df (board_accepted, board_rmse, refined, median_error, coverage, calibration_good) with one rating: by the board's corners if they were found, else by the pair's refinement, else by the calibration."""
+    by_board = F.when(F.col("board_rmse") <= 1.0, "excellent").when(F.col("board_rmse") <= 2.0, "good").otherwise("review_required")
+    excellent = F.col("refined") & (F.col("median_error") <= 0.5) & (F.col("coverage") >= 0.5)
+    return df.withColumn("rating", F.when(F.col("board_accepted"), by_board).when(excellent, "excellent").when(F.col("refined"), "good").when(F.col("calibration_good"), "calibration_model_passed").otherwise("calibration_fallback_review_required"))

@@ -1,10 +1,16 @@
-"""Pixel work on grid rows (frame_id, y, x, v): convolution, quality scores, tiles, warps and augmentation."""
+"""Pixel work on frames (frame_id, height, width, v array<double>: its pixels row by row).
+
+A frame is one row, so what happens inside a frame needs no shuffle: element-wise work is in Spark's array functions,
+neighbourhoods are numpy inside Arrow-batched functions.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,45 +18,47 @@ from pyspark.sql import functions as F
 LAPLACIAN = {(0, 0): -4.0, (0, 1): 1.0, (0, -1): 1.0, (1, 0): 1.0, (-1, 0): 1.0}
 
 
-def _kernel(spark, weights: dict[tuple[int, int], float]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(dy, dx, float(w)) for (dy, dx), w in weights.items()], "dy int, dx int, w double"))
+def from_pixels(pixels: DataFrame) -> DataFrame:
+    """Rows (frame_id, y, x, v) of whole frames as frames."""
+    own = F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"].cast("double"))
+    return pixels.groupBy("frame_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"), own.alias("v"))
 
 
-def convolve(grid: DataFrame, weights: dict[tuple[int, int], float], size: tuple[int, int] | None = None, border: str = "zero") -> DataFrame:
-    """Sum of w * v(y + dy, x + dx). Beyond the border is nothing, or, for border='replicate' with size (height, width), the nearest pixel.
+def to_pixels(frames: DataFrame, *also: str) -> DataFrame:
+    """frame_id, y, x, v of frames; null pixels have no row."""
+    rows = frames.select("frame_id", "width", *also, F.posexplode("v").alias("i", "v")).where("v is not null")
+    return rows.select("frame_id", F.expr("cast(i div width as int)").alias("y"), F.expr("cast(i % width as int)").alias("x"), "v", *also)
 
-    Each pixel is sent to the targets that need it; the kernel is a table of a few rows.
-    """
-    moved = grid.join(_kernel(grid.sparkSession, weights))
-    if border == "zero":
-        out = moved.select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), (F.col("v") * F.col("w")).alias("v"))
-        sums = out.groupBy("frame_id", "y", "x").agg(F.sum("v").alias("v"))
-        return sums.join(grid.select("frame_id", "y", "x"), ["frame_id", "y", "x"], "left_semi")
-    height, width = size
-    want = moved.select("frame_id", F.col("y").alias("ty"), F.col("x").alias("tx"), F.least(F.greatest(F.col("y") + F.col("dy"), F.lit(0)), F.lit(height - 1)).alias("y"), F.least(F.greatest(F.col("x") + F.col("dx"), F.lit(0)), F.lit(width - 1)).alias("x"), "w")
-    return want.join(grid, ["frame_id", "y", "x"]).groupBy("frame_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+def image(v, height, width) -> np.ndarray:
+    return np.asarray(v, np.float64).reshape(int(height), int(width))
 
 
-def sharpness(grid: DataFrame, size: tuple[int, int]) -> DataFrame:
-    """Population variance of the Laplacian of each frame."""
-    return convolve(grid, LAPLACIAN, size, "replicate").groupBy("frame_id").agg(F.var_pop("v").alias("sharpness"))
+def _each(returns: str, fn: Callable, *columns: Column) -> Column:
+    """fn of the columns' values, row by row in Arrow batches; null where one of them is null."""
+    names = [n.split()[0] for n in returns.removeprefix("struct<").removesuffix(">").replace(":", " ").split(", ")] if returns.startswith("struct<") else None
 
+    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series | pd.DataFrame]:
+        for batch in parts:
+            out = [None if any(x is None or x is pd.NA or (isinstance(x, float) and x != x) for x in row) else fn(*row) for row in zip(*batch, strict=True)]
+            yield pd.Series(out, dtype=object) if names is None else pd.DataFrame([r or [None] * len(names) for r in out], columns=names)
 
-def gradient(grid: DataFrame) -> DataFrame:
-    """grid with gy, gx and g, their length: central differences, one-sided at borders."""
-    def slope(axis: str, other: str) -> Column:
-        w = W.partitionBy("frame_id", other).orderBy(axis)
-        before, after = F.lag("v").over(w), F.lead("v").over(w)
-        return F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - F.col("v")).when(after.isNull(), F.col("v") - before).otherwise((after - before) / 2)
+    run.__annotations__ = {"parts": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series] if names is None else Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, returns)(*columns)
 
-    return grid.withColumn("gy", slope("y", "x")).withColumn("gx", slope("x", "y")).withColumn("g", F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx")))
 
+def convolved(a: np.ndarray, weights: dict[tuple[int, int], float], border: str = "zero") -> np.ndarray:
+    """Sum of w * a(y + dy, x + dx). Beyond the border are zeros, or the nearest pixel for border='replicate'."""
+    reach = max(max(abs(dy), abs(dx)) for dy, dx in weights)
+    wide = np.pad(a, reach, mode="edge" if border == "replicate" else "constant")
+    h, w = a.shape
+    return sum(k * wide[reach + dy : reach + dy + h, reach + dx : reach + dx + w] for (dy, dx), k in weights.items())
 
-def edge_correlation(ir: DataFrame, rgb: DataFrame) -> DataFrame:
-    """Correlation of the gradient lengths of two modalities' frames; null where one is flat or sizes differ."""
-    a, b = gradient(ir).select("frame_id", "y", "x", F.col("g").alias("a")), gradient(rgb).select("frame_id", "y", "x", F.col("g").alias("b"))
-    both = a.join(b, ["frame_id", "y", "x"], "full_outer").groupBy("frame_id").agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.count("*").alias("n"), F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
-    return both.select("frame_id", F.when(F.expr("na = n and nb = n and sa >= 1e-8 and sb >= 1e-8"), F.try_divide("c", F.col("sa") * F.col("sb"))).alias("edge_correlation"))
+
+def gradient_length(a: np.ndarray) -> np.ndarray:
+    """Length of the gradient: central differences, one-sided at borders, none along an axis of one pixel."""
+    slope = lambda axis: np.gradient(a, axis=axis) if a.shape[axis] > 1 else np.zeros_like(a)
+    return np.hypot(slope(0), slope(1))
 
 
 def gaussian(window: int = 11, sigma: float = 1.5) -> list[float]:
@@ -58,72 +66,106 @@ def gaussian(window: int = 11, sigma: float = 1.5) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def ssim(a: DataFrame, b: DataFrame, window: int = 11, sigma: float = 1.5) -> DataFrame:
-    """Mean structural similarity of each frame: Gaussian means of a, b, aa, bb and ab, two one-dimensional passes each, zeros outside."""
+def similarity(a: np.ndarray, b: np.ndarray, window: int = 11, sigma: float = 1.5) -> float:
+    """Mean structural similarity: Gaussian means of a, b, aa, bb and ab, two one-dimensional passes each, zeros outside."""
     half, g = window // 2, gaussian(window, sigma)
-    spark = a.sparkSession
-    taps = F.broadcast(spark.createDataFrame([(i - half, w) for i, w in enumerate(g)], "d int, w double"))
-    both = a.select("frame_id", "y", "x", F.col("v").alias("a")).join(b.select("frame_id", "y", "x", F.col("v").alias("b")), ["frame_id", "y", "x"])
-    rows = both.select("frame_id", "y", "x", "a", "b", (F.col("a") * F.col("a")).alias("aa"), (F.col("b") * F.col("b")).alias("bb"), (F.col("a") * F.col("b")).alias("ab"))
-    names = ("a", "b", "aa", "bb", "ab")
-    for axis in ("y", "x"):
-        keys = [(F.col(axis) - F.col("d")).alias(axis) if k == axis else F.col(k) for k in ("y", "x")]
-        rows = rows.join(taps).groupBy("frame_id", *keys).agg(*(F.sum(F.col(n) * F.col("w")).alias(n) for n in names))
-    rows = rows.join(both.select("frame_id", "y", "x"), ["frame_id", "y", "x"], "left_semi")
+
+    def blurred(x: np.ndarray) -> np.ndarray:
+        for axis in (0, 1):
+            wide = np.pad(x, [(half, half) if k == axis else (0, 0) for k in (0, 1)])
+            x = sum(w * np.take(wide, range(i, i + x.shape[axis]), axis=axis) for i, w in enumerate(g))
+        return x
+
+    ma, mb, aa, bb, ab = (blurred(x) for x in (a, b, a * a, b * b, a * b))
     c1, c2 = 1e-4, 9e-4  # fixed values of the measure
-    s = "((2*a*b + {0}) * (2*(ab - a*b) + {1})) / ((a*a + b*b + {0}) * ((aa - a*a) + (bb - b*b) + {1}))".format(f"{c1}D", f"{c2}D")
-    return rows.groupBy("frame_id").agg(F.avg(F.expr(s)).alias("ssim"))
-
-
-def fusion_quality(fused: DataFrame, ir: DataFrame, vis: DataFrame, weights: tuple[float, float, float, float] = (1.0, 10.0, 5.0, 2.0)) -> DataFrame:
-    """Per frame: intensity and gradient errors against the larger of the two modalities, 1 - SSIM against the better one, the error against the stronger edge (Laplacian), and their weighted total."""
-    k = ["frame_id", "y", "x"]
-    value = lambda df, n: df.select(*k, F.col("v").alias(n))
-    grad = lambda df, n: gradient(df).select(*k, F.col("g").alias(n))
-    edge = lambda df, n: convolve(df, LAPLACIAN).select(*k, F.abs("v").alias(n))
-    parts = []
-    for name, of in (("intensity", value), ("gradient", grad), ("edge", edge)):
-        rows = of(fused, "f").join(of(ir, "i"), k).join(of(vis, "r"), k)
-        parts.append(rows.groupBy("frame_id").agg(F.avg(F.abs(F.col("f") - F.greatest("i", "r"))).alias(name)))
-    best = ssim(fused, ir).withColumnRenamed("ssim", "s1").join(ssim(fused, vis).withColumnRenamed("ssim", "s2"), "frame_id").select("frame_id", (1 - F.greatest("s1", "s2")).alias("structure"))
-    out = parts[0].join(parts[1], "frame_id").join(best, "frame_id").join(parts[2], "frame_id")
-    return out.withColumn("total", sum((w * F.col(c) for w, c in zip(weights, ("intensity", "gradient", "structure", "edge"), strict=True)), F.lit(0.0)))
-
-
-def normalise_8bit(grid: DataFrame) -> DataFrame:
-    """Each frame's values from its minimum to its maximum as 0 to 255; not finite counts as 0, flat frames are 0."""
-    v = F.when(F.isnan("v") | (F.abs("v") == float("inf")) | F.col("v").isNull(), 0.0).otherwise(F.col("v"))
-    w = W.partitionBy("frame_id")
-    rows = grid.withColumn("v", v).withColumn("lo", F.min("v").over(w)).withColumn("hi", F.max("v").over(w))
-    scaled = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255)).otherwise(0)
-    return rows.withColumn("v", scaled.cast("int")).drop("lo", "hi")
-
-
-def check_unit_range(grid: DataFrame) -> DataFrame:
-    out = grid.groupBy("frame_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.bool_or(F.isnan("v") | F.col("v").isNull()).alias("bad"))
-    return out.select("frame_id", (~F.col("bad") & (F.col("lo") >= 0) & (F.col("hi") <= 1)).alias("valid"))
-
-
-def motion_signal(grid: DataFrame, frames: DataFrame) -> DataFrame:
-    """frames (frame_id, clip, t): mean absolute difference of each frame to the one before in its clip; frames that are missing are skipped, not gaps."""
-    order = frames.withColumn("i", F.row_number().over(W.partitionBy("clip").orderBy("t")))
-    rows = grid.join(order, "frame_id").select("clip", "i", "y", "x", "v")
-    before = rows.select("clip", (F.col("i") + 1).alias("i"), "y", "x", F.col("v").alias("p"))
-    return rows.join(before, ["clip", "i", "y", "x"]).groupBy("clip", "i").agg(F.avg(F.abs(F.col("v") - F.col("p"))).alias("motion"))
-
-
-def warp_grid(grid: DataFrame, inverse: DataFrame, size: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """grid seen through inverse (frame_id, h array<double> of 9, target to source): bilinear values, and each frame's share of targets whose nearest source pixel exists."""
-    height, width = size
-    at = inverse.select("frame_id", "h", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("frame_id", "h", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-    d = F.expr("h[6]*x + h[7]*y + h[8]")
-    at = at.select("frame_id", "y", "x", (F.expr("h[0]*x + h[1]*y + h[2]") / d).alias("sx"), (F.expr("h[3]*x + h[4]*y + h[5]") / d).alias("sy"))
-    corner = F.explode(F.expr("array(struct(0 as dy, 0 as dx), struct(0 as dy, 1 as dx), struct(1 as dy, 0 as dx), struct(1 as dy, 1 as dx))")).alias("c")
-    four = at.select("*", corner).select("frame_id", F.col("y").alias("ty"), F.col("x").alias("tx"), "sx", "sy", (F.floor("sy") + F.col("c.dy")).cast("int").alias("y"), (F.floor("sx") + F.col("c.dx")).cast("int").alias("x"))
-    w = (1 - F.abs(F.col("sx") - F.col("x"))) * (1 - F.abs(F.col("sy") - F.col("y")))
-    out = four.withColumn("w", w).join(grid, ["frame_id", "y", "x"]).groupBy("frame_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    valid = F.expr(f"round(sx) between 0 and {width - 1} and round(sy) between 0 and {height - 1}")
-    return out, at.groupBy("frame_id").agg(F.avg(valid.cast("double")).alias("overlap"))
+    return float(np.mean(((2 * ma * mb + c1) * (2 * (ab - ma * mb) + c2)) / ((ma * ma + mb * mb + c1) * ((aa - ma * ma) + (bb - mb * mb) + c2))))
+
+
+def convolve(v: Column, height: Column, width: Column, weights: dict[tuple[int, int], float], border: str = "zero") -> Column:
+    return _each("array<double>", lambda *f: convolved(image(*f), weights, border).ravel(), v, height, width)
+
+
+def sharpness(v: Column, height: Column, width: Column) -> Column:
+    """Population variance of the Laplacian."""
+    return _each("double", lambda *f: float(convolved(image(*f), LAPLACIAN, "replicate").var()), v, height, width)
+
+
+def edge_correlation(ir: Column, rgb: Column, height: Column, width: Column) -> Column:
+    """Correlation of the gradient lengths of two modalities; null where one is flat or sizes differ."""
+    def r(a, b, h, w) -> float | None:
+        if len(a) != len(b):
+            return None
+        x, y = gradient_length(image(a, h, w)).ravel(), gradient_length(image(b, h, w)).ravel()
+        sx, sy = x.std(), y.std()
+        return float(np.mean((x - x.mean()) * (y - y.mean())) / (sx * sy)) if sx >= 1e-8 and sy >= 1e-8 else None
+
+    return _each("double", r, ir, rgb, height, width)
+
+
+def ssim(a: Column, b: Column, height: Column, width: Column) -> Column:
+    return _each("double", lambda x, y, h, w: similarity(image(x, h, w), image(y, h, w)), a, b, height, width)
+
+
+def fusion_quality(fused: Column, ir: Column, vis: Column, height: Column, width: Column, weights: tuple[float, float, float, float] = (1.0, 10.0, 5.0, 2.0)) -> Column:
+    """intensity and gradient: errors against the larger of the two modalities; structure: 1 - SSIM against the better one; edge: the error against the stronger Laplacian; and their weighted total."""
+    def scores(f, i, r, h, w) -> list[float]:
+        f, i, r = (image(x, h, w) for x in (f, i, r))
+        error = lambda of: float(np.mean(np.abs(of(f) - np.maximum(of(i), of(r)))))
+        parts = [error(lambda x: x), error(gradient_length), 1 - max(similarity(f, i), similarity(f, r)), error(lambda x: np.abs(convolved(x, LAPLACIAN)))]
+        return [*parts, sum(k * p for k, p in zip(weights, parts, strict=True))]
+
+    return _each("struct<intensity: double, gradient: double, structure: double, edge: double, total: double>", scores, fused, ir, vis, height, width)
+
+
+def normalise_8bit(v: Column) -> Column:
+    """Values from the frame's minimum to its maximum as 0 to 255; not finite counts as 0, flat frames are 0."""
+    finite = F.transform(v, lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
+    lo, hi = F.array_min(finite), F.array_max(finite)
+    return F.transform(finite, lambda x: F.when(hi > lo, F.floor((x - lo) / (hi - lo) * 255)).otherwise(0).cast("int"))
+
+
+def check_unit_range(v: Column) -> Column:
+    return F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (x >= 0) & (x <= 1), F.lit(False)))
+
+
+def luma(r: Column, g: Column, b: Column) -> Column:
+    """Grey pixels, ITU-R BT.601."""
+    return F.zip_with(F.zip_with(r, g, lambda x, y: 0.299 * x + 0.587 * y), b, lambda x, y: x + 0.114 * y)
+
+
+def mean(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+
+
+def motion_signal(frames: DataFrame, clip: str, t: str) -> DataFrame:
+    """clip, i, motion: mean absolute difference of each frame to the one before in its clip, from the second on; frames that are missing are skipped, not gaps."""
+    w = W.partitionBy(clip).orderBy(t)
+    rows = frames.withColumn("i", F.row_number().over(w)).withColumn("p", F.lag("v").over(w)).where("p is not null")
+    return rows.select(clip, "i", mean(F.zip_with("v", "p", lambda x, y: F.abs(x - y))).alias("motion"))
+
+
+def warp(v: Column, height: Column, width: Column, h: Column) -> Column:
+    """The frame seen through h (nine numbers, target to source): v, bilinear values, null where no source pixel is near; overlap, the share of targets whose nearest source pixel exists."""
+    def warped(v, height, width, h) -> list:
+        a = image(v, height, width)
+        y, x = np.indices(a.shape, dtype=np.float64)
+        d = h[6] * x + h[7] * y + h[8]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sx, sy = (h[0] * x + h[1] * y + h[2]) / d, (h[3] * x + h[4] * y + h[5]) / d
+        far = ~(np.isfinite(sx) & np.isfinite(sy))
+        sx[far] = sy[far] = -9.0
+        total, known = np.zeros_like(a), np.zeros(a.shape, bool)
+        for dy in (0, 1):
+            for dx in (0, 1):
+                iy, ix = np.floor(sy) + dy, np.floor(sx) + dx
+                inside = (iy >= 0) & (iy < a.shape[0]) & (ix >= 0) & (ix < a.shape[1])
+                w = (1 - np.abs(sx - ix)) * (1 - np.abs(sy - iy))
+                total[inside] += (w[inside]) * a[iy[inside].astype(int), ix[inside].astype(int)]
+                known |= inside
+        near = lambda c, n: (np.floor(c + 0.5) >= 0) & (np.floor(c + 0.5) <= n - 1)
+        return [[float(t) if k else None for t, k in zip(total.ravel(), known.ravel(), strict=True)], float(np.mean(near(sx, a.shape[1]) & near(sy, a.shape[0])))]
+
+    return _each("struct<v: array<double>, overlap: double>", warped, v, height, width, h)
 
 
 def temporal_consensus(points: DataFrame, least: int = 2) -> DataFrame:
@@ -131,11 +173,18 @@ def temporal_consensus(points: DataFrame, least: int = 2) -> DataFrame:
     return points.groupBy("clip", "y", "x").agg(F.countDistinct("frame").alias("frames")).where(F.col("frames") >= least)
 
 
-def median_background(grid: DataFrame, frames: DataFrame) -> DataFrame:
-    return grid.join(frames, "frame_id").groupBy("clip", "y", "x").agg(F.percentile("v", 0.5).alias("v"))
+def median_background(frames: DataFrame, clip: str) -> DataFrame:
+    """clip, height, width, v: the median of each pixel over the frames of a clip, which are few (its representatives) and of one size."""
+    def median(f: pd.DataFrame) -> pd.DataFrame:
+        out = f[[clip, "height", "width"]].head(1).copy()
+        out["v"] = [np.median(np.stack(f["v"].to_list()), axis=0).tolist()]
+        return out
+
+    kind = dict(frames.dtypes)[clip]
+    return frames.select(clip, "height", "width", "v").groupBy(clip).applyInPandas(median, f"`{clip}` {kind}, height int, width int, v array<double>")
 
 
-def chamfer(a: DataFrame, b: DataFrame, by: str, radius: int = 8) -> DataFrame:
+def chamfer(a: DataFrame, b: DataFrame, by: str, radius: int = 9) -> DataFrame:
     """a, b (by, y, x): nearest distances both ways, up to radius, which stands for all that are farther; their median, P75, P90, and the share within 1.5.
 
     Points meet in square buckets as wide as the radius, each sent to the nine around it.
@@ -153,7 +202,8 @@ def chamfer(a: DataFrame, b: DataFrame, by: str, radius: int = 8) -> DataFrame:
 
 
 def chamfer_rating(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("rating", F.expr("case when median <= 1.5 and p90 <= 4 then 'good' when median <= 3 then 'fair' else 'poor' end"))
+    """scores (median, p75) with rating; moving content weighs on the highest distances, so they don't count."""
+    return scores.withColumn("rating", F.expr("case when median is null then 'unavailable' when median <= 1 and p75 <= 4 then 'excellent' when median <= 2 and p75 <= 8 then 'good' when median <= 4 then 'fair' else 'poor' end"))
 
 
 def tile_starts(size: Column, tile: int, overlap: int) -> Column:
@@ -168,40 +218,70 @@ def plan_tiles(frames: DataFrame, tile: int, overlap: int) -> DataFrame:
     return rows.select("frame_id", "y0", F.explode(tile_starts(F.col("width"), tile, overlap)).alias("x0"))
 
 
-def hann(tile: int) -> list[float]:
+def hann(tile: int) -> np.ndarray:
     """A raised cosine that stays above zero at its ends."""
-    return [max(1e-3, 0.5 - 0.5 * math.cos(2 * math.pi * (i + 0.5) / tile)) for i in range(tile)]
+    return np.maximum(1e-3, 0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(tile) + 0.5) / tile))
+
+
+def starts(size: int, tile: int, overlap: int) -> list[int]:
+    last = max(size - tile, 0)
+    return sorted({*range(0, last, tile - overlap), last})
+
 
+def checked(values: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """values, if they have the shape and are all finite."""
+    values = np.asarray(values, np.float64)
+    if values.shape != shape:
+        raise ValueError(f"a score has the shape {values.shape}, not {shape}")
+    if not np.isfinite(values).all():
+        raise ValueError("a score isn't finite")
+    return values
 
-def blend_tiles(values: DataFrame, tile: int) -> DataFrame:
-    """values (frame_id, y0, x0, y, x: within the tile, v) -> frame_id, y, x, v: the average by the tiles' weights."""
-    weights = F.broadcast(values.sparkSession.createDataFrame(list(enumerate(hann(tile))), "i int, w double"))
-    rows = values.join(weights.select(F.col("i").alias("y"), F.col("w").alias("wy")), "y").join(weights.select(F.col("i").alias("x"), F.col("w").alias("wx")), "x")
-    w = F.col("wy") * F.col("wx")
-    return rows.groupBy("frame_id", (F.col("y0") + F.col("y")).alias("y"), (F.col("x0") + F.col("x")).alias("x")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
 
+def blended(scored: list[tuple[int, int, np.ndarray]], shape: tuple[int, int]) -> np.ndarray:
+    """Tiles (y0, x0, values) averaged by raised cosines; a pixel without a tile is an error."""
+    total, weight = np.zeros(shape), np.zeros(shape)
+    for y0, x0, values in scored:
+        h, w = values.shape
+        k = hann(h)[:, None] * hann(w)[None]
+        total[y0 : y0 + h, x0 : x0 + w] += k * values
+        weight[y0 : y0 + h, x0 : x0 + w] += k
+    if not weight.all():
+        raise ValueError("a pixel has no tile")
+    return total / weight
 
-def uncovered_pixels(blended: DataFrame, frames: DataFrame) -> DataFrame:
-    """Frames of which some pixel has no tile."""
-    got = blended.groupBy("frame_id").agg(F.count("*").alias("n"))
-    return frames.join(got, "frame_id", "left").where(F.coalesce("n", F.lit(0)) != F.col("height") * F.col("width")).select("frame_id")
 
+def score_tiled(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], tile: int, overlap: int) -> DataFrame:
+    """frames with v as fn makes it, applied to overlapping tiles (n x tile x tile, or smaller where the frame is) whose results, of the same shape and finite, are blended; a frame's tiles stay in its task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            out = []
+            for v, height, width in zip(f["v"], f["height"], f["width"], strict=True):
+                a = image(v, height, width)
+                th, tw = min(tile, a.shape[0]), min(tile, a.shape[1])
+                at = [(y, x) for y in starts(a.shape[0], tile, overlap) for x in starts(a.shape[1], tile, overlap)]
+                tiles = np.stack([a[y : y + th, x : x + tw] for y, x in at])
+                scored = checked(fn(tiles), tiles.shape)
+                out.append(blended([(y, x, t) for (y, x), t in zip(at, scored, strict=True)], a.shape).ravel())
+            f["v"] = out
+            yield f
 
-def score(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """A user's function of batches (iterator of pandas frames to the same), with a schema that Spark checks."""
-    return rows.mapInPandas(fn, schema)
+    return frames.mapInPandas(run, frames.schema)
 
 
-def baseline(a: DataFrame, b: DataFrame, how: str = "mean") -> DataFrame:
+def score(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """frames with v as fn makes it of a whole frame; another shape or values that aren't finite are an error."""
+    return frames.withColumn("v", _each("array<double>", lambda v, h, w: checked(fn(image(v, h, w)), (int(h), int(w))).ravel(), F.col("v"), F.col("height"), F.col("width")))
+
+
+def baseline(a: Column, b: Column, how: str = "mean") -> Column:
     """The mean or the maximum of two modalities, pixel by pixel."""
-    both = a.join(b.withColumnRenamed("v", "u"), ["frame_id", "y", "x"])
-    return both.withColumn("v", (F.col("v") + F.col("u")) / 2 if how == "mean" else F.greatest("v", "u")).drop("u")
+    return F.zip_with(a, b, (lambda x, y: (x + y) / 2) if how == "mean" else F.greatest)
 
 
-def blend_masked(a: DataFrame, b: DataFrame, weight: float = 0.5) -> DataFrame:
-    """a, blended with b where b has a pixel."""
-    both = a.join(b.withColumnRenamed("v", "u"), ["frame_id", "y", "x"], "left")
-    return both.select("frame_id", "y", "x", F.when(F.col("u").isNull(), F.col("v")).otherwise(weight * F.col("v") + (1 - weight) * F.col("u")).alias("v"))
+def blend_masked(a: Column, b: Column, weight: float = 0.5) -> Column:
+    """a, blended with b where b has a pixel; all of a where there is no b."""
+    return F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: F.when(y.isNull(), x).otherwise(weight * x + (1 - weight) * y)))
 
 
 def uniform(*parts: Column) -> Column:
@@ -219,8 +299,20 @@ def augment_params(samples: DataFrame, seed: int, epoch: int, crop: int, trainin
     return samples.select("sample_id", F.floor(draw("y") * (room("height") + 1)).cast("int").alias("crop_y"), F.floor(draw("x") * (room("width") + 1)).cast("int").alias("crop_x"), (draw("flip") < 0.5).alias("flip"), (10 * draw("angle") - 5).alias("angle"), (0.8 + 0.4 * draw("gain")).alias("gain"))
 
 
-def apply_geometry(grid: DataFrame, params: DataFrame, crop: int) -> DataFrame:
-    """Crop and flip the rows of every modality by the frame's shared parameters (frame_id, crop_y, crop_x, flip)."""
-    rows = grid.join(params, "frame_id").withColumn("y", F.col("y") - F.col("crop_y")).withColumn("x", F.col("x") - F.col("crop_x"))
-    rows = rows.where((F.col("y") >= 0) & (F.col("y") < crop) & (F.col("x") >= 0) & (F.col("x") < crop))
-    return rows.withColumn("x", F.when(F.col("flip"), crop - 1 - F.col("x")).otherwise(F.col("x"))).select("frame_id", "y", "x", "v")
+def cropped(a: np.ndarray, y: int, x: int, flip: bool, crop: int, mode: str = "reflect") -> np.ndarray:
+    """A crop x crop part of a, which is padded evenly on both sides first where it is smaller: mirrored, or, where the padding is as wide as the frame, with its border."""
+    high, wide = max(0, crop - a.shape[0]), max(0, crop - a.shape[1])
+    if high or wide:
+        sides = [(high // 2, high - high // 2), (wide // 2, wide - wide // 2)]
+        narrow = any(max(s) >= n for s, n in zip(sides, a.shape, strict=True))
+        a = np.pad(a, sides, mode="edge" if narrow or mode == "replicate" else "reflect")
+    part = a[y : y + crop, x : x + crop]
+    return part[:, ::-1] if flip else part
+
+
+def apply_geometry(frames: DataFrame, params: DataFrame, crop: int, values: tuple[str, ...] = ("v",), mode: str = "reflect") -> DataFrame:
+    """Pad, crop and flip all modalities (values) of a frame by its parameters (frame_id, crop_y, crop_x, flip), which they share."""
+    rows = frames.join(params.select("frame_id", "crop_y", "crop_x", "flip"), "frame_id")
+    own = [F.col(c) for c in ("height", "width", "crop_y", "crop_x", "flip")]
+    made = {c: _each("array<double>", lambda v, h, w, y, x, f: cropped(image(v, h, w), y, x, f, crop, mode).ravel(), F.col(c), *own) for c in values}
+    return rows.withColumns(made).withColumns({"height": F.lit(crop), "width": F.lit(crop)}).drop("crop_y", "crop_x", "flip")

@@ -14,11 +14,12 @@ def joint_score(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
     return df.join(med, by).withColumn("joint", F.when(x + y > 0, 2 * x * y / (x + y)).otherwise(0.0)).drop("ma", "mb")
 
 
-def select_bin_maxima(df: DataFrame, by: str, order: str, score: str, n: int) -> DataFrame:
-    """Of each clip of at least n rows, the first maximum of each of n contiguous bins."""
+def select_bin_maxima(df: DataFrame, by: str, order: str, score: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of each clip, the first maximum of each of n contiguous bins; and an issue for each clip of fewer than n rows, which has none."""
     w = W.partitionBy(by).orderBy(order)
     rows = df.withColumn("bin", F.ntile(n).over(w)).withColumn("rows", F.count("*").over(W.partitionBy(by))).where(F.col("rows") >= n)
-    return rows.groupBy(by, "bin").agg(F.max_by(F.col(order), F.struct(F.col(score), -F.col(order))).alias(order), F.max(score).alias(score))
+    short = df.groupBy(by).agg(F.count("*").alias("rows")).where(F.col("rows") < n).select(F.lit("error").alias("level"), F.lit("fewer_rows_than_bins").alias("code"), by, "rows")
+    return rows.groupBy(by, "bin").agg(F.max_by(F.col(order), F.struct(F.col(score), -F.col(order))).alias(order), F.max(score).alias(score)), short
 
 
 def selected_frames(picked: DataFrame, by: str, order: str, fps: float) -> DataFrame:
@@ -39,8 +40,8 @@ def lag_correlation(series: DataFrame, by: str, max_lag: int = 5) -> DataFrame:
 
 
 def best_lag(correlations: DataFrame, by: str) -> DataFrame:
-    """The lag of the highest correlation, the smallest among equals."""
-    return correlations.where("r is not null").groupBy(by).agg(F.max_by("lag", F.struct("r", -F.col("lag"))).alias("best_lag"), F.max("r").alias("best_r"))
+    """The lag of the highest correlation, the smallest among those equal to nine places."""
+    return correlations.where("r is not null").groupBy(by).agg(F.max_by("lag", F.struct(F.round("r", 9), -F.col("lag"))).alias("best_lag"), F.max("r").alias("best_r"))
 
 
 def sync_diagnostic(series: DataFrame, by: str, max_lag: int = 5, least: int = 9) -> DataFrame:

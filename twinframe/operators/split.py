@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,14 +15,15 @@ WEIGHTS = {"pairs": 4.0, "experiments": 3.0, "category": 2.0, "metadata": 0.2}
 
 
 def group_features(samples: DataFrame, metadata: tuple[str, ...] = ()) -> DataFrame:
-    """leakage_group_id, kind, name, value, long: usable pairs, experiments, pairs of each category, pairs of each metadata value."""
+    """leakage_group_id, kind, name, value, long: usable pairs, experiments, pairs of each category, and 1 for each metadata value that a group has."""
     rows = samples.where("usable")
     g = "leakage_group_id"
     count = lambda kind, name: rows.groupBy(g, name.alias("name")).agg(F.count("*").cast("double").alias("value")).select(g, F.lit(kind).alias("kind"), "name", "value")
     out = count("pairs", F.lit("all")).union(rows.groupBy(g).agg(F.countDistinct("experiment_key").cast("double").alias("value")).select(g, F.lit("experiments"), F.lit("all"), "value"))
     out = out.union(count("category", F.col("category")))
     for m in metadata:
-        out = out.union(count("metadata", F.concat(F.lit(f"{m}="), F.coalesce(F.col(m), F.lit("")))))
+        name = F.concat(F.lit(f"{m}="), F.coalesce(F.col(m), F.lit("")))
+        out = out.union(rows.select(g, F.lit("metadata").alias("kind"), name.alias("name"), F.lit(1.0).alias("value")).distinct())
     return out
 
 
@@ -28,41 +33,78 @@ def target_groups(n: int, ratio: float) -> int:
 
 
 def stage_score(features: DataFrame, assigned: DataFrame, ratio: float) -> DataFrame:
-    """trial, score of assigned (trial, leakage_group_id, second): weighted squared errors of the second outcome's share of each feature, relative to ratio."""
+    """trial, score of assigned (trial, leakage_group_id, second): weighted squared errors, for both outcomes and each feature, of what the outcome has against its share of the whole, relative to that or to 1 if it is less."""
     totals = features.groupBy("kind", "name").agg(F.sum("value").alias("total"))
-    got = assigned.join(F.broadcast(features), "leakage_group_id").groupBy("trial", "kind", "name").agg(F.sum(F.when(F.col("second"), F.col("value")).otherwise(0.0)).alias("got"))
+    got = assigned.join(features, "leakage_group_id").groupBy("trial", "kind", "name").agg(F.sum(F.when(F.col("second"), F.col("value")).otherwise(0.0)).alias("got"))
     weight = F.expr("case kind " + " ".join(f"when '{k}' then {w}D" for k, w in WEIGHTS.items()) + " end")
-    error = (F.col("got") / F.col("total") - F.lit(ratio)) / F.lit(ratio)
-    return got.join(F.broadcast(totals), ["kind", "name"]).groupBy("trial").agg(F.round(F.sum(weight * error * error), 9).alias("score"))
+    square = lambda have, share: F.pow((have - F.col("total") * share) / F.greatest(F.lit(1.0), F.col("total") * share), 2)
+    both = square(F.col("got"), ratio) + square(F.col("total") - F.col("got"), 1 - ratio)
+    return got.join(totals, ["kind", "name"]).groupBy("trial").agg(F.round(F.sum(weight * both), 9).alias("score"))
 
 
 def trial_table(groups: DataFrame, seed: int, trials: int, second: int) -> DataFrame:
     """Every trial ranks the groups by a seeded hash; the first of them are the second outcome. One window for each trial, over the groups alone."""
-    spark = groups.sparkSession
-    rows = spark.range(trials).select(F.col("id").alias("trial")).join(F.broadcast(groups.select("leakage_group_id").distinct()))
+    rows = groups.select("leakage_group_id").distinct().select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trials - 1).cast("bigint"))).alias("trial"), "leakage_group_id")
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), "leakage_group_id"), 256)
     rank = F.row_number().over(W.partitionBy("trial").orderBy(order))
     return rows.withColumn("second", rank <= second)
 
 
-def assign_stage(features: DataFrame, ratio: float, seed: int, trials: int = 256) -> DataFrame:
+def greedy_table(features: DataFrame, seed: int, trials: int, second: int, ratio: float, most_groups: int = 5_000) -> DataFrame:
+    """trial, leakage_group_id, second: every trial takes the groups one by one, those of most pairs, then of most experiments first, equals by a seeded hash, and puts each where the score is lower and there is room; ties by the hash.
+
+    A trial is one task's work and needs all groups' features, which are sent to all: more than most_groups are refused,
+    for which trial_table() is the way.
+    """
+    rows = features.groupBy("leakage_group_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "name"), "value"))).alias("f")).limit(most_groups + 1).collect()
+    if len(rows) > most_groups:
+        raise ValueError(f"more than {most_groups} groups")
+    names = sorted({k for r in rows for k in r["f"]})
+    ids = [r["leakage_group_id"] for r in rows]
+    x = np.array([[r["f"].get(k, 0.0) for k in names] for r in rows]).reshape(len(ids), -1)
+    weight = np.array([WEIGHTS[k.split(":", 1)[0]] for k in names])
+    size = [tuple(r["f"].get(k, 0.0) for k in ("pairs:all", "experiments:all")) for r in rows]
+
+    def run(frames):
+        for frame in frames:
+            for trial in frame["trial"]:
+                draw = [hashlib.sha256(f"{seed}:{trial}:{g}".encode()).digest() for g in ids]
+                target = np.array([1 - ratio, ratio])[:, None] * x.sum(axis=0)[None]
+                have, room, chosen = np.zeros_like(target), [len(ids) - second, second], {}
+                for g in sorted(range(len(ids)), key=lambda g: (-size[g][0], -size[g][1], draw[g])):
+                    scores = []
+                    for side in (0, 1):
+                        have[side] += x[g]
+                        scores.append((weight * ((have - target) / np.maximum(1.0, target)) ** 2).sum() if room[side] else np.inf)
+                        have[side] -= x[g]
+                    side = draw[g][0] & 1 if abs(scores[0] - scores[1]) < 1e-12 else int(scores[1] < scores[0])
+                    have[side] += x[g]
+                    room[side] -= 1
+                    chosen[ids[g]] = bool(side)
+                yield pd.DataFrame({"trial": trial, "leakage_group_id": list(chosen), "second": list(chosen.values())})
+
+    return features.sparkSession.range(trials).select(F.col("id").alias("trial")).mapInPandas(run, "trial bigint, leakage_group_id string, second boolean")
+
+
+def assign_stage(features: DataFrame, ratio: float, seed: int, trials: int = 256, greedy: bool = False) -> DataFrame:
     """leakage_group_id, second: of the trials, the one of the lowest score, the first among equals."""
     n = features.select("leakage_group_id").distinct().count()
     if n < 2:
         raise ValueError("a split needs two groups or more")
-    table = trial_table(features, seed, trials, target_groups(n, ratio))
-    best = stage_score(features, table, ratio).orderBy("score", "trial").limit(1).select("trial")
-    return table.join(F.broadcast(best), "trial", "left_semi").select("leakage_group_id", "second")
+    second = target_groups(n, ratio)
+    table = greedy_table(features, seed, trials, second, ratio) if greedy else trial_table(features, seed, trials, second)
+    best = stage_score(features, table, ratio).agg(F.min(F.struct("score", "trial")).alias("best")).select(F.col("best.trial").alias("trial"))
+    return table.join(best, "trial", "left_semi").select("leakage_group_id", "second")
 
 
-def nested_group_split(samples: DataFrame, test_ratio: float = 0.2, val_ratio: float = 0.2, seed: int = 42, trials: int = 256, least_groups: int = 6) -> DataFrame:
+def nested_group_split(samples: DataFrame, test_ratio: float = 0.2, val_ratio: float = 0.2, seed: int = 42, trials: int = 256, least_groups: int = 6, metadata: tuple[str, ...] = (), greedy: bool = False) -> DataFrame:
     """leakage_group_id, outer_split, inner_split: test against the pool, then validation against train within it, with a seed of its own."""
-    features = group_features(samples)
+    features = group_features(samples, metadata)
     if features.select("leakage_group_id").distinct().count() < least_groups:
         raise ValueError(f"fewer than {least_groups} usable groups")
-    outer = assign_stage(features, test_ratio, seed, trials)
+    outer = assign_stage(features, test_ratio, seed, trials, greedy)
     pool = features.join(outer.where("not second"), "leakage_group_id", "left_semi")
-    inner = assign_stage(pool, val_ratio, seed * 7919 + 17, trials).withColumnRenamed("second", "val")
+    inner = assign_stage(pool, val_ratio, seed * 7919 + 17, trials, greedy).withColumnRenamed("second", "val")
     return outer.join(inner, "leakage_group_id", "left").select("leakage_group_id", F.when(F.col("second"), "test").otherwise("train_pool").alias("outer_split"), F.when(F.col("second"), "test").when(F.col("val"), "val").otherwise("train").alias("inner_split"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import audit, geometry, grid, neardup, pairing, series, split
+from ..sources import scans
+from ..sources.scans import plan_import
 from ..sources.sinks import plan_copies
 from . import inputs as I
 from .inputs import table
@@ -36,24 +38,29 @@ def flagship(spark, sf_dir):
     rows = I.samples(spark, sf_dir)
     groups = split.nested_group_split(rows)
     members = pairing.split_members(rows, groups)
-    leaks = audit.exact_duplicates(rows, members).where("level = 'error'").agg(F.count("*").alias("leaks"))
-    return audit.category_counts(rows, members).join(F.broadcast(leaks)).orderBy("split", "category")
+    leaks = audit.exact_duplicates(rows, members, I.CONTENT).where("level = 'fatal'").agg(F.count("*").alias("leaks"))
+    return audit.category_counts(rows, members).join(leaks).orderBy("split", "category")
 
 
 # --- projections -------------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey, 'customer' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS id, 'day' || CAST(n AS VARCHAR) AS day,
-  CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 2, '0') ELSE CAST(n AS VARCHAR) END AS clip
+@query("""SELECT c_custkey, 'customer' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS id, CASE WHEN n % 3 <> 0 THEN 'day' || CAST(n AS VARCHAR) END AS day, 'experiment' || CAST(n AS VARCHAR) AS experiment,
+  CASE WHEN n % 2 = 0 OR n % 5 <> 0 THEN CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 2, '0') ELSE CAST(n AS VARCHAR) END END AS clip
   FROM (SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS n FROM customer)""")
 def p1_p2_norm_ids(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("d", F.regexp_extract("c_name", "([0-9]+)$", 1))
-    return c.select("c_custkey", keys.norm_id(F.concat(F.lit("Customer "), "d"), "customer").alias("id"), keys.norm_day(F.concat(F.lit("DAY_"), "d")).alias("day"), keys.norm_clip(F.col("d")).alias("clip"))
+    """Days that lack their word and clips with a blank inside are refused."""
+    c = table(spark, sf_dir, "customer").withColumn("d", F.regexp_extract("c_name", "([0-9]+)$", 1)).withColumn("n", F.col("d").cast("bigint"))
+    day = F.concat(F.when(F.col("n") % 3 != 0, "DAY").otherwise(""), "d")
+    clip = F.when(F.col("n") % 2 == 0, F.col("d")).when(F.col("n") % 5 != 0, F.concat(F.lit("Clip"), "d")).otherwise(F.concat(F.lit("clip "), "d"))
+    return c.select("c_custkey", keys.norm_id(F.concat(F.lit(" Customer"), "d"), "customer").alias("id"), keys.norm_day(day).alias("day"), keys.norm_experiment(F.col("d")).alias("experiment"), keys.norm_clip(clip).alias("clip"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'none' WHEN 'R' THEN 'returned' END AS slug FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'none' END AS slug, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'N' END AS label, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'none' END AS again FROM lineitem")
 def p3_category_map(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", keys.norm_category(F.col("l_returnflag"), {"A": "accepted", "N": "none", "R": "returned"}).alias("slug"))
+    slugs = {"A": "accepted", "N": "none"}
+    rows = table(spark, sf_dir, "lineitem").withColumn("slug", keys.norm_category(F.col("l_returnflag"), slugs))
+    return rows.select("l_orderkey", "l_linenumber", "slug", keys.category_label(F.col("slug"), slugs).alias("label"), keys.norm_category(F.col("slug"), slugs).alias("again"))
 
 
 @query("SELECT doc_id, source || '__' || lang || '__c__k__' || CASE WHEN doc_id < 1000000 THEN lpad(CAST(doc_id AS VARCHAR), 6, '0') ELSE CAST(doc_id AS VARCHAR) END AS sample_id, source || '__' || lang AS experiment_key FROM documents")
@@ -75,9 +82,25 @@ def p6_p7_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", p.alias("p")).select("page_id", keys.safe_path(made).isNotNull().alias("safe"), keys.source_ref(F.col("p")).alias("ref"))
 
 
-@query("""SELECT n_nationkey, '{"key":' || CAST(n_nationkey AS VARCHAR) || ',"name":"' || n_name || '"}' AS json FROM nation""")
+@query("""SELECT l_orderkey, l_linenumber, '{"flag":"' || l_returnflag || '","key":' || CAST(l_orderkey AS VARCHAR) || ',"line":' || CAST(l_linenumber AS VARCHAR) || '}' AS json FROM lineitem""")
 def p9_stable_json(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", keys.stable_json(name=F.col("n_name"), key=F.col("n_nationkey")).alias("json"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", keys.stable_json(line=F.col("l_linenumber"), key=F.col("l_orderkey"), flag=F.col("l_returnflag")).alias("json"))
+
+
+@query("""SELECT doc_id, lower(source) AS task, CASE WHEN doc_id % 2 = 0 THEN lang || '/' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS path, sha256(text) AS sha256 FROM documents""")
+def p8_normalise_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.lit("C:"), F.when(F.col("doc_id") % 2 == 0, "input"), "lang", F.col("doc_id").cast("string"))
+    side = F.struct(path.alias("path"), F.sha2("text", 256).alias("sha256"))
+    d = d.select("doc_id", keys.normalise_summary(F.struct(side.alias("ir"), side.alias("rgb")), F.concat(F.lit(" "), F.upper("source"))).alias("s"))
+    return d.select("doc_id", "s.task", "s.rgb.path", "s.ir.sha256")
+
+
+@query(f"WITH {I.HASHES} SELECT a.id, CAST(hamming(a.h, b.h) AS BIGINT) AS distance FROM hashes a JOIN hashes b ON b.id = a.id + 1")
+def p18_hamming(spark, sf_dir):
+    h = I.hashes(spark, sf_dir)
+    b = h.select((F.col("id") - 1).alias("id"), F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b"))
+    return h.join(b, "id").select("id", keys.hamming(F.col("hi"), F.col("lo"), F.col("hi_b"), F.col("lo_b")).cast("bigint").alias("distance"))
 
 
 @query("SELECT event_id, event_id % 3 <> 1 AS matches, 'day1/clip/previews/' || CASE WHEN event_id < 1000000 THEN lpad(CAST(event_id AS VARCHAR), 6, '0') ELSE CAST(event_id AS VARCHAR) END || '.png' AS preview FROM events")
@@ -92,13 +115,14 @@ def p12_usability(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", F.array_join("r", ";").alias("reason"), (F.size("r") == 0).alias("usable"))
 
 
-@query("""WITH m AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 1280 ELSE 640 END AS iw, CASE WHEN p_size % 7 = 0 THEN 25.1 ELSE 25.0 END AS rf FROM part)
-SELECT p_partkey AS pair_key, 'error' AS level, 'ir_size' AS code FROM m WHERE iw <> 640 UNION ALL SELECT p_partkey, 'error', 'fps_differ' FROM m WHERE rf <> 25.0""")
+@query("""WITH m AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 1280 ELSE 640 END AS iw, CASE WHEN p_size % 7 = 0 THEN 25.1 ELSE 25.0 END AS rf, p_size % 11 = 0 AS lone, p_size % 13 = 0 AS odd FROM part)
+SELECT p_partkey AS pair_key, 'error' AS level, 'ir_size' AS code FROM m WHERE iw <> 640 UNION ALL SELECT p_partkey, 'error', 'fps_differ' FROM m WHERE rf <> 25.0 AND NOT lone UNION ALL SELECT p_partkey, 'error', 'missing_rgb' FROM m WHERE lone UNION ALL SELECT p_partkey, 'error', 'unknown_category' FROM m WHERE odd""")
 def p13_media_contract(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    side = lambda m, w, f: p.select(F.col("p_partkey").alias("pair_key"), F.lit(m).alias("modality"), w.alias("width"), F.lit(480).alias("height"), f.alias("fps"), F.lit(100).alias("frame_count"))
+    side = lambda m, w, f: p.select(F.col("p_partkey").alias("pair_key"), F.lit(m).alias("modality"), w.alias("width"), F.lit(480).alias("height"), f.alias("fps"), F.lit(100).alias("frame_count"), F.when(F.col("p_size") % 13 == 0, "x").otherwise("health").alias("category"))
     ir = side("ir", F.when(F.col("p_size") % 5 == 0, 1280).otherwise(640), F.lit(25.0))
-    return audit.check_media_pair(ir.union(side("rgb", F.lit(640), F.when(F.col("p_size") % 7 == 0, 25.1).otherwise(25.0))), 640, 480)
+    p = p.where("p_size % 11 <> 0")
+    return audit.check_media_pair(ir.union(side("rgb", F.lit(640), F.when(F.col("p_size") % 7 == 0, 25.1).otherwise(25.0))), 640, 480, categories=["health", "sick"])
 
 
 @query("""SELECT p_partkey, round(p_size / 25.0, 6) AS seconds, abs(p_size / 10.0 - p_size * 1.004 / 10.0) <= 0.005 * (p_size * 1.004 / 10.0) AS aspect_ok, CAST(ceil(p_size * 20 / 16.0) * 16 AS BIGINT) AS padded_width,
@@ -110,14 +134,14 @@ def p14_p16_media_plan(spark, sf_dir):
 
 @query(f"WITH {I.GRID}, {I.OTHER} SELECT frame_id, round(avg(0.299 * g.v + 0.587 * o.v + 0.114 * g.v), 6) + 0.0 AS luma FROM grid g JOIN other o USING (frame_id, y, x) GROUP BY frame_id")
 def p17_luma(spark, sf_dir):
-    g = I.grid(spark, sf_dir)
-    both = g.join(I.other(g).withColumnRenamed("v", "u"), ["frame_id", "y", "x"])
-    return r6(both.groupBy("frame_id").agg(F.avg(keys.luma(F.col("v"), F.col("u"), F.col("v"))).alias("luma")), "luma")
+    grey = grid.luma(F.col("v"), F.col("u"), F.col("v"))
+    return r6(I.both(spark, sf_dir).select("frame_id", grid.mean(grey).alias("luma")), "luma")
 
 
-@query(f"WITH {I.GRID} SELECT frame_id, min(v) >= 0 AND max(v) <= 1 AS valid FROM grid GROUP BY frame_id")
+@query(f"WITH {I.GRID} SELECT frame_id, min(v) >= 0 AND max(v) <= 1 AS valid FROM (SELECT frame_id, CASE WHEN frame_id % 2 = 0 THEN abs(v) / 10 ELSE v END AS v FROM grid) GROUP BY frame_id")
 def p19_unit_range(spark, sf_dir):
-    return grid.check_unit_range(I.grid(spark, sf_dir))
+    v = F.when(F.col("frame_id") % 2 == 0, F.transform("v", lambda x: F.abs(x) / 10)).otherwise(F.col("v"))
+    return I.grid(spark, sf_dir).select("frame_id", grid.check_unit_range(v).alias("valid"))
 
 
 # --- joins and pairing ----------------------------------------------------------------------------------------
@@ -144,6 +168,12 @@ def j2_pair_strict(spark, sf_dir):
     return pairing.pair_strict(a, b, ["k"])[1]
 
 
+@query(f"WITH {_SIDES} SELECT k FROM a JOIN b USING (k)")
+def j2_pair_strict_pairs(spark, sf_dir):
+    a, b, _ = _sides(spark, sf_dir)
+    return pairing.pair_strict(a, b, ["k"])[0]
+
+
 _FILES = """files AS (SELECT CAST(s_nationkey AS INT) AS g, CASE WHEN s_suppkey % 2 = 0 THEN 'ir' ELSE 'rgb' END AS modality, CASE WHEN s_suppkey % 10 = 9 THEN 'x' || CAST(s_suppkey AS VARCHAR) ELSE lpad(CAST(s_suppkey // 2 % 7 AS VARCHAR), 2, '0') END AS stem FROM supplier)"""
 
 
@@ -172,12 +202,13 @@ def j4_pair_casefold(spark, sf_dir):
     return pairing.pair_casefold(p.where("p_size % 2 = 0").select(F.upper("s").alias("s")), p.where("p_size % 3 = 0").select("s"), "s")
 
 
-@query("""WITH a AS (SELECT n_regionkey AS clip, n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0), b AS (SELECT n_regionkey AS clip, CASE WHEN n_regionkey < 2 THEN n_nationkey ELSE n_nationkey + 100 END AS k FROM nation WHERE n_nationkey % 4 < 3),
+@query("""WITH a AS (SELECT l_orderkey AS clip, l_linenumber AS k FROM lineitem WHERE l_linenumber % 2 = 0), b AS (SELECT l_orderkey AS clip, CASE WHEN l_orderkey % 3 = 0 THEN l_linenumber ELSE l_linenumber + 100 END AS k FROM lineitem WHERE l_linenumber % 4 < 3),
 x AS (SELECT clip, a.k FROM a JOIN b USING (clip) WHERE a.k = b.k)
 SELECT clip, k AS a_key, k AS b_key, 'key' AS how FROM x UNION ALL SELECT clip, p.k, q.k, 'position' FROM (SELECT clip, k, row_number() OVER (PARTITION BY clip ORDER BY k) AS i FROM a) p JOIN (SELECT clip, k, row_number() OVER (PARTITION BY clip ORDER BY k) AS i FROM b) q USING (clip, i) WHERE clip NOT IN (SELECT clip FROM x)""")
 def j5_pair_or_zip(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("clip"), F.col("n_nationkey").alias("k"))
-    return pairing.pair_or_zip(n.where("k % 2 = 0"), n.where("k % 4 < 3").withColumn("k", F.when(F.col("clip") < 2, F.col("k")).otherwise(F.col("k") + 100)), "clip", "k")
+    """Lines of an order as the frames of a clip; an order may have a line number twice."""
+    n = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("k"))
+    return pairing.pair_or_zip(n.where("k % 2 = 0"), n.where("k % 4 < 3").withColumn("k", F.when(F.col("clip") % 3 == 0, F.col("k")).otherwise(F.col("k") + 100)), "clip", "k")
 
 
 @query("""SELECT c_custkey, n_name AS leakage_group_id, CASE WHEN n_name IS NULL THEN 'unmatched' END AS issue FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey""")
@@ -194,11 +225,20 @@ def j7_match_models(spark, sf_dir):
     return pairing.match_models(s.where("k % 3 <> 0"), n.where("k % 4 <> 0"), ["k"])
 
 
-@query("""WITH o AS (SELECT user_id, event_type, 0 AS r, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_type, 1, event_id FROM events WHERE event_id % 3 = 0)
-SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY r DESC, event_id DESC) AS i FROM o) WHERE i = 1""")
+@query("""WITH o AS (SELECT user_id, event_type, 0 AS r, event_id, value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_type, 1, event_id, value FROM events WHERE event_id % 3 = 0)
+SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY r DESC, event_id DESC) AS i FROM o) WHERE i = 1""")
 def j8_upsert(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    return pairing.upsert_pairs(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["user_id", "event_type"])
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return r6(pairing.upsert_pairs(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0"), ["user_id", "event_type"]), "value")
+
+
+@query("""WITH f AS (SELECT o_custkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'ir' ELSE 'rgb' END AS modality, CAST(o_orderkey % 5 AS INT) AS number FROM orders), n AS (SELECT task, modality, number, count(*) AS c FROM f GROUP BY 1, 2, 3)
+SELECT a.task, 2 AS schema_version, string_agg(lpad(CAST(a.number AS VARCHAR), 2, '0'), ',' ORDER BY a.number) AS clips FROM n a JOIN n b ON a.task = b.task AND a.number = b.number AND a.modality = 'ir' AND b.modality = 'rgb' WHERE a.c = 1 AND b.c = 1 GROUP BY a.task""")
+def j9_migrate_jobs(spark, sf_dir):
+    """A customer's orders as the files of a job."""
+    f = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task"), F.struct(F.when(F.col("o_orderkey") % 2 == 0, "ir").otherwise("rgb").alias("modality"), (F.col("o_orderkey") % 5).cast("string").alias("stem")).alias("f"))
+    v2 = pairing.migrate_jobs(f.groupBy("task").agg(F.collect_list("f").alias("files")))
+    return v2.select("task", "schema_version", F.array_join(F.transform("pairs", lambda p: F.format_string("%02d", p["clip"])), ",").alias("clips"))
 
 
 @query("""WITH m AS (SELECT user_id AS clip, count(*) AS n FROM events GROUP BY 1), f AS (SELECT clip, n, unnest(range(0, n)) AS i FROM m)
@@ -243,12 +283,32 @@ def n2_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(I.hashes(spark, sf_dir), 5)
 
 
+@query(f"""WITH {I.HASHES}, shared AS (SELECT modality, CASE WHEN id % 7 = 0 THEN repeat('0', 64) ELSE h END AS h, id FROM hashes), c AS (SELECT modality, h, min(id) AS class, CAST(count(*) AS BIGINT) AS n FROM shared GROUP BY 1, 2)
+SELECT a.modality, a.class AS class_a, b.class AS class_b, CAST(hamming(a.h, b.h) AS BIGINT) AS distance, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.modality = b.modality AND (a.class < b.class OR (a.class = b.class AND a.n > 1)) WHERE hamming(a.h, b.h) <= 5""")
+def n2_near_classes(spark, sf_dir):
+    """A seventh of the hashes are those of a flat frame."""
+    flat = lambda c: F.when(F.col("id") % 7 == 0, F.lit(0).cast("bigint")).otherwise(F.col(c))
+    return neardup.near_classes(I.hashes(spark, sf_dir).withColumns({"hi": flat("hi"), "lo": flat("lo")}), 5)
+
+
+@query(f"""WITH {I.HASHES}, s AS (SELECT id, 'g' || CAST(id % 10 AS VARCHAR) AS grp, CASE WHEN id % 10 < 2 THEN 'test' WHEN id % 10 < 4 THEN 'val' ELSE 'train' END AS split FROM hashes WHERE id % 9 <> 0)
+SELECT a.modality, a.id AS id_a, b.id AS id_b, CAST(hamming(a.h, b.h) AS BIGINT) AS distance, x.grp AS group_a, y.grp AS group_b, x.split AS split_a, y.split AS split_b, x.split <> y.split AS cross_split
+FROM hashes a JOIN hashes b ON a.id < b.id JOIN s x ON x.id = a.id JOIN s y ON y.id = b.id WHERE hamming(a.h, b.h) <= 22""")
+def n2_annotated_duplicates(spark, sf_dir):
+    """With groups and splits by the last digit of the id; every ninth sample is unusable. The threshold is wide, so that pairs cross splits."""
+    h = I.hashes(spark, sf_dir)
+    digit = F.col("id") % 10
+    s = h.select(F.col("id").alias("sample_id"), F.concat(F.lit("g"), digit.cast("string")).alias("leakage_group_id"), (F.col("id") % 9 != 0).alias("usable"), F.when(digit < 2, "test").when(digit < 4, "val").otherwise("train").alias("split"))
+    m = s.select("sample_id", "split").union(s.where("split <> 'test'").select("sample_id", F.lit("train_pool")))
+    return neardup.annotate_duplicates(neardup.near_duplicates(h, 22), s, m).orderBy(*neardup.REPORT_ORDER)
+
+
 @query(f"""WITH {I.GRID}, c AS (SELECT i, k, cos(pi() * (2 * i + 1) * k / 16) AS c FROM range(8) a(i), range(8) b(k)),
 t AS (SELECT frame_id, p.k AS ky, q.k AS kx, sum(v * p.c * q.c) AS v FROM grid JOIN c p ON y = p.i JOIN c q ON x = q.i GROUP BY 1, 2, 3),
 m AS (SELECT frame_id, median(v) AS m FROM t WHERE ky + kx > 0 GROUP BY 1)
-SELECT frame_id, CAST(sum(CASE WHEN v > m AND ky + kx > 0 THEN 1 ELSE 0 END) AS BIGINT) AS ones FROM t JOIN m USING (frame_id) GROUP BY 1""")
+SELECT frame_id, CAST(sum(CASE WHEN ky < 4 AND v > m AND ky + kx > 0 THEN 1::BIGINT << (31 - (ky * 8 + kx)) ELSE 0 END) AS BIGINT) AS hi, CAST(sum(CASE WHEN ky >= 4 AND v > m THEN 1::BIGINT << (63 - (ky * 8 + kx)) ELSE 0 END) AS BIGINT) AS lo FROM t JOIN m USING (frame_id) GROUP BY 1""")
 def n1_phash(spark, sf_dir):
-    return neardup.phash(I.grid(spark, sf_dir), 8).select("frame_id", (F.bit_count("hi") + F.bit_count("lo")).cast("bigint").alias("ones"))
+    return I.grid(spark, sf_dir).select("frame_id", neardup.phash(F.col("v"), F.col("height"), F.col("width")).alias("h")).select("frame_id", "h.hi", "h.lo")
 
 
 # --- aggregations and audit ----------------------------------------------------------------------------------------
@@ -296,17 +356,19 @@ def a6_readiness(spark, sf_dir):
     return audit.readiness(I.samples(spark, sf_dir), _REQUIRED)
 
 
-@query("""WITH r AS (SELECT sha256('{"n_nationkey":"' || CAST(n_nationkey AS VARCHAR) || '","n_name":"' || n_name || '"}') AS h FROM nation), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY b)) AS digest FROM b""")
+@query("""WITH r AS (SELECT sha256('{"l_orderkey":"' || CAST(l_orderkey AS VARCHAR) || '","l_linenumber":"' || CAST(l_linenumber AS VARCHAR) || '","l_returnflag":"' || l_returnflag || '"}') AS h FROM lineitem)
+SELECT sha256(concat_ws(':', count(*), sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)), sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)), sum(CAST('0x' || substr(h, 31, 15) AS HUGEINT)), sum(CAST('0x' || substr(h, 46, 15) AS HUGEINT)))) AS digest FROM r""")
 def a7_table_digest(spark, sf_dir):
-    return audit.table_digest(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"])
+    return audit.table_digest(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_returnflag"])
 
 
-@query(f"""WITH {I.SAMPLES}, {I.SPLITS} SELECT sha, CAST(count(DISTINCT leakage_group_id) AS BIGINT) AS groups, CAST(count(DISTINCT split) AS BIGINT) AS splits, CAST(count(*) AS BIGINT) AS copies, CASE WHEN count(DISTINCT split) > 1 THEN 'error' ELSE 'warning' END AS level
- FROM samples LEFT JOIN (SELECT * FROM members WHERE split <> 'train_pool') USING (sample_id) GROUP BY 1 HAVING count(DISTINCT leakage_group_id) > 1""")
+@query(f"""WITH {I.SAMPLES}, {I.SPLITS}, h AS (SELECT sample_id, leakage_group_id, 'ir' AS modality, sha FROM samples UNION ALL SELECT sample_id, leakage_group_id, 'rgb', CASE WHEN n_chars % 5 <> 0 THEN head_sha END FROM samples)
+SELECT modality, sha, CAST(count(DISTINCT leakage_group_id) AS BIGINT) AS groups, CAST(count(DISTINCT split) AS BIGINT) AS splits, CAST(count(DISTINCT sample_id) AS BIGINT) AS copies, CASE WHEN count(DISTINCT split) > 1 THEN 'fatal' ELSE 'warning' END AS level,
+ CASE WHEN count(DISTINCT split) > 1 THEN 'cross_split_exact_duplicate' ELSE 'cross_group_exact_duplicate' END AS code FROM h LEFT JOIN (SELECT * FROM members WHERE split <> 'train_pool') USING (sample_id) WHERE sha IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT leakage_group_id) > 1""")
 def a8_exact_duplicates(spark, sf_dir):
+    """One in five samples lacks its second hash."""
     s = I.samples(spark, sf_dir)
-    return audit.exact_duplicates(s, pairing.split_members(s, I.group_splits(s)))
+    return audit.exact_duplicates(s.withColumn("head_sha", F.when(F.col("n_chars") % 5 != 0, F.col("head_sha"))), pairing.split_members(s, I.group_splits(s)), I.CONTENT)
 
 
 @query("""SELECT sha256(text) AS sha, CAST(count(DISTINCT source) AS BIGINT) AS tasks, CAST(count(*) AS BIGINT) AS files FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1""")
@@ -348,9 +410,9 @@ def a14_metric_history(spark, sf_dir):
     return r6(series.metric_history(log), "mean_loss")
 
 
-@query(f"""WITH {I.GRID} SELECT frame_id, y, x, CAST(CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 255) ELSE 0 END AS INT) AS v FROM (SELECT *, min(v) OVER (PARTITION BY frame_id) AS lo, max(v) OVER (PARTITION BY frame_id) AS hi FROM grid)""")
+@query(f"""WITH {I.GRID} SELECT frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 255) ELSE 0 END AS INT) AS v FROM (SELECT *, min(v) OVER (PARTITION BY frame_id) AS lo, max(v) OVER (PARTITION BY frame_id) AS hi FROM grid)""")
 def a15_normalise_8bit(spark, sf_dir):
-    return grid.normalise_8bit(I.grid(spark, sf_dir)).select(F.col("frame_id"), F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "v")
+    return grid.to_pixels(I.grid(spark, sf_dir).withColumn("v", grid.normalise_8bit(F.col("v"))))
 
 
 # --- windows and series ----------------------------------------------------------------------------------------------
@@ -368,10 +430,15 @@ s AS (SELECT clip, idx, CAST(row_number() OVER (PARTITION BY clip ORDER BY idx)
 SELECT clip, idx, sequence, lpad(CAST(sequence AS VARCHAR), 6, '0') || '.png' AS filename, timestamp_seconds, round(abs(timestamp_seconds - lag(timestamp_seconds) OVER (PARTITION BY clip ORDER BY idx)), 6) AS delta_seconds FROM s""")
 def w2_w3_selected_frames(spark, sf_dir):
     j = series.joint_score(I.frames(spark, sf_dir), "clip", "s1", "s2").withColumn("joint", F.round("joint", 9))
-    picked = series.select_bin_maxima(j, "clip", "idx", "joint", 4).select("clip", "idx")
+    picked = series.select_bin_maxima(j, "clip", "idx", "joint", 4)[0].select("clip", "idx")
     return series.selected_frames(picked, "clip", "idx", 10.0)
 
 
+@query(f"""WITH {I.FRAMES} SELECT 'error' AS level, 'fewer_rows_than_bins' AS code, clip, CAST(count(*) AS BIGINT) AS rows FROM frames GROUP BY clip HAVING count(*) < 70""")
+def w2_short_clips(spark, sf_dir):
+    return series.select_bin_maxima(I.frames(spark, sf_dir), "clip", "idx", "s1", 70)[1]
+
+
 _LAG = f"""{I.SERIES}, c AS (SELECT a.clip, g.lag, a.a, b.b FROM series a CROSS JOIN (SELECT CAST(unnest(range(-5, 6)) AS INT) AS lag) g JOIN series b ON b.t = a.t + g.lag),
 r AS (SELECT clip, lag, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(a) * stddev_pop(b) > 1e-12 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS r FROM c GROUP BY 1, 2)"""
 
@@ -381,9 +448,17 @@ def w5_lag_correlation(spark, sf_dir):
     return r6(series.lag_correlation(I.series(spark, sf_dir), "clip"), "r")
 
 
-@query(None)
+@query(f"""WITH s0 AS (SELECT user_id % 20 AS clip, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS INT) AS t, round(sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END), 6) AS a, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 6) AS b FROM events GROUP BY 1, 2),
+n AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n, row_number() OVER (PARTITION BY clip ORDER BY t) - 1 AS i FROM s0),
+p AS (SELECT clip, 0 AS seg, t, a, b FROM n UNION ALL SELECT clip, CASE WHEN i < n // 3 THEN 1 WHEN i < 2 * n // 3 THEN 2 ELSE 3 END, t, a, b FROM n),
+c AS (SELECT x.clip, x.seg, g.lag, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(x.a) * stddev_pop(y.b) > 1e-12 THEN covar_pop(x.a, y.b) / (stddev_pop(x.a) * stddev_pop(y.b)) END AS r FROM p x CROSS JOIN (SELECT CAST(unnest(range(-5, 6)) AS INT) AS lag) g JOIN p y ON x.clip = y.clip AND x.seg = y.seg AND y.t = x.t + g.lag GROUP BY 1, 2, 3),
+best AS (SELECT clip, seg, lag FROM (SELECT *, row_number() OVER (PARTITION BY clip, seg ORDER BY round(r, 9) DESC, lag) AS k FROM c WHERE r IS NOT NULL) WHERE k = 1)
+SELECT CAST(clip AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS points, (SELECT lag FROM best WHERE best.clip = s0.clip AND seg = 0) AS lag, (SELECT bool_or(lag <> 0) FROM best WHERE best.clip = s0.clip) AS warning, count(*) >= 9 AS available FROM s0 GROUP BY clip""")
 def w6_sync_diagnostic(spark, sf_dir):
-    return series.sync_diagnostic(I.series(spark, sf_dir), "clip")
+    """Daily sums of two kinds of events, for twenty sets of users."""
+    rows = table(spark, sf_dir, "events").withColumn("t", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))).withColumn("clip", F.col("user_id") % 20)
+    total = lambda k: F.round(F.sum(F.when(F.col("event_type") == k, F.col("value")).otherwise(0.0)), 6)
+    return series.sync_diagnostic(rows.groupBy("clip", "t").agg(total("click").alias("a"), total("purchase").alias("b")), "clip")
 
 
 @query(f"""WITH {I.FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n FROM frames) SELECT clip, idx, CASE WHEN idx = 0 THEN 'first' WHEN idx = n - 1 THEN 'last' ELSE 'middle' END AS place FROM n WHERE idx IN (0, n // 2, n - 1)""")
@@ -404,8 +479,7 @@ def o4_best_candidate(spark, sf_dir):
 @query(f"""WITH {I.GRID}, f AS (SELECT vec_id AS frame_id, label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings), r AS (SELECT clip, i, y, x, v FROM grid JOIN f USING (frame_id))
 SELECT r.clip, CAST(r.i AS INT) AS i, round(avg(abs(r.v - p.v)), 6) AS motion FROM r JOIN r p ON r.clip = p.clip AND r.i = p.i + 1 AND r.y = p.y AND r.x = p.x GROUP BY 1, 2""")
 def w4_motion_signal(spark, sf_dir):
-    f = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("label").alias("clip"), F.col("vec_id").alias("t"))
-    return r6(grid.motion_signal(I.grid(spark, sf_dir), f), "motion")
+    return r6(grid.motion_signal(I.grid(spark, sf_dir), "clip", "frame_id"), "motion")
 
 
 # --- sets, splits, gates ------------------------------------------------------------------------------------------------
@@ -426,10 +500,13 @@ def u2_pool_consistency(spark, sf_dir):
     return audit.pool_consistency(m.where("split <> 'train_pool' or substring(sample_id, -1, 1) <> '7'"))
 
 
-@query(f"""WITH {_SIDES} SELECT k, 'missing' AS code FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'unknown' FROM b WHERE k NOT IN (SELECT k FROM a)""")
+@query(f"""WITH {_SIDES}, e AS (SELECT k, k % 10 AS g FROM a), f AS (SELECT k, CASE WHEN k % 13 = 0 THEN -1 ELSE k % 10 END AS g FROM b UNION ALL SELECT k, k % 10 FROM b WHERE k % 17 = 0)
+SELECT k, CASE WHEN a IS NULL THEN 'missing' WHEN e IS NULL THEN 'unknown' WHEN a > 1 THEN 'duplicate' ELSE 'mismatch' END AS code FROM (SELECT k, count(*) AS e, min(g) AS eg FROM e GROUP BY k) FULL JOIN (SELECT k, count(*) AS a, min(g) AS ag FROM f GROUP BY k) USING (k) WHERE a IS NULL OR e IS NULL OR a > 1 OR eg <> ag""")
 def u3_assignment_coverage(spark, sf_dir):
+    """Orders with a group each, against lines, of which some have another group and some come twice."""
     a, b, _ = _sides(spark, sf_dir)
-    return audit.assignment_coverage(a, b, "k")
+    actual = b.withColumn("g", F.when(F.col("k") % 13 == 0, -1).otherwise(F.col("k") % 10)).union(b.where("k % 17 = 0").withColumn("g", F.col("k") % 10))
+    return audit.assignment_coverage(a.withColumn("g", F.col("k") % 10), actual, "k", "g")
 
 
 @query(f"""WITH {I.SAMPLES} SELECT 'val' AS split, sample_id, 'excluded' AS code FROM samples WHERE NOT usable UNION ALL SELECT 'val', 'x' || CAST(n_nationkey AS VARCHAR), 'unknown' FROM nation""")
@@ -439,25 +516,41 @@ def u4_member_issues(spark, sf_dir):
     return audit.member_issues(listed.withColumn("split", F.lit("val")), s)
 
 
-_TRIALS = f"""{I.SAMPLES}, {_FEATURES}, g AS (SELECT DISTINCT leakage_group_id FROM features), n AS (SELECT count(*) AS n FROM g),
-trials AS (SELECT t.trial, leakage_group_id, row_number() OVER (PARTITION BY trial ORDER BY sha256('42:' || CAST(t.trial AS VARCHAR) || ':' || leakage_group_id)) <= (SELECT least(n - 1, greatest(1, CAST(floor(n * 0.2 + 0.5) AS INT))) FROM n) AS second FROM g CROSS JOIN (SELECT unnest(range(0, 256)) AS trial) t),
-totals AS (SELECT kind, name, sum(value) AS total FROM features GROUP BY 1, 2), got AS (SELECT trial, kind, name, sum(CASE WHEN second THEN value ELSE 0 END) AS got FROM trials JOIN features USING (leakage_group_id) GROUP BY 1, 2, 3),
-scores AS (SELECT trial, round(sum(CASE kind WHEN 'pairs' THEN 4.0 WHEN 'experiments' THEN 3.0 WHEN 'category' THEN 2.0 ELSE 0.2 END * ((got / total - 0.2) / 0.2) * ((got / total - 0.2) / 0.2)), 9) AS score FROM got JOIN totals USING (kind, name) GROUP BY 1)"""
+def _search(name, groups, seed, ratio):
+    """SQL of a stage's search over the features of groups: name_trials (trial, leakage_group_id, second) and name_scores (trial, score)."""
+    square = lambda have, share: f"(({have}) - total * {share}) / greatest(1.0, total * {share})"
+    own, rest = square("got", ratio), square("total - got", 1 - ratio)
+    return f"""{name}_f AS (SELECT * FROM features WHERE leakage_group_id IN (SELECT leakage_group_id FROM {groups})), {name}_n AS (SELECT count(DISTINCT leakage_group_id) AS n FROM {name}_f),
+{name}_trials AS (SELECT t.trial, leakage_group_id, row_number() OVER (PARTITION BY trial ORDER BY sha256('{seed}:' || CAST(t.trial AS VARCHAR) || ':' || leakage_group_id)) <= (SELECT least(n - 1, greatest(1, CAST(floor(n * {ratio} + 0.5) AS INT))) FROM {name}_n) AS second FROM (SELECT DISTINCT leakage_group_id FROM {name}_f) CROSS JOIN (SELECT unnest(range(0, 256)) AS trial) t),
+{name}_totals AS (SELECT kind, name, sum(value) AS total FROM {name}_f GROUP BY 1, 2), {name}_got AS (SELECT trial, kind, name, sum(CASE WHEN second THEN value ELSE 0 END) AS got FROM {name}_trials JOIN {name}_f USING (leakage_group_id) GROUP BY 1, 2, 3),
+{name}_scores AS (SELECT trial, round(sum(CASE kind WHEN 'pairs' THEN 4.0 WHEN 'experiments' THEN 3.0 WHEN 'category' THEN 2.0 ELSE 0.2 END * (pow({own}, 2) + pow({rest}, 2))), 9) AS score FROM {name}_got JOIN {name}_totals USING (kind, name) GROUP BY 1),
+{name}_best AS (SELECT leakage_group_id, second FROM {name}_trials WHERE trial = (SELECT trial FROM {name}_scores ORDER BY score, trial LIMIT 1))"""
 
 
-@query(f"WITH {_TRIALS} SELECT trial, round(score, 6) AS score FROM scores")
+_TRIALS = f"{I.SAMPLES}, {_FEATURES}, {_search('outer', 'features', 42, 0.2)}"
+_NESTED = f"""{_TRIALS}, pool AS (SELECT leakage_group_id FROM outer_best WHERE NOT second), {_search('inner', 'pool', 42 * 7919 + 17, 0.2)},
+nested AS (SELECT o.leakage_group_id, CASE WHEN o.second THEN 'test' ELSE 'train_pool' END AS outer_split, CASE WHEN o.second THEN 'test' WHEN i.second THEN 'val' ELSE 'train' END AS inner_split FROM outer_best o LEFT JOIN inner_best i USING (leakage_group_id))"""
+
+
+@query(f"WITH {_TRIALS} SELECT trial, round(score, 6) AS score FROM outer_scores")
 def g2_stage_score(spark, sf_dir):
     f = split.group_features(I.samples(spark, sf_dir))
     n = f.select("leakage_group_id").distinct().count()
     return r6(split.stage_score(f, split.trial_table(f, 42, 256, split.target_groups(n, 0.2)), 0.2), "score")
 
 
-@query(f"WITH {_TRIALS} SELECT leakage_group_id, second FROM trials WHERE trial = (SELECT trial FROM scores ORDER BY score, trial LIMIT 1)")
+@query(f"WITH {_TRIALS} SELECT * FROM outer_best")
 def g3_assign_stage(spark, sf_dir):
     return split.assign_stage(split.group_features(I.samples(spark, sf_dir)), 0.2, 42)
 
 
 @query(None)
+def g3_assign_stage_greedy(spark, sf_dir):
+    """The search whose trials take the largest groups first; its tests hold it against a loop over all choices."""
+    return split.assign_stage(split.group_features(I.samples(spark, sf_dir)), 0.2, 42, 64, greedy=True)
+
+
+@query(f"WITH {_NESTED} SELECT * FROM nested")
 def g4_nested_group_split(spark, sf_dir):
     return split.nested_group_split(I.samples(spark, sf_dir))
 
@@ -473,15 +566,108 @@ def q1_row_issues(spark, sf_dir):
     return audit.row_issues(I.samples(spark, sf_dir), {"excluded_sample": ("warning", ~F.col("usable")), "short_file": ("fatal", F.col("n_chars") < 100)})
 
 
+@query("""WITH s AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS sample_id, doc_id AS n, doc_id % 6 <> 0 AS usable FROM documents UNION ALL SELECT 'd' || CAST(doc_id AS VARCHAR), doc_id, doc_id % 6 <> 0 FROM documents WHERE doc_id % 41 = 0),
+safe AS (SELECT *, n % 17 <> 0 AS ok, n % 7 <> 0 AS ir_there, n % 11 <> 0 AS rgb_there, n % 13 <> 0 AS readable FROM s), seen AS (SELECT *, usable AND ok AND n % 19 <> 0 AND ir_there AND rgb_there AND readable AS seen, usable AND ok AS looked FROM safe)
+SELECT sample_id, level, code FROM (
+SELECT sample_id, 'fatal' AS level, 'duplicate_sample_id' AS code FROM s WHERE n % 41 = 0 UNION ALL SELECT sample_id, 'fatal', 'sample_missing_group' FROM s WHERE n % 23 = 0 UNION ALL SELECT sample_id, 'fatal', 'unknown_group' FROM s WHERE n % 23 <> 0 AND n % 29 = 0
+UNION ALL SELECT sample_id, 'fatal', 'preview_in_samples' FROM s WHERE n % 19 = 0 UNION ALL SELECT sample_id, 'warning', 'excluded_sample' FROM s WHERE NOT usable UNION ALL SELECT sample_id, 'fatal', 'invalid_path' FROM safe WHERE usable AND NOT ok
+UNION ALL SELECT sample_id, 'fatal', 'stem_mismatch' FROM seen WHERE looked AND n % 19 = 0 UNION ALL SELECT sample_id, 'fatal', 'missing_ir' FROM seen WHERE looked AND (NOT ir_there OR n % 19 = 0) UNION ALL SELECT sample_id, 'fatal', 'missing_rgb' FROM seen WHERE looked AND NOT rgb_there
+UNION ALL SELECT sample_id, 'fatal', 'unreadable_image' FROM seen WHERE looked AND n % 19 <> 0 AND ir_there AND rgb_there AND NOT readable UNION ALL SELECT sample_id, 'fatal', 'size_mismatch' FROM seen WHERE seen AND n % 5 = 0 UNION ALL SELECT sample_id, 'fatal', 'ir_mode_mismatch' FROM seen WHERE seen AND n % 3 = 0)""")
+def q1_sample_issues(spark, sf_dir):
+    """Documents as samples with every fault, each by a divisor of the id."""
+    n = F.col("doc_id")
+    by = lambda k: n % k == 0
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    name = F.concat(F.format_string("%06d", n.cast("int")), F.lit(".png"))
+    path = lambda m: F.concat(F.when(by(17), "../").otherwise("a/"), F.lit(f"{m}/"), name)
+    ir = F.when(by(19) & ~by(17), F.concat(F.lit("a/ir/sync_preview"), name)).when(by(19), F.concat(F.lit("../sync_preview"), name)).otherwise(path("ir"))
+    s = d.union(d.where(by(41))).select(F.concat(F.lit("d"), n.cast("string")).alias("sample_id"), F.when(by(23), "").when(by(29), "other").otherwise("g").alias("leakage_group_id"), ir.alias("ir_path"), path("rgb").alias("rgb_path"), (~by(6)).alias("usable"))
+    file = lambda m, k, w, mode: d.where(~by(k)).select(F.concat(F.lit(f"a/{m}/"), name).alias("path"), (~by(13)).alias("readable"), w.alias("width"), F.lit(64).alias("height"), mode.alias("mode"))
+    files = file("ir", 7, F.when(by(5), 32).otherwise(64), F.when(by(3), "L").otherwise("RGB")).union(file("rgb", 11, F.lit(64), F.lit("RGB")))
+    return audit.sample_issues(s, table(spark, sf_dir, "region").select(F.lit("g").alias("leakage_group_id")), files, ["RGB"], ["RGB"])
+
+
 @query(f"""WITH {I.SAMPLES} SELECT CAST(count(*) FILTER (n_chars < 100) AS BIGINT) AS fatals, CAST(0 AS BIGINT) AS errors, CAST(count(*) FILTER (NOT usable) AS BIGINT) AS warnings, count(*) FILTER (n_chars < 100) = 0 AS formal_ready FROM samples""")
 def q4_audit_summary(spark, sf_dir):
     return audit.audit_summary(q1_row_issues(spark, sf_dir), True)
 
 
-@query(None)
+@query(f"""WITH {I.SAMPLES}, {I.SPLITS}, bad AS (SELECT * FROM members WHERE split <> 'val' OR sample_id IN (SELECT sample_id FROM samples WHERE category <> 'de') UNION ALL SELECT sample_id, 'test' FROM members WHERE split = 'val' AND sample_id LIKE '%7' UNION ALL SELECT sample_id, 'train_pool' FROM members WHERE split = 'test' AND sample_id LIKE '%3'),
+i AS (SELECT DISTINCT b.sample_id, split, leakage_group_id, category FROM bad b JOIN samples USING (sample_id) WHERE split <> 'train_pool'), p AS (SELECT DISTINCT sample_id FROM bad WHERE split = 'train_pool'), t AS (SELECT DISTINCT sample_id FROM bad WHERE split IN ('train', 'val'))
+SELECT DISTINCT 'fatal' AS level, 'shared_sample' AS code, least_split || '/' || most_split AS key FROM (SELECT CASE WHEN a.split = 'train' OR b.split = 'train' THEN 'train' ELSE 'val' END AS least_split, CASE WHEN a.split = 'test' OR b.split = 'test' THEN 'test' ELSE 'val' END AS most_split FROM i a JOIN i b ON a.sample_id = b.sample_id AND a.split < b.split)
+UNION ALL SELECT DISTINCT 'fatal', 'shared_group', least_split || '/' || most_split FROM (SELECT CASE WHEN a.split = 'train' OR b.split = 'train' THEN 'train' ELSE 'val' END AS least_split, CASE WHEN a.split = 'test' OR b.split = 'test' THEN 'test' ELSE 'val' END AS most_split FROM (SELECT DISTINCT leakage_group_id, split FROM i) a JOIN (SELECT DISTINCT leakage_group_id, split FROM i) b ON a.leakage_group_id = b.leakage_group_id AND a.split < b.split)
+UNION ALL SELECT 'fatal', 'pool_only', sample_id FROM p WHERE sample_id NOT IN (SELECT sample_id FROM t) UNION ALL SELECT 'fatal', 'missing_in_pool', sample_id FROM t WHERE sample_id NOT IN (SELECT sample_id FROM p) UNION ALL SELECT DISTINCT 'fatal', 'pool_and_test', sample_id FROM p WHERE sample_id IN (SELECT sample_id FROM bad WHERE split = 'test')
+UNION ALL SELECT 'fatal', 'category_missing', s.split || '/' || c.category FROM (SELECT DISTINCT split FROM i) s CROSS JOIN (SELECT DISTINCT category FROM i) c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.split = s.split AND i.category = c.category)""")
 def q5_basic_audit(spark, sf_dir):
+    """A split with faults of each kind: validation lacks a language, some of its samples are in test too, some of test are in the pool."""
     s = I.samples(spark, sf_dir)
-    return audit.basic_audit(s, pairing.split_members(s, I.group_splits(s)))
+    m = pairing.split_members(s, I.group_splits(s))
+    no_german = m.join(s.select("sample_id", "category"), "sample_id").where("split <> 'val' or category <> 'de'").select("sample_id", "split")
+    more = m.where("split = 'val' and sample_id like '%7'").select("sample_id", F.lit("test")).union(m.where("split = 'test' and sample_id like '%3'").select("sample_id", F.lit("train_pool")))
+    return audit.basic_audit(s, no_german.union(more))
+
+
+def _version(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"))
+    return audit.table_digest(rows, ["sample_id"]).withColumns({"formal": F.lit(True), "schema_version": F.lit(1)})
+
+
+@query("""SELECT count(*) AS usable_rows FROM orders""")
+def q6_assert_usable(spark, sf_dir):
+    """Orders as a version that its digest opens; a wrong digest, tried first, is refused."""
+    version = _version(spark, sf_dir)
+    none = version.select(F.lit("fatal").alias("level"), F.lit("x").alias("code")).where("false")
+    try:
+        audit.assert_usable(version, "0", none)
+    except ValueError:
+        audit.assert_usable(version, version.first()["digest"], none)
+        return table(spark, sf_dir, "orders").agg(F.count("*").alias("usable_rows"))
+    raise AssertionError("a wrong digest was accepted")
+
+
+@query(f"""WITH {I.SAMPLES}, {I.SPLITS} SELECT sample_id, experiment_key, category, CAST(count(*) OVER () AS BIGINT) AS pairs FROM samples JOIN members USING (sample_id) WHERE split = 'test'""")
+def q7_collect_heldout(spark, sf_dir):
+    s = I.samples(spark, sf_dir)
+    version = _version(spark, sf_dir)
+    none = version.select(F.lit("fatal").alias("level"), F.lit("x").alias("code")).where("false")
+    rows, about = audit.collect_heldout(version, version.first()["digest"], none, s, pairing.split_members(s, I.group_splits(s)))
+    return rows.select("sample_id", "experiment_key", "category").join(about.select("pairs"))
+
+
+def _imports(spark, sf_dir):
+    """Documents as files: every seventh has no second modality, and a ninth of the languages is unknown."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha256"), F.substring("source", 4, 2).cast("int").alias("e"))
+    side = lambda m, rows: rows.select(F.format_string("in/day%d/experiment%d/%s/clip%d/%s/%06d.png", (F.col("doc_id") % 2).cast("int"), "e", F.when(F.col("lang") == "fr", "xx").otherwise(F.col("lang")), (F.col("doc_id") % 3).cast("int"), F.lit(m), F.col("doc_id").cast("int")).alias("path"), "sha256")
+    return side("ir", d).union(side("rgb", d.where("doc_id % 7 <> 0")))
+
+
+_IMPORTS = """d AS (SELECT doc_id, 'day' || CAST(doc_id % 2 AS VARCHAR) AS day, 'experiment' || CAST(CAST(substr(source, 4, 2) AS INT) AS VARCHAR) AS experiment, CASE WHEN lang <> 'fr' THEN 'slug_' || lang END AS category, lpad(CAST(doc_id % 3 AS VARCHAR), 2, '0') AS clip FROM documents),
+c AS (SELECT day, experiment, category, clip, CAST(count(*) FILTER (doc_id % 7 <> 0) AS BIGINT) AS pairs, CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) AS one_sided FROM d GROUP BY 1, 2, 3, 4)"""
+_SLUGS = {"de": "slug_de", "en": "slug_en", "es": "slug_es"}
+
+
+@query(f"WITH {_IMPORTS} SELECT *, concat_ws('/', 'out', day, experiment, category, clip) AS target FROM c")
+def q11_plan_import(spark, sf_dir):
+    f = _imports(spark, sf_dir)
+    return plan_import(f, f.limit(0), _SLUGS, list(_SLUGS.values()), "out")[0]
+
+
+@query(f"""WITH {_IMPORTS}, f AS (SELECT doc_id, concat_ws('/', 'out', day, experiment, category, clip, m, lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.png') AS path, m FROM d CROSS JOIN (VALUES ('ir'), ('rgb')) x(m) WHERE category IS NOT NULL AND (m = 'ir' OR doc_id % 7 <> 0))
+SELECT path, CASE WHEN doc_id % 4 = 0 AND m = 'ir' THEN 'identical' WHEN doc_id % 4 = 1 AND m = 'ir' THEN 'conflict' ELSE 'copy' END AS action FROM f""")
+def q11_import_copies(spark, sf_dir):
+    """Some files are there already, some with other content."""
+    f = _imports(spark, sf_dir)
+    n = F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("int")
+    target = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "^in/", "out/"), "/clip([0-9])/", "/0$1/"), "/(de|en|es)/", "/slug_$1/")
+    there = f.where(n.isNotNull() & (n % 4 < 2) & F.col("path").contains("/ir/")).select(target.alias("path"), F.when(n % 4 == 0, F.col("sha256")).otherwise("x").alias("sha256"))
+    return plan_import(f, there, _SLUGS, list(_SLUGS.values()), "out")[1]
+
+
+@query(f"""WITH {_IMPORTS}, w AS (SELECT day || '__' || experiment AS e, category, count(*) AS clips FROM c WHERE category IS NOT NULL AND pairs > 0 AND one_sided = 0 GROUP BY 1, 2), r AS (SELECT count(*) AS n FROM (SELECT e FROM w GROUP BY e HAVING count(*) = 3))
+SELECT category, CAST(sum(clips) AS BIGINT) AS clips, CAST((SELECT n FROM r) AS BIGINT) AS complete_experiments FROM w GROUP BY category""")
+def q11_import_readiness(spark, sf_dir):
+    f = _imports(spark, sf_dir)
+    return plan_import(f, f.limit(0), _SLUGS, list(_SLUGS.values()), "out")[2]
 
 
 @query("""SELECT o_orderkey AS task, CASE WHEN present >= expected THEN 'skip' WHEN present > 0 THEN 'fail' ELSE 'run' END AS action FROM (SELECT o_orderkey, count(l_orderkey) FILTER (l_linestatus = 'F') AS present, CASE WHEN count(l_orderkey) = 0 THEN 1 ELSE count(l_orderkey) END AS expected FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)""")
@@ -510,6 +696,79 @@ def k4_plan_copies(spark, sf_dir):
     return plan_copies(d.select("path", "sha256"), there)
 
 
+# --- scans of tables of paths, frames and jobs ------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(n % 6 AS INT) AS clip, CASE WHEN n % 50 = 0 THEN '' ELSE CAST(n % 90 AS VARCHAR) || '.png' END AS filename, CASE WHEN n % 50 = 0 THEN 'empty_filename' ELSE 'duplicate_filename' END AS code FROM (SELECT doc_id AS n FROM documents)
+GROUP BY 1, 2, 3 HAVING any_value(n % 50) = 0 OR count(*) > 1""")
+def s6_frame_issues(spark, sf_dir):
+    n = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select((n % 6).cast("int").alias("clip"), F.when(n % 50 == 0, "").otherwise(F.concat((n % 90).cast("string"), F.lit(".png"))).alias("filename"), n.alias("source_frame_0_based"))
+    frames, issues = scans.read_frames(d)
+    if "source_frame_index_0_based" not in frames.columns:
+        raise AssertionError("the index column has neither of its names")
+    return issues
+
+
+@query(f"WITH {_IMPORTS} SELECT DISTINCT day, experiment, clip, 'ir' AS modality, lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.png' AS file FROM d")
+def s7_parse_paths(spark, sf_dir):
+    f = _imports(spark, sf_dir).where(F.col("path").contains("/ir/"))
+    return scans.parse_paths(f).where("parsed").select("day", "experiment", "clip", "modality", "file")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'day' || CAST(doc_id AS VARCHAR) END AS day, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'experiment' || CAST(doc_id % 7 AS VARCHAR) ELSE 'experiment1' END AS experiment, CASE WHEN doc_id % 5 <> 0 AND lang IN ('de', 'en') THEN lang END AS category FROM documents""")
+def s8_loose_identity(spark, sf_dir):
+    """A folder before the day is never an experiment or a category, and one after the category no experiment; 'day 7' is no day."""
+    n = F.col("doc_id")
+    day = F.when(n % 5 == 0, F.concat(F.lit("day "), n.cast("string"))).otherwise(F.concat(F.lit("Day0"), n.cast("string")))
+    own = F.when(n % 6 == 0, (n % 7).cast("string")).when(n % 3 == 0, F.concat(F.lit("Experiment"), (n % 7).cast("string")))
+    folder = F.concat_ws("/", F.lit("de/experiment9"), day, own, F.lit("x"), "lang", F.lit("experiment8"))
+    d, e, c = scans.parse_loose_identity(folder, ["de", "en"])
+    return table(spark, sf_dir, "documents").select("doc_id", d.alias("day"), e.alias("experiment"), c.alias("category"))
+
+
+@query("SELECT o_orderkey AS task FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0")
+def s9_ready_tasks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"))
+    return scans.ready_tasks(o.where("task % 2 = 0").withColumn("name", F.lit("READY")).union(o.where("task % 3 = 0").withColumn("name", F.lit("job.json"))))
+
+
+def _jobs(spark, sf_dir):
+    """Customers' orders as jobs: a third is of version 1 and finds its pairs among files, the others list them with every kind of fault."""
+    n, k = F.col("o_custkey"), F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    clip = F.when(k % 19 == 0, "x").otherwise(F.concat(F.lit("clip"), (k % 50).cast("string")))
+    pair = F.struct(clip.alias("clip"), F.when(k % 7 == 0, "other").otherwise("health").alias("category"), F.when(k % 11 == 0, "../a").otherwise("a").alias("ir"), F.lit("b").alias("rgb"), (k % 5 != 0).alias("user_confirmed"))
+    lists = o.where(n % 3 != 0).groupBy(n.alias("task")).agg(F.collect_list(pair).alias("pairs"))
+    old = o.where(n % 3 == 0).select(n.alias("task")).distinct()
+    jobs = lists.select("task", F.lit("experiment").alias("job_type"), F.lit(2).alias("schema_version"), "pairs").unionByName(old.select("task", F.lit("experiment").alias("job_type"), F.lit(None).cast("int").alias("schema_version")), allowMissingColumns=True)
+    files = o.where(n % 3 == 0).select(n.alias("task"), F.lit("health").alias("category"), F.when(k % 2 == 0, "ir").otherwise("rgb").alias("modality"), (k % 6).cast("string").alias("stem"))
+    return scans.read_job_pairs(jobs, files, ["health", "sick"])
+
+
+_JOBS = """v AS (SELECT o_custkey AS task, o_orderkey AS k, CASE WHEN o_orderkey % 19 <> 0 THEN lpad(CAST(o_orderkey % 50 AS VARCHAR), 2, '0') END AS clip, CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE 'health' END AS category FROM orders WHERE o_custkey % 3 <> 0),
+w AS (SELECT *, CASE WHEN clip IS NULL THEN 'not_a_number' WHEN category = 'other' THEN 'unknown_category' WHEN count(*) OVER (PARTITION BY task, category, clip) > 1 THEN 'duplicate_clip' WHEN k % 5 = 0 THEN 'not_confirmed' WHEN k % 11 = 0 THEN 'unsafe_path' END AS code FROM v),
+f AS (SELECT o_custkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'ir' ELSE 'rgb' END AS modality, o_orderkey % 6 AS stem, count(*) AS c FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_JOBS} SELECT task, clip, 'a' AS ir FROM w WHERE code IS NULL UNION ALL SELECT a.task, lpad(CAST(a.stem AS VARCHAR), 2, '0'), CAST(a.stem AS VARCHAR) FROM f a JOIN f b ON a.task = b.task AND a.stem = b.stem AND a.modality = 'ir' AND b.modality = 'rgb' WHERE a.c = 1 AND b.c = 1")
+def s10_job_pairs(spark, sf_dir):
+    return _jobs(spark, sf_dir)[0].select("task", "clip", "ir")
+
+
+@query(f"""WITH {_JOBS} SELECT task, COALESCE(clip, 'x') AS clip, code FROM w WHERE code IS NOT NULL UNION ALL SELECT task, CAST(stem AS VARCHAR), 'ambiguous_number' FROM f WHERE c > 1
+UNION ALL SELECT task, CAST(stem AS VARCHAR), 'unpaired' FROM f WHERE c = 1 AND NOT EXISTS (SELECT 1 FROM f g WHERE g.task = f.task AND g.stem = f.stem AND g.modality <> f.modality AND g.c = 1)""")
+def s10_job_issues(spark, sf_dir):
+    return _jobs(spark, sf_dir)[1]
+
+
+@query("SELECT 'only_left' AS code, 'x/' || CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0 UNION ALL SELECT 'only_right', 'x/' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0")
+def s11_pair_folders(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    side = lambda root, k: d.where(F.col("doc_id") % k != 0).select(F.lit(root).alias("root"), F.concat(F.lit(f"{root}/x/"), F.col("doc_id").cast("string")).alias("path"))
+    return scans.scan_pair_folders(side("/vis", 3), side("/ir/deep", 4))[1]
+
+
 # --- grids and tiles --------------------------------------------------------------------------------------------------------
 
 _LAPLACE = "SELECT frame_id, y, x, sum(w * v) AS v FROM (SELECT g.frame_id, t.y, t.x, t.w, g.v FROM (SELECT f.frame_id, p.y, p.x, k.w, least(greatest(p.y + k.dy, 0), 7) AS sy, least(greatest(p.x + k.dx, 0), 7) AS sx FROM (SELECT DISTINCT frame_id FROM grid) f CROSS JOIN (SELECT i // 8 AS y, i % 8 AS x FROM range(64) r(i)) p CROSS JOIN (VALUES (0, 0, -4.0), (0, 1, 1.0), (0, -1, 1.0), (1, 0, 1.0), (-1, 0, 1.0)) k(dy, dx, w)) t JOIN grid g ON g.frame_id = t.frame_id AND g.y = t.sy AND g.x = t.sx) GROUP BY 1, 2, 3"
@@ -517,7 +776,13 @@ _LAPLACE = "SELECT frame_id, y, x, sum(w * v) AS v FROM (SELECT g.frame_id, t.y,
 
 @query(f"WITH {I.GRID}, c AS ({_LAPLACE}) SELECT frame_id, round(var_pop(v), 6) AS sharpness FROM c GROUP BY 1")
 def x1_x2_sharpness(spark, sf_dir):
-    return r6(grid.sharpness(I.grid(spark, sf_dir), (8, 8)), "sharpness")
+    return r6(I.grid(spark, sf_dir).select("frame_id", grid.sharpness(F.col("v"), *I.size()).alias("sharpness")), "sharpness")
+
+
+@query(f"WITH {I.GRID}, k(dy, dx, w) AS (VALUES (0, 0, 0.5), (-1, 2, 0.25), (1, 0, -1.0)) SELECT a.frame_id, CAST(a.y AS INT) AS y, CAST(a.x AS INT) AS x, round(sum(w * b.v), 6) + 0.0 AS v FROM grid a JOIN k ON true JOIN grid b ON a.frame_id = b.frame_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3")
+def x1_convolve(spark, sf_dir):
+    v = grid.convolve(F.col("v"), *I.size(), {(0, 0): 0.5, (-1, 2): 0.25, (1, 0): -1.0})
+    return r6(grid.to_pixels(I.grid(spark, sf_dir).withColumn("v", v)), "v")
 
 
 _GRAD = """SELECT frame_id, y, x, sqrt(gy * gy + gx * gx) AS g FROM (SELECT frame_id, y, x, CASE WHEN yb IS NULL THEN ya - v WHEN ya IS NULL THEN v - yb ELSE (ya - yb) / 2 END AS gy, CASE WHEN xb IS NULL THEN xa - v WHEN xa IS NULL THEN v - xb ELSE (xa - xb) / 2 END AS gx
@@ -525,35 +790,65 @@ _GRAD = """SELECT frame_id, y, x, sqrt(gy * gy + gx * gx) AS g FROM (SELECT fram
 
 
 @query(f"""WITH {I.GRID}, {I.OTHER}, a AS ({_GRAD.format('grid')}), b AS ({_GRAD.format('other')})
-SELECT frame_id, round(CASE WHEN count(a.g) = count(*) AND count(b.g) = count(*) AND stddev_pop(a.g) >= 1e-8 AND stddev_pop(b.g) >= 1e-8 THEN covar_pop(a.g, b.g) / (stddev_pop(a.g) * stddev_pop(b.g)) END, 6) AS edge_correlation FROM a FULL JOIN b USING (frame_id, y, x) GROUP BY 1""")
+SELECT a.frame_id, round(CASE WHEN stddev_pop(a.g) >= 1e-8 AND stddev_pop(b.g) >= 1e-8 THEN covar_pop(a.g, b.g) / (stddev_pop(a.g) * stddev_pop(b.g)) END, 6) AS edge_correlation FROM a LEFT JOIN b USING (frame_id, y, x) GROUP BY 1""")
 def x3_edge_correlation(spark, sf_dir):
-    g = I.grid(spark, sf_dir)
-    return r6(grid.edge_correlation(g, I.other(g)), "edge_correlation")
+    """The last frame has no other modality, so no correlation."""
+    return r6(I.both(spark, sf_dir, "left").select("frame_id", grid.edge_correlation(F.col("v"), F.col("u"), *I.size()).alias("edge_correlation")), "edge_correlation")
 
 
-@query(f"""WITH {I.GRID}, {I.OTHER}, a AS ({_GRAD.format('grid')}), b AS ({_GRAD.format('other')}), e AS (SELECT frame_id, round(CASE WHEN count(a.g) = count(*) AND count(b.g) = count(*) THEN covar_pop(a.g, b.g) / (stddev_pop(a.g) * stddev_pop(b.g)) END, 6) AS c FROM a FULL JOIN b USING (frame_id, y, x) GROUP BY 1)
+@query(f"""WITH {I.GRID}, {I.OTHER}, a AS ({_GRAD.format('grid')}), b AS ({_GRAD.format('other')}), e AS (SELECT a.frame_id, round(covar_pop(a.g, b.g) / (stddev_pop(a.g) * stddev_pop(b.g)), 6) AS c FROM a LEFT JOIN b USING (frame_id, y, x) GROUP BY 1)
 SELECT frame_id, CASE WHEN c >= 0.1 THEN 'pass_information_only' ELSE 'manual_review' END AS review, CASE WHEN c IS NULL THEN 'no_edges_or_sizes_differ' WHEN c < 0.1 THEN 'weak_edges' ELSE '' END AS note FROM e""")
 def q3_registration_review(spark, sf_dir):
     return audit.registration_review(x3_edge_correlation(spark, sf_dir)).select("frame_id", "review", "note")
 
 
-@query(None)
+def _ssim(a, b, name):
+    """SQL of name (frame_id, s): structural similarity of two tables of pixels, as sums over all 121 weights of the two-dimensional window."""
+    sums = ", ".join(f"sum(w * {e}) AS {n}" for n, e in {"ma": "a", "mb": "b", "aa": "a * a", "bb": "b * b", "ab": "a * b"}.items())
+    return f"""{name}_p AS (SELECT frame_id, y, x, a.v AS a, b.v AS b FROM {a} a JOIN {b} b USING (frame_id, y, x)),
+{name}_m AS (SELECT t.frame_id, t.y, t.x, {sums} FROM (SELECT p.frame_id, q.y, q.x, g.w * h.w AS w, p.a, p.b FROM {name}_p p JOIN {name}_p q ON p.frame_id = q.frame_id JOIN gauss g ON g.d = p.y - q.y JOIN gauss h ON h.d = p.x - q.x) t GROUP BY 1, 2, 3),
+{name} AS (SELECT frame_id, avg(((2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4)) / ((ma * ma + mb * mb + 1e-4) * ((aa - ma * ma) + (bb - mb * mb) + 9e-4))) AS s FROM {name}_m GROUP BY 1)"""
+
+
+_GAUSS = "gauss AS (SELECT i - 5 AS d, exp(-((i - 5) ** 2) / 4.5) / (SELECT sum(exp(-((j - 5) ** 2) / 4.5)) FROM range(11) s(j)) AS w FROM range(11) r(i))"
+
+
+@query(f"WITH {I.GRID}, {I.OTHER}, {_GAUSS}, {_ssim('grid', 'other', 's')} SELECT frame_id, round(s, 6) AS ssim FROM s")
 def x4_ssim(spark, sf_dir):
-    g = I.grid(spark, sf_dir)
-    return r6(grid.ssim(g, I.other(g)), "ssim")
+    return r6(I.both(spark, sf_dir).select("frame_id", grid.ssim(F.col("v"), F.col("u"), *I.size()).alias("ssim")), "ssim")
 
 
-@query(None)
+def _against(of):
+    """SQL: mean error of three tables of pixels made by of(table), the first against the larger of the others."""
+    return f"(SELECT frame_id, avg(abs(f.v - greatest(i.v, r.v))) AS e FROM ({of('fused')}) f JOIN ({of('grid')}) i USING (frame_id, y, x) JOIN ({of('other')}) r USING (frame_id, y, x) GROUP BY 1)"
+
+
+@query(f"""WITH {I.GRID}, {I.OTHER}, {_GAUSS}, fused AS (SELECT frame_id, y, x, (a.v + b.v) / 2 AS v FROM grid a JOIN other b USING (frame_id, y, x)), {_ssim('fused', 'grid', 's')}, {_ssim('fused', 'other', 't')},
+m AS (SELECT p.frame_id, p.e AS intensity, q.e AS gradient, 1 - greatest(s.s, t.s) AS structure, z.e AS edge FROM {_against(lambda t: f'SELECT * FROM {t}')} p JOIN {_against(lambda t: 'SELECT frame_id, y, x, g AS v FROM (' + _GRAD.format(t) + ')')} q USING (frame_id) JOIN s USING (frame_id) JOIN t USING (frame_id)
+ JOIN {_against(lambda t: f'SELECT a.frame_id, a.y, a.x, abs(sum(w * b.v)) AS v FROM {t} a JOIN (VALUES (0, 0, -4.0), (0, 1, 1.0), (0, -1, 1.0), (1, 0, 1.0), (-1, 0, 1.0)) k(dy, dx, w) ON true JOIN {t} b ON a.frame_id = b.frame_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3')} z USING (frame_id))
+SELECT frame_id, round(intensity, 6) AS intensity, round(gradient, 6) AS gradient, round(structure, 6) AS structure, round(edge, 6) AS edge, round(intensity + 10 * gradient + 5 * structure + 2 * edge, 6) AS total FROM m""")
 def x5_fusion_quality(spark, sf_dir):
-    g = I.grid(spark, sf_dir)
-    return r6(grid.fusion_quality(grid.baseline(g, I.other(g)), g, I.other(g)), "intensity", "gradient", "structure", "edge", "total")
+    b = I.both(spark, sf_dir)
+    q = grid.fusion_quality(grid.baseline(F.col("v"), F.col("u")), F.col("v"), F.col("u"), *I.size())
+    return r6(b.select("frame_id", q.alias("q")).select("frame_id", "q.*"), "intensity", "gradient", "structure", "edge", "total")
 
 
-@query(None)
+_WARPED = """t AS (SELECT DISTINCT frame_id, y, x, (1.0 * x + 0.1 * y + 0.25) / (0.01 * x + 1.0) AS sx, (0.05 * x + 1.1 * y - 0.5) / (0.01 * x + 1.0) AS sy FROM grid)"""
+
+
+def _warped(spark, sf_dir):
+    h = F.array(*(F.lit(x) for x in (1.0, 0.1, 0.25, 0.05, 1.1, -0.5, 0.01, 0.0, 1.0)))
+    return I.grid(spark, sf_dir).withColumn("w", grid.warp(F.col("v"), *I.size(), h))
+
+
+@query(f"WITH {I.GRID}, {_WARPED} SELECT frame_id, round(avg(CASE WHEN floor(sx + 0.5) BETWEEN 0 AND 7 AND floor(sy + 0.5) BETWEEN 0 AND 7 THEN 1.0 ELSE 0.0 END), 6) AS overlap FROM t GROUP BY 1")
+def x19_warp_overlap(spark, sf_dir):
+    return r6(_warped(spark, sf_dir).select("frame_id", "w.overlap"), "overlap")
+
+
+@query(f"""WITH {I.GRID}, {_WARPED} SELECT t.frame_id, CAST(t.y AS INT) AS y, CAST(t.x AS INT) AS x, round(sum((1 - abs(sx - g.x)) * (1 - abs(sy - g.y)) * v), 6) + 0.0 AS v FROM t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(dy, dx) JOIN grid g ON g.frame_id = t.frame_id AND g.y = floor(sy) + dy AND g.x = floor(sx) + dx GROUP BY 1, 2, 3""")
 def x19_warp(spark, sf_dir):
-    g = I.grid(spark, sf_dir)
-    h = g.select("frame_id").distinct().select("frame_id", F.array(*(F.lit(x) for x in (1.0, 0.0, 0.25, 0.0, 1.0, -0.5, 0.0, 0.0, 1.0))).alias("h"))
-    return r6(grid.warp_grid(g, h, (8, 8))[1], "overlap")
+    return r6(grid.to_pixels(_warped(spark, sf_dir).withColumn("v", F.col("w.v"))), "v")
 
 
 @query("""SELECT clip, y, x, CAST(count(DISTINCT frame) AS BIGINT) AS frames FROM (SELECT l_returnflag AS clip, l_orderkey % 3 AS frame, CAST(l_quantity AS INT) AS y, l_linenumber AS x FROM lineitem WHERE l_discount > 0.05) GROUP BY 1, 2, 3 HAVING count(DISTINCT frame) >= 2""")
@@ -562,14 +857,21 @@ def x20_temporal_consensus(spark, sf_dir):
     return grid.temporal_consensus(p, 2)
 
 
+@query(f"WITH {I.GRID} SELECT CAST(frame_id // 5 AS BIGINT) AS clip, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(median(v), 6) + 0.0 AS v FROM grid GROUP BY 1, 2, 3")
+def x20_median_background(spark, sf_dir):
+    """Five frames to a clip."""
+    m = grid.median_background(I.grid(spark, sf_dir).withColumn("clip", F.expr("frame_id div 5")), "clip")
+    return r6(grid.to_pixels(m.withColumnRenamed("clip", "frame_id")).withColumnRenamed("frame_id", "clip"), "v")
+
+
 _SETS = "a AS (SELECT DISTINCT p_brand AS grp, p_size AS y, CAST(floor(p_retailprice / 20) AS INT) AS x FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT p_brand AS grp, p_size AS y, CAST(floor(p_retailprice / 20) AS INT) AS x FROM part WHERE p_partkey % 2 = 1)"
 
 
-@query(f"""WITH {_SETS}, d AS (SELECT a.grp, a.y, a.x, least(8.0, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2))) AS d FROM a JOIN b USING (grp) GROUP BY 1, 2, 3 UNION ALL SELECT b.grp, b.y, b.x, least(8.0, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2))) FROM a JOIN b USING (grp) GROUP BY 1, 2, 3)
-SELECT grp, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.9), 6) AS p90, round(avg(CASE WHEN d <= 1.5 THEN 1.0 ELSE 0.0 END), 6) AS within FROM d GROUP BY 1""")
+@query(f"""WITH {_SETS}, d AS (SELECT a.grp, a.y, a.x, least(9.0, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2))) AS d FROM a JOIN b USING (grp) GROUP BY 1, 2, 3 UNION ALL SELECT b.grp, b.y, b.x, least(9.0, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2))) FROM a JOIN b USING (grp) GROUP BY 1, 2, 3)
+SELECT grp, CASE WHEN quantile_cont(d, 0.5) <= 1 AND quantile_cont(d, 0.75) <= 4 THEN 'excellent' WHEN quantile_cont(d, 0.5) <= 2 AND quantile_cont(d, 0.75) <= 8 THEN 'good' WHEN quantile_cont(d, 0.5) <= 4 THEN 'fair' ELSE 'poor' END AS rating, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.9), 6) AS p90, round(avg(CASE WHEN d <= 1.5 THEN 1.0 ELSE 0.0 END), 6) AS within FROM d GROUP BY 1""")
 def x21_chamfer(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("grp"), F.col("p_size").alias("y"), F.floor(F.col("p_retailprice") / 20).cast("int").alias("x"))
-    return r6(grid.chamfer(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "grp"), "median", "p75", "p90", "within")
+    return r6(grid.chamfer_rating(grid.chamfer(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "grp")), "median", "p75", "p90", "within")
 
 
 _TILES = "f AS (SELECT p_partkey AS frame_id, p_size + 40 AS h, p_size * 2 + 35 AS w FROM part), ys AS (SELECT DISTINCT frame_id, w, unnest(list_append(range(0, h - 32 + 1, 24), h - 32)) AS y0 FROM f), t AS (SELECT DISTINCT frame_id, CAST(y0 AS INT) AS y0, CAST(unnest(list_append(range(0, w - 32 + 1, 24), w - 32)) AS INT) AS x0 FROM ys)"
@@ -581,36 +883,45 @@ def x23_plan_tiles(spark, sf_dir):
     return grid.plan_tiles(f, 32, 8)
 
 
-@query(f"WITH {I.GRID} SELECT frame_id, y, x, round(v, 6) + 0.0 AS v FROM grid")
+@query(f"WITH {I.GRID} SELECT frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(v, 6) + 0.0 AS v FROM grid")
 def x24_blend_identity(spark, sf_dir):
-    """Tiles of 4 with an overlap of 2, scored by the identity, blend to the grid itself."""
-    g = I.grid(spark, sf_dir)
-    tiles = grid.plan_tiles(g.select("frame_id").distinct().select("frame_id", F.lit(8).alias("height"), F.lit(8).alias("width")), 4, 2)
-    inside = F.expr("y >= y0 and y < y0 + 4 and x >= x0 and x < x0 + 4")
-    values = g.join(tiles, "frame_id").where(inside).select("frame_id", "y0", "x0", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")
-    out = grid.blend_tiles(grid.score(values, lambda it: it, values.schema), 4)
-    return r6(out.select("frame_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "v"), "v")
+    """Tiles of 4 with an overlap of 2, scored by the identity, blend to the frame itself."""
+    return r6(grid.to_pixels(grid.score_tiled(I.grid(spark, sf_dir), lambda tiles: tiles, 4, 2)), "v")
 
 
-@query(f"WITH {I.GRID}, {I.OTHER} SELECT frame_id, y, x, round(CASE WHEN o.v IS NULL THEN g.v ELSE 0.5 * g.v + 0.5 * o.v END, 6) + 0.0 AS v FROM grid g LEFT JOIN (SELECT * FROM other WHERE y > 2) o USING (frame_id, y, x)")
+@query(f"""WITH {I.GRID}, t AS (SELECT y0, x0 FROM (VALUES (0), (3), (4)) a(y0) CROSS JOIN (VALUES (0), (3), (4)) b(x0)), k AS (SELECT i, greatest(1e-3, 0.5 - 0.5 * cos(2 * pi() * (i + 0.5) / 4)) AS w FROM range(4) r(i)),
+p AS (SELECT frame_id, g.y, g.x, v, y0, x0, a.w * b.w AS w, max(v) OVER (PARTITION BY frame_id, y0, x0) AS m FROM grid g JOIN t ON g.y BETWEEN y0 AND y0 + 3 AND g.x BETWEEN x0 AND x0 + 3 JOIN k a ON a.i = g.y - y0 JOIN k b ON b.i = g.x - x0)
+SELECT frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(sum(w * (m - v)) / sum(w), 6) + 0.0 AS v FROM p GROUP BY 1, 2, 3""")
+def x24_x25_score_tiled(spark, sf_dir):
+    """Tiles of 4 with an overlap of 1, each scored by its distance to the tile's largest value."""
+    return r6(grid.to_pixels(grid.score_tiled(I.grid(spark, sf_dir), lambda tiles: tiles.max(axis=(1, 2), keepdims=True) - tiles, 4, 1)), "v")
+
+
+@query(f"WITH {I.GRID}, {I.OTHER} SELECT frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(CASE WHEN o.v IS NULL THEN g.v ELSE 0.5 * g.v + 0.5 * o.v END, 6) + 0.0 AS v FROM grid g LEFT JOIN (SELECT * FROM other WHERE v > 0) o USING (frame_id, y, x)")
 def x26_blend_masked(spark, sf_dir):
-    g = I.grid(spark, sf_dir)
-    out = grid.blend_masked(g, I.other(g).where("y > 2"))
-    return r6(out.select("frame_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "v"), "v")
+    """Pixels of the other modality above zero are valid; the last frame has none."""
+    b = I.both(spark, sf_dir, "left").withColumn("u", F.transform("u", lambda x: F.when(x > 0, x)))
+    return r6(grid.to_pixels(b.withColumn("v", grid.blend_masked(F.col("v"), F.col("u")))), "v")
 
 
-@query("""WITH u AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS sample_id FROM documents), d AS (SELECT sample_id, CAST(('0x' || substr(sha256('42:1:' || sample_id || ':y'), 1, 12)) AS BIGINT) / 281474976710656.0 AS uy, CAST(('0x' || substr(sha256('42:1:' || sample_id || ':flip'), 1, 12)) AS BIGINT) / 281474976710656.0 AS uf FROM u)
-SELECT sample_id, CAST(floor(uy * 33) AS INT) AS crop_y, uf < 0.5 AS flip FROM d""")
+@query("""WITH u AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS sample_id FROM documents), d AS (SELECT sample_id, salt, CAST(('0x' || substr(sha256('42:1:' || sample_id || ':' || salt), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM u CROSS JOIN (VALUES ('y'), ('x'), ('flip'), ('angle'), ('gain')) s(salt))
+SELECT sample_id, CAST(floor(max(u) FILTER (salt = 'y') * 33) AS INT) AS crop_y, CAST(floor(max(u) FILTER (salt = 'x') * 65) AS INT) AS crop_x, max(u) FILTER (salt = 'flip') < 0.5 AS flip, round(10 * max(u) FILTER (salt = 'angle') - 5, 6) AS angle, round(0.8 + 0.4 * max(u) FILTER (salt = 'gain'), 6) AS gain FROM d GROUP BY 1""")
 def x27_augment_params(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), F.lit(96).alias("height"), F.lit(96).alias("width"))
-    return grid.augment_params(s, 42, 1, 64).select("sample_id", "crop_y", "flip")
+    s = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), F.lit(96).alias("height"), F.lit(128).alias("width"))
+    return r6(grid.augment_params(s, 42, 1, 64), "angle", "gain")
 
 
-@query(f"WITH {I.GRID} SELECT frame_id, y - 1 AS y, CASE WHEN frame_id % 2 = 0 THEN 5 - (x - 2) ELSE x - 2 END AS x, v FROM grid WHERE y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 7")
+@query(f"WITH {I.GRID} SELECT frame_id, CAST(y - 1 AS INT) AS y, CAST(CASE WHEN frame_id % 2 = 0 THEN 5 - (x - 2) ELSE x - 2 END AS INT) AS x, v FROM grid WHERE y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 7")
 def x28_apply_geometry(spark, sf_dir):
     g = I.grid(spark, sf_dir)
-    p = g.select("frame_id").distinct().select("frame_id", F.lit(1).alias("crop_y"), F.lit(2).alias("crop_x"), (F.col("frame_id") % 2 == 0).alias("flip"))
-    return grid.apply_geometry(g, p, 6).select("frame_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "v")
+    return grid.to_pixels(grid.apply_geometry(g, g.select("frame_id", F.lit(1).alias("crop_y"), F.lit(2).alias("crop_x"), (F.col("frame_id") % 2 == 0).alias("flip")), 6))
+
+
+@query(f"WITH {I.GRID}, m AS (SELECT i, CASE WHEN i < 2 THEN 2 - i WHEN i > 9 THEN 16 - i ELSE i - 2 END AS s FROM range(12) r(i)) SELECT frame_id, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x, v FROM grid JOIN m a ON y = a.s JOIN m b ON x = b.s")
+def x28_pad(spark, sf_dir):
+    """Frames of 8 for a crop of 12 are mirrored by two pixels on every side."""
+    g = I.grid(spark, sf_dir)
+    return grid.to_pixels(grid.apply_geometry(g, g.select("frame_id", F.lit(0).alias("crop_y"), F.lit(0).alias("crop_x"), F.lit(False).alias("flip")), 12))
 
 
 # --- geometry -----------------------------------------------------------------------------------------------------------------
@@ -635,16 +946,31 @@ def x6_x7_adapt_homography(spark, sf_dir):
     return rows.select("p_partkey", F.round(F.col("a")[0], 6).alias("h11"), F.round(F.col("a")[3], 6).alias("h21"), F.round(F.col("a")[6], 9).alias("h31"), geometry.is_valid(F.col("a")).alias("valid"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN n < 4 OR rmse > 2.0 THEN 'failed' WHEN w > 0 THEN 'provisional_warning' WHEN n >= 18 THEN 'formal' ELSE 'provisional' END AS status,
- CASE WHEN n < 4 OR rmse > 2.0 THEN 'reject' WHEN w = 0 AND n >= 18 THEN 'accept' ELSE 'review' END AS rating, n >= 10 AS accepted FROM (SELECT s_suppkey, s_suppkey % 25 AS n, s_acctbal / 4000 AS rmse, s_suppkey % 3 AS w FROM supplier)""")
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 25 AS n, s_acctbal / 12000 AS e, s_suppkey % 5 = 0 AS w, s_suppkey % 3 = 0 AS b FROM supplier)
+SELECT s_suppkey, CASE WHEN n < 4 THEN 'failed' WHEN w OR e > 0.75 OR e * 1.5 > 1.2 OR e * 3.5 > 2.25 OR e * 1.7 > 1.2 THEN 'provisional_warning' WHEN n >= 18 THEN 'formal' ELSE 'provisional' END AS status,
+ n >= 10 AND abs(e) * 3 <= 2.0 AS accepted,
+ CASE WHEN b AND e * 3 <= 1 THEN 'excellent' WHEN b AND e * 3 <= 2 THEN 'good' WHEN b THEN 'review_required' WHEN n >= 10 AND abs(e) * 3 <= 0.5 THEN 'excellent' WHEN n >= 10 AND abs(e) * 3 <= 2.0 THEN 'good' WHEN n % 2 = 0 THEN 'calibration_model_passed' ELSE 'calibration_fallback_review_required' END AS rating FROM s""")
 def x17_x18_x22_status(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).alias("pairs"), (F.col("s_acctbal") / 4000).alias("rmse"), F.lit(2.0).alias("most_rmse"), (F.col("s_suppkey") % 3).alias("warnings"))
-    rows = geometry.quality_status(s).withColumns({"chamfer_rating": F.lit("good"), "overlap": F.lit(0.9)})
-    rows = geometry.geometric_rating(rows).withColumns({"inliers": F.col("pairs") * 2, "matches": F.col("pairs") * 4, "coverage": F.lit(0.5), "median_error": F.lit(1.0), "area_ratio": F.lit(1.0)})
-    return geometry.refine_gate(rows).select("s_suppkey", "status", "rating", "accepted")
+    e = F.col("s_acctbal") / 12000
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).alias("pairs"), e.alias("rmse"), (e * 1.5).alias("p95"), (e * 3.5).alias("max_error"), (e * 1.7).alias("left_out"), (F.col("s_suppkey") % 5 == 0).alias("warning"), (F.col("s_suppkey") % 3 == 0).alias("board_accepted"))
+    rows = geometry.quality_status(s).withColumns({"inliers": F.col("pairs") * 2, "matches": F.col("pairs") * 4, "coverage": F.lit(0.5), "median_error": F.abs("rmse") * 3, "area_ratio": F.lit(1.0), "board_rmse": F.col("rmse") * 3, "calibration_good": F.col("pairs") % 2 == 0})
+    return geometry.geometric_rating(geometry.refine_gate(rows).withColumn("refined", F.col("accepted"))).select("s_suppkey", "status", "accepted", "rating")
 
 
-@query(None)
+def _solved(points, by):
+    """SQL of sums, elimination and models (by, h): least squares over 44 sums, by eliminating one unknown after another."""
+    rows = [["ir_x", "ir_y", "1.0", "0.0", "0.0", "0.0", "-rgb_x * ir_x", "-rgb_x * ir_y", "rgb_x"], ["0.0", "0.0", "0.0", "ir_x", "ir_y", "1.0", "-rgb_y * ir_x", "-rgb_y * ir_y", "rgb_y"]]
+    cells = ", ".join(f"sum(({rows[0][i]}) * ({rows[0][j]}) + ({rows[1][i]}) * ({rows[1][j]}))" for i in range(8) for j in range(9))
+    return f"""sums AS (SELECT {by}, [{cells}] AS m FROM {points} GROUP BY {by}),
+steps AS (SELECT {by}, 0 AS k, m FROM sums UNION ALL SELECT {by}, k + 1, list_transform(range(0, 72), lambda i: CASE WHEN i // 9 = k THEN m[i + 1] / m[k * 10 + 1] ELSE m[i + 1] - m[(i // 9) * 9 + k + 1] * m[k * 9 + i % 9 + 1] / m[k * 10 + 1] END) FROM steps WHERE k < 8),
+models AS (SELECT {by}, list_transform(range(0, 8), lambda i: m[i * 9 + 9]) AS h FROM steps WHERE k = 8)"""
+
+
+_PX, _PY = (f"(h[{i}] * {{0}} + h[{i + 1}] * {{1}} + h[{i + 2}]) / (h[7] * {{0}} + h[8] * {{1}} + 1)" for i in (1, 4))
+_ERROR = f"(({_PX.format('ir_x', 'ir_y')}) - rgb_x) ** 2 + (({_PY.format('ir_x', 'ir_y')}) - rgb_y) ** 2"
+
+
+@query(f"WITH RECURSIVE {I.POINTS}, {_solved('points', 'grp')} SELECT grp, round(sqrt(avg({_ERROR})), 6) AS rmse FROM points JOIN models USING (grp) GROUP BY grp")
 def x10_fit_homography(spark, sf_dir):
     """Errors of the fitted matrices: as low as the noise that the points were given."""
     p = I.points(spark, sf_dir)
@@ -654,21 +980,46 @@ def x10_fit_homography(spark, sf_dir):
 @query(None)
 def x11_fit_robust(spark, sf_dir):
     p = I.points(spark, sf_dir)
-    return geometry.fit_robust(p, ["grp"], 16, 0.05).select("grp", "inliers")
+    return geometry.fit_robust(p, ["grp"], threshold=0.05).select("grp", "inliers")
 
 
 @query(None)
+def x12_filter_pairs(spark, sf_dir):
+    """One pair of each group is shifted by 5 pixels and goes."""
+    p = I.points(spark, sf_dir).withColumn("rgb_x", F.col("rgb_x") + F.when(F.col("pair") == F.col("grp") % 5, 5.0).otherwise(0.0))
+    return geometry.filter_pairs(p, ["grp"], "pair", 0.1, 0.2, 0.4, threshold=0.05)[1]
+
+
+@query(f"""WITH RECURSIVE {I.POINTS}, other AS (SELECT a.grp, a.pair, b.ir_x, b.ir_y, b.rgb_x, b.rgb_y FROM (SELECT DISTINCT grp, pair FROM points) a JOIN points b ON a.grp = b.grp AND a.pair <> b.pair), {_solved('other', 'grp, pair')}
+SELECT grp, pair, round(sqrt(avg({_ERROR})), 6) AS rmse FROM points JOIN models USING (grp, pair) GROUP BY 1, 2""")
 def x13_leave_one_out(spark, sf_dir):
     return r6(geometry.leave_one_out(I.points(spark, sf_dir), ["grp"], "pair"), "rmse")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {I.POINTS}, {_solved('points', 'grp, pair')}, seen AS (SELECT grp, pair, k, {_PX.format('(k % 3)', '(k // 3)')} AS x, {_PY.format('(k % 3)', '(k // 3)')} AS y FROM models CROSS JOIN range(9) r(k) WHERE (SELECT count(*) FROM points p WHERE p.grp = models.grp AND p.pair = models.pair) >= 4),
+d AS (SELECT a.grp, a.pair, median(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS s FROM seen a JOIN seen b ON a.grp = b.grp AND a.k = b.k AND a.pair <> b.pair GROUP BY 1, 2)
+SELECT grp, arg_min(pair, s) AS medoid, round(min(s), 4) AS spread, round(max(s), 4) AS widest FROM d GROUP BY 1""")
 def x14_medoid(spark, sf_dir):
     p = I.points(spark, sf_dir)
     models = geometry.fit_homography(p, ["grp", "pair"]).where("h is not null")
-    return geometry.select_medoid(models, ["grp"], "pair", 1.0, 1.0).select("grp", F.round("spread", 4).alias("spread"))
+    return geometry.select_medoid(models, ["grp"], "pair", 3.0, 3.0).select("grp", "medoid", F.round("spread", 4).alias("spread"), F.round("widest", 4).alias("widest"))
 
 
-@query(None)
+@query(f"""WITH {I.POINTS}, e AS (SELECT a.grp, a.pair, sum(a.rgb_x * b.rgb_y - b.rgb_x * a.rgb_y) / 2 AS area FROM points a JOIN points b ON a.grp = b.grp AND a.pair = b.pair AND a.pt <> b.pt
+ WHERE NOT EXISTS (SELECT 1 FROM points c WHERE c.grp = a.grp AND c.pair = a.pair AND (b.rgb_x - a.rgb_x) * (c.rgb_y - a.rgb_y) - (b.rgb_y - a.rgb_y) * (c.rgb_x - a.rgb_x) < 0) GROUP BY 1, 2),
+c AS (SELECT grp, pair, avg(rgb_x) AS cx, avg(rgb_y) AS cy FROM points GROUP BY 1, 2), r AS (SELECT grp, (max(cx) - min(cx)) / 4 AS sx, (max(cy) - min(cy)) / 2 AS sy, max(area) / min(area) AS q FROM c JOIN e USING (grp, pair) GROUP BY 1)
+SELECT grp, round(sx, 6) AS span_x, round(sy, 6) AS span_y, round(q, 6) AS area_ratio, greatest(sx, sy) < 0.05 AND q < 1.05 AS warning FROM r""")
 def x16_diversity(spark, sf_dir):
-    return r6(geometry.diversity(I.points(spark, sf_dir), ["grp"], "pair"), "span_x", "span_y", "area_ratio")
+    return r6(geometry.diversity(I.points(spark, sf_dir), ["grp"], "pair", 4.0, 2.0), "span_x", "span_y", "area_ratio")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'reversed' WHEN 2 THEN 'rows_reversed' ELSE 'columns_reversed' END AS turn, CAST(12 AS BIGINT) AS corners FROM part WHERE p_partkey % 4 < 4")
+def x9_order_corners(spark, sf_dir):
+    """Boards of 4 x 3 corners, one for each part, whose second camera lists them in one of the four orders."""
+    i = F.col("idx")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("idx"), F.col("p_size").cast("double").alias("s"))
+    at = F.when(F.col("p_partkey") % 4 == 0, i).when(F.col("p_partkey") % 4 == 1, 11 - i).when(F.col("p_partkey") % 4 == 2, F.expr("(2 - idx div 4) * 4 + idx % 4")).otherwise(F.expr("(idx div 4) * 4 + 3 - idx % 4"))
+    x = lambda k: (k % 4) * 20.0 + 100
+    y = lambda k: F.floor(k / 4) * 20.0 + 50
+    rows = p.withColumn("at", at).select("p_partkey", "idx", x(i).alias("ir_x"), y(i).alias("ir_y"), (x(F.col("at")) + F.col("s") + 0.001 * x(F.col("at")) * y(F.col("at"))).alias("rgb_x"), (y(F.col("at")) * 1.1 + 0.002 * x(F.col("at"))).alias("rgb_y"))
+    return geometry.order_corners(rows, ["p_partkey"], 4, 3).groupBy("p_partkey").agg(F.min("turn").alias("turn"), F.count("*").alias("corners"))

@@ -12,15 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Documents as samples: source is the experiment, language the category, their pair the clip.
 SAMPLES = """samples AS (SELECT 'd' || CAST(d.doc_id AS VARCHAR) AS sample_id, d.source AS experiment_key, d.lang AS category, d.source || '_' || d.lang AS clip_id,
-  'group-' || CAST(CAST(substr(d.source, 4) AS INT) % 10 AS VARCHAR) AS leakage_group_id, COALESCE(l.quality, 1) = 1 AS usable, sha256(d.text) AS sha, d.n_chars AS n_chars
+  'group-' || CAST(CAST(substr(d.source, 4) AS INT) % 10 AS VARCHAR) AS leakage_group_id, COALESCE(l.quality, 1) = 1 AS usable, sha256(d.text) AS sha, sha256(substr(d.text, 1, 60)) AS head_sha, d.n_chars AS n_chars
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
+#: Two contents of a sample: its whole text, and how that begins.
+CONTENT = {"ir": "sha", "rgb": "head_sha"}
+
+
 def samples(spark, sf_dir) -> DataFrame:
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     return d.join(l, "doc_id", "left").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), F.col("source").alias("experiment_key"), F.col("lang").alias("category"), F.concat("source", F.lit("_"), "lang").alias("clip_id"),
-        F.concat(F.lit("group-"), (F.expr("cast(substr(source, 4) as int)") % 10).cast("string")).alias("leakage_group_id"), (F.coalesce("quality", F.lit(1)) == 1).alias("usable"), F.sha2("text", 256).alias("sha"), "n_chars")
+        F.concat(F.lit("group-"), (F.expr("cast(substr(source, 4) as int)") % 10).cast("string")).alias("leakage_group_id"), (F.coalesce("quality", F.lit(1)) == 1).alias("usable"), F.sha2("text", 256).alias("sha"), F.sha2(F.substring("text", 1, 60), 256).alias("head_sha"), "n_chars")
 
 
 #: A fixed split by the last digit of the group.
@@ -40,16 +44,21 @@ GRID = """grid AS (SELECT frame_id, i // 8 AS y, i % 8 AS x, v FROM (SELECT vec_
 
 
 def grid(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.posexplode("embedding").alias("i", "v"))
-    return rows.select("frame_id", F.expr("cast(i div 8 as int)").alias("y"), (F.col("i") % 8).alias("x"), F.col("v").cast("double").alias("v"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("clip"))
 
 
 #: The frame after a frame, as its other modality.
 OTHER = "other AS (SELECT frame_id - 1 AS frame_id, y, x, v FROM grid)"
 
 
-def other(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("frame_id", F.col("frame_id") - 1)
+def size():
+    return F.col("height"), F.col("width")
+
+
+def both(spark, sf_dir, how: str = "inner") -> DataFrame:
+    """Frames with their other modality as u."""
+    g = grid(spark, sf_dir)
+    return g.join(g.select((F.col("frame_id") - 1).alias("frame_id"), F.col("v").alias("u")), "frame_id", how)
 
 
 #: Vectors as corner points that a fixed matrix maps, but for a little noise.

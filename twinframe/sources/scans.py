@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import norm_clip, norm_day, norm_experiment
+from ..functions.keys import norm_category, norm_clip, norm_day, norm_experiment, safe_path
+from ..operators.audit import readiness
+from ..operators.pairing import pair_numeric, pair_strict
+from .sinks import plan_copies
 
 
 def scan_fingerprints(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -28,7 +31,7 @@ def scan_png_headers(files: DataFrame) -> DataFrame:
 
 
 def scan_grid(spark: SparkSession, root: str, size: int) -> DataFrame:
-    """frame_id (path), y, x, v: grey values in [0, 1] of all images under root, averaged over areas to at most size on the longer side."""
+    """Frames (frame_id: its path, height, width, v): grey values in [0, 1] of all images under root, averaged over areas to at most size on the longer side."""
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root).select("image.*")
 
     def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,10 +43,9 @@ def scan_grid(spark: SparkSession, root: str, size: int) -> DataFrame:
                 ys, xs = np.arange(0, r.height, step), np.arange(0, r.width, step)
                 sums = np.add.reduceat(np.add.reduceat(grey, ys, axis=0), xs, axis=1)
                 area = np.diff([*ys, r.height])[:, None] * np.diff([*xs, r.width])[None]
-                y, x = np.indices(sums.shape)
-                yield pd.DataFrame({"frame_id": r.origin, "y": y.ravel(), "x": x.ravel(), "v": (sums / area).ravel()})
+                yield pd.DataFrame({"frame_id": [r.origin], "height": [sums.shape[0]], "width": [sums.shape[1]], "v": [(sums / area).ravel()]})
 
-    return images.mapInPandas(pixels, "frame_id string, y int, x int, v double")
+    return images.mapInPandas(pixels, "frame_id string, height int, width int, v array<double>")
 
 
 def read_table(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
@@ -56,9 +58,10 @@ def read_table(spark: SparkSession, path: str, required: list[str]) -> DataFrame
 
 def read_summaries(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON documents, one to a file, and issues for those that aren't an object of the schema."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").json(root, multiLine=True, mode="PERMISSIVE").withColumn("path", F.input_file_name())
-    bad = F.col("_corrupt_record").isNotNull()
-    return df.where(~bad).drop("_corrupt_record"), df.where(bad).select("path", F.lit("not_an_object").alias("code"))
+    df = spark.read.text(root, wholetext=True).withColumn("path", F.input_file_name())
+    df = df.withColumn("d", F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.coalesce(F.col("d._corrupt_record").isNotNull() | ~F.col("value").rlike(r"^\\s*\\{"), F.lit(True))
+    return df.where(~bad).select("d.*", "path").drop("_corrupt_record"), df.where(bad).select("path", F.lit("not_an_object").alias("code"))
 
 
 def read_frames(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,16 +77,18 @@ def parse_paths(files: DataFrame, column: str = "path") -> DataFrame:
     """day, experiment, category, clip, modality, file of .../day/experiment/category/clip/ir|rgb/file; parsed is false where a path isn't so."""
     pattern = r"([^/]+)/([^/]+)/([^/]+)/([^/]+)/(ir|rgb)/([^/]+)$"
     part = lambda i: F.regexp_extract(column, pattern, i)
-    return files.withColumn("parsed", F.col(column).rlike(pattern)).withColumns({"day": norm_day(part(1)), "experiment": norm_experiment(part(2)), "category": part(3), "clip": norm_clip(F.regexp_replace(part(4), "^clip", "")), "modality": part(5), "file": part(6)})
+    return files.withColumn("parsed", F.col(column).rlike(pattern)).withColumns({"day": norm_day(part(1)), "experiment": norm_experiment(part(2)), "category": part(3), "clip": norm_clip(part(4)), "modality": part(5), "file": part(6)})
 
 
-def parse_loose_identity(path: Column, categories: list[str]) -> tuple[Column, Column, Column]:
-    """Day of the first segment 'day N', experiment of the first 'experiment N' (else experiment1), and the first category named anywhere after."""
-    parts = F.split(F.lower(path), "/")
-    day = F.get(F.filter(parts, lambda x: x.rlike("^day[ _-]*[0-9]+$")), 0)
-    exp = F.get(F.filter(parts, lambda x: x.rlike("^experiment[ _-]*[0-9]+$")), 0)
-    cat = F.get(F.filter(parts, lambda x: x.isin(*categories)), 0)
-    return norm_day(day), F.coalesce(norm_experiment(exp), F.lit("experiment1")), cat
+def parse_loose_identity(folder: Column, categories: list[str]) -> tuple[Column, Column, Column]:
+    """Of a folder: the day of its first segment dayN, the experiment if the next segment is one (else experiment1), and the first category named after that; all null without a day."""
+    parts = F.split(folder, "/")
+    at = F.array_position(F.transform(parts, lambda x: norm_day(x).isNotNull()), True).cast("int")
+    after = F.when(at > 0, F.slice(parts, at + 1, F.size(parts)))
+    own = norm_experiment(F.get(after, 0))
+    rest = F.when(own.isNull(), after).otherwise(F.slice(after, 2, F.size(parts)))
+    experiment = F.when(at > 0, F.coalesce(own, F.lit("experiment1")))
+    return norm_day(F.get(parts, at - 1)), experiment, F.get(F.filter(rest, lambda x: x.isin(*categories)), 0)
 
 
 def ready_tasks(files: DataFrame, marker: str = "READY", manifest: str = "job.json") -> DataFrame:
@@ -92,12 +97,54 @@ def ready_tasks(files: DataFrame, marker: str = "READY", manifest: str = "job.js
     return have(marker).join(have(manifest), "task", "left_semi")
 
 
-def read_job_pairs(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Version 2 jobs (task, pairs array<struct<clip, ir, rgb, user_confirmed>>) as rows, and issues: duplicate clips, unconfirmed pairs, paths that leave the folder."""
-    from ..functions.keys import safe_path
-
-    rows = jobs.select("task", F.explode("pairs").alias("p")).select("task", "p.*")
-    twice = rows.groupBy("task", "clip").agg(F.count("*").alias("n")).where("n > 1").select("task", "clip", F.lit("duplicate_clip").alias("code"))
-    loose = rows.where(~F.coalesce("user_confirmed", F.lit(False))).select("task", "clip", F.lit("not_confirmed").alias("code"))
-    out = rows.where(safe_path(F.col("ir")).isNull() | safe_path(F.col("rgb")).isNull()).select("task", "clip", F.lit("unsafe_path").alias("code"))
-    return rows, twice.union(loose).union(out)
+def read_job_pairs(jobs: DataFrame, files: DataFrame, categories: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The pairs of all jobs (task, category, clip, ir, rgb), and issues (task, clip, code) of those that are refused.
+
+    jobs (task, job_type, schema_version, pairs array<struct<clip, category, ir, rgb, user_confirmed>>): version 2 lists
+    its pairs; a missing version counts as 1, whose pairs are found among files (task, category, modality, stem) by the
+    numbers of their stems. Calibrations have no categories. An issue of a clip is an unknown category, a name that isn't
+    a number, a second entry, a pair that nobody confirmed, or a path that leaves the task's folder; of a task, another
+    version or no pairs.
+    """
+    version = F.coalesce("schema_version", F.lit(1))
+    experiment = F.col("job_type") == "experiment"
+    rows = jobs.where(version == 2).select("task", experiment.alias("e"), F.explode("pairs").alias("p"))
+    rows = rows.select("task", "e", norm_clip(F.col("p.clip")).alias("clip"), F.col("p.clip").alias("named"), F.when(F.col("e"), F.col("p.category")).alias("category"), "p.ir", "p.rgb", "p.user_confirmed")
+    times = rows.groupBy("task", F.col("category").alias("c"), F.col("clip").alias("k")).agg(F.count("*").alias("times"))
+    rows = rows.join(times, (rows.task == times.task) & rows.category.eqNullSafe(F.col("c")) & (F.col("clip") == F.col("k")), "left").select(rows["*"], "times")
+    safe = safe_path(F.col("ir")).isNotNull() & safe_path(F.col("rgb")).isNotNull()
+    code = F.when(F.col("clip").isNull(), "not_a_number").when(F.col("e") & ~F.coalesce(F.col("category").isin(*categories), F.lit(False)), "unknown_category").when(F.col("times") > 1, "duplicate_clip")
+    code = code.when(~F.coalesce("user_confirmed", F.lit(False)), "not_confirmed").when(~F.coalesce(safe, F.lit(False)), "unsafe_path")
+    rows = rows.withColumn("code", code)
+    old = jobs.where(version == 1).select("task", experiment.alias("e"))
+    found = files.join(old, "task").where(~F.col("e") | F.col("category").isin(*categories)).select("task", F.when(F.col("e"), F.col("category")).alias("category"), "modality", "stem")
+    paired, odd = pair_numeric(found.withColumn("category", F.coalesce("category", F.lit(""))), ["task", "category"])
+    from_v1 = paired.select("task", F.nullif("category", F.lit("")).alias("category"), F.format_string("%02d", "number").alias("clip"), F.col("ir_stem").alias("ir"), F.col("rgb_stem").alias("rgb"))
+    pairs = rows.where("code is null").select("task", "category", "clip", "ir", "rgb").unionByName(from_v1)
+    issues = rows.where("code is not null").select("task", F.coalesce("clip", "named").alias("clip"), "code").unionByName(odd.select("task", F.col("stem").alias("clip"), "code"))
+    issues = issues.unionByName(jobs.where(~version.isin(1, 2)).select("task", F.lit(None).cast("string").alias("clip"), F.lit("unknown_version").alias("code")))
+    listed = rows.select("task").union(found.select("task")).distinct()
+    return pairs, issues.unionByName(jobs.where(version.isin(1, 2)).join(listed, "task", "left_anti").select("task", F.lit(None).cast("string").alias("clip"), F.lit("no_pairs").alias("code")))
+
+
+def scan_pair_folders(a: DataFrame, b: DataFrame, column: str = "path") -> tuple[DataFrame, DataFrame]:
+    """Two listings (root, path) paired by the path below their roots: key, a_path, b_path; and an issue for each file that one side alone has."""
+    key = F.expr(f"ltrim('/', substring({column}, length(root) + 1))")
+    side = lambda df, name: df.select(key.alias("key"), F.col(column).alias(name))
+    return pair_strict(side(a, "a_path"), side(b, "b_path"), ["key"])
+
+
+def plan_import(files: DataFrame, present: DataFrame, slugs: dict[str, str], required: list[str], root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A dry run over files (path, sha256) of .../day/experiment/category/clip/ir|rgb/name: nothing is written.
+
+    Returns what every clip would become (clip and target folder, pairs, one-sided files), the copies to make against
+    present (path, sha256), and the readiness of each category.
+    """
+    rows = parse_paths(files).where("parsed").withColumn("category", norm_category(F.col("category"), slugs))
+    own = ["day", "experiment", "category", "clip"]
+    target = F.concat_ws("/", F.lit(root), *own)
+    sides = rows.groupBy(*own, "file").agg(F.countDistinct("modality").alias("sides"))
+    clips = sides.groupBy(*own).agg(F.count_if(F.col("sides") == 2).alias("pairs"), F.count_if(F.col("sides") < 2).alias("one_sided")).withColumn("target", target)
+    wanted = rows.where("category is not null").select(F.concat_ws("/", target, "modality", "file").alias("path"), "sha256")
+    whole = clips.where("category is not null and pairs > 0 and one_sided = 0").select(F.concat_ws("__", "day", "experiment").alias("experiment_key"), "category", F.col("target").alias("clip_id"))
+    return clips, plan_copies(wanted, present), readiness(whole, required)
