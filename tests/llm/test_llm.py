@@ -100,6 +100,17 @@ def test_genetic_search_never_worsens():
     assert sorted(i for b in child for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 2048 for b in child)
 
 
+def test_packing_refuses_tokenizers_that_see_across_blanks(tmp_path):
+    import json
+
+    spec = json.load(open(P.path("word_bpe_49k.json"), encoding="utf-8"))
+    for change in ({"truncation": {"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}):
+        with open(tmp_path / "t.json", "w", encoding="utf-8") as f:
+            json.dump(spec | change, f)
+        with pytest.raises(ValueError, match="the tokenizer"):
+            packing.WordEncoder(f"{tmp_path}/t.json")
+
+
 def triples(n, rng):
     """Lengths that n bins of 2048 can hold without a gap, three to each."""
     lengths = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_STEPS: dict[int, tuple[weakref.ref, str]] = {}
 #: Rows, and bytes, that go to a Python worker at once: both sides hold a batch several times over, and texts are long.
 BATCH_ROWS, BATCH_BYTES = 1024, "8m"
 
@@ -28,7 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
-    return _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-"))
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _OWN[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,7 +59,19 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    step = spark.read.schema(df.schema).parquet(path)
+    _STEPS[id(step)] = (weakref.ref(step), path)
+    return step
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete the files of written steps that no later job reads: what was made of them has been written itself."""
+    for step in steps:
+        known, path = _STEPS.pop(id(step), (None, None))
+        if known is not None and known() is step:
+            sc = step.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def is_empty(df: DataFrame) -> bool:

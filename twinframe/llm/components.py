@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, scratch
+from .common import discard, is_empty, scratch
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,5 +23,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
         step = scratch(labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "m").alias("mid")), "step")
         jump = step.select(F.col("node").alias("at"), F.col("mid").alias("label"))
-        labels = scratch(step.join(jump, step.mid == jump["at"]).select("node", "label", (F.col("label") != F.col("old")).alias("changed")), "labels")
+        before, labels = labels, scratch(step.join(jump, step.mid == jump["at"]).select("node", "label", (F.col("label") != F.col("old")).alias("changed")), "labels")
+        discard(before, step)
+    discard(both)
     return labels.select("node", F.col("label").alias("component"))

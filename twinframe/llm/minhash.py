@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, as_bytes, is_empty, keep_rows, scratch, slices
+from .common import Cache, as_bytes, discard, is_empty, keep_rows, scratch, slices
 from .components import connected_components
 
 BANDS, ROWS, SKETCH_BITS, PARITY_BITS = 25, 4, 512, 1024
@@ -170,12 +170,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     pairs = scratch(pairs, "pairs")
     texts = scratch(_texts(docs, pairs.select("a").union(pairs.select("b"))), "texts")
     ta, tb = (texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return scratch(pairs.join(ta, "a").join(tb, "b").where(_verifier(k, percent)("ta", "tb")).select("a", "b"), "links")
+    links = scratch(pairs.join(ta, "a").join(tb, "b").where(_verifier(k, percent)("ta", "tb")).select("a", "b"), "links")
+    discard(pairs, texts)
+    return links
 
 
-def _met(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components (key, cid, comp) with a key in common that sizes and sketches allow."""
-    rows = scratch(rows.join(sketches, "cid"), "open")
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, cid, comp and sketches) of different components with a key in common that sizes and sketches allow."""
     x, y = _side(rows, "a"), _side(rows, "b")
     return x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") < F.col("comp_b")) & _may_link(percent)).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
 
@@ -213,15 +214,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = buckets.join(labels, buckets.cid == labels.node, "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
     named = scratch(named, "named")
     mixed = scratch(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("comp").alias("n")).where("lo <> hi").select("key", "n"), "mixed")
-    rest = _met(named.join(mixed.where(F.col("n") <= LARGE).select("key"), "key"), sketches, percent)
+    steps = [buckets, named, mixed, scratch(named.join(mixed.where(F.col("n") <= LARGE).select("key"), "key").join(sketches, "cid"), "open")]
+    rest = _met(steps[-1], percent)
     again = named.join(mixed.where(F.col("n") > LARGE).select("key"), "key").select("cid", "comp").distinct()
     if not is_empty(again):
         again = scratch(again, "again")
+        steps.append(again)
         fine = _texts(docs, again.select("cid")).join(again, "cid").select("cid", "comp", _fine_keys(k, fine_bands(percent))("text").alias("keys"))
-        fine = scratch(fine, "fine").select("cid", "comp", F.explode("keys").alias("key"))
+        steps.append(scratch(fine, "fine"))
+        fine = steps[-1].select("cid", "comp", F.explode("keys").alias("key"))
         shared = fine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rest = rest.union(_met(fine.join(shared, "key"), sketches, percent))
+        steps.append(scratch(fine.join(shared, "key").join(sketches, "cid"), "open"))
+        rest = rest.union(_met(steps[-1], percent))
     more = _confirmed(rest.distinct(), docs, k, percent)
+    discard(*steps)
     if not is_empty(more):
         labels = scratch(connected_components(more.union(labels.select("node", "component"))), "components")
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import json
 import os
 import random
 import zlib
@@ -29,6 +30,20 @@ Bins = list[list[int]]
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
+def check_words(tokenizer, spec: dict) -> None:
+    """Refuses a tokenizer whose ids of a text aren't those of its words one after another: one with added tokens that take blanks, one that cuts or fills texts, or one that shows it on pairs of odd words."""
+    if any(set(t["content"]) & set(" \n") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or []):
+        raise ValueError("the tokenizer has added tokens that take blanks")
+    if spec.get("truncation") or spec.get("padding"):
+        raise ValueError("the tokenizer cuts or fills texts")
+    odd = ["", "a", "The", "'s", "12", "é", "e\u0301", "\u0301", "中文", "!?", "<|a|>", "▁", "\t", "\u00a0", "😀"]
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    for one in odd:
+        for two in odd:
+            if any(ids(one + blank + two) != ids(one) + ids(two) for blank in " \n"):
+                raise ValueError(f"the tokenizer doesn't take {one!r} and {two!r} apart at a blank")
+
+
 class WordEncoder:
     """Ids by a tokenizer that drops white space and never looks across it; what stands between blanks is encoded once for each worker."""
 
@@ -37,6 +52,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as spec:
+            check_words(self.tokenizer, json.load(spec))
         self.words = Cache(lambda word: self.encode_words([word])[0], most_words)
 
     def encode_words(self, words: list[str], together: int = 256) -> list[bytes]:

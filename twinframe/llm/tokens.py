@@ -40,6 +40,8 @@ class PieceCounter:
         norm = spec.normalizer_spec
         self.rank = {p.piece: -p.score for p in spec.pieces if p.type == kind.NORMAL}
         crossing = [p for p in self.rank if SPACE in p.lstrip(SPACE)]
+        if any(p.type == kind.USER_DEFINED for p in spec.pieces):
+            raise ValueError("the model has pieces of the user's own, which are matched before any merge")
         if spec.trainer_spec.model_type != model.TrainerSpec.BPE or not spec.trainer_spec.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or crossing:
             raise ValueError("the model isn't BPE with byte fallback, identity normalisation, a space before the text, and spaces only at the start of pieces")
         self.letters = frozenset(p for p in self.rank if len(p) == 1)
