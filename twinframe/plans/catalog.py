@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import audit, geometry, grid, neardup, pairing, series, split
-from ..sources import scans
+from ..sources import scans, sinks
 from ..sources.scans import plan_import
 from ..sources.sinks import plan_copies
+from ..sources.steps import new_path
+from ..streaming.intake import start_intake
 from . import inputs as I
 from .inputs import table
 
@@ -696,6 +700,73 @@ def k4_plan_copies(spark, sf_dir):
     return plan_copies(d.select("path", "sha256"), there)
 
 
+# --- sinks and files, by writing tables and reading them back -----------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def k1_k2_publish_version(spark, sf_dir):
+    """A version of two tables; a second one of the same name is refused and leaves the first as it is."""
+    root = new_path(spark, "versions")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    about = audit.table_digest(o, ["o_orderkey"])
+    sinks.publish_version(spark, root, "v1", {"orders": o, "keys": o.select("o_orderkey")}, about, {"orders": ["o_orderkey"]})
+    try:
+        sinks.publish_version(spark, root, "v1", {"orders": o.limit(0)}, about)
+    except AnalysisException:
+        return sinks.read_version(spark, root, "v1", "orders")
+    raise AssertionError("a version was written twice")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer")
+def k3_replace_run(spark, sf_dir):
+    """The second of two runs is current."""
+    root = new_path(spark, "runs")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    sinks.replace_run(c.where("c_custkey % 2 = 0"), root)
+    sinks.replace_run(c, root)
+    return sinks.current_run(spark, root)
+
+
+@query("SELECT o_orderkey AS task, CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'failed' END AS status, run_id FROM orders CROSS JOIN (VALUES ('a'), ('b')) r(run_id)")
+def k5_run_report(spark, sf_dir):
+    path = new_path(spark, "reports")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed").alias("status"), F.lit("").alias("message"))
+    for run in ("a", "b"):
+        sinks.write_run_report(o, path, run)
+    return spark.read.parquet(path).select("task", "status", "run_id")
+
+
+@query(f"WITH {I.HASHES}, r AS (SELECT a.modality, a.id AS id_a, b.id AS id_b, CAST(hamming(a.h, b.h) AS BIGINT) AS distance FROM hashes a JOIN hashes b ON a.id < b.id WHERE hamming(a.h, b.h) <= 5) SELECT *, CAST(row_number() OVER (ORDER BY distance, modality, id_a, id_b) AS BIGINT) AS place FROM r")
+def k6_o1_sorted_audit(spark, sf_dir):
+    """The report of near duplicates in its order: each row with its place in the files, one after another."""
+    path = new_path(spark, "audit")
+    sinks.write_audit({"near": neardup.near_duplicates(I.hashes(spark, sf_dir), 5)}, path, {"near": neardup.REPORT_ORDER})
+    rows = spark.read.parquet(f"{path}/near").select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"))
+    own = rows.withColumn("at", F.row_number().over(W.partitionBy("file").orderBy("row")))
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return own.join(sizes, "file").select("modality", "id_a", "id_b", "distance", (F.col("before") + F.col("at")).alias("place"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS p_name FROM part")
+def s4_read_table(spark, sf_dir):
+    path = new_path(spark, "csv")
+    table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("p_name")).write.csv(path, header=True)
+    return scans.read_table(spark, path, ["p_partkey", "p_name"])
+
+
+@query("SELECT DISTINCT sha256(CAST(c_nationkey AS VARCHAR) || chr(10)) AS sha256, CAST(length(CAST(c_nationkey AS VARCHAR)) + 1 AS BIGINT) AS length FROM customer")
+def s1_t1_intake(spark, sf_dir):
+    """A file for each nation that customers have, twice; the intake takes each content once."""
+    root, to, checkpoint = (new_path(spark, n) for n in ("files", "intake", "checkpoint"))
+    for n in (1, 2):
+        nations = table(spark, sf_dir, "customer").select("c_nationkey").distinct()
+        nations.select(F.col("c_nationkey").cast("string").alias("value"), F.col("c_nationkey").alias("k")).repartition("k").write.partitionBy("k").text(f"{root}/{n}")
+    if scans.scan_fingerprints(spark, root, "part-*").select("sha256").distinct().count() * 2 != scans.scan_fingerprints(spark, root, "part-*").count():
+        raise AssertionError("the files aren't there twice each")
+    start_intake(spark, root, to, checkpoint, "part-*").awaitTermination()
+    return spark.read.parquet(to).select("sha256", "length")
+
+
 # --- scans of tables of paths, frames and jobs ------------------------------------------------------------------------------
 
 

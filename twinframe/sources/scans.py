@@ -16,7 +16,7 @@ from .sinks import plan_copies
 
 
 def scan_fingerprints(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path, length, modificationTime, sha256 of every file under root. Contents are read only if the hash is asked for."""
+    """path, length, modificationTime, sha256 of every file under root. Contents are read only if the hash is asked for, each file as one value, so files of 2 GB or more need fingerprints made where they lie."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
