@@ -1,4 +1,9 @@
-"""From documents to packed sequences: toxic documents go, then those of low quality, then near copies; the rest is packed."""
+"""From documents to packed sequences: toxic documents go, then those of low quality, then near copies; the rest is packed.
+
+Every stage but the last returns whole rows of its input, all columns as they are. Documents with a null or empty text are
+scored as no words, fail the base rules of quality and so end there; null ids stay null, are never near copies and are
+packed; repeated rows share their fate; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -13,10 +18,12 @@ from twinframe.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; without a toxic label to learn from, all."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the limits of their language and source."""
     return keep_quality(docs)
 
 
