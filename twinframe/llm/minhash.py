@@ -26,7 +26,8 @@ from .components import connected_components
 BANDS, ROWS, SKETCH_BITS, PARITY_BITS = 25, 4, 512, 1024
 PERMUTATIONS = BANDS * ROWS
 #: Buckets with more components than LARGE are divided: their documents are dealt again, by bands of FINE_ROWS other samples.
-LARGE, FINE_ROWS = 64, 8
+#: Up to there the sketches of all pairs are compared in less time than the other samples take.
+LARGE, FINE_ROWS = 4096, 8
 _MASK = (1 << 64) - 1
 _draw = np.random.default_rng(20240607)
 _MUL = _draw.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,8 +58,9 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 def min_hashes(hashes: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
     low = np.full(len(mul), _MASK, np.uint64)
-    for i in range(0, len(hashes), 8192):
-        np.minimum(low, (mul[:, None] * hashes[None, i : i + 8192] + add[:, None]).min(axis=1), out=low)
+    step = 800_000 // len(mul)  # a few megabytes at once
+    for i in range(0, len(hashes), step):
+        np.minimum(low, (mul[:, None] * hashes[None, i : i + step] + add[:, None]).min(axis=1), out=low)
     return low
 
 
