@@ -221,7 +221,7 @@ def test_quality_limits_against_exact_quantiles(spark):
             values[lang, source, "words"].append(r["n_words"])
     floor = lambda v: v >> max(v.bit_length() - 7, 0) << max(v.bit_length() - 7, 0)
     exact = lambda x: [floor(sorted(x)[max(0, -(-p * len(x) // 100) - 1)]) for p in quality.QUANTILES]
-    mix = lambda own, n, wide: [(n * n * a + quality.SHRINK**2 * b) // (n * n + quality.SHRINK**2) for a, b in zip(own, wide, strict=True)]
+    mix = lambda own, n, wide: [(n**3 * a + quality.SHRINK**3 * b) // (n**3 + quality.SHRINK**3) for a, b in zip(own, wide, strict=True)]
     limits = {(r["lang"], r["source"]): r for r in quality.thresholds(spark.createDataFrame([(r["doc_id"], *(r[c] for c in quality.COUNTS), rows[i][2], rows[i][3]) for i, r in counts.items()], "doc_id bigint, " + ", ".join(f"{c} bigint" for c in quality.COUNTS) + ", lang string, source string")).collect()}
     assert len(limits) == len({k[:2] for k in values}) == 9
     for (lang, source), got in limits.items():

@@ -7,13 +7,13 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _STATED = {"symbols": ("n_symbols", 1000), "marks": ("n_marks", 1000), "dup_lines": ("n_dup_lines", 1000), "length": ("word_chars", 100)}
 
 
-def quality(shrink: int = 12, spreads: int = 8) -> str:
+def quality(shrink: int = 24, spreads: int = 8) -> str:
     """Counts and limits of op2: exact quantiles of values cut to their first seven binary digits."""
     points = (10, 25, 50, 75)
     cut = "(v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0)"
     values = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {k} * {c} // n_words AS v FROM good" for m, (c, k) in _STATED.items())
     quantile = lambda by: f"SELECT {by}, max(total) AS total, " + ", ".join(f"min(b) FILTER (100 * upto >= {p} * total) AS q{p}" for p in points) + f" FROM (SELECT {by}, b, sum(count(*)) OVER (PARTITION BY {by} ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY {by}) AS total FROM cut GROUP BY {by}, b) GROUP BY {by}"
-    mix = lambda a, b, n: f"CAST(floor((CAST({n} AS DOUBLE) * {n} * {a} + {shrink ** 2} * {b}) / (CAST({n} AS DOUBLE) * {n} + {shrink ** 2})) AS BIGINT)"
+    mix = lambda a, b, n: f"CAST(floor((CAST({n} AS DOUBLE) * {n} * {n} * {a} + {shrink ** 3} * {b}) / (CAST({n} AS DOUBLE) * {n} * {n} + {shrink ** 3})) AS BIGINT)"
     wide = ", ".join(f"CASE WHEN metric IN ('length', 'words') THEN l.q{p} ELSE {mix(f'l.q{p}', f'a.q{p}', 'l.total')} END AS q{p}" for p in points)
     drawn = ", ".join(f"{mix(f'g.q{p}', f'w.q{p}', 'g.total')} AS q{p}" for p in points)
     at = lambda m, p: f"max(q{p}) FILTER (metric = '{m}')"

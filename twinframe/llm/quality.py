@@ -27,8 +27,9 @@ METRICS = {"symbols": ("n_symbols", 1000), "marks": ("n_marks", 1000), "dup_line
 #: A limit is so many spreads beyond the quartile.
 SPREADS = 8
 QUANTILES = (10, 25, 50, 75)
-#: A group of so many documents has the mean of its own quantiles and the wider group's; the weights are squares.
-SHRINK = 12
+#: A group of so many documents has the mean of its own quantiles and the wider group's; the weights are cubes, since a
+#: third of a few documents may be junk, and a limit is several spreads beyond a quantile.
+SHRINK = 24
 #: More groups than these are joined by a shuffle, fewer by a broadcast.
 MOST_BROADCAST = 20_000
 
@@ -104,9 +105,9 @@ def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
 
 
 def shrunk(own: str, wide: str) -> Column:
-    """The mean of two quantiles, own with the weight of the square of total, wide with that of SHRINK's."""
-    n = F.col("total").cast("double") * F.col("total")
-    return F.floor((n * F.col(own) + SHRINK**2 * F.col(wide)) / (n + SHRINK**2)).cast("bigint")
+    """The mean of two quantiles, own with the weight of the cube of total, wide with that of SHRINK's."""
+    n = F.col("total").cast("double") * F.col("total") * F.col("total")
+    return F.floor((n * F.col(own) + SHRINK**3 * F.col(wide)) / (n + SHRINK**3)).cast("bigint")
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
