@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.steps import written
+
 #: Weights of the squared relative errors.
 WEIGHTS = {"pairs": 4.0, "experiments": 3.0, "category": 2.0, "metadata": 0.2}
 
@@ -88,6 +90,7 @@ def greedy_table(features: DataFrame, seed: int, trials: int, second: int, ratio
 
 def assign_stage(features: DataFrame, ratio: float, seed: int, trials: int = 256, greedy: bool = False) -> DataFrame:
     """leakage_group_id, second: of the trials, the one of the lowest score, the first among equals."""
+    features = written(features, "features")  # a few rows for each group, read many times
     n = features.select("leakage_group_id").distinct().count()
     if n < 2:
         raise ValueError("a split needs two groups or more")
@@ -99,7 +102,7 @@ def assign_stage(features: DataFrame, ratio: float, seed: int, trials: int = 256
 
 def nested_group_split(samples: DataFrame, test_ratio: float = 0.2, val_ratio: float = 0.2, seed: int = 42, trials: int = 256, least_groups: int = 6, metadata: tuple[str, ...] = (), greedy: bool = False) -> DataFrame:
     """leakage_group_id, outer_split, inner_split: test against the pool, then validation against train within it, with a seed of its own."""
-    features = group_features(samples, metadata)
+    features = written(group_features(samples, metadata), "features")
     if features.select("leakage_group_id").distinct().count() < least_groups:
         raise ValueError(f"fewer than {least_groups} usable groups")
     outer = assign_stage(features, test_ratio, seed, trials, greedy)
