@@ -87,3 +87,58 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN l
 low AS (SELECT cid, least(cid, COALESCE(min(b), cid)) AS component FROM classes LEFT JOIN reach ON a = cid GROUP BY cid)
 SELECT doc_id, CAST(COALESCE(z.n, 0) AS BIGINT) AS n_shingles, COALESCE(component, doc_id) AS component_id, doc_id = COALESCE(component, doc_id) AS kept
 FROM documents LEFT JOIN sizes z USING (doc_id) LEFT JOIN classes USING (fp) LEFT JOIN low USING (cid)"""
+
+
+def phrases(top: int = 2000, least: int = 10, share: int = 50) -> str:
+    """Rows of op11: every phrase counted, every cut scored."""
+    plain = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    exact = lambda a, l, r: f"1000000 * CAST({a} AS HUGEINT) * {a} // (CAST({l} AS HUGEINT) * {r})"
+    return rf"""WITH pieces AS (SELECT row_number() OVER () AS rid, lang, piece FROM (SELECT COALESCE(lang, 'und') AS lang, unnest(string_split_regex({plain}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+words AS (SELECT rid, lang, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT rid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS l FROM pieces)),
+following AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+f1 AS (SELECT lang, w, count(*) AS c FROM words GROUP BY ALL HAVING count(*) >= {least}),
+f2 AS (SELECT lang, w, w2, count(*) AS c FROM following WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+f3 AS (SELECT lang, w, w2, w3, count(*) AS c FROM following WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+two AS (SELECT p.lang, p.w || ' ' || p.w2 AS phrase, p.c AS a, x.c AS l, y.c AS r, {exact("p.c", "x.c", "y.c")} AS score FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w = p.w JOIN f1 y ON y.lang = p.lang AND y.w = p.w2
+  WHERE NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = p.lang AND 100 * t.c >= {share} * p.c AND ((t.w = p.w AND t.w2 = p.w2) OR (t.w2 = p.w AND t.w3 = p.w2)))),
+cuts AS (SELECT t.lang, t.w || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.c AS a, x.c AS l1, yz.c AS r1, xy.c AS l2, z.c AS r2, {exact("t.c", "x.c", "yz.c")} AS s1, {exact("t.c", "xy.c", "z.c")} AS s2 FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w = t.w
+  JOIN f2 yz ON yz.lang = t.lang AND yz.w = t.w2 AND yz.w2 = t.w3 JOIN f2 xy ON xy.lang = t.lang AND xy.w = t.w AND xy.w2 = t.w2 JOIN f1 z ON z.lang = t.lang AND z.w = t.w3),
+every AS (SELECT * FROM two UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {top}"""
+
+
+def chats() -> str:
+    """Rows of op12: digests of the source, which reading back has to give; lengths of what is written, escaped where the plain form is misread."""
+    tail = r"(/?INST\]|/?ROLE[=\]]|/?s>|</?SYS>>)"
+    escaped = rf"regexp_replace(text, '([\[<])(\\*){tail}', '\1\2\\\3', 'g')"
+    turn = lambda t: f"CASE role WHEN 'user' THEN '[INST] ' || {t} || ' [/INST]' WHEN 'system' THEN '<<SYS>> ' || {t} || ' <</SYS>>' WHEN 'assistant' THEN {t} || '</s>' ELSE '[ROLE=' || replace(url_encode(role), '%20', '+') || '] ' || {t} || ' [/ROLE]' END"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    form = r"(?s)(?:\[INST\] .*? \[/INST\]|<<SYS>> .*? <</SYS>>|\[ROLE=[^\]]*\] .*? \[/ROLE\]|.*?</s>)"
+    inside = rf"regexp_replace(regexp_extract(p, '(?s)^(?:\[INST\] (.*) \[/INST\]|<<SYS>> (.*) <</SYS>>|\[ROLE=[^\]]*\] (.*) \[/ROLE\]|(.*)</s>)$', GROUP), '([\[<])\\(\\*){tail}', '\1\2\3', 'g')"
+    text = f"CASE WHEN p LIKE '[INST] % [/INST]' THEN {inside.replace('GROUP', '1')} WHEN p LIKE '<<SYS>> % <</SYS>>' THEN {inside.replace('GROUP', '2')} WHEN p LIKE '[ROLE=% [/ROLE]' THEN {inside.replace('GROUP', '3')} ELSE {inside.replace('GROUP', '4')} END"
+    role = r"CASE WHEN p LIKE '[INST] % [/INST]' THEN 'user' WHEN p LIKE '<<SYS>> % <</SYS>>' THEN 'system' WHEN p LIKE '[ROLE=% [/ROLE]' THEN url_decode(replace(regexp_extract(p, '^\[ROLE=([^\]]*)\]', 1), '+', '%20')) ELSE 'assistant' END"
+    said = "role || chr(10) || text || chr(10)"
+    return rf"""WITH given AS (SELECT conv_id, '' AS own, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 'odd', i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+talks AS (SELECT conv_id, count(*) AS n_turns, string_agg({said}, '' {order}) AS said, COALESCE(string_agg(text, '' {order}) FILTER (role = 'assistant'), '') AS learnt, string_agg({turn("text")}, '' {order}) AS plain, string_agg({turn(escaped)}, '' {order}) AS safe
+  FROM given GROUP BY conv_id, own),
+read AS (SELECT *, regexp_extract_all(plain, '{form}') AS pieces FROM talks),
+judged AS (SELECT *, array_to_string(pieces, '') = plain AND array_to_string(list_transform(pieces, lambda p: {role} || chr(10) || {text} || chr(10)), '') = said AND len(pieces) = n_turns AS fine FROM read)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, 3 + length(CASE WHEN fine THEN plain ELSE safe END) AS formatted_chars FROM judged"""
+
+
+def clusters(k: int = 16, rounds: int = 3, dims: int = 64, steps: int = 64, largest: int = 1 << 27) -> str:
+    """Rows of op13: every vector against every centroid, in integers."""
+    steps_sql = [f"""kept AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(e, lambda x: CAST(floor(x) AS BIGINT)) AS q FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * {steps}) AS e FROM embeddings)
+  WHERE len(e) = {dims} AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR x < -{largest} OR x >= {largest})) = 0)""", f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), q) - 1 AS c, q FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k})"]
+    for i in range(rounds + 1):
+        steps_sql.append(f"d{i} AS (SELECT rid, min(struct_pack(d := list_sum(list_transform(list_zip(v.q, m.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c := m.c)) AS b FROM kept v CROSS JOIN c{i} m GROUP BY rid)")
+        if i < rounds:
+            steps_sql.append(f"u{i} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT d.b.c AS c, unnest(q) AS x, unnest(range({dims})) AS i FROM d{i} d JOIN kept USING (rid)) GROUP BY c, i)")
+            floored = "CAST(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END AS BIGINT)"
+            steps_sql.append(f"c{i + 1} AS (SELECT m.c, COALESCE(u.q, m.q) AS q FROM c{i} m LEFT JOIN (SELECT c, list({floored} ORDER BY i) AS q FROM u{i} GROUP BY c) u ON u.c = m.c)")
+    return f"""WITH {", ".join(steps_sql)},
+final AS (SELECT vec_id, d.b.c AS cluster, CAST(d.b.d AS BIGINT) AS distance FROM d{rounds} d JOIN kept USING (rid))
+SELECT vec_id, CAST(cluster AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.q, ',')) AS centroid_sha256 FROM final JOIN c{rounds} m ON m.c = cluster"""
