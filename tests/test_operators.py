@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinframe.functions import keys
-from twinframe.operators import audit, geometry, grid, neardup, pairing, series, split
+from twinframe.operators import audit, augment, geometry, grid, neardup, pairing, series, split
 from twinframe.sources import scans, sinks
 from twinframe.streaming.intake import start_intake
 
@@ -244,12 +244,12 @@ def test_scores_are_checked(spark):
 
 def test_crops_are_padded_and_shared(spark):
     a = np.arange(12.0).reshape(3, 4)
-    assert (grid.cropped(a, 0, 1, True, 2) == [[2, 1], [6, 5]]).all()
-    assert (grid.cropped(a, 0, 0, False, 5) == np.pad(a, ((1, 1), (0, 1)), mode="reflect")).all()
-    assert (grid.cropped(a, 0, 0, False, 12) == np.pad(a, ((4, 5), (4, 4)), mode="edge")).all()  # wider than the frame
+    assert (augment.cropped(a, 0, 1, True, 2) == [[2, 1], [6, 5]]).all()
+    assert (augment.cropped(a, 0, 0, False, 5) == np.pad(a, ((1, 1), (0, 1)), mode="reflect")).all()
+    assert (augment.cropped(a, 0, 0, False, 12) == np.pad(a, ((4, 5), (4, 4)), mode="edge")).all()  # wider than the frame
     f = frames_of(spark, a).withColumn("u", F.transform("v", lambda x: -x))
     p = spark.createDataFrame([(0, 1, 1, True)], "frame_id int, crop_y int, crop_x int, flip boolean")
-    r = grid.apply_geometry(f, p, 2, ("v", "u")).first()
+    r = augment.apply_geometry(f, p, 2, ("v", "u")).first()
     assert r["v"] == [6, 5, 10, 9] and r["u"] == [-6, -5, -10, -9] and (r["height"], r["width"]) == (2, 2)
 
 

@@ -43,9 +43,16 @@ def sufficiency(samples: DataFrame, least: int) -> DataFrame:
     return samples.where("usable").agg(F.countDistinct("leakage_group_id").alias("groups")).withColumn("enough", F.col("groups") >= least)
 
 
-def readiness(samples: DataFrame, required: list[str]) -> DataFrame:
+def complete_experiments(samples: DataFrame, required: list[str], clips: int = 1) -> DataFrame:
+    """experiment_key of those that have exactly the required categories, each with exactly so many clips."""
+    counts = samples.groupBy("experiment_key", "category").agg(F.countDistinct("clip_id").alias("n"))
+    right = F.col("category").isin(required) & (F.col("n") == clips)
+    return counts.groupBy("experiment_key").agg(F.count("*").alias("all"), F.count_if(right).alias("right")).where((F.col("right") == len(required)) & (F.col("all") == len(required))).select("experiment_key")
+
+
+def readiness(samples: DataFrame, required: list[str], clips: int = 1) -> DataFrame:
     """Per category: clips, and how many experiments are complete in all."""
-    complete = samples.where(F.col("category").isin(required)).groupBy("experiment_key").agg(F.countDistinct("category").alias("n")).where(F.col("n") == len(required)).agg(F.count("*").alias("complete_experiments"))
+    complete = complete_experiments(samples, required, clips).agg(F.count("*").alias("complete_experiments"))
     return samples.groupBy("category").agg(F.countDistinct("clip_id").alias("clips")).join(F.broadcast(complete))
 
 
@@ -146,9 +153,13 @@ def sample_issues(samples: DataFrame, groups: DataFrame, files: DataFrame, ir_mo
 
 
 def registration_review(correlations: DataFrame, least: float = 0.10) -> DataFrame:
-    """edge_correlation of at least so much passes, for information only; less, or none, is reviewed by a person."""
-    ok = F.col("edge_correlation") >= least
-    return correlations.withColumn("review", F.when(ok, "pass_information_only").otherwise("manual_review")).withColumn("note", F.when(F.col("edge_correlation").isNull(), "no_edges_or_sizes_differ").when(~ok, "weak_edges").otherwise(""))
+    """correlations (edge_correlation, and, if there, usable and preview_exists) of the usable samples with review and note: at least so much passes, for information only; less, or none, is reviewed by a person."""
+    rows = correlations.where("usable") if "usable" in correlations.columns else correlations
+    lacking = ~F.coalesce("preview_exists", F.lit(False)) if "preview_exists" in correlations.columns else F.lit(False)
+    none = F.col("edge_correlation").isNull() | F.isnan("edge_correlation")
+    passed = ~none & (F.col("edge_correlation") >= least)
+    notes = F.concat_ws(";", F.when(lacking, "missing_sync_preview"), F.when(none, "edge_correlation_unavailable"))
+    return rows.withColumn("review", F.when(passed, "pass_information_only").otherwise("manual_review")).withColumn("note", notes)
 
 
 def audit_summary(issues: DataFrame, enough_groups: bool) -> DataFrame:
@@ -176,11 +187,20 @@ def raise_on_fatal(issues: DataFrame) -> None:
         raise ValueError("; ".join(f"{r['code']}: {r['count']}" for r in found))
 
 
-def assert_usable(version: DataFrame, digest: str, audit: DataFrame) -> None:
-    """version is the one-row metadata of a split; raises with the names of what fails."""
+def assert_usable(version: DataFrame, digest: str, audit: DataFrame, about: DataFrame | None = None, algorithm: str | None = None, schema_version: int = 1) -> None:
+    """version is the one-row metadata of a split, audit the issues found, about the audit's own row (digest, audit_level, formal_ready); raises with the names of what fails.
+
+    The data's digest has to be the version's and the audit's, the split formal, of this schema version and, if named, of
+    this algorithm; the audit full and ready, with no fatal issue.
+    """
     row = version.first()
     fatal = audit.where("level = 'fatal'").limit(1).count()
-    checks = {"digest": row["digest"] == digest, "formal": row["formal"], "schema": row["schema_version"] == 1, "audit": not fatal}
+    checks = {"digest": row["digest"] == digest, "formal": row["formal"], "schema": row["schema_version"] == schema_version, "audit": not fatal}
+    if algorithm is not None:
+        checks["algorithm"] = "algorithm" in row and row["algorithm"] == algorithm
+    if about is not None:
+        own = about.first()
+        checks |= {"audit_digest": bool(own) and own["digest"] == digest, "audit_level": bool(own) and own["audit_level"] == "full", "audit_ready": bool(own) and bool(own["formal_ready"])}
     if failed := [k for k, ok in checks.items() if not ok]:
         raise ValueError(f"the split can't be used: {', '.join(failed)}")
 
@@ -216,8 +236,8 @@ def task_issues(jobs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def output_validation(files: DataFrame, expected: int) -> DataFrame:
-    """files (task, modality, name, readable): exact counts, equal names on both sides, all readable."""
-    names = files.groupBy("task", "name").agg(F.countDistinct("modality").alias("m"), F.bool_and("readable").alias("readable"))
+    """files (task, modality, name, readable): exact counts, equal names on both sides, all readable, of which nothing is known being not."""
+    names = files.groupBy("task", "name").agg(F.countDistinct("modality").alias("m"), F.bool_and(F.coalesce("readable", F.lit(False))).alias("readable"))
     out = names.groupBy("task").agg(F.count("*").alias("names"), F.count_if(F.col("m") != 2).alias("one_sided"), F.count_if(~F.col("readable")).alias("unreadable"))
     return out.withColumn("valid", (F.col("names") == expected) & (F.col("one_sided") == 0) & (F.col("unreadable") == 0))
 

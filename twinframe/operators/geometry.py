@@ -160,15 +160,32 @@ def leave_one_out(points: DataFrame, by: list[str], pair: str) -> DataFrame:
     return error_metrics(project_points(points, models, [*by, pair]), [*by, pair]).select(*by, pair, "rmse")
 
 
-def select_medoid(models: DataFrame, by: list[str], name: str, width: float, height: float) -> DataFrame:
-    """Of each group's models (by, name, h), the one whose projections of a 3 x 3 grid lie nearest to the others' (median distance), and how far apart they are."""
-    grid = F.array(*(F.struct(F.lit((width - 1) * i / 2).alias("x"), F.lit((height - 1) * j / 2).alias("y")) for i in range(3) for j in range(3)))
-    rows = models.select(*by, name, "h", F.posexplode(grid).alias("k", "p"))
-    px, py = project(F.col("h"), F.col("p.x"), F.col("p.y"))
-    rows = rows.select(*by, name, "k", px.alias("x"), py.alias("y"))
-    other = rows.select(*by, F.col(name).alias("o"), "k", F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = rows.join(other, [*by, "k"]).where(F.col(name) != F.col("o")).groupBy(*by, name).agg(F.percentile(F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)), 0.5).alias("spread"))
-    return d.groupBy(*by).agg(F.min_by(name, F.struct("spread", name)).alias("medoid"), F.min("spread").alias("spread"), F.max("spread").alias("widest"))
+def _seen(models: DataFrame, keep: list[str], width: float, height: float) -> DataFrame:
+    """keep, and _seen: where each model sees the 3 x 3 grid of an image, an array of nine points."""
+    grid = [((width - 1) * i / 2, (height - 1) * j / 2) for j in range(3) for i in range(3)]
+    return models.select(*keep, F.array(*(F.struct(*(c.alias(n) for c, n in zip(project(F.col("h"), F.lit(x), F.lit(y)), "xy", strict=True))) for x, y in grid)).alias("_seen"))
+
+
+def _apart(a: str, b: str) -> Column:
+    """Median distance of the nine points of a and b: the fifth."""
+    return F.array_sort(F.zip_with(a, b, lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2))))[4]
+
+
+def select_medoid(models: DataFrame, by: list[str], name: str, width: float, height: float, reference: DataFrame | None = None) -> DataFrame:
+    """by, medoid, spread, widest of each group's models (by, name, h): two models are as far apart as the median of the distances of where they see a 3 x 3 grid.
+
+    With a reference (by, h), the model nearest to the group's reference, and the median and maximum of all models'
+    distances to it: linear in the models, for groups of any size. Without, the model of the lowest median distance to all
+    models of the group, itself (0) among them, and the median and maximum of its distances; all pairs of a group's models
+    meet, which is for the few dozen boards of a calibration. Of equals, the smallest name.
+    """
+    rows = _seen(models, [*by, name], width, height)
+    if reference is not None:
+        far = rows.join(_seen(reference, by, width, height).withColumnRenamed("_seen", "_other"), by).withColumn("_d", _apart("_seen", "_other"))
+        return far.groupBy(*by).agg(F.min_by(name, F.struct("_d", name)).alias("medoid"), F.percentile("_d", 0.5).alias("spread"), F.max("_d").alias("widest"))
+    pairs = rows.join(rows.select(*by, F.col(name).alias("_o"), F.col("_seen").alias("_other")), by).withColumn("_d", F.when(F.col(name) == F.col("_o"), 0.0).otherwise(_apart("_seen", "_other")))
+    own = pairs.groupBy(*by, name).agg(F.percentile("_d", 0.5).alias("spread"), F.max("_d").alias("widest"))
+    return own.groupBy(*by).agg(F.min_by(F.struct(F.col(name).alias("medoid"), "spread", "widest"), F.struct("spread", name)).alias("s")).select(*by, "s.*")
 
 
 def hull_area(x: np.ndarray, y: np.ndarray) -> float:

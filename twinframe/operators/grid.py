@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .frames import _each, image
+from .resample import resampled
+
 LAPLACIAN = {(0, 0): -4.0, (0, 1): 1.0, (0, -1): 1.0, (1, 0): 1.0, (-1, 0): 1.0}
 
 
@@ -30,27 +33,10 @@ def to_pixels(frames: DataFrame, *also: str) -> DataFrame:
     return rows.select("frame_id", F.expr("cast(i div width as int)").alias("y"), F.expr("cast(i % width as int)").alias("x"), "v", *also)
 
 
-def image(v, height, width) -> np.ndarray:
-    return np.asarray(v, np.float64).reshape(int(height), int(width))
-
-
-def _each(returns: str, fn: Callable, *columns: Column) -> Column:
-    """fn of the columns' values, row by row in Arrow batches; null where one of them is null."""
-    names = [n.split()[0] for n in returns.removeprefix("struct<").removesuffix(">").replace(":", " ").split(", ")] if returns.startswith("struct<") else None
-
-    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series | pd.DataFrame]:
-        for batch in parts:
-            out = [None if any(x is None or x is pd.NA or (isinstance(x, float) and x != x) for x in row) else fn(*row) for row in zip(*batch, strict=True)]
-            yield pd.Series(out, dtype=object) if names is None else pd.DataFrame([r or [None] * len(names) for r in out], columns=names)
-
-    run.__annotations__ = {"parts": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series] if names is None else Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, returns)(*columns)
-
-
 def convolved(a: np.ndarray, weights: dict[tuple[int, int], float], border: str = "zero") -> np.ndarray:
-    """Sum of w * a(y + dy, x + dx). Beyond the border are zeros, or the nearest pixel for border='replicate'."""
+    """Sum of w * a(y + dy, x + dx). Beyond the border are zeros, the nearest pixel for border='replicate', or, for 'mirror', the frame turned over at its outermost pixels, which aren't repeated."""
     reach = max(max(abs(dy), abs(dx)) for dy, dx in weights)
-    wide = np.pad(a, reach, mode="edge" if border == "replicate" else "constant")
+    wide = np.pad(a, reach, mode={"replicate": "edge", "mirror": "reflect"}.get(border, "constant"))
     h, w = a.shape
     return sum(k * wide[reach + dy : reach + dy + h, reach + dx : reach + dx + w] for (dy, dx), k in weights.items())
 
@@ -61,6 +47,12 @@ def gradient_length(a: np.ndarray) -> np.ndarray:
     return np.hypot(slope(0), slope(1))
 
 
+def forward_gradient(a: np.ndarray) -> np.ndarray:
+    """Length of the steps to the next pixel right and below, none beyond the border, and never quite zero."""
+    step = lambda axis: np.diff(a, axis=axis, append=np.take(a, [-1], axis=axis))
+    return np.sqrt(step(0) ** 2 + step(1) ** 2 + 1e-8)
+
+
 def gaussian(window: int = 11, sigma: float = 1.5) -> list[float]:
     raw = [math.exp(-((i - window // 2) ** 2) / (2 * sigma * sigma)) for i in range(window)]
     return [x / sum(raw) for x in raw]
@@ -85,17 +77,24 @@ def convolve(v: Column, height: Column, width: Column, weights: dict[tuple[int,
     return _each("array<double>", lambda *f: convolved(image(*f), weights, border).ravel(), v, height, width)
 
 
-def sharpness(v: Column, height: Column, width: Column) -> Column:
-    """Population variance of the Laplacian."""
-    return _each("double", lambda *f: float(convolved(image(*f), LAPLACIAN, "replicate").var()), v, height, width)
+def sharpness(v: Column, height: Column, width: Column, widest: int = 480) -> Column:
+    """Population variance of the Laplacian, mirrored at the borders, of the frame, which is shrunk by areas first if it is wider than widest."""
+    def of(x, h, w) -> float:
+        a = image(x, h, w)
+        if a.shape[1] > widest:
+            a = resampled(a, max(1, int(a.shape[0] * widest / a.shape[1])), widest, "area")
+        return float(convolved(a, LAPLACIAN, "mirror").var())
 
+    return _each("double", of, v, height, width)
 
-def edge_correlation(ir: Column, rgb: Column, height: Column, width: Column) -> Column:
-    """Correlation of the gradient lengths of two modalities; null where one is flat or sizes differ."""
+
+def edge_correlation(ir: Column, rgb: Column, height: Column, width: Column, to_width: int = 256) -> Column:
+    """Correlation of the gradient lengths of two modalities, both brought to one width first; null where one is flat or sizes differ."""
     def r(a, b, h, w) -> float | None:
         if len(a) != len(b):
             return None
-        x, y = gradient_length(image(a, h, w)).ravel(), gradient_length(image(b, h, w)).ravel()
+        size = max(1, round(int(h) * to_width / int(w))), to_width
+        x, y = (gradient_length(resampled(image(m, h, w), *size, "bilinear")).ravel() for m in (a, b))
         sx, sy = x.std(), y.std()
         return float(np.mean((x - x.mean()) * (y - y.mean())) / (sx * sy)) if sx >= 1e-8 and sy >= 1e-8 else None
 
@@ -111,7 +110,7 @@ def fusion_quality(fused: Column, ir: Column, vis: Column, height: Column, width
     def scores(f, i, r, h, w) -> list[float]:
         f, i, r = (image(x, h, w) for x in (f, i, r))
         error = lambda of: float(np.mean(np.abs(of(f) - np.maximum(of(i), of(r)))))
-        parts = [error(lambda x: x), error(gradient_length), 1 - max(similarity(f, i), similarity(f, r)), error(lambda x: np.abs(convolved(x, LAPLACIAN)))]
+        parts = [error(lambda x: x), error(forward_gradient), 1 - max(similarity(f, i), similarity(f, r)), error(lambda x: np.abs(convolved(x, LAPLACIAN)))]
         return [*parts, sum(k * p for k, p in zip(weights, parts, strict=True))]
 
     return _each("struct<intensity: double, gradient: double, structure: double, edge: double, total: double>", scores, fused, ir, vis, height, width)
@@ -184,21 +183,74 @@ def median_background(frames: DataFrame, clip: str) -> DataFrame:
     return frames.select(clip, "height", "width", "v").groupBy(clip).applyInPandas(median, f"`{clip}` {kind}, height int, width int, v array<double>")
 
 
-def chamfer(a: DataFrame, b: DataFrame, by: str, radius: int = 9) -> DataFrame:
-    """a, b (by, y, x): nearest distances both ways, up to radius, which stands for all that are farther; their median, P75, P90, and the share within 1.5.
-
-    Points meet in square buckets as wide as the radius, each sent to the nine around it.
-    """
-    def nearest(p: DataFrame, q: DataFrame) -> DataFrame:
-        p = p.select(by, "y", "x").distinct()
-        cell = lambda c: F.floor(F.col(c) / radius).cast("int")
-        around = q.select(by, F.col("y").alias("qy"), F.col("x").alias("qx"), cell("y").alias("cy0"), cell("x").alias("cx0")).select(by, "qy", "qx", "cx0", F.explode(F.expr("sequence(cy0 - 1, cy0 + 1)")).alias("cy")).select(by, "qy", "qx", "cy", F.explode(F.expr("sequence(cx0 - 1, cx0 + 1)")).alias("cx"))
-        rows = p.withColumn("cy", cell("y")).withColumn("cx", cell("x")).join(around, [by, "cy", "cx"], "left")
-        d = F.sqrt(F.pow(F.col("y") - F.col("qy"), 2) + F.pow(F.col("x") - F.col("qx"), 2))
-        return rows.groupBy(by, "y", "x").agg(F.least(F.coalesce(F.min(d), F.lit(float(radius))), F.lit(float(radius))).alias("d"))
-
-    d = nearest(a, b).union(nearest(b, a))
-    return d.groupBy(by).agg(F.percentile("d", 0.5).alias("median"), F.percentile("d", 0.75).alias("p75"), F.percentile("d", 0.9).alias("p90"), F.avg((F.col("d") <= 1.5).cast("double")).alias("within"))
+def _envelope(f: np.ndarray) -> np.ndarray:
+    """min over q of f[:, q] + (x - q)^2 for every x: the lower envelope of each row's parabolas, all rows at once."""
+    rows, n = f.shape
+    at = np.arange(rows)
+    apex, edge, k = np.zeros((rows, n), int), np.full((rows, n + 1), np.inf), np.zeros(rows, int)
+    edge[:, 0] = -np.inf
+    for q in range(1, n):
+        while True:  # parabolas that the new one covers go
+            p = apex[at, k]
+            meet = ((f[:, q] + q * q) - (f[at, p] + p * p)) / (2 * (q - p))
+            covered = (meet <= edge[at, k]) & (k > 0)
+            if not covered.any():
+                break
+            k[covered] -= 1
+        k += 1
+        apex[at, k], edge[at, k] = q, meet
+        edge[at, k + 1] = np.inf
+    out, k = np.empty((rows, n)), np.zeros(rows, int)
+    for x in range(n):
+        while (later := edge[at, k + 1] < x).any():
+            k[later] += 1
+        p = apex[at, k]
+        out[:, x] = f[at, p] + (x - p) ** 2
+    return out
+
+
+def distances(marks: np.ndarray) -> np.ndarray:
+    """From every pixel to the nearest mark, exact, at any distance: down the columns, then along the rows; infinite without a mark."""
+    if not marks.any():
+        return np.full(marks.shape, np.inf)
+    far = float(marks.shape[0] ** 2 + marks.shape[1] ** 2)  # more than any distance in the frame
+    return np.sqrt(_envelope(_envelope(np.where(marks, 0.0, far).T).T))
+
+
+def edge_distances(a: np.ndarray, b: np.ndarray, valid: np.ndarray | None = None) -> list:
+    """median, p75, p90 and the share within 1.5 of the distances from marks of a to b and from b to a, within the valid region; all null, and a share of 0, where a side has no mark."""
+    a, b = (a, b) if valid is None else (a & valid, b & valid)
+    if not (a.any() and b.any()):
+        return [None, None, None, 0.0]
+    d = np.concatenate([distances(b)[a], distances(a)[b]])
+    return [*np.percentile(d, [50, 75, 90]).tolist(), float(np.mean(d <= 1.5))]
+
+
+_DISTANCES = "struct<median: double, p75: double, p90: double, within: double>"
+
+
+def edge_agreement(a: Column, b: Column, valid: Column, height: Column, width: Column) -> Column:
+    """edge_distances() of two frames of edges, marked by values above zero, where valid is above zero."""
+    return _each(_DISTANCES, lambda x, y, m, h, w: edge_distances(image(x, h, w) > 0, image(y, h, w) > 0, image(m, h, w) > 0), a, b, valid, height, width)
+
+
+def chamfer(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """a, b (by, y, x: whole numbers): edge_distances() of the points of each frame, one that has points on one side alone among them; a frame's points are a group."""
+    def of(ay, ax, by_, bx) -> list:
+        if not (len(ay) and len(by_)):
+            return [None, None, None, 0.0]
+        y, x = np.concatenate([ay, by_]), np.concatenate([ax, bx])
+        sides = []
+        for py, px in ((ay, ax), (by_, bx)):
+            marks = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
+            marks[py - y.min(), px - x.min()] = True
+            sides.append(marks)
+        return edge_distances(*sides)
+
+    names = ["_ay", "_ax", "_by", "_bx"]
+    side = lambda df, s: df.where("y is not null and x is not null").select(by, *(F.when(F.lit(n[1] == s), F.col(n[2]).cast("int")).alias(n) for n in names))
+    rows = side(a, "a").union(side(b, "b")).groupBy(by).agg(*(F.collect_list(n).alias(n) for n in names))
+    return rows.select(by, _each(_DISTANCES, of, *(F.col(n) for n in names)).alias("d")).select(by, "d.*")
 
 
 def chamfer_rating(scores: DataFrame) -> DataFrame:
@@ -218,9 +270,10 @@ def plan_tiles(frames: DataFrame, tile: int, overlap: int) -> DataFrame:
     return rows.select("frame_id", "y0", F.explode(tile_starts(F.col("width"), tile, overlap)).alias("x0"))
 
 
-def hann(tile: int) -> np.ndarray:
-    """A raised cosine that stays above zero at its ends."""
-    return np.maximum(1e-3, 0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(tile) + 0.5) / tile))
+def hann(tile: int, other: int | None = None, least: float = 1e-3) -> np.ndarray:
+    """Weights of a tile: the product of two raised cosines that are 0 at both ends, kept above zero."""
+    one = lambda n: 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)) if n > 1 else np.ones(1)
+    return np.maximum(least, np.outer(one(tile), one(tile if other is None else other)))
 
 
 def starts(size: int, tile: int, overlap: int) -> list[int]:
@@ -243,7 +296,7 @@ def blended(scored: list[tuple[int, int, np.ndarray]], shape: tuple[int, int]) -
     total, weight = np.zeros(shape), np.zeros(shape)
     for y0, x0, values in scored:
         h, w = values.shape
-        k = hann(h)[:, None] * hann(w)[None]
+        k = hann(h, w)
         total[y0 : y0 + h, x0 : x0 + w] += k * values
         weight[y0 : y0 + h, x0 : x0 + w] += k
     if not weight.all():
@@ -251,18 +304,29 @@ def blended(scored: list[tuple[int, int, np.ndarray]], shape: tuple[int, int]) -
     return total / weight
 
 
-def score_tiled(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], tile: int, overlap: int) -> DataFrame:
-    """frames with v as fn makes it, applied to overlapping tiles (n x tile x tile, or smaller where the frame is) whose results, of the same shape and finite, are blended; a frame's tiles stay in its task."""
+def score_tiled(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], tile: int, overlap: int, factor: int = 1, mode: str = "reflect") -> DataFrame:
+    """frames with v as fn makes it, applied to overlapping tiles (n x tile x tile) whose results, of the same shape and finite, are blended; a frame's tiles stay in its task.
+
+    A frame smaller than a tile is padded right and below first, and cut back at the end. The tile has to be a multiple of
+    the factor by which fn halves its input.
+    """
+    if tile <= 0 or tile % factor:
+        raise ValueError(f"a tile of {tile} is no multiple of {factor}")
+    if not 0 <= overlap < tile:
+        raise ValueError("tiles overlap by less than a tile")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             out = []
             for v, height, width in zip(f["v"], f["height"], f["width"], strict=True):
-                a = image(v, height, width)
-                th, tw = min(tile, a.shape[0]), min(tile, a.shape[1])
+                own = image(v, height, width)
+                sides = [(0, max(0, tile - n)) for n in own.shape]
+                narrow = any(s[1] >= n for s, n in zip(sides, own.shape, strict=True))
+                a = np.pad(own, sides, mode="edge" if narrow or mode == "replicate" else "reflect")
                 at = [(y, x) for y in starts(a.shape[0], tile, overlap) for x in starts(a.shape[1], tile, overlap)]
-                tiles = np.stack([a[y : y + th, x : x + tw] for y, x in at])
+                tiles = np.stack([a[y : y + tile, x : x + tile] for y, x in at])
                 scored = checked(fn(tiles), tiles.shape)
-                out.append(blended([(y, x, t) for (y, x), t in zip(at, scored, strict=True)], a.shape).ravel())
+                out.append(blended([(y, x, t) for (y, x), t in zip(at, scored, strict=True)], a.shape)[: own.shape[0], : own.shape[1]].ravel())
             f["v"] = out
             yield f
 
@@ -282,37 +346,3 @@ def baseline(a: Column, b: Column, how: str = "mean") -> Column:
 def blend_masked(a: Column, b: Column, weight: float = 0.5) -> Column:
     """a, blended with b where b has a pixel; all of a where there is no b."""
     return F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: F.when(y.isNull(), x).otherwise(weight * x + (1 - weight) * y)))
-
-
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that the parts fix."""
-    h = F.sha2(F.concat_ws(":", *(p.cast("string") for p in parts)), 256)
-    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(1 << 48)
-
-
-def augment_params(samples: DataFrame, seed: int, epoch: int, crop: int, training: bool = True) -> DataFrame:
-    """samples (sample_id, height, width) -> crop_y, crop_x, flip, angle, gain: drawn by seed, epoch and id; the centre and no change for evaluation."""
-    draw = lambda salt: uniform(F.lit(seed), F.lit(epoch), F.col("sample_id"), F.lit(salt))
-    room = lambda c: F.greatest(F.col(c) - crop, F.lit(0))
-    if not training:
-        return samples.select("sample_id", F.floor(room("height") / 2).cast("int").alias("crop_y"), F.floor(room("width") / 2).cast("int").alias("crop_x"), F.lit(False).alias("flip"), F.lit(0.0).alias("angle"), F.lit(1.0).alias("gain"))
-    return samples.select("sample_id", F.floor(draw("y") * (room("height") + 1)).cast("int").alias("crop_y"), F.floor(draw("x") * (room("width") + 1)).cast("int").alias("crop_x"), (draw("flip") < 0.5).alias("flip"), (10 * draw("angle") - 5).alias("angle"), (0.8 + 0.4 * draw("gain")).alias("gain"))
-
-
-def cropped(a: np.ndarray, y: int, x: int, flip: bool, crop: int, mode: str = "reflect") -> np.ndarray:
-    """A crop x crop part of a, which is padded evenly on both sides first where it is smaller: mirrored, or, where the padding is as wide as the frame, with its border."""
-    high, wide = max(0, crop - a.shape[0]), max(0, crop - a.shape[1])
-    if high or wide:
-        sides = [(high // 2, high - high // 2), (wide // 2, wide - wide // 2)]
-        narrow = any(max(s) >= n for s, n in zip(sides, a.shape, strict=True))
-        a = np.pad(a, sides, mode="edge" if narrow or mode == "replicate" else "reflect")
-    part = a[y : y + crop, x : x + crop]
-    return part[:, ::-1] if flip else part
-
-
-def apply_geometry(frames: DataFrame, params: DataFrame, crop: int, values: tuple[str, ...] = ("v",), mode: str = "reflect") -> DataFrame:
-    """Pad, crop and flip all modalities (values) of a frame by its parameters (frame_id, crop_y, crop_x, flip), which they share."""
-    rows = frames.join(params.select("frame_id", "crop_y", "crop_x", "flip"), "frame_id")
-    own = [F.col(c) for c in ("height", "width", "crop_y", "crop_x", "flip")]
-    made = {c: _each("array<double>", lambda v, h, w, y, x, f: cropped(image(v, h, w), y, x, f, crop, mode).ravel(), F.col(c), *own) for c in values}
-    return rows.withColumns(made).withColumns({"height": F.lit(crop), "width": F.lit(crop)}).drop("crop_y", "crop_x", "flip")

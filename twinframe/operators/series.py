@@ -45,7 +45,7 @@ def best_lag(correlations: DataFrame, by: str) -> DataFrame:
 
 
 def sync_diagnostic(series: DataFrame, by: str, max_lag: int = 5, least: int = 9) -> DataFrame:
-    """Best lag of the whole series and of its thirds; available from so many points on; a warning if any lag isn't zero."""
+    """Best lag of the whole series and of its thirds; a warning if any lag isn't zero; neither is available below so many points."""
     n = F.count("*").over(W.partitionBy(by))
     i = F.row_number().over(W.partitionBy(by).orderBy("t")) - 1
     rows = series.withColumn("n", n).withColumn("i", i)
@@ -54,7 +54,8 @@ def sync_diagnostic(series: DataFrame, by: str, max_lag: int = 5, least: int = 9
     best = best_lag(lag_correlation(parts, "part", max_lag), "part").withColumn("key", F.substring_index("part", "#", 1)).withColumn("seg", F.substring_index("part", "#", -1))
     out = best.groupBy("key").agg(F.max(F.when(F.col("seg") == "0", F.col("best_lag"))).alias("lag"), F.bool_or(F.col("best_lag") != 0).alias("warning"))
     sizes = series.groupBy(F.col(by).cast("string").alias("key")).agg(F.count("*").alias("points"))
-    return sizes.join(out, "key", "left").withColumn("available", F.col("points") >= least)
+    given = F.col("points") >= least
+    return sizes.join(out, "key", "left").select("key", "points", F.when(given, F.col("lag")).alias("lag"), F.when(given, F.col("warning")).alias("warning"), given.alias("available"))
 
 
 def representatives(df: DataFrame, by: str, order: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -17,21 +18,26 @@ WEIGHTS = {"pairs": 4.0, "experiments": 3.0, "category": 2.0, "metadata": 0.2}
 
 
 def group_features(samples: DataFrame, metadata: tuple[str, ...] = ()) -> DataFrame:
-    """leakage_group_id, kind, name, value, long: usable pairs, experiments, pairs of each category, and 1 for each metadata value that a group has."""
+    """leakage_group_id, kind, name, value, long: usable pairs, experiments, pairs of each category, and 1 for each metadata value that a group has, but for null and empty ones."""
     rows = samples.where("usable")
     g = "leakage_group_id"
     count = lambda kind, name: rows.groupBy(g, name.alias("name")).agg(F.count("*").cast("double").alias("value")).select(g, F.lit(kind).alias("kind"), "name", "value")
     out = count("pairs", F.lit("all")).union(rows.groupBy(g).agg(F.countDistinct("experiment_key").cast("double").alias("value")).select(g, F.lit("experiments"), F.lit("all"), "value"))
     out = out.union(count("category", F.col("category")))
     for m in metadata:
-        name = F.concat(F.lit(f"{m}="), F.coalesce(F.col(m), F.lit("")))
-        out = out.union(rows.select(g, F.lit("metadata").alias("kind"), name.alias("name"), F.lit(1.0).alias("value")).distinct())
+        name = F.concat(F.lit(f"{m}="), F.col(m))
+        out = out.union(rows.where(F.col(m) != "").select(g, F.lit("metadata").alias("kind"), name.alias("name"), F.lit(1.0).alias("value")).distinct())
     return out
 
 
 def target_groups(n: int, ratio: float) -> int:
-    """Groups of the second outcome: the largest remainder, at least one on either side."""
-    return min(n - 1, max(1, int(n * ratio + 0.5)))
+    """Groups of the second outcome, at least one on either side: each outcome has the whole part of its share, and what is left over goes to the larger remainder, of equal ones to the larger share, then to the first outcome."""
+    shares = [n * (1 - ratio), n * ratio]
+    whole = [max(1, math.floor(x)) for x in shares]
+    if sum(whole) < n:
+        left = [(x - math.floor(x), r) for x, r in zip(shares, (1 - ratio, ratio), strict=True)]
+        whole[1 if left[1] > left[0] else 0] += 1
+    return min(n - 1, whole[1])
 
 
 def stage_score(features: DataFrame, assigned: DataFrame, ratio: float) -> DataFrame:
@@ -88,15 +94,18 @@ def greedy_table(features: DataFrame, seed: int, trials: int, second: int, ratio
     return features.sparkSession.range(trials).select(F.col("id").alias("trial")).mapInPandas(run, "trial bigint, leakage_group_id string, second boolean")
 
 
-def assign_stage(features: DataFrame, ratio: float, seed: int, trials: int = 256, greedy: bool = False) -> DataFrame:
-    """leakage_group_id, second: of the trials, the one of the lowest score, the first among equals."""
+def assign_stage(features: DataFrame, ratio: float, seed: int, trials: int = 256, greedy: bool = False, names: tuple[str, str] = ("first", "second")) -> DataFrame:
+    """leakage_group_id, second: of the trials, the one of the lowest score; of equals, the one whose outcomes, by the names of outcomes in the order of the groups, come first; then the first trial."""
     features = written(features, "features")  # a few rows for each group, read many times
     n = features.select("leakage_group_id").distinct().count()
     if n < 2:
         raise ValueError("a split needs two groups or more")
     second = target_groups(n, ratio)
     table = greedy_table(features, seed, trials, second, ratio) if greedy else trial_table(features, seed, trials, second)
-    best = stage_score(features, table, ratio).agg(F.min(F.struct("score", "trial")).alias("best")).select(F.col("best.trial").alias("trial"))
+    scores = written(stage_score(features, table, ratio), "scores")
+    lowest = scores.join(scores.agg(F.min("score").alias("low"))).where("score = low").select("trial")
+    signature = F.transform(F.sort_array(F.collect_list(F.struct("leakage_group_id", "second"))), lambda x: F.when(x["second"], names[1]).otherwise(names[0]))
+    best = table.join(lowest, "trial").groupBy("trial").agg(signature.alias("signature")).agg(F.min(F.struct("signature", "trial")).alias("best")).select(F.col("best.trial").alias("trial"))
     return table.join(best, "trial", "left_semi").select("leakage_group_id", "second")
 
 
@@ -105,9 +114,9 @@ def nested_group_split(samples: DataFrame, test_ratio: float = 0.2, val_ratio: f
     features = written(group_features(samples, metadata), "features")
     if features.select("leakage_group_id").distinct().count() < least_groups:
         raise ValueError(f"fewer than {least_groups} usable groups")
-    outer = assign_stage(features, test_ratio, seed, trials, greedy)
+    outer = assign_stage(features, test_ratio, seed, trials, greedy, ("train_pool", "test"))
     pool = features.join(outer.where("not second"), "leakage_group_id", "left_semi")
-    inner = assign_stage(pool, val_ratio, seed * 7919 + 17, trials, greedy).withColumnRenamed("second", "val")
+    inner = assign_stage(pool, val_ratio, seed * 7919 + 17, trials, greedy, ("train", "val")).withColumnRenamed("second", "val")
     return outer.join(inner, "leakage_group_id", "left").select("leakage_group_id", F.when(F.col("second"), "test").otherwise("train_pool").alias("outer_split"), F.when(F.col("second"), "test").when(F.col("val"), "val").otherwise("train").alias("inner_split"))
 
 

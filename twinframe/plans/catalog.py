@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import audit, geometry, grid, neardup, pairing, series, split
+from ..operators import audit, augment, geometry, grid, neardup, pairing, resample, series, split
 from ..sources import scans, sinks
-from ..sources.scans import plan_import
+from ..sources.scans import import_blockers, plan_import
 from ..sources.sinks import plan_copies
 from ..sources.steps import new_path
 from ..streaming.intake import start_intake
@@ -307,12 +307,46 @@ def n2_annotated_duplicates(spark, sf_dir):
     return neardup.annotate_duplicates(neardup.near_duplicates(h, 22), s, m).orderBy(*neardup.REPORT_ORDER)
 
 
-@query(f"""WITH {I.GRID}, c AS (SELECT i, k, cos(pi() * (2 * i + 1) * k / 16) AS c FROM range(8) a(i), range(8) b(k)),
-t AS (SELECT frame_id, p.k AS ky, q.k AS kx, sum(v * p.c * q.c) AS v FROM grid JOIN c p ON y = p.i JOIN c q ON x = q.i GROUP BY 1, 2, 3),
+def _weights(name, size, out, how):
+    """SQL of name (o, i, w): what pixel i of size adds to pixel o of out."""
+    if how == "area":
+        raw = f"greatest(0.0, least((o + 1) * {size} / {out}.0, i + 1) - greatest(o * {size} / {out}.0, i))"
+    else:
+        wide, reach = max(1.0, size / out), {"lanczos": 3, "bilinear": 1}[how]
+        x = f"((i + 0.5 - (o + 0.5) * {size} / {out}.0) / {wide})"
+        sinc = lambda x: f"(CASE WHEN {x} = 0 THEN 1.0 ELSE sin(pi() * {x}) / (pi() * {x}) END)"
+        kernel = f"CASE WHEN abs({x}) < 3 THEN {sinc(x)} * {sinc(f'({x} / 3)')} ELSE 0.0 END" if how == "lanczos" else f"greatest(0.0, 1 - abs({x}))"
+        raw = f"CASE WHEN i >= floor((o + 0.5) * {size} / {out}.0 - {reach * wide} + 0.5) AND i < floor((o + 0.5) * {size} / {out}.0 + {reach * wide} + 0.5) THEN {kernel} ELSE 0.0 END"
+    return f"{name} AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, {raw} AS w FROM range({out}) a(o), range({size}) b(i)))"
+
+
+def _resampled(name, of, weights, round_to=""):
+    """SQL of name (frame_id, y, x, v): pixels of a table in another size, along rows, then columns."""
+    cut = "least(255.0, greatest(0.0, floor({} + 0.5)))" if round_to else "{}"
+    return f"{name}_x AS (SELECT frame_id, y, o AS x, {cut.format('sum(w * v)')} AS v FROM {of} JOIN {weights} ON i = x AND w <> 0 GROUP BY 1, 2, 3), {name} AS (SELECT frame_id, o AS y, x, {cut.format('sum(w * v)')} AS v FROM {name}_x JOIN {weights} ON i = y AND w <> 0 GROUP BY 1, 2, 3)"
+
+
+_BYTES = f"{I.GRID}, bytes AS (SELECT frame_id, y, x, CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 255) ELSE 0.0 END AS v FROM (SELECT *, min(v) OVER (PARTITION BY frame_id) AS lo, max(v) OVER (PARTITION BY frame_id) AS hi FROM grid))"
+
+
+@query(f"""WITH {_BYTES}, {_weights('wide', 8, 32, 'lanczos')}, {_resampled('big', 'bytes', 'wide', '255')},
+c AS (SELECT i, k, cos(pi() * (2 * i + 1) * k / 64) * sqrt(2 / 32.0) * CASE k WHEN 0 THEN 1 / sqrt(2) ELSE 1 END AS c FROM range(32) a(i), range(8) b(k)),
+r AS (SELECT frame_id, y, k AS kx, sum(v * c) AS v FROM big JOIN c ON x = i GROUP BY 1, 2, 3), t AS (SELECT frame_id, k AS ky, kx, sum(v * c) AS v FROM r JOIN c ON y = i GROUP BY 1, 2, 3),
 m AS (SELECT frame_id, median(v) AS m FROM t WHERE ky + kx > 0 GROUP BY 1)
-SELECT frame_id, CAST(sum(CASE WHEN ky < 4 AND v > m AND ky + kx > 0 THEN 1::BIGINT << (31 - (ky * 8 + kx)) ELSE 0 END) AS BIGINT) AS hi, CAST(sum(CASE WHEN ky >= 4 AND v > m THEN 1::BIGINT << (63 - (ky * 8 + kx)) ELSE 0 END) AS BIGINT) AS lo FROM t JOIN m USING (frame_id) GROUP BY 1""")
+SELECT frame_id, CAST(sum(CASE WHEN ky < 4 AND v > m THEN 1::BIGINT << (31 - (ky * 8 + kx)) ELSE 0 END) AS BIGINT) AS hi, CAST(sum(CASE WHEN ky >= 4 AND v > m THEN 1::BIGINT << (63 - (ky * 8 + kx)) ELSE 0 END) AS BIGINT) AS lo FROM t JOIN m USING (frame_id) GROUP BY 1""")
 def n1_phash(spark, sf_dir):
-    return I.grid(spark, sf_dir).select("frame_id", neardup.phash(F.col("v"), F.col("height"), F.col("width")).alias("h")).select("frame_id", "h.hi", "h.lo")
+    """Frames of 8 x 8 bytes, brought to 32 x 32."""
+    return I.grid(spark, sf_dir).withColumn("v", grid.normalise_8bit(F.col("v"))).select("frame_id", neardup.phash(F.col("v"), F.col("height"), F.col("width")).alias("h")).select("frame_id", "h.hi", "h.lo")
+
+
+@query(f"""WITH {I.GRID}, {_weights('l', 8, 5, 'lanczos')}, {_weights('b', 8, 5, 'bilinear')}, {_weights('a', 8, 5, 'area')}, {_resampled('x', 'grid', 'l')}, {_resampled('z', 'grid', 'b')}, {_resampled('q', 'grid', 'a')}
+SELECT frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(x.v, 6) + 0.0 AS lanczos, round(z.v, 6) + 0.0 AS bilinear, round(q.v, 6) + 0.0 AS area FROM x JOIN z USING (frame_id, y, x) JOIN q USING (frame_id, y, x)""")
+def s3_resample(spark, sf_dir):
+    """Frames of 8 shrunk to 5 by every kernel."""
+    to = F.lit(5)
+    rows = I.grid(spark, sf_dir).select("frame_id", *(resample.resample(F.col("v"), *I.size(), to, to, how).alias(how) for how in ("lanczos", "bilinear", "area")))
+    at = rows.select("frame_id", F.posexplode(F.arrays_zip("lanczos", "bilinear", "area")).alias("i", "p"))
+    return r6(at.select("frame_id", F.expr("cast(i div 5 as int)").alias("y"), F.expr("cast(i % 5 as int)").alias("x"), "p.*"), "lanczos", "bilinear", "area")
 
 
 # --- aggregations and audit ----------------------------------------------------------------------------------------
@@ -343,6 +377,16 @@ def a3_group_features(spark, sf_dir):
     return split.group_features(I.samples(spark, sf_dir))
 
 
+_LIGHT = "CASE CAST(substr(sample_id, 2) AS BIGINT) % 3 WHEN 0 THEN '' WHEN 1 THEN category END"
+
+
+@query(f"WITH {I.SAMPLES}, {_FEATURES} SELECT * FROM features UNION ALL SELECT DISTINCT leakage_group_id, 'metadata', 'light=' || light, 1.0 FROM (SELECT *, {_LIGHT} AS light FROM u) WHERE light <> ''")
+def a3_metadata_features(spark, sf_dir):
+    """A field that is empty in a third of the samples and null in another."""
+    n = F.substring("sample_id", 2, 20).cast("bigint") % 3
+    return split.group_features(I.samples(spark, sf_dir).withColumn("light", F.when(n == 0, "").when(n == 1, F.col("category"))), ("light",))
+
+
 @query(f"WITH {I.SAMPLES}, {I.SPLITS} SELECT split, category, CAST(count(*) AS BIGINT) AS pairs, CAST(count(DISTINCT leakage_group_id) AS BIGINT) AS groups FROM members JOIN samples USING (sample_id) GROUP BY 1, 2")
 def a4_category_counts(spark, sf_dir):
     s = I.samples(spark, sf_dir)
@@ -354,10 +398,21 @@ def a5_sufficiency(spark, sf_dir):
     return audit.sufficiency(I.samples(spark, sf_dir), 6)
 
 
-@query(f"""WITH {I.SAMPLES}, c AS (SELECT count(*) AS n FROM (SELECT experiment_key FROM samples WHERE category IN ('de', 'en', 'es', 'fr') GROUP BY 1 HAVING count(DISTINCT category) = 4))
-SELECT category, CAST(count(DISTINCT clip_id) AS BIGINT) AS clips, CAST((SELECT n FROM c) AS BIGINT) AS complete_experiments FROM samples GROUP BY 1""")
+_ODD_CLIPS = """odd AS (SELECT experiment_key, CASE WHEN leakage_group_id = 'group-3' AND n % 40 = 0 THEN 'xx' ELSE category END AS category, clip_id || CASE WHEN leakage_group_id IN ('group-1', 'group-2') THEN CAST(n % 2 AS VARCHAR) ELSE '' END AS clip_id FROM (SELECT *, CAST(substr(sample_id, 2) AS BIGINT) AS n FROM samples))"""
+
+
+def _odd_clips(spark, sf_dir):
+    """Samples of which two groups have two clips in a category, and one a category that nobody asked for."""
+    n = F.substring("sample_id", 2, 20).cast("bigint")
+    s = I.samples(spark, sf_dir).withColumn("clip_id", F.concat("clip_id", F.when(F.col("leakage_group_id").isin("group-1", "group-2"), (n % 2).cast("string")).otherwise("")))
+    return s.withColumn("category", F.when((F.col("leakage_group_id") == "group-3") & (n % 40 == 0), "xx").otherwise(F.col("category")))
+
+
+@query(f"""WITH {I.SAMPLES}, {_ODD_CLIPS}, k AS (SELECT experiment_key, category, count(DISTINCT clip_id) AS clips FROM odd GROUP BY 1, 2),
+c AS (SELECT count(*) AS n FROM (SELECT experiment_key FROM k GROUP BY 1 HAVING list_sort(list(category)) = ['de', 'en', 'es', 'fr'] AND bool_and(clips = 1)))
+SELECT category, CAST(count(DISTINCT clip_id) AS BIGINT) AS clips, CAST((SELECT n FROM c) AS BIGINT) AS complete_experiments FROM odd GROUP BY 1""")
 def a6_readiness(spark, sf_dir):
-    return audit.readiness(I.samples(spark, sf_dir), _REQUIRED)
+    return audit.readiness(_odd_clips(spark, sf_dir), _REQUIRED)
 
 
 @query("""WITH r AS (SELECT sha256('{"l_orderkey":"' || CAST(l_orderkey AS VARCHAR) || '","l_linenumber":"' || CAST(l_linenumber AS VARCHAR) || '","l_returnflag":"' || l_returnflag || '"}') AS h FROM lineitem)
@@ -452,15 +507,15 @@ def w5_lag_correlation(spark, sf_dir):
     return r6(series.lag_correlation(I.series(spark, sf_dir), "clip"), "r")
 
 
-@query(f"""WITH s0 AS (SELECT user_id % 20 AS clip, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS INT) AS t, round(sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END), 6) AS a, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 6) AS b FROM events GROUP BY 1, 2),
+@query(f"""WITH s0 AS (SELECT user_id % 20 AS clip, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS INT) AS t, round(sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END), 6) AS a, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 6) AS b FROM events WHERE user_id % 20 > 1 OR ts < TIMESTAMP '2024-01-07' GROUP BY 1, 2),
 n AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n, row_number() OVER (PARTITION BY clip ORDER BY t) - 1 AS i FROM s0),
 p AS (SELECT clip, 0 AS seg, t, a, b FROM n UNION ALL SELECT clip, CASE WHEN i < n // 3 THEN 1 WHEN i < 2 * n // 3 THEN 2 ELSE 3 END, t, a, b FROM n),
 c AS (SELECT x.clip, x.seg, g.lag, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(x.a) * stddev_pop(y.b) > 1e-12 THEN covar_pop(x.a, y.b) / (stddev_pop(x.a) * stddev_pop(y.b)) END AS r FROM p x CROSS JOIN (SELECT CAST(unnest(range(-5, 6)) AS INT) AS lag) g JOIN p y ON x.clip = y.clip AND x.seg = y.seg AND y.t = x.t + g.lag GROUP BY 1, 2, 3),
 best AS (SELECT clip, seg, lag FROM (SELECT *, row_number() OVER (PARTITION BY clip, seg ORDER BY round(r, 9) DESC, lag) AS k FROM c WHERE r IS NOT NULL) WHERE k = 1)
-SELECT CAST(clip AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS points, (SELECT lag FROM best WHERE best.clip = s0.clip AND seg = 0) AS lag, (SELECT bool_or(lag <> 0) FROM best WHERE best.clip = s0.clip) AS warning, count(*) >= 9 AS available FROM s0 GROUP BY clip""")
+SELECT CAST(clip AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS points, CASE WHEN count(*) >= 9 THEN (SELECT lag FROM best WHERE best.clip = s0.clip AND seg = 0) END AS lag, CASE WHEN count(*) >= 9 THEN (SELECT bool_or(lag <> 0) FROM best WHERE best.clip = s0.clip) END AS warning, count(*) >= 9 AS available FROM s0 GROUP BY clip""")
 def w6_sync_diagnostic(spark, sf_dir):
-    """Daily sums of two kinds of events, for twenty sets of users."""
-    rows = table(spark, sf_dir, "events").withColumn("t", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))).withColumn("clip", F.col("user_id") % 20)
+    """Daily sums of two kinds of events, for twenty sets of users, two of which have a few days alone."""
+    rows = table(spark, sf_dir, "events").withColumn("t", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))).withColumn("clip", F.col("user_id") % 20).where("clip > 1 or t < 6")
     total = lambda k: F.round(F.sum(F.when(F.col("event_type") == k, F.col("value")).otherwise(0.0)), 6)
     return series.sync_diagnostic(rows.groupBy("clip", "t").agg(total("click").alias("a"), total("purchase").alias("b")), "clip")
 
@@ -520,19 +575,22 @@ def u4_member_issues(spark, sf_dir):
     return audit.member_issues(listed.withColumn("split", F.lit("val")), s)
 
 
-def _search(name, groups, seed, ratio):
+def _search(name, groups, seed, ratio, names=("first", "second")):
     """SQL of a stage's search over the features of groups: name_trials (trial, leakage_group_id, second) and name_scores (trial, score)."""
     square = lambda have, share: f"(({have}) - total * {share}) / greatest(1.0, total * {share})"
     own, rest = square("got", ratio), square("total - got", 1 - ratio)
+    raw, part = {1: f"n * {1 - ratio}", 2: f"n * {ratio}"}, lambda k: f"greatest(1, CAST(floor({k}) AS INT))"
+    over = f"{part(raw[1])} + {part(raw[2])} < n AND ({raw[2]} - floor({raw[2]}) > {raw[1]} - floor({raw[1]}) OR ({raw[2]} - floor({raw[2]}) = {raw[1]} - floor({raw[1]}) AND {ratio} > {1 - ratio}))"
     return f"""{name}_f AS (SELECT * FROM features WHERE leakage_group_id IN (SELECT leakage_group_id FROM {groups})), {name}_n AS (SELECT count(DISTINCT leakage_group_id) AS n FROM {name}_f),
-{name}_trials AS (SELECT t.trial, leakage_group_id, row_number() OVER (PARTITION BY trial ORDER BY sha256('{seed}:' || CAST(t.trial AS VARCHAR) || ':' || leakage_group_id)) <= (SELECT least(n - 1, greatest(1, CAST(floor(n * {ratio} + 0.5) AS INT))) FROM {name}_n) AS second FROM (SELECT DISTINCT leakage_group_id FROM {name}_f) CROSS JOIN (SELECT unnest(range(0, 256)) AS trial) t),
+{name}_trials AS (SELECT t.trial, leakage_group_id, row_number() OVER (PARTITION BY trial ORDER BY sha256('{seed}:' || CAST(t.trial AS VARCHAR) || ':' || leakage_group_id)) <= (SELECT least(n - 1, {part(raw[2])} + CASE WHEN {over} THEN 1 ELSE 0 END) FROM {name}_n) AS second FROM (SELECT DISTINCT leakage_group_id FROM {name}_f) CROSS JOIN (SELECT unnest(range(0, 256)) AS trial) t),
 {name}_totals AS (SELECT kind, name, sum(value) AS total FROM {name}_f GROUP BY 1, 2), {name}_got AS (SELECT trial, kind, name, sum(CASE WHEN second THEN value ELSE 0 END) AS got FROM {name}_trials JOIN {name}_f USING (leakage_group_id) GROUP BY 1, 2, 3),
 {name}_scores AS (SELECT trial, round(sum(CASE kind WHEN 'pairs' THEN 4.0 WHEN 'experiments' THEN 3.0 WHEN 'category' THEN 2.0 ELSE 0.2 END * (pow({own}, 2) + pow({rest}, 2))), 9) AS score FROM {name}_got JOIN {name}_totals USING (kind, name) GROUP BY 1),
-{name}_best AS (SELECT leakage_group_id, second FROM {name}_trials WHERE trial = (SELECT trial FROM {name}_scores ORDER BY score, trial LIMIT 1))"""
+{name}_signed AS (SELECT trial, list(CASE WHEN second THEN '{names[1]}' ELSE '{names[0]}' END ORDER BY leakage_group_id) AS signature FROM {name}_trials GROUP BY 1),
+{name}_best AS (SELECT leakage_group_id, second FROM {name}_trials WHERE trial = (SELECT trial FROM {name}_scores JOIN {name}_signed USING (trial) ORDER BY score, signature, trial LIMIT 1))"""
 
 
 _TRIALS = f"{I.SAMPLES}, {_FEATURES}, {_search('outer', 'features', 42, 0.2)}"
-_NESTED = f"""{_TRIALS}, pool AS (SELECT leakage_group_id FROM outer_best WHERE NOT second), {_search('inner', 'pool', 42 * 7919 + 17, 0.2)},
+_NESTED = f"""{I.SAMPLES}, {_FEATURES}, {_search('outer', 'features', 42, 0.2, ('train_pool', 'test'))}, pool AS (SELECT leakage_group_id FROM outer_best WHERE NOT second), {_search('inner', 'pool', 42 * 7919 + 17, 0.2, ('train', 'val'))},
 nested AS (SELECT o.leakage_group_id, CASE WHEN o.second THEN 'test' ELSE 'train_pool' END AS outer_split, CASE WHEN o.second THEN 'test' WHEN i.second THEN 'val' ELSE 'train' END AS inner_split FROM outer_best o LEFT JOIN inner_best i USING (leakage_group_id))"""
 
 
@@ -548,6 +606,19 @@ def g3_assign_stage(spark, sf_dir):
     return split.assign_stage(split.group_features(I.samples(spark, sf_dir)), 0.2, 42)
 
 
+@query(f"WITH {I.SAMPLES}, {_FEATURES}, {_search('outer', 'features', 3, 0.25)} SELECT * FROM outer_best")
+def g3_assign_stage_half_groups(spark, sf_dir):
+    """A quarter of ten groups is two and a half: what is left over goes to the larger share."""
+    return split.assign_stage(split.group_features(I.samples(spark, sf_dir)), 0.25, 3)
+
+
+@query(f"""WITH {I.SAMPLES}, features AS (SELECT DISTINCT leakage_group_id, 'pairs' AS kind, 'all' AS name, 1.0 AS value FROM samples), {_search('outer', 'features', 8, 0.5, ('train_pool', 'test'))} SELECT * FROM outer_best""")
+def g3_assign_stage_equal_trials(spark, sf_dir):
+    """Groups of one pair each: all trials score the same, and the outcomes' names decide."""
+    f = I.samples(spark, sf_dir).select("leakage_group_id", F.lit("pairs").alias("kind"), F.lit("all").alias("name"), F.lit(1.0).alias("value")).distinct()
+    return split.assign_stage(f, 0.5, 8, names=("train_pool", "test"))
+
+
 @query(None)
 def g3_assign_stage_greedy(spark, sf_dir):
     """The search whose trials take the largest groups first; its tests hold it against a loop over all choices."""
@@ -667,11 +738,22 @@ def q11_import_copies(spark, sf_dir):
     return plan_import(f, there, _SLUGS, list(_SLUGS.values()), "out")[1]
 
 
-@query(f"""WITH {_IMPORTS}, w AS (SELECT day || '__' || experiment AS e, category, count(*) AS clips FROM c WHERE category IS NOT NULL AND pairs > 0 AND one_sided = 0 GROUP BY 1, 2), r AS (SELECT count(*) AS n FROM (SELECT e FROM w GROUP BY e HAVING count(*) = 3))
+@query(f"""WITH {_IMPORTS}, w AS (SELECT day || '__' || experiment AS e, category, count(*) AS clips FROM c WHERE category IS NOT NULL AND pairs > 0 AND one_sided = 0 GROUP BY 1, 2), r AS (SELECT count(*) AS n FROM (SELECT e FROM w GROUP BY e HAVING count(*) = 3 AND bool_and(clips = 2)))
 SELECT category, CAST(sum(clips) AS BIGINT) AS clips, CAST((SELECT n FROM r) AS BIGINT) AS complete_experiments FROM w GROUP BY category""")
 def q11_import_readiness(spark, sf_dir):
     f = _imports(spark, sf_dir)
-    return plan_import(f, f.limit(0), _SLUGS, list(_SLUGS.values()), "out")[2]
+    return plan_import(f, f.limit(0), _SLUGS, list(_SLUGS.values()), "out", 2)[2]
+
+
+@query(f"""WITH {_IMPORTS}, w AS (SELECT day || '__' || experiment AS e, category, count(*) AS clips FROM c WHERE category IS NOT NULL AND pairs > 0 AND one_sided = 0 GROUP BY 1, 2), r AS (SELECT e FROM w GROUP BY e HAVING count(*) = 3 AND bool_and(clips = 2)),
+n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM r)
+SELECT 'too_few_complete_experiments' AS code, n AS found, CAST(1000 AS BIGINT) AS needed FROM n WHERE n < 1000 UNION ALL SELECT 'group_assignments_missing', NULL, NULL UNION ALL SELECT 'edges_not_audited', NULL, NULL UNION ALL SELECT 'complete ' || e, NULL, NULL FROM r""")
+def q11_import_blockers(spark, sf_dir):
+    """What keeps a split from being made, beside the experiments that are complete."""
+    f = _imports(spark, sf_dir)
+    done, blockers = import_blockers(plan_import(f, f.limit(0), _SLUGS, list(_SLUGS.values()), "out")[0], list(_SLUGS.values()), 2, 1000)
+    none = F.lit(None).cast("long")
+    return blockers.union(done.select(F.concat(F.lit("complete "), "experiment_key"), none, none))
 
 
 @query("""SELECT o_orderkey AS task, CASE WHEN present >= expected THEN 'skip' WHEN present > 0 THEN 'fail' ELSE 'run' END AS action FROM (SELECT o_orderkey, count(l_orderkey) FILTER (l_linestatus = 'F') AS present, CASE WHEN count(l_orderkey) = 0 THEN 1 ELSE count(l_orderkey) END AS expected FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)""")
@@ -686,10 +768,12 @@ def q9_task_issues(spark, sf_dir):
     return audit.task_issues(d, d.where("task % 5 <> 0").select("path", F.when(F.col("task") % 3 == 0, F.lit("x")).otherwise(F.col("sha")).alias("sha")))
 
 
-@query("""WITH f AS (SELECT l_suppkey AS task, l_linenumber AS name, count(DISTINCT l_linestatus) AS m, bool_and(l_tax < 0.08) AS ok FROM lineitem GROUP BY 1, 2)
+@query("""WITH f AS (SELECT l_suppkey AS task, l_linenumber AS name, count(DISTINCT l_linestatus) AS m, bool_and(l_tax < 0.08 AND NOT (l_linenumber = 7 AND l_suppkey % 2 = 0)) AS ok FROM lineitem GROUP BY 1, 2)
 SELECT task, CAST(count(*) AS BIGINT) AS names, CAST(count(*) FILTER (m <> 2) AS BIGINT) AS one_sided, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS unreadable, count(*) = 7 AND count(*) FILTER (m <> 2) = 0 AND count(*) FILTER (NOT ok) = 0 AS valid FROM f GROUP BY 1""")
 def q10_output_validation(spark, sf_dir):
-    f = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), F.col("l_linestatus").alias("modality"), F.col("l_linenumber").alias("name"), (F.col("l_tax") < 0.08).alias("readable"))
+    """Of some files nothing is known: they aren't readable."""
+    unknown = (F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 2 == 0)
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), F.col("l_linestatus").alias("modality"), F.col("l_linenumber").alias("name"), F.when(~unknown, F.col("l_tax") < 0.08).alias("readable"))
     return audit.output_validation(f, 7)
 
 
@@ -842,7 +926,7 @@ def s11_pair_folders(spark, sf_dir):
 
 # --- grids and tiles --------------------------------------------------------------------------------------------------------
 
-_LAPLACE = "SELECT frame_id, y, x, sum(w * v) AS v FROM (SELECT g.frame_id, t.y, t.x, t.w, g.v FROM (SELECT f.frame_id, p.y, p.x, k.w, least(greatest(p.y + k.dy, 0), 7) AS sy, least(greatest(p.x + k.dx, 0), 7) AS sx FROM (SELECT DISTINCT frame_id FROM grid) f CROSS JOIN (SELECT i // 8 AS y, i % 8 AS x FROM range(64) r(i)) p CROSS JOIN (VALUES (0, 0, -4.0), (0, 1, 1.0), (0, -1, 1.0), (1, 0, 1.0), (-1, 0, 1.0)) k(dy, dx, w)) t JOIN grid g ON g.frame_id = t.frame_id AND g.y = t.sy AND g.x = t.sx) GROUP BY 1, 2, 3"
+_LAPLACE = "SELECT frame_id, y, x, sum(w * v) AS v FROM (SELECT g.frame_id, t.y, t.x, t.w, g.v FROM (SELECT f.frame_id, p.y, p.x, k.w, CASE p.y + k.dy WHEN 8 THEN 6 ELSE abs(p.y + k.dy) END AS sy, CASE p.x + k.dx WHEN 8 THEN 6 ELSE abs(p.x + k.dx) END AS sx FROM (SELECT DISTINCT frame_id FROM grid) f CROSS JOIN (SELECT i // 8 AS y, i % 8 AS x FROM range(64) r(i)) p CROSS JOIN (VALUES (0, 0, -4.0), (0, 1, 1.0), (0, -1, 1.0), (1, 0, 1.0), (-1, 0, 1.0)) k(dy, dx, w)) t JOIN grid g ON g.frame_id = t.frame_id AND g.y = t.sy AND g.x = t.sx) GROUP BY 1, 2, 3"
 
 
 @query(f"WITH {I.GRID}, c AS ({_LAPLACE}) SELECT frame_id, round(var_pop(v), 6) AS sharpness FROM c GROUP BY 1")
@@ -850,6 +934,12 @@ def x1_x2_sharpness(spark, sf_dir):
     return r6(I.grid(spark, sf_dir).select("frame_id", grid.sharpness(F.col("v"), *I.size()).alias("sharpness")), "sharpness")
 
 
+@query(f"WITH {I.GRID}, {_weights('a', 8, 6, 'area')}, {_resampled('small', 'grid', 'a')}, c AS ({_LAPLACE.replace('grid', 'small').replace('i // 8', 'i // 6').replace('i % 8', 'i % 6').replace('range(64)', 'range(36)').replace('WHEN 8 THEN 6', 'WHEN 6 THEN 4')}) SELECT frame_id, round(var_pop(v), 6) AS sharpness FROM c GROUP BY 1")
+def x2_sharpness_of_wide_frames(spark, sf_dir):
+    """Frames wider than six pixels are shrunk first."""
+    return r6(I.grid(spark, sf_dir).select("frame_id", grid.sharpness(F.col("v"), *I.size(), 6).alias("sharpness")), "sharpness")
+
+
 @query(f"WITH {I.GRID}, k(dy, dx, w) AS (VALUES (0, 0, 0.5), (-1, 2, 0.25), (1, 0, -1.0)) SELECT a.frame_id, CAST(a.y AS INT) AS y, CAST(a.x AS INT) AS x, round(sum(w * b.v), 6) + 0.0 AS v FROM grid a JOIN k ON true JOIN grid b ON a.frame_id = b.frame_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3")
 def x1_convolve(spark, sf_dir):
     v = grid.convolve(F.col("v"), *I.size(), {(0, 0): 0.5, (-1, 2): 0.25, (1, 0): -1.0})
@@ -860,17 +950,22 @@ _GRAD = """SELECT frame_id, y, x, sqrt(gy * gy + gx * gx) AS g FROM (SELECT fram
  FROM (SELECT *, lag(v) OVER (PARTITION BY frame_id, x ORDER BY y) AS yb, lead(v) OVER (PARTITION BY frame_id, x ORDER BY y) AS ya, lag(v) OVER (PARTITION BY frame_id, y ORDER BY x) AS xb, lead(v) OVER (PARTITION BY frame_id, y ORDER BY x) AS xa FROM {0}))"""
 
 
-@query(f"""WITH {I.GRID}, {I.OTHER}, a AS ({_GRAD.format('grid')}), b AS ({_GRAD.format('other')})
+_EDGES = f"{I.GRID}, {I.OTHER}, {_weights('b6', 8, 6, 'bilinear')}, {_resampled('g6', 'grid', 'b6')}, {_resampled('o6', 'other', 'b6')}, a AS ({_GRAD.format('g6')}), b AS ({_GRAD.format('o6')})"
+
+
+@query(f"""WITH {_EDGES}
 SELECT a.frame_id, round(CASE WHEN stddev_pop(a.g) >= 1e-8 AND stddev_pop(b.g) >= 1e-8 THEN covar_pop(a.g, b.g) / (stddev_pop(a.g) * stddev_pop(b.g)) END, 6) AS edge_correlation FROM a LEFT JOIN b USING (frame_id, y, x) GROUP BY 1""")
 def x3_edge_correlation(spark, sf_dir):
-    """The last frame has no other modality, so no correlation."""
-    return r6(I.both(spark, sf_dir, "left").select("frame_id", grid.edge_correlation(F.col("v"), F.col("u"), *I.size()).alias("edge_correlation")), "edge_correlation")
+    """Both brought to a width of six. The last frame has no other modality, so no correlation."""
+    return r6(I.both(spark, sf_dir, "left").select("frame_id", grid.edge_correlation(F.col("v"), F.col("u"), *I.size(), 6).alias("edge_correlation")), "edge_correlation")
 
 
-@query(f"""WITH {I.GRID}, {I.OTHER}, a AS ({_GRAD.format('grid')}), b AS ({_GRAD.format('other')}), e AS (SELECT a.frame_id, round(covar_pop(a.g, b.g) / (stddev_pop(a.g) * stddev_pop(b.g)), 6) AS c FROM a LEFT JOIN b USING (frame_id, y, x) GROUP BY 1)
-SELECT frame_id, CASE WHEN c >= 0.1 THEN 'pass_information_only' ELSE 'manual_review' END AS review, CASE WHEN c IS NULL THEN 'no_edges_or_sizes_differ' WHEN c < 0.1 THEN 'weak_edges' ELSE '' END AS note FROM e""")
+@query(f"""WITH {_EDGES}, e AS (SELECT a.frame_id, round(CASE WHEN stddev_pop(a.g) >= 1e-8 AND stddev_pop(b.g) >= 1e-8 THEN covar_pop(a.g, b.g) / (stddev_pop(a.g) * stddev_pop(b.g)) END, 6) AS c FROM a LEFT JOIN b USING (frame_id, y, x) GROUP BY 1)
+SELECT frame_id, CASE WHEN c >= 0.1 THEN 'pass_information_only' ELSE 'manual_review' END AS review, concat_ws(';', CASE WHEN frame_id % 4 = 0 THEN 'missing_sync_preview' END, CASE WHEN c IS NULL THEN 'edge_correlation_unavailable' END) AS note FROM e WHERE frame_id % 5 <> 0""")
 def q3_registration_review(spark, sf_dir):
-    return audit.registration_review(x3_edge_correlation(spark, sf_dir)).select("frame_id", "review", "note")
+    """A fifth of the frames isn't usable, a quarter has no preview."""
+    rows = x3_edge_correlation(spark, sf_dir).withColumns({"usable": F.col("frame_id") % 5 != 0, "preview_exists": F.col("frame_id") % 4 != 0})
+    return audit.registration_review(rows).select("frame_id", "review", "note")
 
 
 def _ssim(a, b, name):
@@ -889,13 +984,16 @@ def x4_ssim(spark, sf_dir):
     return r6(I.both(spark, sf_dir).select("frame_id", grid.ssim(F.col("v"), F.col("u"), *I.size()).alias("ssim")), "ssim")
 
 
+_FORWARD = "SELECT frame_id, y, x, sqrt(pow(COALESCE(lead(v) OVER (PARTITION BY frame_id, y ORDER BY x), v) - v, 2) + pow(COALESCE(lead(v) OVER (PARTITION BY frame_id, x ORDER BY y), v) - v, 2) + 1e-8) AS v FROM {0}"
+
+
 def _against(of):
     """SQL: mean error of three tables of pixels made by of(table), the first against the larger of the others."""
     return f"(SELECT frame_id, avg(abs(f.v - greatest(i.v, r.v))) AS e FROM ({of('fused')}) f JOIN ({of('grid')}) i USING (frame_id, y, x) JOIN ({of('other')}) r USING (frame_id, y, x) GROUP BY 1)"
 
 
 @query(f"""WITH {I.GRID}, {I.OTHER}, {_GAUSS}, fused AS (SELECT frame_id, y, x, (a.v + b.v) / 2 AS v FROM grid a JOIN other b USING (frame_id, y, x)), {_ssim('fused', 'grid', 's')}, {_ssim('fused', 'other', 't')},
-m AS (SELECT p.frame_id, p.e AS intensity, q.e AS gradient, 1 - greatest(s.s, t.s) AS structure, z.e AS edge FROM {_against(lambda t: f'SELECT * FROM {t}')} p JOIN {_against(lambda t: 'SELECT frame_id, y, x, g AS v FROM (' + _GRAD.format(t) + ')')} q USING (frame_id) JOIN s USING (frame_id) JOIN t USING (frame_id)
+m AS (SELECT p.frame_id, p.e AS intensity, q.e AS gradient, 1 - greatest(s.s, t.s) AS structure, z.e AS edge FROM {_against(lambda t: f'SELECT * FROM {t}')} p JOIN {_against(_FORWARD.format)} q USING (frame_id) JOIN s USING (frame_id) JOIN t USING (frame_id)
  JOIN {_against(lambda t: f'SELECT a.frame_id, a.y, a.x, abs(sum(w * b.v)) AS v FROM {t} a JOIN (VALUES (0, 0, -4.0), (0, 1, 1.0), (0, -1, 1.0), (1, 0, 1.0), (-1, 0, 1.0)) k(dy, dx, w) ON true JOIN {t} b ON a.frame_id = b.frame_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3')} z USING (frame_id))
 SELECT frame_id, round(intensity, 6) AS intensity, round(gradient, 6) AS gradient, round(structure, 6) AS structure, round(edge, 6) AS edge, round(intensity + 10 * gradient + 5 * structure + 2 * edge, 6) AS total FROM m""")
 def x5_fusion_quality(spark, sf_dir):
@@ -935,16 +1033,32 @@ def x20_median_background(spark, sf_dir):
     return r6(grid.to_pixels(m.withColumnRenamed("clip", "frame_id")).withColumnRenamed("frame_id", "clip"), "v")
 
 
-_SETS = "a AS (SELECT DISTINCT p_brand AS grp, p_size AS y, CAST(floor(p_retailprice / 20) AS INT) AS x FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT p_brand AS grp, p_size AS y, CAST(floor(p_retailprice / 20) AS INT) AS x FROM part WHERE p_partkey % 2 = 1)"
+_SETS = """p AS (SELECT p_brand AS grp, p_size AS y, CAST(floor(p_retailprice / 20) AS INT) + CASE WHEN p_partkey % 14 = 0 THEN 150 ELSE 0 END AS x, p_partkey % 2 = 0 AS even FROM part WHERE p_brand NOT LIKE '%1' OR p_partkey % 2 = 0),
+a AS (SELECT DISTINCT grp, y, x FROM p WHERE even), b AS (SELECT DISTINCT grp, y, x FROM p WHERE NOT even)"""
 
 
-@query(f"""WITH {_SETS}, d AS (SELECT a.grp, a.y, a.x, least(9.0, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2))) AS d FROM a JOIN b USING (grp) GROUP BY 1, 2, 3 UNION ALL SELECT b.grp, b.y, b.x, least(9.0, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2))) FROM a JOIN b USING (grp) GROUP BY 1, 2, 3)
-SELECT grp, CASE WHEN quantile_cont(d, 0.5) <= 1 AND quantile_cont(d, 0.75) <= 4 THEN 'excellent' WHEN quantile_cont(d, 0.5) <= 2 AND quantile_cont(d, 0.75) <= 8 THEN 'good' WHEN quantile_cont(d, 0.5) <= 4 THEN 'fair' ELSE 'poor' END AS rating, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.9), 6) AS p90, round(avg(CASE WHEN d <= 1.5 THEN 1.0 ELSE 0.0 END), 6) AS within FROM d GROUP BY 1""")
+@query(f"""WITH {_SETS}, d AS (SELECT a.grp, a.y, a.x, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM a JOIN b USING (grp) GROUP BY 1, 2, 3 UNION ALL SELECT b.grp, b.y, b.x, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) FROM a JOIN b USING (grp) GROUP BY 1, 2, 3),
+m AS (SELECT g.grp, quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.75) AS p75, quantile_cont(d, 0.9) AS p90, COALESCE(avg(CASE WHEN d IS NOT NULL THEN CASE WHEN d <= 1.5 THEN 1.0 ELSE 0.0 END END), 0.0) AS within FROM (SELECT grp FROM a UNION SELECT grp FROM b) g LEFT JOIN d USING (grp) GROUP BY 1)
+SELECT grp, CASE WHEN median IS NULL THEN 'unavailable' WHEN median <= 1 AND p75 <= 4 THEN 'excellent' WHEN median <= 2 AND p75 <= 8 THEN 'good' WHEN median <= 4 THEN 'fair' ELSE 'poor' END AS rating, round(median, 6) AS median, round(p75, 6) AS p75, round(p90, 6) AS p90, round(within, 6) AS within FROM m""")
 def x21_chamfer(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("grp"), F.col("p_size").alias("y"), F.floor(F.col("p_retailprice") / 20).cast("int").alias("x"))
+    """Some points lie far from all others, and some brands have points on one side alone."""
+    p = table(spark, sf_dir, "part").where("p_brand not like '%1' or p_partkey % 2 = 0")
+    p = p.select("p_partkey", F.col("p_brand").alias("grp"), F.col("p_size").alias("y"), (F.floor(F.col("p_retailprice") / 20) + F.when(F.col("p_partkey") % 14 == 0, 150).otherwise(0)).cast("int").alias("x"))
     return r6(grid.chamfer_rating(grid.chamfer(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "grp")), "median", "p75", "p90", "within")
 
 
+@query(f"""WITH {I.GRID}, {I.OTHER}, ok AS (SELECT * FROM grid WHERE NOT (y = 0 AND x < 3)), a AS (SELECT frame_id, y, x FROM ok WHERE v > 0.15), b AS (SELECT o.frame_id, o.y, o.x FROM other o JOIN ok USING (frame_id, y, x) WHERE o.v > 0.2),
+d AS (SELECT a.frame_id, a.y, a.x, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM a JOIN b USING (frame_id) GROUP BY 1, 2, 3 UNION ALL SELECT b.frame_id, b.y, b.x, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) FROM a JOIN b USING (frame_id) GROUP BY 1, 2, 3)
+SELECT f.frame_id, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.75), 6) AS p75, round(quantile_cont(d, 0.9), 6) AS p90, round(COALESCE(avg(CASE WHEN d IS NOT NULL THEN CASE WHEN d <= 1.5 THEN 1.0 ELSE 0.0 END END), 0.0), 6) AS within
+FROM (SELECT DISTINCT frame_id FROM grid JOIN other USING (frame_id)) f LEFT JOIN d USING (frame_id) GROUP BY 1""")
+def x21_edge_agreement(spark, sf_dir):
+    """Edges of whole frames outside a corner that isn't valid."""
+    above = lambda c, least: F.transform(c, lambda x: F.when(x > least, 1.0).otherwise(0.0))
+    valid = F.transform("v", lambda x, i: F.when(i < 3, 0.0).otherwise(1.0))
+    d = grid.edge_agreement(above("v", 0.15), above("u", 0.2), valid, *I.size())
+    return r6(I.both(spark, sf_dir).select("frame_id", d.alias("d")).select("frame_id", "d.*"), "median", "p75", "p90", "within")
+
+
 _TILES = "f AS (SELECT p_partkey AS frame_id, p_size + 40 AS h, p_size * 2 + 35 AS w FROM part), ys AS (SELECT DISTINCT frame_id, w, unnest(list_append(range(0, h - 32 + 1, 24), h - 32)) AS y0 FROM f), t AS (SELECT DISTINCT frame_id, CAST(y0 AS INT) AS y0, CAST(unnest(list_append(range(0, w - 32 + 1, 24), w - 32)) AS INT) AS x0 FROM ys)"
 
 
@@ -960,8 +1074,8 @@ def x24_blend_identity(spark, sf_dir):
     return r6(grid.to_pixels(grid.score_tiled(I.grid(spark, sf_dir), lambda tiles: tiles, 4, 2)), "v")
 
 
-@query(f"""WITH {I.GRID}, t AS (SELECT y0, x0 FROM (VALUES (0), (3), (4)) a(y0) CROSS JOIN (VALUES (0), (3), (4)) b(x0)), k AS (SELECT i, greatest(1e-3, 0.5 - 0.5 * cos(2 * pi() * (i + 0.5) / 4)) AS w FROM range(4) r(i)),
-p AS (SELECT frame_id, g.y, g.x, v, y0, x0, a.w * b.w AS w, max(v) OVER (PARTITION BY frame_id, y0, x0) AS m FROM grid g JOIN t ON g.y BETWEEN y0 AND y0 + 3 AND g.x BETWEEN x0 AND x0 + 3 JOIN k a ON a.i = g.y - y0 JOIN k b ON b.i = g.x - x0)
+@query(f"""WITH {I.GRID}, t AS (SELECT y0, x0 FROM (VALUES (0), (3), (4)) a(y0) CROSS JOIN (VALUES (0), (3), (4)) b(x0)), k AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 3) AS w FROM range(4) r(i)),
+p AS (SELECT frame_id, g.y, g.x, v, y0, x0, greatest(1e-3, a.w * b.w) AS w, max(v) OVER (PARTITION BY frame_id, y0, x0) AS m FROM grid g JOIN t ON g.y BETWEEN y0 AND y0 + 3 AND g.x BETWEEN x0 AND x0 + 3 JOIN k a ON a.i = g.y - y0 JOIN k b ON b.i = g.x - x0)
 SELECT frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(sum(w * (m - v)) / sum(w), 6) + 0.0 AS v FROM p GROUP BY 1, 2, 3""")
 def x24_x25_score_tiled(spark, sf_dir):
     """Tiles of 4 with an overlap of 1, each scored by its distance to the tile's largest value."""
@@ -975,24 +1089,66 @@ def x26_blend_masked(spark, sf_dir):
     return r6(grid.to_pixels(b.withColumn("v", grid.blend_masked(F.col("v"), F.col("u")))), "v")
 
 
-@query("""WITH u AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS sample_id FROM documents), d AS (SELECT sample_id, salt, CAST(('0x' || substr(sha256('42:1:' || sample_id || ':' || salt), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM u CROSS JOIN (VALUES ('y'), ('x'), ('flip'), ('angle'), ('gain')) s(salt))
-SELECT sample_id, CAST(floor(max(u) FILTER (salt = 'y') * 33) AS INT) AS crop_y, CAST(floor(max(u) FILTER (salt = 'x') * 65) AS INT) AS crop_x, max(u) FILTER (salt = 'flip') < 0.5 AS flip, round(10 * max(u) FILTER (salt = 'angle') - 5, 6) AS angle, round(0.8 + 0.4 * max(u) FILTER (salt = 'gain'), 6) AS gain FROM d GROUP BY 1""")
+_DRAWS = """u AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS sample_id FROM documents), d AS (SELECT sample_id, salt, CAST(('0x' || substr(sha256('42:1:' || sample_id || ':' || salt), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM u CROSS JOIN (VALUES ('y'), ('x'), ('flip'), ('flip_v'), ('rotate'), ('angle'), ('colour'), ('brightness'), ('contrast'), ('saturation'), ('hue')) s(salt)),
+p AS (PIVOT d ON salt IN ('y', 'x', 'flip', 'flip_v', 'rotate', 'angle', 'colour', 'brightness', 'contrast', 'saturation', 'hue') USING max(u) GROUP BY sample_id)"""
+
+
+@query(f"""WITH {_DRAWS} SELECT sample_id, CAST(floor(y * 33) AS INT) AS crop_y, CAST(floor(x * 65) AS INT) AS crop_x, flip < 0.5 AS flip, flip_v < 0.25 AS flip_v, round(CASE WHEN rotate < 0.4 THEN 5 * (2 * angle - 1) ELSE 0.0 END, 6) AS angle,
+ round(CASE WHEN colour < 0.5 THEN 1 + 0.1 * (2 * brightness - 1) ELSE 1.0 END, 6) AS brightness, round(CASE WHEN colour < 0.5 THEN 1 + 0.1 * (2 * contrast - 1) ELSE 1.0 END, 6) AS contrast, round(CASE WHEN colour < 0.5 THEN 1 + 0.1 * (2 * saturation - 1) ELSE 1.0 END, 6) AS saturation, round(CASE WHEN colour < 0.5 THEN 0.02 * (2 * hue - 1) ELSE 0.0 END, 6) AS hue FROM p""")
 def x27_augment_params(spark, sf_dir):
     s = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), F.lit(96).alias("height"), F.lit(128).alias("width"))
-    return r6(grid.augment_params(s, 42, 1, 64), "angle", "gain")
+    return r6(augment.augment_params(s, 42, 1, 64, flip_v=0.25, rotate=0.4), "angle", "brightness", "contrast", "saturation", "hue")
 
 
-@query(f"WITH {I.GRID} SELECT frame_id, CAST(y - 1 AS INT) AS y, CAST(CASE WHEN frame_id % 2 = 0 THEN 5 - (x - 2) ELSE x - 2 END AS INT) AS x, v FROM grid WHERE y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 7")
+@query(f"WITH {I.GRID} SELECT frame_id, CAST(CASE WHEN frame_id % 3 = 0 THEN 5 - (y - 1) ELSE y - 1 END AS INT) AS y, CAST(CASE WHEN frame_id % 2 = 0 THEN 5 - (x - 2) ELSE x - 2 END AS INT) AS x, v FROM grid WHERE y BETWEEN 1 AND 6 AND x BETWEEN 2 AND 7")
 def x28_apply_geometry(spark, sf_dir):
     g = I.grid(spark, sf_dir)
-    return grid.to_pixels(grid.apply_geometry(g, g.select("frame_id", F.lit(1).alias("crop_y"), F.lit(2).alias("crop_x"), (F.col("frame_id") % 2 == 0).alias("flip")), 6))
+    return grid.to_pixels(augment.apply_geometry(g, g.select("frame_id", F.lit(1).alias("crop_y"), F.lit(2).alias("crop_x"), (F.col("frame_id") % 2 == 0).alias("flip"), (F.col("frame_id") % 3 == 0).alias("flip_v")), 6))
 
 
 @query(f"WITH {I.GRID}, m AS (SELECT i, CASE WHEN i < 2 THEN 2 - i WHEN i > 9 THEN 16 - i ELSE i - 2 END AS s FROM range(12) r(i)) SELECT frame_id, CAST(a.i AS INT) AS y, CAST(b.i AS INT) AS x, v FROM grid JOIN m a ON y = a.s JOIN m b ON x = b.s")
 def x28_pad(spark, sf_dir):
     """Frames of 8 for a crop of 12 are mirrored by two pixels on every side."""
     g = I.grid(spark, sf_dir)
-    return grid.to_pixels(grid.apply_geometry(g, g.select("frame_id", F.lit(0).alias("crop_y"), F.lit(0).alias("crop_x"), F.lit(False).alias("flip")), 12))
+    return grid.to_pixels(augment.apply_geometry(g, g.select("frame_id", F.lit(0).alias("crop_y"), F.lit(0).alias("crop_x"), F.lit(False).alias("flip")), 12))
+
+
+@query(f"""WITH {I.GRID}, c AS (SELECT frame_id, y - 1 AS y, x AS x, v FROM grid WHERE y BETWEEN 1 AND 6 AND x <= 5), f AS (SELECT frame_id, radians(frame_id % 61 - 30) AS a FROM c GROUP BY 1), rim AS (SELECT *, greatest(1, CAST(ceil(6 * sin(abs(a))) AS INT)) AS r FROM f),
+t AS (SELECT frame_id, y, x, r, CASE WHEN a = 0 THEN y ELSE sin(a) * (x - 2.5) + cos(a) * (y - 2.5) + 2.5 END AS sy, CASE WHEN a = 0 THEN x ELSE cos(a) * (x - 2.5) - sin(a) * (y - 2.5) + 2.5 END AS sx FROM rim CROSS JOIN (SELECT i // 6 AS y, i % 6 AS x FROM range(36) g(i)) p),
+n AS (SELECT *, CAST(floor(sy) AS INT) + dy AS iy, CAST(floor(sx) AS INT) + dx AS ix FROM t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(dy, dx)),
+s AS (SELECT *, CASE WHEN abs(iy) > 5 THEN 10 - abs(iy) ELSE abs(iy) END AS my, CASE WHEN abs(ix) > 5 THEN 10 - abs(ix) ELSE abs(ix) END AS mx, (1 - abs(sy - iy)) * (1 - abs(sx - ix)) AS w FROM n WHERE iy BETWEEN -r AND 5 + r AND ix BETWEEN -r AND 5 + r)
+SELECT s.frame_id, CAST(s.y AS INT) AS y, CAST(s.x AS INT) AS x, round(sum(w * c.v), 6) + 0.0 AS v FROM s JOIN c ON c.frame_id = s.frame_id AND c.y = my AND c.x = mx GROUP BY 1, 2, 3""")
+def x28_rotation(spark, sf_dir):
+    """Crops of 6, turned by -30 to 30 degrees by their number; what comes in at the corners is mirrored."""
+    g = I.grid(spark, sf_dir)
+    p = g.select("frame_id", F.lit(1).alias("crop_y"), F.lit(0).alias("crop_x"), F.lit(False).alias("flip"), (F.col("frame_id") % 61 - 30).cast("double").alias("angle"))
+    return r6(grid.to_pixels(augment.apply_geometry(g, p, 6)), "v")
+
+
+_GREY = "0.2989 * r + 0.587 * g + 0.114 * b"
+_CUT = "least(1.0, greatest(0.0, {}))"
+
+
+def _mixed(with_, k):
+    return ", ".join(f"{_CUT.format(f'{k} * {c} + (1 - {k}) * ({with_})')} AS {c}" for c in "rgb")
+
+
+@query(f"""WITH {I.GRID}, k AS (SELECT frame_id, 0.8 + 0.1 * (frame_id % 5) AS kb, 0.9 + 0.1 * (frame_id % 3) AS kc, 0.5 + 0.25 * (frame_id % 4) AS ks, 0.1 * (frame_id % 11) - 0.5 AS kh FROM grid GROUP BY 1),
+unit AS (SELECT frame_id, y, x, {_CUT.format('0.5 + v')} AS v FROM grid),
+c0 AS (SELECT a.frame_id, a.y, a.x, a.v AS r, b.v AS g, c.v AS b FROM unit a JOIN unit b ON b.frame_id = a.frame_id AND b.y = a.y AND b.x = 7 - a.x JOIN unit c ON c.frame_id = a.frame_id AND c.y = 7 - a.y AND c.x = a.x),
+c1 AS (SELECT frame_id, y, x, {_mixed('0.0', 'kb')} FROM c0 JOIN k USING (frame_id)), c2 AS (SELECT frame_id, y, x, {_mixed('m', 'kc')} FROM (SELECT *, avg({_GREY}) OVER (PARTITION BY frame_id) AS m FROM c1) JOIN k USING (frame_id)), c3 AS (SELECT frame_id, y, x, {_mixed(_GREY, 'ks')} FROM c2 JOIN k USING (frame_id)),
+h AS (SELECT frame_id, y, x, r, g, b, kh, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS span FROM c3 JOIN k USING (frame_id)),
+hue AS (SELECT *, CASE WHEN span = 0 THEN 0.0 WHEN r = top THEN (g - b) / span WHEN g = top THEN 2 + (b - r) / span ELSE 4 + (r - g) / span END / 6 + kh AS t FROM h), six AS (SELECT *, 6 * (t - floor(t)) AS s FROM hue)
+SELECT frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {", ".join(f"round(CASE WHEN kh = 0 THEN {c} ELSE top - span * greatest(0.0, least(1.0, {k}, 4 - {k})) END, 6) + 0.0 AS {c}" for c, k in ((c, f"CASE WHEN s + {n} >= 6 THEN s + {n} - 6 ELSE s + {n} END") for c, n in zip("rgb", (5, 3, 1))))} FROM six""")
+def x28_colour(spark, sf_dir):
+    """Three channels made of a frame and its mirror images, with factors by its number."""
+    at = lambda i: F.expr(f"transform(sequence(0, 63), k -> element_at(v, cast({i} + 1 as int)))")
+    unit = F.transform("v", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + x)))
+    f = I.grid(spark, sf_dir).select("frame_id", "width", unit.alias("v")).select("frame_id", "width", F.col("v").alias("r"), at("(k div 8) * 8 + 7 - k % 8").alias("g"), at("(7 - k div 8) * 8 + k % 8").alias("b"))
+    n = F.col("frame_id")
+    p = f.select("frame_id", (0.8 + 0.1 * (n % 5)).alias("brightness"), (0.9 + 0.1 * (n % 3)).alias("contrast"), (0.5 + 0.25 * (n % 4)).alias("saturation"), (0.1 * (n % 11) - 0.5).alias("hue"))
+    rows = augment.apply_colour(f, p).select("frame_id", F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "p"))
+    return r6(rows.select("frame_id", F.expr("cast(i div 8 as int)").alias("y"), F.expr("cast(i % 8 as int)").alias("x"), "p.*"), "r", "g", "b")
 
 
 # --- geometry -----------------------------------------------------------------------------------------------------------------
@@ -1067,15 +1223,26 @@ def x13_leave_one_out(spark, sf_dir):
     return r6(geometry.leave_one_out(I.points(spark, sf_dir), ["grp"], "pair"), "rmse")
 
 
-@query(f"""WITH RECURSIVE {I.POINTS}, {_solved('points', 'grp, pair')}, seen AS (SELECT grp, pair, k, {_PX.format('(k % 3)', '(k // 3)')} AS x, {_PY.format('(k % 3)', '(k // 3)')} AS y FROM models CROSS JOIN range(9) r(k) WHERE (SELECT count(*) FROM points p WHERE p.grp = models.grp AND p.pair = models.pair) >= 4),
-d AS (SELECT a.grp, a.pair, median(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS s FROM seen a JOIN seen b ON a.grp = b.grp AND a.k = b.k AND a.pair <> b.pair GROUP BY 1, 2)
-SELECT grp, arg_min(pair, s) AS medoid, round(min(s), 4) AS spread, round(max(s), 4) AS widest FROM d GROUP BY 1""")
+_SEEN = f"""{_solved('points', 'grp, pair')}, seen AS (SELECT grp, pair, k, {_PX.format('(k % 3)', '(k // 3)')} AS x, {_PY.format('(k % 3)', '(k // 3)')} AS y FROM models CROSS JOIN range(9) r(k) WHERE (SELECT count(*) FROM points p WHERE p.grp = models.grp AND p.pair = models.pair) >= 4)"""
+
+
+@query(f"""WITH RECURSIVE {I.POINTS}, {_SEEN}, d AS (SELECT a.grp, a.pair, b.pair AS o, CASE WHEN a.pair = b.pair THEN 0.0 ELSE median(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) END AS d FROM seen a JOIN seen b ON a.grp = b.grp AND a.k = b.k GROUP BY 1, 2, 3),
+s AS (SELECT grp, pair, median(d) AS spread, max(d) AS widest FROM d GROUP BY 1, 2) SELECT grp, arg_min(pair, spread) AS medoid, round(min(spread), 4) AS spread, round(arg_min(widest, spread), 4) AS widest FROM s GROUP BY 1""")
 def x14_medoid(spark, sf_dir):
     p = I.points(spark, sf_dir)
     models = geometry.fit_homography(p, ["grp", "pair"]).where("h is not null")
     return geometry.select_medoid(models, ["grp"], "pair", 3.0, 3.0).select("grp", "medoid", F.round("spread", 4).alias("spread"), F.round("widest", 4).alias("widest"))
 
 
+@query(f"""WITH RECURSIVE {I.POINTS}, {_SEEN}, whole AS (SELECT grp, k, (1.1 * (k % 3) + 0.02 * (k // 3) + 3.0) / (0.001 * (k % 3) + 1) AS x, (0.03 * (k % 3) + 0.9 * (k // 3) + 2.0) / (0.001 * (k % 3) + 1) AS y FROM (SELECT DISTINCT grp FROM points) CROSS JOIN range(9) r(k)),
+d AS (SELECT grp, pair, median(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM seen a JOIN whole b USING (grp, k) GROUP BY 1, 2) SELECT grp, arg_min(pair, d) AS medoid, round(median(d), 4) AS spread, round(max(d), 4) AS widest FROM d GROUP BY 1""")
+def x14_medoid_of_reference(spark, sf_dir):
+    """Against the group's global model."""
+    p = I.points(spark, sf_dir)
+    models = geometry.fit_homography(p, ["grp", "pair"]).where("h is not null")
+    return geometry.select_medoid(models, ["grp"], "pair", 3.0, 3.0, _models(p)).select("grp", "medoid", F.round("spread", 4).alias("spread"), F.round("widest", 4).alias("widest"))
+
+
 @query(f"""WITH {I.POINTS}, e AS (SELECT a.grp, a.pair, sum(a.rgb_x * b.rgb_y - b.rgb_x * a.rgb_y) / 2 AS area FROM points a JOIN points b ON a.grp = b.grp AND a.pair = b.pair AND a.pt <> b.pt
  WHERE NOT EXISTS (SELECT 1 FROM points c WHERE c.grp = a.grp AND c.pair = a.pair AND (b.rgb_x - a.rgb_x) * (c.rgb_y - a.rgb_y) - (b.rgb_y - a.rgb_y) * (c.rgb_x - a.rgb_x) < 0) GROUP BY 1, 2),
 c AS (SELECT grp, pair, avg(rgb_x) AS cx, avg(rgb_y) AS cy FROM points GROUP BY 1, 2), r AS (SELECT grp, (max(cx) - min(cx)) / 4 AS sx, (max(cy) - min(cy)) / 2 AS sy, max(area) / min(area) AS q FROM c JOIN e USING (grp, pair) GROUP BY 1)

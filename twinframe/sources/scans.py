@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_category, norm_clip, norm_day, norm_experiment, safe_path
-from ..operators.audit import readiness
+from ..operators.audit import complete_experiments, readiness
 from ..operators.pairing import pair_numeric, pair_strict
+from ..operators.resample import fitted, resampled
 from .sinks import plan_copies
 
 
@@ -30,8 +31,8 @@ def scan_png_headers(files: DataFrame) -> DataFrame:
     return files.select("path", head.alias("readable"), when(number(17, 4)).alias("width"), when(number(21, 4)).alias("height"), when(number(25, 1)).alias("bit_depth"), when(mode[number(26, 1)]).alias("mode"))
 
 
-def scan_grid(spark: SparkSession, root: str, size: int) -> DataFrame:
-    """Frames (frame_id: its path, height, width, v): grey values in [0, 1] of all images under root, averaged over areas to at most size on the longer side."""
+def scan_grid(spark: SparkSession, root: str, size: int, how: str = "area") -> DataFrame:
+    """Frames (frame_id: its path, height, width, v): grey values in [0, 1] of all images under root, shrunk to at most size on the longer side by the kernel how (area, bilinear or lanczos)."""
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root).select("image.*")
 
     def pixels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,11 +40,8 @@ def scan_grid(spark: SparkSession, root: str, size: int) -> DataFrame:
             for r in frame.itertuples():
                 a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels).astype(float)
                 grey = (a[..., :3] @ [0.114, 0.587, 0.299] if r.nChannels >= 3 else a[..., 0]) / 255  # bytes are blue, green, red
-                step = max(1, -(-max(r.height, r.width) // size))
-                ys, xs = np.arange(0, r.height, step), np.arange(0, r.width, step)
-                sums = np.add.reduceat(np.add.reduceat(grey, ys, axis=0), xs, axis=1)
-                area = np.diff([*ys, r.height])[:, None] * np.diff([*xs, r.width])[None]
-                yield pd.DataFrame({"frame_id": [r.origin], "height": [sums.shape[0]], "width": [sums.shape[1]], "v": [(sums / area).ravel()]})
+                small = resampled(grey, *fitted(r.height, r.width, size), how)
+                yield pd.DataFrame({"frame_id": [r.origin], "height": [small.shape[0]], "width": [small.shape[1]], "v": [small.ravel()]})
 
     return images.mapInPandas(pixels, "frame_id string, height int, width int, v array<double>")
 
@@ -134,7 +132,7 @@ def scan_pair_folders(a: DataFrame, b: DataFrame, column: str = "path") -> tuple
     return pair_strict(side(a, "a_path"), side(b, "b_path"), ["key"])
 
 
-def plan_import(files: DataFrame, present: DataFrame, slugs: dict[str, str], required: list[str], root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan_import(files: DataFrame, present: DataFrame, slugs: dict[str, str], required: list[str], root: str, clips_each: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A dry run over files (path, sha256) of .../day/experiment/category/clip/ir|rgb/name: nothing is written.
 
     Returns what every clip would become (clip and target folder, pairs, one-sided files), the copies to make against
@@ -146,5 +144,18 @@ def plan_import(files: DataFrame, present: DataFrame, slugs: dict[str, str], req
     sides = rows.groupBy(*own, "file").agg(F.countDistinct("modality").alias("sides"))
     clips = sides.groupBy(*own).agg(F.count_if(F.col("sides") == 2).alias("pairs"), F.count_if(F.col("sides") < 2).alias("one_sided")).withColumn("target", target)
     wanted = rows.where("category is not null").select(F.concat_ws("/", target, "modality", "file").alias("path"), "sha256")
-    whole = clips.where("category is not null and pairs > 0 and one_sided = 0").select(F.concat_ws("__", "day", "experiment").alias("experiment_key"), "category", F.col("target").alias("clip_id"))
-    return clips, plan_copies(wanted, present), readiness(whole, required)
+    return clips, plan_copies(wanted, present), readiness(_whole(clips), required, clips_each)
+
+
+def _whole(clips: DataFrame) -> DataFrame:
+    """The clips of plan_import() that have pairs alone, as samples."""
+    return clips.where("category is not null and pairs > 0 and one_sided = 0").select(F.concat_ws("__", "day", "experiment").alias("experiment_key"), "category", F.col("target").alias("clip_id"))
+
+
+def import_blockers(clips: DataFrame, required: list[str], clips_each: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Of the clips of plan_import(): the experiments that are complete, and what still keeps a formal split from being made (code, found, needed); groups are always named by a person, and edges audited after the import."""
+    done = complete_experiments(_whole(clips), required, clips_each)
+    n = done.agg(F.count("*").alias("found")).withColumn("needed", F.lit(least).cast("long"))
+    none = F.lit(None).cast("long")
+    few = n.where("found < needed").select(F.lit("too_few_complete_experiments").alias("code"), "found", "needed")
+    return done, few.union(n.select(F.lit("group_assignments_missing"), none, none)).union(n.select(F.lit("edges_not_audited"), none, none))
