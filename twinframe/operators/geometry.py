@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -82,8 +83,95 @@ def solve_homographies(sums: DataFrame, by: list[str]) -> DataFrame:
     return sums.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "h array<double>"]))
 
 
-def fit_homography(points: DataFrame, by: list[str]) -> DataFrame:
-    return solve_homographies(normal_sums(points, by), by)
+def fit_homography(points: DataFrame, by: list[str], refine: int = 0) -> DataFrame:
+    """by, h: the linear least-squares fit, followed by at most refine steps of refine_homography()."""
+    models = solve_homographies(normal_sums(points, by), by)
+    return refine_homography(points, models, by, refine) if refine else models
+
+
+def reprojection_sums(points: DataFrame, models: DataFrame, by: list[str]) -> DataFrame:
+    """by, s: sums over the points of what a step on the reprojection error needs (36 products of derivatives, 8 of derivatives and errors, each row of the triangle followed by its error) and, last, of the squared error; one aggregation. models (by, h)."""
+    px, py = project(F.col("h"), F.col("ir_x"), F.col("ir_y"))
+    inverse = F.try_divide(F.lit(1.0), F.col("h")[6] * F.col("ir_x") + F.col("h")[7] * F.col("ir_y") + F.col("h")[8])
+    rows = points.join(models, by).select(*by, "ir_x", "ir_y", px.alias("_px"), py.alias("_py"), (px - F.col("rgb_x")).alias("_ex"), (py - F.col("rgb_y")).alias("_ey"), inverse.alias("_d"))
+    of = {"_ex": ["ir_x", "ir_y", "1", "0", "0", "0", "-_px*ir_x", "-_px*ir_y"], "_ey": ["0", "0", "0", "ir_x", "ir_y", "1", "-_py*ir_x", "-_py*ir_y"]}
+    total = lambda parts: F.sum(F.expr(" + ".join(parts) or "0.0").cast("double"))
+    sums = []
+    for i in range(8):
+        for j in range(i, 8):
+            sums.append(total([f"_d*_d*({r[i]})*({r[j]})" for r in of.values() if "0" not in (r[i], r[j])]))
+        sums.append(total([f"_d*({r[i]})*{e}" for e, r in of.items() if r[i] != "0"]))
+    return rows.groupBy(*by).agg(F.array(*sums, total(["_ex*_ex + _ey*_ey"])).alias("s"))
+
+
+def _system(s) -> tuple[np.ndarray, np.ndarray, float]:
+    """Matrix, gradient and squared error of reprojection_sums()."""
+    a, g, k = np.zeros((8, 8)), np.zeros(8), 0
+    for i in range(8):
+        a[i, i:] = a[i:, i] = s[k : k + 8 - i]
+        g[i] = s[k + 8 - i]
+        k += 9 - i
+    return a, g, float(s[44])
+
+
+def _step(h, s, damping: float) -> list[float] | None:
+    """h after a damped Gauss-Newton step on its sums."""
+    a, g, _ = _system(s)
+    scale = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
+    try:
+        move = np.linalg.solve(a * scale[:, None] * scale[None] + damping * np.eye(8), -g * scale) * scale
+    except np.linalg.LinAlgError:
+        return None
+    out = np.asarray(h[:8]) + move
+    return [*out.tolist(), 1.0] if np.isfinite(out).all() else None
+
+
+_FITTING = "h array<double>, s array<double>, damping double, tried array<double>, open boolean"
+
+
+def refine_homography(points: DataFrame, models: DataFrame, by: list[str], steps: int = 10, least_gain: float = 1e-12) -> DataFrame:
+    """models (by, h) moved to where the sum of squared reprojection errors is lowest; never to where it is higher.
+
+    Every step is one aggregation of the points at the models that are tried, for all groups at once, and a written table
+    of a row for each group: a trial that lowers the error is kept and damping falls, another is given up and damping
+    rises. A group is done when a step gains less than least_gain of its error, or damping has risen too far; groups without a model stay
+    without one.
+    """
+    kinds = dict(models.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), _FITTING])
+
+    def run(frames):
+        for f in frames:
+            out = {c: [] for c in ("h", "s", "damping", "tried", "open")}
+            for h, s, damping, tried, new in zip(f["h"], f["s"], f["damping"], f["tried"], f["new"], strict=True):
+                worse = new is None or any(x is None or not np.isfinite(x) for x in new) or (s is not None and new[44] >= s[44])
+                gain = 1.0 if worse or s is None else (s[44] - new[44]) / max(s[44], 1e-300)
+                if worse and s is None:  # not even the first model has errors
+                    h, s, tried, go = tried, None, None, False
+                else:
+                    h, s, damping = (h, s, damping * 10) if worse else (tried, new, max(damping / 10, 1e-12))
+                    tried = _step(h, s, damping)
+                    go = tried is not None and gain > least_gain and damping < 1e6 and s[44] > 0
+                for c, v in zip(out, (h, s, damping, tried, go), strict=True):
+                    out[c].append(v)
+            for c, v in out.items():
+                f[c] = v
+            yield f[[*by, *out]]
+
+    none = F.lit(None).cast("array<double>")
+    state = written(models.where("h is not null").select(*by, none.alias("h"), none.alias("s"), F.lit(1e-4).alias("damping"), F.col("h").alias("tried"), F.lit(True).alias("open")), "fits")
+    done = None
+    for _ in range(steps + 1):
+        new = reprojection_sums(points.drop("h"), state.select(*by, F.col("tried").alias("h")), by).withColumnRenamed("s", "new")
+        state = written(state.join(new, by, "left").mapInPandas(run, schema), "fits")
+        over = state.where("not open").select(*by, "h")
+        done = over if done is None else done.union(over)
+        state = state.where("open")
+        if not state.limit(1).count():
+            break
+    else:
+        done = done.union(state.select(*by, "h"))
+    return models.select(*by).join(done, by, "left")
 
 
 def order_corners(points: DataFrame, by: list[str], columns: int, rows: int) -> DataFrame:
@@ -106,22 +194,99 @@ def order_corners(points: DataFrame, by: list[str], columns: int, rows: int) ->
     return tried.join(best, keys)
 
 
-def fit_robust(points: DataFrame, by: list[str], trials: int = 64, threshold: float = 3.0, seed: int = 7) -> DataFrame:
-    """by, h, inliers: of seeded trials that fit four points each, the one with most points within threshold, fitted again on those.
+#: Draws are ranked by multiplication modulo this prime.
+PRIME = (1 << 31) - 1
+
+
+def draw_factors(trials: int, seed: int) -> list[tuple[int, int]]:
+    """For each trial, the two numbers that rank its points: (a * x + b) modulo PRIME."""
+    number = lambda t, salt: int.from_bytes(hashlib.sha256(f"{seed}:{t}:{salt}".encode()).digest()[:6], "big")
+    return [(1 + number(t, "a") % (PRIME - 1), number(t, "b") % PRIME) for t in range(trials)]
 
-    A trial's four points are the lowest of a seeded hash in its group; groups are pairs of boards.
+
+def draw_points(points: DataFrame, by: list[str], trials: int = 64, seed: int = 7, size: int = 4, key: list[str] | None = None) -> DataFrame:
+    """by, trial, and the columns of size points for each trial: those whose rank in the trial is lowest, ties by x; repeated rows are one point.
+
+    x is a number from the SHA-256 of a point's key (its four coordinates, unless named). A task keeps the size lowest of a
+    group and trial as it reads, and what is shuffled are those, not points times trials; a group may be of any size.
     """
-    from pyspark.sql import Window as W
+    factors = np.array(draw_factors(trials, seed), np.int64)
+    columns = [*by, *dict.fromkeys((*(key or []), "ir_x", "ir_y", "rgb_x", "rgb_y"))]
+    x = F.conv(F.substring(F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in key or columns[len(by):])), 256), 1, 15), 16, 10).cast("bigint") % PRIME
+    kinds = dict(points.dtypes)
+    rest = [c for c in columns if c not in by]
+
+    def lowest(frames):
+        kept = None
+        for f in frames:
+            f = (f if kept is None else pd.concat([kept.drop(columns=["trial", "rank"]), f])).drop_duplicates(ignore_index=True)
+            ranks = (f["x"].to_numpy()[:, None] * factors[None, :, 0] + factors[None, :, 1]) % PRIME
+            parts = []
+            for own in (f.groupby(by, dropna=False, sort=False).indices.values() if by else [np.arange(len(f))]):
+                order = np.lexsort((np.broadcast_to(f["x"].to_numpy()[own, None], ranks[own].shape), ranks[own]), axis=0)[:size]
+                at = own[order]  # size x trials
+                part = f.iloc[at.T.ravel()].copy()
+                part["trial"], part["rank"] = np.repeat(np.arange(trials), len(at)), ranks[at.T, np.arange(trials)[:, None]].ravel()
+                parts.append(part)
+            kept = pd.concat(parts, ignore_index=True)
+            if len(kept) > 200_000:  # many groups: those of this task so far go on
+                yield kept
+                kept = None
+        if kept is not None:
+            yield kept
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "x bigint", "trial int", "rank bigint"])
+    few = points.select(*columns, x.alias("x")).mapInPandas(lowest, schema)
+    packed = F.struct("rank", "x", *(F.col(c) for c in rest))
+    best = few.groupBy(*by, "trial").agg(F.slice(F.sort_array(F.collect_set(packed)), 1, size).alias("p"))
+    return best.select(*by, "trial", F.explode("p").alias("p")).select(*by, "trial", *(F.col(f"p.{c}").alias(c) for c in rest))
+
+
+def trial_scores(points: DataFrame, models: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """by, trial, score, inliers of models (by, trial, h): a point counts 1 - (e / threshold)^2, the share of all noise levels up to the threshold, evenly likely in their squares, under which it is an inlier.
+
+    A group's models travel to its points as one array, and tasks add up before the shuffle.
+    """
+    many = models.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("trial", "h"))).alias("_m"))
+    rows = points.join(many, by)
+    kinds = dict(points.dtypes)
 
-    rows = points.withColumn("_p", F.sha2(F.concat_ws(":", "ir_x", "ir_y", "rgb_x", "rgb_y"), 256))
-    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    order = F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), F.col("trial").cast("string"), "_p"), 256)
-    drawn = drawn.withColumn("r", F.row_number().over(W.partitionBy(*by, "trial").orderBy(order))).where("r <= 4")
-    models = fit_homography(drawn, [*by, "trial"]).where("h is not null")
-    counted = project_points(points.drop("h"), models, by).where(F.col("e") <= threshold).groupBy(*by, "trial").agg(F.count("*").alias("inliers"), F.sum("e").alias("total"))
-    best = counted.groupBy(*by).agg(F.max_by("trial", F.struct("inliers", -F.col("total"), -F.col("trial"))).alias("trial"), F.max("inliers").alias("inliers"))
-    kept = project_points(points.drop("h"), models.join(best, [*by, "trial"]), by).where(F.col("e") <= threshold).drop("h", "px", "py", "e")
-    return fit_homography(kept, by).join(best.drop("trial"), by)
+    def run(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            out = []
+            groups = f.groupby(by, dropna=False, sort=False).indices.items() if by else [((), np.arange(len(f)))]
+            for name, own in groups:
+                m = f["_m"].iloc[own[0]]
+                h = np.array([list(x["h"]) for x in m])
+                x, y, u, v = (f[c].to_numpy(np.float64)[own, None] for c in ("ir_x", "ir_y", "rgb_x", "rgb_y"))
+                with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                    d = h[:, 6] * x + h[:, 7] * y + h[:, 8]
+                    e = ((h[:, 0] * x + h[:, 1] * y + h[:, 2]) / d - u) ** 2 + ((h[:, 3] * x + h[:, 4] * y + h[:, 5]) / d - v) ** 2
+                within = e <= threshold**2
+                score = np.where(within, 1 - e / threshold**2, 0.0).sum(axis=0)
+                part = pd.DataFrame({"trial": [x["trial"] for x in m], "score": score, "inliers": within.sum(axis=0)})
+                for i, c in enumerate(by):
+                    part.insert(i, c, name[i] if isinstance(name, tuple) else name)
+                out.append(part)
+            yield pd.concat(out, ignore_index=True)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "trial int, score double, inliers bigint"])
+    return rows.select(*by, "ir_x", "ir_y", "rgb_x", "rgb_y", "_m").mapInPandas(run, schema).groupBy(*by, "trial").agg(F.sum("score").alias("score"), F.sum("inliers").alias("inliers"))
+
+
+def fit_robust(points: DataFrame, by: list[str], trials: int = 64, threshold: float = 3.0, seed: int = 7, key: list[str] | None = None, refine: int = 0) -> DataFrame:
+    """by, h, inliers: of seeded trials that fit four points each, the one of the highest score (trial_scores(), to nine places; the first of equals), fitted again on its points within threshold, with refine steps.
+
+    Points aren't copied for each trial: draws are lowest ranks kept in tasks, scores are sums made there.
+    """
+    drawn = draw_points(points, by, trials, seed, 4, key)
+    models = written(fit_homography(drawn, [*by, "trial"]).where("h is not null"), "trial_models")
+    scores = trial_scores(points.drop("h"), models, by, threshold).where("inliers > 0")
+    best = written(scores.groupBy(*by).agg(F.min_by(F.struct("trial", "inliers"), F.struct(-F.round("score", 9), F.col("trial"))).alias("b")).select(*by, "b.*"), "best_trials")
+    kept = project_points(points.drop("h"), models.join(best, [*by, "trial"]).select(*by, "h"), by).where(F.col("e") <= threshold).drop("h", "px", "py", "e")
+    return fit_homography(kept, by, refine).join(best.drop("trial"), by)
 
 
 def passing_pairs(points: DataFrame, models: DataFrame, by: list[str], pair: str, most_rmse: float, most_p95: float, most_error: float) -> DataFrame:
@@ -130,7 +295,7 @@ def passing_pairs(points: DataFrame, models: DataFrame, by: list[str], pair: str
     return errors.where((F.col("rmse") <= most_rmse) & (F.col("p95") <= most_p95) & (F.col("max_error") <= most_error)).select(*by, pair)
 
 
-def filter_pairs(points: DataFrame, by: list[str], pair: str, most_rmse: float = 0.9, most_p95: float = 1.5, most_error: float = 2.25, trials: int = 64, threshold: float = 3.0) -> tuple[DataFrame, DataFrame]:
+def filter_pairs(points: DataFrame, by: list[str], pair: str, most_rmse: float = 0.9, most_p95: float = 1.5, most_error: float = 2.25, trials: int = 64, threshold: float = 3.0, refine: int = 0) -> tuple[DataFrame, DataFrame]:
     """The points of the pairs that are kept, and by, pair, stage of those rejected; whole pairs, never single points.
 
     First all pairs that fail the limits under the group's robust fit go, then, again and again until none does, all
@@ -139,10 +304,10 @@ def filter_pairs(points: DataFrame, by: list[str], pair: str, most_rmse: float =
     """
     gate = lambda df, models: df.join(passing_pairs(df, models, by, pair, most_rmse, most_p95, most_error), [*by, pair], "left_semi")
     pairs = lambda df: df.select(*by, pair).distinct()
-    kept = written(gate(points, fit_robust(points, by, trials, threshold).select(*by, "h")), "robust_pairs")
+    kept = written(gate(points, fit_robust(points, by, trials, threshold, refine=refine).select(*by, "h")), "robust_pairs")
     first, before = pairs(kept), pairs(kept).count()
     while True:
-        kept = written(gate(kept, fit_homography(kept, by)), "kept_pairs")
+        kept = written(gate(kept, fit_homography(kept, by, refine)), "kept_pairs")
         if (now := pairs(kept).count()) == before:
             break
         before = now
@@ -150,13 +315,23 @@ def filter_pairs(points: DataFrame, by: list[str], pair: str, most_rmse: float =
     return kept, rejected.select(*by, pair, F.when(F.col("f"), "final_global").otherwise("robust_global").alias("stage"))
 
 
-def leave_one_out(points: DataFrame, by: list[str], pair: str) -> DataFrame:
-    """by, pair, rmse of each pair under the fit of all others of its group: their sums are the group's less its own, so the points are added up once."""
+def leave_one_out(points: DataFrame, by: list[str], pair: str, refine: int = 0) -> DataFrame:
+    """by, pair, rmse of each pair under the fit of all others of its group.
+
+    For the linear fit the points are added up once: a pair's others are the group's sums less its own. With refine steps,
+    each pair's model is moved on the points of all other pairs, so a group's points meet every pair of the group, in a
+    join whose rows are added up before they are shuffled.
+    """
     own = normal_sums(points, [*by, pair])
     at = F.array(*(F.sum(F.col("s")[i]) for i in range(44)))
     whole = own.groupBy(*by).agg(F.sum("n").alias("tn"), at.alias("ts"))
     rest = own.join(whole, by).select(*by, pair, (F.col("tn") - F.col("n")).alias("n"), F.zip_with("ts", "s", lambda t, s: t - s).alias("s"))
     models = solve_homographies(rest, [*by, pair])
+    if refine:
+        models = written(models, "left_out_models")
+        left = models.select(*by, F.col(pair).alias("_left"))
+        others = points.withColumnRenamed(pair, "_own").join(left, by).where(F.col("_own") != F.col("_left")).drop("_own").withColumnRenamed("_left", pair)
+        models = refine_homography(others, models, [*by, pair], refine)
     return error_metrics(project_points(points, models, [*by, pair]), [*by, pair]).select(*by, pair, "rmse")
 
 

@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_percentiles
 
-def joint_score(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """df with joint: each series over its median, at least 1e-9, then their harmonic mean."""
-    med = df.groupBy(by).agg(F.greatest(F.percentile(a, 0.5), F.lit(1e-9)).alias("ma"), F.greatest(F.percentile(b, 0.5), F.lit(1e-9)).alias("mb"))
+
+def joint_score(df: DataFrame, by: str, a: str, b: str, large: int | None = None) -> DataFrame:
+    """df with joint: each series over its median, at least 1e-9, then their harmonic mean. With large, medians of longer clips are found by selection, with a bounded buffer."""
+    if large is None:
+        med = df.groupBy(by).agg(F.percentile(a, 0.5).alias("ma"), F.percentile(b, 0.5).alias("mb"))
+    else:
+        med = exact_percentiles(df, [by], a, {"ma": 0.5}, large).join(exact_percentiles(df, [by], b, {"mb": 0.5}, large), by)
+    med = med.select(by, F.greatest("ma", F.lit(1e-9)).alias("ma"), F.greatest("mb", F.lit(1e-9)).alias("mb"))
     x, y = F.col(a) / F.col("ma"), F.col(b) / F.col("mb")
     return df.join(med, by).withColumn("joint", F.when(x + y > 0, 2 * x * y / (x + y)).otherwise(0.0)).drop("ma", "mb")
 
@@ -74,10 +80,26 @@ def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     return rows.withColumn("i", inside).join(F.broadcast(before.select("b", "before")), "b").select(key, (F.col("before") + F.col("i")).cast("long").alias("place"))
 
 
-def error_metrics(df: DataFrame, by: list[str], error: str = "e") -> DataFrame:
-    """RMSE, median, 95th percentile (linear), maximum, and how many errors are at most 1."""
+def error_metrics(df: DataFrame, by: list[str], error: str = "e", large: int | None = None) -> DataFrame:
+    """RMSE, median, 95th percentile (linear), maximum, and how many errors are at most 1.
+
+    In one aggregation, whose buffers hold the distinct errors of a group; with large, groups of more errors than that get
+    their percentiles by selection, with a bounded buffer and a few more passes.
+    """
     e = F.col(error)
-    return df.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(e, 0.5).alias("median"), F.percentile(e, 0.95).alias("p95"), F.max(e).alias("max_error"), F.count_if(e <= 1).alias("within_1"))
+    rest = [F.sqrt(F.avg(e * e)).alias("rmse"), F.max(e).alias("max_error"), F.count_if(e <= 1).alias("within_1")]
+    names = [*by, "rmse", "median", "p95", "max_error", "within_1"]
+    if large is None:
+        return df.groupBy(*by).agg(*rest, F.percentile(e, 0.5).alias("median"), F.percentile(e, 0.95).alias("p95")).select(*names)
+    return _with_percentiles(df.groupBy(*by).agg(*rest), df, by, error, {"median": 0.5, "p95": 0.95}, large).select(*names)
+
+
+def _with_percentiles(out: DataFrame, df: DataFrame, by: list[str], value: str, named: dict[str, float], large: int) -> DataFrame:
+    """out, a row for each group of df, with percentiles of value; null keys meet null keys."""
+    found = exact_percentiles(df, by, value, named, large)
+    for i, c in enumerate(by):
+        found = found.withColumnRenamed(c, f"_k{i}")
+    return out.join(found, [out[c].eqNullSafe(found[f"_k{i}"]) for i, c in enumerate(by)], "left").drop(*(f"_k{i}" for i in range(len(by))))
 
 
 def coverage_summary(df: DataFrame, by: str, ratio: str, least: float = 0.5) -> DataFrame:

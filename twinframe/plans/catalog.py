@@ -450,6 +450,13 @@ def a11_error_metrics(spark, sf_dir):
     return series.error_metrics(e, ["p_brand"]).select("p_brand", *(F.round(c, 8).alias(c) for c in ("rmse", "median", "p95", "max_error")), "within_1")
 
 
+@query("""SELECT l_linestatus, round(sqrt(avg(e * e)), 8) AS rmse, round(quantile_cont(e, 0.5), 8) AS median, round(quantile_cont(e, 0.95), 8) AS p95, round(max(e), 8) AS max_error, CAST(count(*) FILTER (e <= 1) AS BIGINT) AS within_1 FROM (SELECT l_linestatus, l_extendedprice / 10000 AS e FROM lineitem) GROUP BY 1""")
+def a11_error_metrics_by_selection(spark, sf_dir):
+    """Two large groups, whose quantiles are found by narrowing."""
+    e = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_extendedprice") / 10000).alias("e"))
+    return series.error_metrics(e, ["l_linestatus"], large=1000).select("l_linestatus", *(F.round(c, 8).alias(c) for c in ("rmse", "median", "p95", "max_error")), "within_1")
+
+
 @query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(min(l_quantity / 50), 6) AS min_ratio, round(avg(l_quantity / 50), 6) AS mean_ratio, round(max(l_quantity / 50), 6) AS max_ratio, CAST(count(*) FILTER (l_quantity / 50 < 0.5) AS BIGINT) AS warnings FROM lineitem GROUP BY 1")
 def a12_coverage_summary(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").withColumn("ratio", F.col("l_quantity") / 50)
@@ -811,6 +818,17 @@ def k3_replace_run(spark, sf_dir):
     return sinks.current_run(spark, root)
 
 
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 2 = 0")
+def k3_restore_run(spark, sf_dir):
+    """The first of two runs, made current again."""
+    root = new_path(spark, "runs")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    first = sinks.replace_run(c.where("c_custkey % 2 = 0"), root)
+    sinks.replace_run(c, root)
+    sinks.restore_run(spark, root, first)
+    return sinks.current_run(spark, root)
+
+
 @query("SELECT o_orderkey AS task, CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'failed' END AS status, run_id FROM orders CROSS JOIN (VALUES ('a'), ('b')) r(run_id)")
 def k5_run_report(spark, sf_dir):
     path = new_path(spark, "reports")
@@ -838,19 +856,52 @@ def s4_read_table(spark, sf_dir):
     return scans.read_table(spark, path, ["p_partkey", "p_name"])
 
 
-@query("SELECT DISTINCT sha256(CAST(c_nationkey AS VARCHAR) || chr(10)) AS sha256, CAST(length(CAST(c_nationkey AS VARCHAR)) + 1 AS BIGINT) AS length FROM customer")
+@query("""SELECT sha256(CAST(c_custkey AS VARCHAR) || chr(10) || c_mktsegment || chr(10)) AS sha256, CAST(strlen(CAST(c_custkey AS VARCHAR) || c_mktsegment) + 2 AS BIGINT) AS length FROM customer""")
+def s1_scan_fingerprints(spark, sf_dir):
+    """A file for each customer, read in chunks by tasks of many files."""
+    root = new_path(spark, "files")
+    table(spark, sf_dir, "customer").select(F.concat_ws("\n", F.col("c_custkey").cast("string"), "c_mktsegment").alias("value")).repartition(32).write.option("maxRecordsPerFile", 1).text(root)
+    return scans.scan_fingerprints(spark, root, "part-*").select("sha256", "length")
+
+
+@query("SELECT DISTINCT sha256(c_mktsegment || '/' || CAST(c_custkey % 150 AS VARCHAR) || chr(10)) AS sha256, CAST(strlen(c_mktsegment || CAST(c_custkey % 150 AS VARCHAR)) + 2 AS BIGINT) AS length FROM customer")
 def s1_t1_intake(spark, sf_dir):
-    """A file for each nation that customers have, twice; the intake takes each content once."""
+    """A file for each customer, in two halves, which repeat contents of their own and of each other; the intake takes each content once."""
     root, to, checkpoint = (new_path(spark, n) for n in ("files", "intake", "checkpoint"))
-    for n in (1, 2):
-        nations = table(spark, sf_dir, "customer").select("c_nationkey").distinct()
-        nations.select(F.col("c_nationkey").cast("string").alias("value"), F.col("c_nationkey").alias("k")).repartition("k").write.partitionBy("k").text(f"{root}/{n}")
-    if scans.scan_fingerprints(spark, root, "part-*").select("sha256").distinct().count() * 2 != scans.scan_fingerprints(spark, root, "part-*").count():
-        raise AssertionError("the files aren't there twice each")
-    start_intake(spark, root, to, checkpoint, "part-*").awaitTermination()
+    for n in (0, 1):
+        rows = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == n)
+        rows.select(F.concat("c_mktsegment", F.lit("/"), (F.col("c_custkey") % 150).cast("string")).alias("value")).repartition(32).write.option("maxRecordsPerFile", 1).text(f"{root}/{n}")
+        start_intake(spark, root, to, checkpoint, "part-*").awaitTermination()
     return spark.read.parquet(to).select("sha256", "length")
 
 
+@query("""SELECT CAST(p_size AS INT) AS width, CAST(p_partkey % 7 + 1 AS INT) AS height, CAST(8 AS INT) AS bit_depth, CASE p_partkey % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'RGB' ELSE 'RGBA' END AS mode, CAST(count(*) AS BIGINT) AS files FROM part WHERE p_partkey % 10 <> 0 GROUP BY ALL
+UNION ALL SELECT NULL, NULL, NULL, NULL, CAST(count(*) AS BIGINT) FROM part WHERE p_partkey % 10 = 0""")
+def s2_png_headers(spark, sf_dir):
+    """A PNG header for each part, as the only row of its file; a tenth of the files holds something else."""
+    four = lambda n: F.lpad(F.hex(n), 8, F.lit("0"))
+    kind = F.element_at(F.array(F.lit("00"), F.lit("02"), F.lit("06")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(F.col("p_size").cast("bigint")), four(F.col("p_partkey") % 7 + 1), F.lit("08"), kind, F.lit("00000000000000"))
+    p = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 10 == 0, F.encode(F.lit("no image at all, but as long as a header is"), "utf-8")).otherwise(F.unhex(head)).alias("content"))
+    found = scans.scan_png_headers(p.select(F.lit("x").alias("path"), "content"))
+    return found.groupBy("width", "height", "bit_depth", "mode").agg(F.count("*").alias("files"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS task, CAST(count(*) AS INT) AS frames, '' AS code FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 1 AND (o_orderkey // 20) % 5 <> 0 GROUP BY 1
+UNION ALL SELECT NULL, NULL, 'not_an_object' FROM orders WHERE o_orderkey % 20 = 1 AND (o_orderkey // 20) % 5 = 0""")
+def s5_read_summaries(spark, sf_dir):
+    """A JSON document for each order of a twentieth, as a file of its own; a fifth of them is a list or cut off."""
+    root = new_path(spark, "summaries")
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 1").select("o_orderkey")
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("int").alias("frames"))
+    good = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("task"), "frames"))
+    bad = F.when(F.col("o_orderkey") % 3 == 0, "[1, 2]").otherwise('{"task": "x", ')
+    rows = o.join(n, "o_orderkey", "left").select(F.when(F.expr("(o_orderkey div 20) % 5 = 0"), bad).when(F.col("frames").isNotNull(), good).alias("value")).where("value is not null")
+    rows.repartition(32).write.option("maxRecordsPerFile", 1).text(root)
+    documents, issues = scans.read_summaries(spark, root, "task string, frames int")
+    return documents.select("task", "frames", F.lit("").alias("code")).union(issues.select(F.lit(None).cast("string"), F.lit(None).cast("int"), "code"))
+
+
 # --- scans of tables of paths, frames and jobs ------------------------------------------------------------------------------
 
 
@@ -1184,13 +1235,27 @@ def x17_x18_x22_status(spark, sf_dir):
     return geometry.geometric_rating(geometry.refine_gate(rows).withColumn("refined", F.col("accepted"))).select("s_suppkey", "status", "accepted", "rating")
 
 
-def _solved(points, by):
+_LINEAR = [["ir_x", "ir_y", "1.0", "0.0", "0.0", "0.0", "-rgb_x * ir_x", "-rgb_x * ir_y", "rgb_x"], ["0.0", "0.0", "0.0", "ir_x", "ir_y", "1.0", "-rgb_y * ir_x", "-rgb_y * ir_y", "rgb_y"]]
+
+
+def _solved(points, by, rows=_LINEAR, name=""):
     """SQL of sums, elimination and models (by, h): least squares over 44 sums, by eliminating one unknown after another."""
-    rows = [["ir_x", "ir_y", "1.0", "0.0", "0.0", "0.0", "-rgb_x * ir_x", "-rgb_x * ir_y", "rgb_x"], ["0.0", "0.0", "0.0", "ir_x", "ir_y", "1.0", "-rgb_y * ir_x", "-rgb_y * ir_y", "rgb_y"]]
     cells = ", ".join(f"sum(({rows[0][i]}) * ({rows[0][j]}) + ({rows[1][i]}) * ({rows[1][j]}))" for i in range(8) for j in range(9))
-    return f"""sums AS (SELECT {by}, [{cells}] AS m FROM {points} GROUP BY {by}),
-steps AS (SELECT {by}, 0 AS k, m FROM sums UNION ALL SELECT {by}, k + 1, list_transform(range(0, 72), lambda i: CASE WHEN i // 9 = k THEN m[i + 1] / m[k * 10 + 1] ELSE m[i + 1] - m[(i // 9) * 9 + k + 1] * m[k * 9 + i % 9 + 1] / m[k * 10 + 1] END) FROM steps WHERE k < 8),
-models AS (SELECT {by}, list_transform(range(0, 8), lambda i: m[i * 9 + 9]) AS h FROM steps WHERE k = 8)"""
+    return f"""sums{name} AS (SELECT {by}, [{cells}] AS m FROM {points} GROUP BY {by}),
+steps{name} AS (SELECT {by}, 0 AS k, m FROM sums{name} UNION ALL SELECT {by}, k + 1, list_transform(range(0, 72), lambda i: CASE WHEN i // 9 = k THEN m[i + 1] / m[k * 10 + 1] ELSE m[i + 1] - m[(i // 9) * 9 + k + 1] * m[k * 9 + i % 9 + 1] / m[k * 10 + 1] END) FROM steps{name} WHERE k < 8),
+models{name} AS (SELECT {by}, list_transform(range(0, 8), lambda i: m[i * 9 + 9]) AS h FROM steps{name} WHERE k = 8)"""
+
+
+def _refined(points, by, times=3):
+    """SQL of models (by, h) moved by so many Gauss-Newton steps on the reprojection error, the last as refined."""
+    rows = [["d * ir_x", "d * ir_y", "d", "0.0", "0.0", "0.0", "-px * d * ir_x", "-px * d * ir_y", "rgb_x - px"], ["0.0", "0.0", "0.0", "d * ir_x", "d * ir_y", "d", "-py * d * ir_x", "-py * d * ir_y", "rgb_y - py"]]
+    out, now = [_solved(points, by)], "models"
+    for i in range(times):
+        out.append(f"seen{i} AS (SELECT p.*, {_PX.format('ir_x', 'ir_y')} AS px, {_PY.format('ir_x', 'ir_y')} AS py, 1 / (h[7] * ir_x + h[8] * ir_y + 1) AS d FROM {points} p JOIN {now} USING ({by}))")
+        out.append(_solved(f"seen{i}", by, rows, f"_{i}"))
+        out.append(f"moved{i} AS (SELECT {by}, list_transform(range(1, 9), lambda k: a.h[k] + b.h[k]) AS h FROM {now} a JOIN models_{i} b USING ({by}))")
+        now = f"moved{i}"
+    return ", ".join([*out, f"refined AS (SELECT * FROM {now})"])
 
 
 _PX, _PY = (f"(h[{i}] * {{0}} + h[{i + 1}] * {{1}} + h[{i + 2}]) / (h[7] * {{0}} + h[8] * {{1}} + 1)" for i in (1, 4))
@@ -1204,19 +1269,42 @@ def x10_fit_homography(spark, sf_dir):
     return r6(series.error_metrics(geometry.project_points(p, geometry.fit_homography(p, ["grp"]), ["grp"]), ["grp"]).select("grp", "rmse"), "rmse")
 
 
-@query(None)
-def x11_fit_robust(spark, sf_dir):
+@query(f"WITH RECURSIVE {I.POINTS}, {_refined('points', 'grp')} SELECT grp, round(sqrt(avg({_ERROR})), 8) AS rmse FROM points JOIN refined USING (grp) GROUP BY grp")
+def x10_refined_homography(spark, sf_dir):
+    """Matrices of the least reprojection error."""
     p = I.points(spark, sf_dir)
-    return geometry.fit_robust(p, ["grp"], threshold=0.05).select("grp", "inliers")
+    models = geometry.fit_homography(p, ["grp"], 10)
+    return series.error_metrics(geometry.project_points(p, models, ["grp"]), ["grp"]).select("grp", F.round("rmse", 8).alias("rmse"))
 
 
-@query(None)
+_DRAWN = f"""factors(trial, a, b) AS (VALUES {", ".join(f"({t}, {a}, {b})" for t, (a, b) in enumerate(geometry.draw_factors(64, 7)))}),
+drawn AS (SELECT * FROM (SELECT p.*, trial, row_number() OVER (PARTITION BY grp, trial ORDER BY (a * x + b) % {geometry.PRIME}, x) AS place FROM (SELECT *, CAST('0x' || substr(sha256(CAST(pt AS VARCHAR)), 1, 15) AS BIGINT) % {geometry.PRIME} AS x FROM points) p CROSS JOIN factors) WHERE place <= 4)"""
+
+
+@query(f"WITH {I.POINTS}, {_DRAWN} SELECT grp, CAST(trial AS INT) AS trial, pt FROM drawn")
+def x11_drawn_points(spark, sf_dir):
+    return geometry.draw_points(I.points(spark, sf_dir), ["grp"], key=["pt"]).select("grp", "trial", "pt")
+
+
+@query(f"""WITH RECURSIVE {I.POINTS}, {_DRAWN}, {_solved('drawn', 'grp, trial')}, s AS (SELECT grp, trial, round(sum(CASE WHEN {_ERROR} <= 0.0025 THEN 1 - ({_ERROR}) / 0.0025 ELSE 0.0 END), 9) AS score, count(*) FILTER ({_ERROR} <= 0.0025) AS inliers FROM points JOIN models USING (grp) GROUP BY 1, 2)
+SELECT grp, CAST(arg_max(inliers, struct_pack(score := score, trial := -trial)) AS BIGINT) AS inliers FROM s WHERE inliers > 0 GROUP BY grp""")
+def x11_fit_robust(spark, sf_dir):
+    return geometry.fit_robust(I.points(spark, sf_dir), ["grp"], threshold=0.05, key=["pt"]).select("grp", "inliers")
+
+
+@query(f"WITH {I.POINTS} SELECT DISTINCT grp, pair, 'robust_global' AS stage FROM points WHERE pair = grp % 5")
 def x12_filter_pairs(spark, sf_dir):
-    """One pair of each group is shifted by 5 pixels and goes."""
+    """One pair of each group is shifted by 5 pixels and goes; the others, which a matrix maps, stay."""
     p = I.points(spark, sf_dir).withColumn("rgb_x", F.col("rgb_x") + F.when(F.col("pair") == F.col("grp") % 5, 5.0).otherwise(0.0))
     return geometry.filter_pairs(p, ["grp"], "pair", 0.1, 0.2, 0.4, threshold=0.05)[1]
 
 
+@query(f"""WITH RECURSIVE {I.POINTS}, other AS (SELECT a.grp, a.pair, b.ir_x, b.ir_y, b.rgb_x, b.rgb_y FROM (SELECT DISTINCT grp, pair FROM points) a JOIN points b ON a.grp = b.grp AND a.pair <> b.pair), {_refined('other', 'grp, pair')}
+SELECT grp, pair, round(sqrt(avg({_ERROR})), 8) AS rmse FROM points JOIN refined USING (grp, pair) GROUP BY 1, 2""")
+def x13_refined_leave_one_out(spark, sf_dir):
+    return geometry.leave_one_out(I.points(spark, sf_dir), ["grp"], "pair", 10).select("grp", "pair", F.round("rmse", 8).alias("rmse"))
+
+
 @query(f"""WITH RECURSIVE {I.POINTS}, other AS (SELECT a.grp, a.pair, b.ir_x, b.ir_y, b.rgb_x, b.rgb_y FROM (SELECT DISTINCT grp, pair FROM points) a JOIN points b ON a.grp = b.grp AND a.pair <> b.pair), {_solved('other', 'grp, pair')}
 SELECT grp, pair, round(sqrt(avg({_ERROR})), 6) AS rmse FROM points JOIN models USING (grp, pair) GROUP BY 1, 2""")
 def x13_leave_one_out(spark, sf_dir):

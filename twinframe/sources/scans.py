@@ -13,17 +13,17 @@ from ..functions.keys import norm_category, norm_clip, norm_day, norm_experiment
 from ..operators.audit import complete_experiments, readiness
 from ..operators.pairing import pair_numeric, pair_strict
 from ..operators.resample import fitted, resampled
+from .ranged import file_ranges
 from .sinks import plan_copies
 
 
 def scan_fingerprints(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path, length, modificationTime, sha256 of every file under root. Contents are read only if the hash is asked for, each file as one value, so files of 2 GB or more need fingerprints made where they lie."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
+    """path, length, modificationTime, sha256 of every file under root, of any size: tasks read their files in chunks."""
+    return file_ranges(spark, root, glob, read="hash").select("path", "length", "modificationTime", "sha256")
 
 
 def scan_png_headers(files: DataFrame) -> DataFrame:
-    """files (path, content): width, height, bit_depth, mode of PNG headers; readable is false for all else."""
+    """files (path, content: the file, or at least its first 33 bytes): width, height, bit_depth, mode of PNG headers; readable is false for all else."""
     number = lambda at, n: F.conv(F.hex(F.substring("content", at, n)), 16, 10).cast("int")
     head = (F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A") & (F.octet_length("content") >= 33)
     mode = F.create_map(*(F.lit(x) for kv in {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}.items() for x in kv))
@@ -31,6 +31,11 @@ def scan_png_headers(files: DataFrame) -> DataFrame:
     return files.select("path", head.alias("readable"), when(number(17, 4)).alias("width"), when(number(21, 4)).alias("height"), when(number(25, 1)).alias("bit_depth"), when(mode[number(26, 1)]).alias("mode"))
 
 
+def read_png_headers(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """scan_png_headers() of all files under root, of each of which 33 bytes are read."""
+    return scan_png_headers(file_ranges(spark, root, glob, read="head", bytes="33").withColumnRenamed("head", "content"))
+
+
 def scan_grid(spark: SparkSession, root: str, size: int, how: str = "area") -> DataFrame:
     """Frames (frame_id: its path, height, width, v): grey values in [0, 1] of all images under root, shrunk to at most size on the longer side by the kernel how (area, bilinear or lanczos)."""
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root).select("image.*")

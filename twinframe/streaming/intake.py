@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
+#: State on disk, of which a batch looks up and writes what it needs; checkpoints hold what has changed since the last.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
-def start_intake(spark: SparkSession, root: str, table: str, checkpoint: str, glob: str = "*", late: str = "30 days") -> StreamingQuery:
-    """Reads what is new under root, keeps the first file of each content, and appends to the Parquet table path, sha256, length the contents it doesn't have yet.
+def start_intake(spark: SparkSession, root: str, table: str, checkpoint: str, glob: str = "*") -> StreamingQuery:
+    """Reads what is new under root, keeps the first file of each content, and appends to the Parquet table path, sha256, length the contents it hasn't seen yet.
 
-    Contents are told apart within the watermark by the stream's state, and beyond it by the table; a batch that
-    is run again adds nothing twice.
+    The digests seen are the stream's state, dealt by digest, in a store on disk: a batch looks up its own digests and
+    never reads the table. The table's log of batches makes a batch that is run again add nothing. The table belongs to the
+    checkpoint: one that other writers have filled is refused. A file is one value here, as files are found by Spark's own
+    stream, so those of 2 GB or more have to be fingerprinted by scan_fingerprints().
     """
-    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    rows = files.select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha256")).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["sha256"])
-
-    def add(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        new = batch.dropDuplicates(["sha256"])
-        try:
-            new = new.join(own.read.parquet(table).select("sha256"), "sha256", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.select("path", "sha256", "length").write.mode("append").parquet(table)
-
-    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    fs = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/_spark_metadata")
+    if fs.exists(own) and len(fs.listStatus(own)) and not fs.exists(log):
+        raise ValueError(f"{table} wasn't written by an intake")
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+        rows = files.select("path", F.sha2("content", 256).alias("sha256"), "length").dropDuplicates(["sha256"])
+        return rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
