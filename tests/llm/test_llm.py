@@ -96,7 +96,8 @@ def test_genetic_search_never_worsens():
     first = packing.evolve([], lengths, 2048, 1, 0)
     last = packing.evolve([list(b) for b in first], lengths, 2048, 1, 20)
     assert packing.fewest(lengths, 2048) <= len(last[0]) <= len(first[0])
-    child = packing.crossover(first[-1], first[0], lengths, 2048, rng)
+    child, loads = packing.crossover(first[-1], first[0], lengths, 2048, rng)
+    assert loads == [sum(lengths[i] for i in b) for b in child]
     assert sorted(i for b in child for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 2048 for b in child)
 
 

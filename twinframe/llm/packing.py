@@ -117,75 +117,107 @@ def best_fit(bins: Bins, loads: list[int], items: list[int], lengths: list[int],
             bisect.insort(free, (size - loads[b], b))
 
 
-def exchange(bins: Bins, loads: list[int], displaced: list[int], lengths: list[int], size: int, rng: random.Random) -> list[int]:
-    """In each bin in turn, the one or two of its first documents that one or two displaced ones can replace with the most gain in fill; returns who is displaced then."""
-    pool = sorted(displaced, key=lambda i: (lengths[i], i))
-    weights = np.array([lengths[i] for i in pool], np.int64)
-    for b in rng.sample(range(len(bins)), len(bins)):
-        free = size - loads[b]
-        if not free or not pool:
-            continue
-        gain, out, into = 0, (), ()
-        for leaving in [*((i,) for i in bins[b][:16]), *itertools.combinations(bins[b][:5], 2)]:
-            gone = sum(lengths[i] for i in leaving)
-            room = gone + free
-            one = int(np.searchsorted(weights, room, "right")) - 1
-            if one >= 0 and weights[one] - gone > gain:
-                gain, out, into = int(weights[one]) - gone, leaving, (one,)
-            if gain == free:
-                break
-            left = np.arange(one + 1)  # the longest partner of each that still fits, before it in the pool
-            right = np.minimum(np.searchsorted(weights, room - weights[: one + 1], "right") - 1, left - 1)
-            if (both := np.where(right >= 0, weights[: one + 1] + weights[right], 0)).size and (most := int(both.max())) - gone > gain:
-                at = int(both.argmax())
-                gain, out, into = most - gone, leaving, (at, int(right[at]))
-            if gain == free:
-                break
-        if gain:
-            coming = [pool[i] for i in into]
-            bins[b] = [i for i in bins[b] if i not in out] + coming
-            loads[b] += gain
-            pool = sorted([i for i in pool if i not in coming] + list(out), key=lambda i: (lengths[i], i))
-            weights = np.array([lengths[i] for i in pool], np.int64)
-    return pool
-
-
-def _refit(kept: Bins, displaced: list[int], lengths: list[int], size: int, rng: random.Random | None = None) -> Bins:
-    bins = [list(b) for b in kept]
-    loads = [sum(lengths[i] for i in b) for b in bins]
+def _leaving(bins: Bins, lengths: np.ndarray, open_: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of open bins, and one or two places in each (the second -1 for one): every document alone, and the pairs of a bin's first breadth documents."""
+    numbers, places = [], []
+    sizes = np.array([len(bins[b]) for b in open_])
+    for m in np.unique(sizes):
+        own = open_[sizes == m]
+        first, second = np.triu_indices(min(m, breadth), 1)
+        at = np.concatenate([np.stack([np.arange(m), np.full(m, -1)], axis=1), np.stack([first, second], axis=1)])
+        numbers.append(np.repeat(own, len(at)))
+        places.append(np.tile(at, (len(own), 1)))
+    return np.concatenate(numbers), np.concatenate(places)
+
+
+def exchange(bins: Bins, loads: list[int], displaced: list[int], lengths: list[int], size: int, rng: random.Random, breadth: int = 12, pool: int = 160, rounds: int = 6) -> list[int]:
+    """One or two documents of a bin make room for one or two displaced ones that fill it more, where the gain is greatest first; returns who is displaced then.
+
+    In a round every bin and every displaced document takes part in one exchange at most; rounds end when none gains. Pairs
+    are looked for among breadth documents of a bin and pool displaced ones, which are drawn anew each round; documents
+    alone among all.
+    """
+    weight = np.asarray(lengths, np.int64)
+    for _ in range(rounds):
+        load = np.asarray(loads, np.int64)
+        open_ = np.flatnonzero(load < size)
+        if not displaced or not len(open_):
+            break
+        for b in open_[[len(bins[b]) > breadth for b in open_]]:
+            rng.shuffle(bins[b])
+        own = np.array(displaced)
+        drawn = np.array(rng.sample(range(len(own)), min(pool, len(own))))
+        i, j = np.triu_indices(len(drawn), 1)
+        coming = np.concatenate([np.stack([np.arange(len(own)), np.full(len(own), -1)], axis=1), np.stack([drawn[i], drawn[j]], axis=1)])
+        sums = weight[own[coming[:, 0]]] + np.where(coming[:, 1] >= 0, weight[own[coming[:, 1]]], 0)
+        order = np.argsort(sums, kind="stable")
+        sums, coming = sums[order], coming[order]
+        number, place = _leaving(bins, weight, open_, breadth)
+        start = np.cumsum([0, *map(len, bins)])
+        flat = np.fromiter(itertools.chain.from_iterable(bins), np.int64, start[-1])
+        one, two = flat[start[number] + place[:, 0]], flat[start[number] + np.maximum(place[:, 1], 0)]
+        gone = weight[one] + np.where(place[:, 1] >= 0, weight[two], 0)
+        at = np.searchsorted(sums, gone + size - load[number], "right") - 1
+        gain = np.where(at >= 0, sums[np.maximum(at, 0)] - gone, 0)
+        good = np.flatnonzero(gain > 0)
+        used, changed, freed = set(), set(), []
+        for k in good[np.argsort(-gain[good], kind="stable")]:
+            b, into = int(number[k]), [int(x) for x in coming[at[k]] if x >= 0]
+            if b in changed or not used.isdisjoint(into):
+                continue
+            out = [int(one[k])] + ([int(two[k])] if place[k, 1] >= 0 else [])
+            bins[b] = [x for x in bins[b] if x not in out] + [int(own[x]) for x in into]
+            loads[b] += int(gain[k])
+            used.update(into)
+            changed.add(b)
+            freed += out
+        if not changed:
+            break
+        displaced = [x for k, x in enumerate(displaced) if k not in used] + freed
+    return displaced
+
+
+def _loads(bins: Bins, lengths: list[int]) -> list[int]:
+    return [sum(lengths[i] for i in b) for b in bins]
+
+
+def _refit(kept: Bins, loads: list[int], displaced: list[int], lengths: list[int], size: int, rng: random.Random | None = None, **breadths: int) -> tuple[Bins, list[int]]:
+    bins, loads = [list(b) for b in kept], list(loads)
     if rng is not None:
-        displaced = exchange(bins, loads, displaced, lengths, size, rng)
+        displaced = exchange(bins, loads, displaced, lengths, size, rng, **breadths)
     best_fit(bins, loads, displaced, lengths, size)
-    return bins
+    return bins, loads
 
 
-def fitness(bins: Bins, lengths: list[int], size: int) -> float:
+def fitness(loads: list[int], size: int) -> float:
     """Mean squared fill: of as many bins, those are better that are full or nearly empty."""
-    return sum((sum(lengths[i] for i in b) / size) ** 2 for b in bins) / max(1, len(bins))
+    return sum(x * x for x in loads) / size**2 / max(1, len(loads))
 
 
-def crossover(one: Bins, two: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
-    """Some of the better-filled half of two's bins go whole into one; bins of one that hold any of their items go, and the rest of those is fitted anew."""
-    ranked = sorted(two, key=lambda b: -sum(lengths[i] for i in b))
+def crossover(one: Bins, two: Bins, lengths: list[int], size: int, rng: random.Random, loads: tuple[list[int], list[int]] | None = None, **breadths: int) -> tuple[Bins, list[int]]:
+    """Some of the better-filled half of two's bins go whole into one; bins of one that hold any of their items go, and the rest of those is fitted anew. The child and its loads."""
+    own, other = loads or (_loads(one, lengths), _loads(two, lengths))
+    ranked = sorted(range(len(two)), key=lambda k: -other[k])
     better = ranked[: max(1, len(ranked) // 2)]
     injected = rng.sample(better, max(1, len(better) // 2))
-    taken = {i for b in injected for i in b}
-    whole, displaced = [], []
-    for b in one:
+    taken = {i for k in injected for i in two[k]}
+    bins, full, displaced = [two[k] for k in injected], [other[k] for k in injected], []
+    for b, load in zip(one, own, strict=True):
         if taken.isdisjoint(b):
-            whole.append(b)
+            bins.append(b)
+            full.append(load)
         else:
             displaced += [i for i in b if i not in taken]
-    return _refit(injected + whole, displaced, lengths, size, rng)
+    return _refit(bins, full, displaced, lengths, size, rng, **breadths)
 
 
-def mutate(bins: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
+def mutate(bins: Bins, loads: list[int], lengths: list[int], size: int, rng: random.Random, **breadths: int) -> tuple[Bins, list[int]]:
     """The emptiest bins and a few others are dissolved and fitted anew."""
-    ranked = sorted(bins, key=lambda b: sum(lengths[i] for i in b))
+    ranked = sorted(range(len(bins)), key=lambda k: loads[k])
     n = max(2, len(bins) // 50)
-    rest = ranked[n:]
-    gone = ranked[:n] + [rest.pop(rng.randrange(len(rest))) for _ in range(min(n, len(rest)))]
-    return _refit(rest, [i for b in gone for i in b], lengths, size, rng)
+    gone = set(ranked[:n]) | set(rng.sample(ranked[n:], min(n, len(ranked[n:]))))
+    kept = [k for k in ranked if k not in gone]
+    return _refit([bins[k] for k in kept], [loads[k] for k in kept], [i for k in gone for i in bins[k]], lengths, size, rng, **breadths)
 
 
 def fewest(lengths: list[int], size: int) -> int:
@@ -205,27 +237,29 @@ def fewest(lengths: list[int], size: int) -> int:
     return best
 
 
-def evolve(population: list[Bins], lengths: list[int], size: int, seed: int, generations: int, members: int = 4, patience: int = 12) -> list[Bins]:
-    """The population after some generations, best first; ends early where no packing can have fewer bins, and where patience generations save none."""
+def evolve(population: list[Bins], lengths: list[int], size: int, seed: int, generations: int, members: int = 4, patience: int = 40, **breadths: int) -> list[Bins]:
+    """The population after some generations, best first; ends early where no packing can have fewer bins, and where patience generations have bettered neither the number of bins nor how full they are."""
     rng = random.Random(seed)
     n, least = len(lengths), fewest(lengths, size)
-    score = lambda bins: (len(bins), -fitness(bins, lengths, size))
-    if not population:
-        population = [_refit([], list(range(n)), lengths, size)]
-        while len(population[0]) > least and len(population) < members:  # best fit of a part first, then the rest
+    whole = [(bins, _loads(bins, lengths)) for bins in population]
+    if not whole:
+        whole = [_refit([], [], list(range(n)), lengths, size)]
+        while len(whole[0][0]) > least and len(whole) < members:  # best fit of a part first, then the rest
             part = set(rng.sample(range(n), n // 2))
-            population.append(_refit(_refit([], list(part), lengths, size), [i for i in range(n) if i not in part], lengths, size))
-    population = sorted(population, key=score)
-    fewest_yet, since = len(population[0]), 0
+            whole.append(_refit(*_refit([], [], list(part), lengths, size), [i for i in range(n) if i not in part], lengths, size))
+    score = lambda x: (len(x[0]), -fitness(x[1], size))
+    scored = sorted(((score(x), x) for x in whole), key=lambda x: x[0])
+    since = 0
     for _ in range(generations):
-        if len(population[0]) <= least or since == patience:
+        if scored[0][0][0] <= least or since == patience:
             break
-        one, two = rng.choice(population), population[0]
-        child = crossover(one, two, lengths, size, rng) if rng.random() < 0.7 else mutate(one, lengths, size, rng)
-        population = sorted([*population, child], key=score)[:members]
-        since = 0 if len(population[0]) < fewest_yet else since + 1
-        fewest_yet = len(population[0])
-    return population
+        (_, one), (best, two) = rng.choice(scored), scored[0]
+        child = crossover(one[0], two[0], lengths, size, rng, (one[1], two[1]), **breadths) if rng.random() < 0.7 else mutate(*one, lengths, size, rng, **breadths)
+        known = {x[0] for x in scored}
+        if (own := score(child)) not in known:  # copies would crowd the others out
+            scored = sorted([*scored, (own, child)], key=lambda x: x[0])[:members]
+        since = 0 if scored[0][0] < best else since + 1
+    return [bins for _, (bins, _) in scored]
 
 
 def packed(population: list[Bins], n: int) -> bytes:
@@ -248,12 +282,12 @@ def unpacked(data: bytes | None, n: int) -> list[Bins]:
 _STATE = "block bigint, island int, uids array<bigint>, lengths array<int>, population binary, bins int, least int"
 
 
-def _epoch(state: DataFrame, size: int, epoch: int, generations: int) -> DataFrame:
+def _epoch(state: DataFrame, size: int, epoch: int, generations: int, **search: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 lengths = [int(x) for x in row.lengths]
-                found = evolve(unpacked(row.population, len(lengths)), lengths, size, (row.block * 31 + row.island) * 31 + epoch, generations)
+                found = evolve(unpacked(row.population, len(lengths)), lengths, size, (row.block * 31 + row.island) * 31 + epoch, generations, **search)
                 yield pd.DataFrame({"block": [row.block], "island": [row.island], "uids": [row.uids], "lengths": [row.lengths], "population": [packed(found, len(lengths))], "bins": [len(found[0])], "least": [fewest(lengths, size)]})
 
     return state.mapInPandas(run, _STATE)
@@ -271,7 +305,7 @@ def _places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": row.block, "bin": number[order], "load": load[number[order]], "uid": np.asarray(row.uids)[order], "length": lengths[order], "offset": offset})
 
 
-def _pack_blocks(items: DataFrame, size: int, per_block: int, islands: int, epochs: int, generations: int, level: int) -> DataFrame:
+def _pack_blocks(items: DataFrame, size: int, per_block: int, islands: int, epochs: int, generations: int, level: int, **search: int) -> DataFrame:
     """items (uid, length) -> (uid, length, block, bin, offset, load); every level deals them to blocks anew."""
     n = items.count()
     blocks = max(1, -(-n // per_block))
@@ -280,7 +314,7 @@ def _pack_blocks(items: DataFrame, size: int, per_block: int, islands: int, epoc
     before = None
     for epoch in range(epochs):
         tasks = max(1, min(blocks * islands, -(-blocks * islands // 4)))
-        state = scratch(_epoch(state.repartition(tasks, "block", "island"), size, epoch, generations), "islands")
+        state = scratch(_epoch(state.repartition(tasks, "block", "island"), size, epoch, generations, **search), "islands")
         best = state.groupBy("block").agg(F.min("bins").alias("n"), F.max("least").alias("least")).agg(F.sum("n").alias("n"), F.sum("least").alias("least")).first()
         if epoch == epochs - 1 or best["n"] in (best["least"], before):
             break
@@ -292,13 +326,14 @@ def _pack_blocks(items: DataFrame, size: int, per_block: int, islands: int, epoc
     return scratch(chosen.mapInPandas(_places, "block bigint, bin int, load bigint, uid bigint, length bigint, offset bigint"), "placed")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per_block: int = 4096, islands: int = 2, epochs: int = 3, generations: int = 60, most_words: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per_block: int = 4096, islands: int = 2, epochs: int = 3, generations: int = 200, patience: int = 40, breadth: int = 12, pool: int = 160, most_words: int = 1_000_000) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A sequence holds at most size tokens, its pieces without gaps from offset 0. Pieces of full size are
     sequences of their own. The others are dealt, by a hash of a row number, to blocks of about per_block;
     islands, epochs and generations bound the search in a block, which ends where it reaches the lower bound; an epoch
-    ends where 12 generations save no bin, and the search where an epoch saves none in any block.
+    ends where patience generations better nothing, and the search where an epoch saves no bin in any block. breadth and
+    pool are the documents of a bin and the displaced ones among which exchange() looks for pairs.
     Bins that a block leaves with more than one part in 64 free are dissolved, and their pieces go through the
     same search again in new blocks, until there is one block or a round saves no bin.
 
@@ -311,7 +346,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, per
     items = pieces.where(F.col("length") < size).select("uid", "length")
     done, level, before = None, 0, None
     while not is_empty(items):
-        placed = _pack_blocks(items, size, per_block, islands, epochs, generations, level).withColumn("sequence_id", F.lit(level << 56) + F.col("block") * (1 << 20) + F.col("bin"))
+        placed = _pack_blocks(items, size, per_block, islands, epochs, generations, level, patience=patience, breadth=breadth, pool=pool).withColumn("sequence_id", F.lit(level << 56) + F.col("block") * (1 << 20) + F.col("bin"))
         bins = placed.groupBy("sequence_id", "block").agg(F.any_value("load").alias("load"))
         full = F.col("load") >= size - size // 64
         n = bins.agg(F.max("block").alias("last"), F.count("*").alias("all"), F.count_if(~full).alias("loose")).first()
