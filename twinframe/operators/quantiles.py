@@ -43,23 +43,24 @@ def selected(rows: DataFrame, sizes: DataFrame, by: list[str], named: list[tuple
     position = lambda p: (F.col("_n") - 1) * p
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(f(position(p)).cast("long")) for _, p in named for f in (F.floor, F.ceil)))))
     state = written(sizes.select(*by, F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_left"), "_lo", "_hi"), "ranks")
-    found = None
+    done, even = None, False
     while True:
         settled = (F.col("_left") <= buffer) | F.col("_lo").eqNullSafe(F.col("_hi"))
-        done = state.where(settled)
-        got = found_values(rows, done, by, buffer)
-        found = written(got if found is None else found.unionByName(got), "selected")
+        done = state.where(settled) if done is None else done.unionByName(state.where(settled))
         open_ = state.where(~settled)
         if not open_.limit(1).count():
             break
+        even = not even
         o = open_.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), "_rank", "_below", "_lo", "_hi")
         inside = rows.join(F.broadcast(o), [rows[c].eqNullSafe(o[f"_k{i}"]) for i, c in enumerate(by)] + [rows["_v"] >= o["_lo"], rows["_v"] <= o["_hi"]])
-        # shares of the range, that neither overflow nor grow where values fall
-        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-        bin_ = F.when(F.col("_v") == F.col("_hi"), BINS).when(F.col("_v") == F.col("_lo"), -1).when(F.isnan(share), 0).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
-        counts = written(inside.groupBy(*by, "_rank", bin_.cast("int").alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.min("_below").alias("_below")), "bins")
+        # in turn shares of the range, halved so that they don't overflow, and of its logarithms, for values of many magnitudes
+        at = (lambda c: F.col(c) / 2) if even else (lambda c: F.signum(c) * F.greatest(F.coalesce(F.log(F.abs(c)), F.lit(-750.0)) + 750, F.lit(0.0)))
+        share = F.try_divide(at("_v") - at("_lo"), at("_hi") - at("_lo"))
+        bin_ = F.when(F.col("_v") == F.col("_hi"), BINS).when(F.col("_v") == F.col("_lo"), -1).when(share.isNull() | F.isnan(share), 0).otherwise(F.greatest(F.lit(0), F.least(F.floor(share * BINS), F.lit(BINS - 1))))
+        counts = inside.groupBy(*by, "_rank", bin_.cast("int").alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.min("_below").alias("_below"))
         upto = counts.withColumn("_upto", F.col("_below") + F.sum("_c").over(W.partitionBy(*by, "_rank").orderBy("_bin")))
         state = written(upto.where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank"))).select(*by, "_rank", (F.col("_upto") - F.col("_c")).alias("_below"), F.col("_c").alias("_left"), F.col("_a").alias("_lo"), F.col("_b").alias("_hi")), "ranks")
+    found = written(found_values(rows, done, by), "selected")
     out = sizes.select(*by, "_n")
     for name, p in named:
         for side, f in (("_x", F.floor), ("_y", F.ceil)):
@@ -70,8 +71,8 @@ def selected(rows: DataFrame, sizes: DataFrame, by: list[str], named: list[tuple
     return out.select(*by, *(value(n, p).alias(n) for n, p in named))
 
 
-def found_values(rows: DataFrame, done: DataFrame, by: list[str], buffer: int) -> DataFrame:
-    """by, _rank, _value of ranks whose range is one value, or holds at most buffer values, which are sorted."""
+def found_values(rows: DataFrame, done: DataFrame, by: list[str]) -> DataFrame:
+    """by, _rank, _value of ranks whose range is one value, or holds few values, which are sorted."""
     one = done.where(F.col("_lo").eqNullSafe(F.col("_hi"))).select(*by, "_rank", F.col("_lo").alias("_value"))
     few = done.where(~F.col("_lo").eqNullSafe(F.col("_hi"))).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), "_rank", "_below", "_lo", "_hi")
     inside = rows.join(F.broadcast(few), [rows[c].eqNullSafe(few[f"_k{i}"]) for i, c in enumerate(by)] + [rows["_v"] >= few["_lo"], rows["_v"] <= few["_hi"]])
