@@ -65,11 +65,17 @@ def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def exact_duplicates(samples: DataFrame, members: DataFrame, hashes: dict[str, str]) -> DataFrame:
-    """Content that more than one group has, of each modality (hashes: its column): fatal if it is in two splits or more, else a warning. Unusable rows count too; null and empty hashes are none."""
-    splits = members.where("split <> 'train_pool'").select("sample_id", "split")
+    """Content that more than one group has, of each modality (hashes: its column): fatal if it is in two splits or more, else a warning. Unusable rows count too; null and empty hashes are none.
+
+    Samples and their splits meet once by sample; contents are added up by group first, then over groups, each time within
+    tasks before the shuffle, so that a content that most samples share is a few rows.
+    """
+    splits = members.where("split <> 'train_pool'").groupBy("sample_id").agg(F.collect_set("split").alias("in"))
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("modality"), F.col(c).alias("sha")) for m, c in sorted(hashes.items()))))
-    rows = samples.select("sample_id", "leakage_group_id", each.alias("h")).select("sample_id", "leakage_group_id", "h.modality", "h.sha").where("sha <> ''")
-    out = rows.join(splits, "sample_id", "left").groupBy("modality", "sha").agg(F.countDistinct("leakage_group_id").alias("groups"), F.countDistinct("split").alias("splits"), F.countDistinct("sample_id").alias("copies")).where("groups > 1")
+    rows = samples.select("sample_id", "leakage_group_id", *hashes.values()).repartition("sample_id").distinct().join(splits, "sample_id", "left")
+    rows = rows.select("sample_id", "leakage_group_id", "in", each.alias("h")).select("sample_id", "leakage_group_id", "in", "h.modality", "h.sha").where("sha <> ''")
+    own = rows.groupBy("modality", "sha", "leakage_group_id").agg(F.count("*").alias("copies"), F.array_distinct(F.flatten(F.collect_set("in"))).alias("in"))
+    out = own.groupBy("modality", "sha").agg(F.count("leakage_group_id").alias("groups"), F.size(F.array_distinct(F.flatten(F.collect_set("in")))).cast("long").alias("splits"), F.sum("copies").alias("copies")).where("groups > 1")
     across = F.col("splits") > 1
     return out.withColumn("level", F.when(across, "fatal").otherwise("warning")).withColumn("code", F.when(across, "cross_split_exact_duplicate").otherwise("cross_group_exact_duplicate"))
 

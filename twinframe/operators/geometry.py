@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.steps import written
+from ..sources.steps import discard, written
 from .series import error_metrics
 
 
@@ -160,10 +160,11 @@ def refine_homography(points: DataFrame, models: DataFrame, by: list[str], steps
 
     none = F.lit(None).cast("array<double>")
     state = written(models.where("h is not null").select(*by, none.alias("h"), none.alias("s"), F.lit(1e-4).alias("damping"), F.col("h").alias("tried"), F.lit(True).alias("open")), "fits")
-    done = None
+    done, used = None, [state]
     for _ in range(steps + 1):
         new = reprojection_sums(points.drop("h"), state.select(*by, F.col("tried").alias("h")), by).withColumnRenamed("s", "new")
         state = written(state.join(new, by, "left").mapInPandas(run, schema), "fits")
+        used.append(state)
         over = state.where("not open").select(*by, "h")
         done = over if done is None else done.union(over)
         state = state.where("open")
@@ -171,7 +172,9 @@ def refine_homography(points: DataFrame, models: DataFrame, by: list[str], steps
             break
     else:
         done = done.union(state.select(*by, "h"))
-    return models.select(*by).join(done, by, "left")
+    out = written(models.select(*by).join(done, by, "left"), "refined")
+    discard(*used)
+    return out
 
 
 def order_corners(points: DataFrame, by: list[str], columns: int, rows: int) -> DataFrame:
@@ -305,9 +308,11 @@ def filter_pairs(points: DataFrame, by: list[str], pair: str, most_rmse: float =
     gate = lambda df, models: df.join(passing_pairs(df, models, by, pair, most_rmse, most_p95, most_error), [*by, pair], "left_semi")
     pairs = lambda df: df.select(*by, pair).distinct()
     kept = written(gate(points, fit_robust(points, by, trials, threshold, refine=refine).select(*by, "h")), "robust_pairs")
-    first, before = pairs(kept), pairs(kept).count()
+    robust, first, before = kept, pairs(kept), pairs(kept).count()
     while True:
-        kept = written(gate(kept, fit_homography(kept, by, refine)), "kept_pairs")
+        before_it, kept = kept, written(gate(kept, fit_homography(kept, by, refine)), "kept_pairs")
+        if before_it is not robust:  # the first tells which stage rejected a pair
+            discard(before_it)
         if (now := pairs(kept).count()) == before:
             break
         before = now

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.steps import written
+from ..sources.steps import discard, written
 
 #: Bins that a pass divides a range into.
 BINS = 4096
@@ -43,7 +43,7 @@ def selected(rows: DataFrame, sizes: DataFrame, by: list[str], named: list[tuple
     position = lambda p: (F.col("_n") - 1) * p
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(f(position(p)).cast("long")) for _, p in named for f in (F.floor, F.ceil)))))
     state = written(sizes.select(*by, F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_left"), "_lo", "_hi"), "ranks")
-    done, even = None, False
+    done, even, steps = None, False, [state]
     while True:
         settled = (F.col("_left") <= buffer) | F.col("_lo").eqNullSafe(F.col("_hi"))
         done = state.where(settled) if done is None else done.unionByName(state.where(settled))
@@ -60,7 +60,9 @@ def selected(rows: DataFrame, sizes: DataFrame, by: list[str], named: list[tuple
         counts = inside.groupBy(*by, "_rank", bin_.cast("int").alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.min("_below").alias("_below"))
         upto = counts.withColumn("_upto", F.col("_below") + F.sum("_c").over(W.partitionBy(*by, "_rank").orderBy("_bin")))
         state = written(upto.where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank"))).select(*by, "_rank", (F.col("_upto") - F.col("_c")).alias("_below"), F.col("_c").alias("_left"), F.col("_a").alias("_lo"), F.col("_b").alias("_hi")), "ranks")
+        steps.append(state)
     found = written(found_values(rows, done, by), "selected")
+    discard(*steps)
     out = sizes.select(*by, "_n")
     for name, p in named:
         for side, f in (("_x", F.floor), ("_y", F.ceil)):
