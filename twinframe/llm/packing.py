@@ -160,18 +160,19 @@ def exchange(bins: Bins, loads: list[int], displaced: list[int], lengths: list[i
         at = np.searchsorted(sums, gone + size - load[number], "right") - 1
         gain = np.where(at >= 0, sums[np.maximum(at, 0)] - gone, 0)
         good = np.flatnonzero(gain > 0)
+        good = good[np.argsort(-gain[good], kind="stable")]
         used, changed, freed = set(), set(), []
-        for k in good[np.argsort(-gain[good], kind="stable")]:
-            b, into = int(number[k]), [int(x) for x in coming[at[k]] if x >= 0]
-            if b in changed or not used.isdisjoint(into):
+        rows = zip(number[good].tolist(), coming[at[good]].tolist(), one[good].tolist(), two[good].tolist(), (place[good, 1] >= 0).tolist(), gain[good].tolist(), strict=True)
+        for b, (p, q), x, y, both, more in rows:
+            if b in changed or p in used or q in used:
                 continue
-            out = [int(one[k])] + ([int(two[k])] if place[k, 1] >= 0 else [])
-            bins[b] = [x for x in bins[b] if x not in out] + [int(own[x]) for x in into]
-            loads[b] += int(gain[k])
+            out, into = (x, y) if both else (x,), (p, q) if q >= 0 else (p,)
+            bins[b] = [i for i in bins[b] if i not in out] + [int(own[k]) for k in into]
+            loads[b] += more
             used.update(into)
             changed.add(b)
             freed += out
-        if not changed:
+        if not freed:
             break
         displaced = [x for k, x in enumerate(displaced) if k not in used] + freed
     return displaced
