@@ -565,6 +565,19 @@ def test_near_duplicates_with_a_passage_in_all(spark, monkeypatch):
     assert (1 - 0.85**minhash.FINE_ROWS) ** minhash.fine_bands(85) <= 1e-6 and minhash.fine_bands(100) == 1
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """A document of several texts links what any of them is linked with; copies and ids of one text beside it."""
+    rng = random.Random(11)
+    base = [prose(rng, 60) for _ in range(8)]
+    near = lambda t: " ".join([*t.split()[:-1], "neu"])
+    rows = [(5, base[0]), (5, base[1]), (2, near(base[1])), (9, near(base[0])), (9, base[2]), (7, near(base[2])), (7, near(base[2])), (1, base[3]), (8, base[4]), (8, None), (3, base[4]), (6, "a b"), (6, ""), (4, base[5]), (4, base[0])]
+    got = minhash.near_duplicates(odd_docs(spark, rows), 3, 85).collect()
+    want = {5: 2, 2: 2, 9: 2, 7: 2, 4: 2, 1: 1, 8: 3, 3: 3, 6: 6}
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == sorted((i, want[i], want[i] == i) for i, _ in rows)
+    one = minhash.near_duplicates(odd_docs(spark, [(1, base[0]), (1, base[1]), (2, "x y z"), (3, near(base[1]))]), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in one} == {1: 1, 2: 2, 3: 1}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = odd_docs(spark)
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, 3, 85).collect()), key=repr)

@@ -197,12 +197,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     million and keep few of those that have less in common.
 
     Null or empty texts and texts without words have no shingles and link with nothing. Rows of one doc_id are
-    one document. A null doc_id links with nothing: component_id null, kept true. An empty table gives no rows;
-    columns other than doc_id and text are not read.
+    one document: where their texts differ, it is linked with what any of them is linked with. A null doc_id links with
+    nothing: component_id null, kept true. An empty table gives no rows; columns other than doc_id and text are not read.
     """
-    rows = docs.select("doc_id", _signatures(k)("text").alias("s")).select("doc_id", "s.*")
-    rows = scratch(rows, "signatures")
-    grouped = rows.where("n_shingles > 0 and doc_id is not null").groupBy("fp")
+    rows = scratch(docs.select("doc_id", _signatures(k)("text").alias("s")).select("doc_id", "s.*"), "signatures")
+    full = rows.where("n_shingles > 0 and doc_id is not null")
+    set_of = F.coalesce("fp", F.lit(b""))
+    several = scratch(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(set_of).alias("x"), F.max(set_of).alias("y")).where("x <> y").select("doc_id"), "several_texts")
+    if is_empty(several):
+        found = rows.join(_components(full, docs, k, percent), "fp", "left")
+    else:
+        found = rows.join(_components_of_several(full, docs, k, percent), "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _components_of_several(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, comp of rows (doc_id, and signatures) of which some have one doc_id and different texts.
+
+    Each pair of a doc_id and a set is a document with a number of its own; afterwards the documents of one doc_id are
+    linked, and components take their smallest doc_id.
+    """
+    numbers = scratch(rows.select("doc_id", "fp").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    own = rows.join(numbers, ["doc_id", "fp"]).drop("doc_id").withColumnRenamed("number", "doc_id")
+    texts = docs.where("doc_id is not null").select("doc_id", "text", _signatures(k)("text")["fp"].alias("fp"))
+    texts = scratch(texts.join(numbers, ["doc_id", "fp"]).groupBy("number").agg(F.any_value("text").alias("text")).withColumnRenamed("number", "doc_id"), "numbered")
+    comp = numbers.join(_components(own, texts, k, percent), "fp")
+    same = numbers.groupBy("doc_id").agg(F.min("number").alias("a"))
+    links = comp.select(F.col("number").alias("a"), F.col("comp").alias("b")).union(numbers.join(same, "doc_id").select("a", F.col("number").alias("b")))
+    labels = scratch(connected_components(links), "components")
+    named = numbers.join(labels, numbers.number == labels.node, "left").select("doc_id", F.coalesce("component", "number").alias("label")).distinct()
+    return named.join(named.groupBy("label").agg(F.min("doc_id").alias("comp")), "label").select("doc_id", "comp")
+
+
+def _components(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """fp, comp: the component of each set of rows (doc_id, and signatures), named by the smallest doc_id; docs have one text for each doc_id."""
+    grouped = rows.groupBy("fp")
     classes = scratch(grouped.agg(F.min("doc_id").alias("cid"), *(F.any_value(c).alias(c) for c in ("bands", "sketch", "parity")), F.any_value("n_shingles").alias("n")), "classes")
     sketches = classes.select("cid", "n", "sketch", "parity")
     dealt = classes.select("cid", F.explode("bands").alias("key"))
@@ -233,10 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not is_empty(more):
         labels = scratch(connected_components(more.union(labels.select("node", "component"))), "components")
 
-    named = classes.join(labels, classes.cid == labels.node, "left").select("fp", F.coalesce("component", "cid").alias("comp"))
-    found = rows.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return classes.join(labels, classes.cid == labels.node, "left").select("fp", F.coalesce("component", "cid").alias("comp"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
