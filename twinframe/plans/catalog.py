@@ -582,14 +582,29 @@ def u4_member_issues(spark, sf_dir):
     return audit.member_issues(listed.withColumn("split", F.lit("val")), s)
 
 
-def _search(name, groups, seed, ratio, names=("first", "second")):
+def _search(name, groups, seed, ratio, names=("first", "second"), greedy=0):
     """SQL of a stage's search over the features of groups: name_trials (trial, leakage_group_id, second) and name_scores (trial, score)."""
     square = lambda have, share: f"(({have}) - total * {share}) / greatest(1.0, total * {share})"
     own, rest = square("got", ratio), square("total - got", 1 - ratio)
     raw, part = {1: f"n * {1 - ratio}", 2: f"n * {ratio}"}, lambda k: f"greatest(1, CAST(floor({k}) AS INT))"
     over = f"{part(raw[1])} + {part(raw[2])} < n AND ({raw[2]} - floor({raw[2]}) > {raw[1]} - floor({raw[1]}) OR ({raw[2]} - floor({raw[2]}) = {raw[1]} - floor({raw[1]}) AND {ratio} > {1 - ratio}))"
+    second = f"(SELECT least(n - 1, {part(raw[2])} + CASE WHEN {over} THEN 1 ELSE 0 END) FROM {name}_n)"
+    if greedy:  # one group after another goes where the score is lower and there is room
+        of = lambda have, share: f"list_sum(list_transform(range(1, len(total) + 1), lambda i: weight[i] * pow(({have} - total[i] * {share}) / greatest(1.0, total[i] * {share}), 2)))"
+        to = [f"{of('a[i] + x[i]', 1 - ratio)} + {of('b[i]', ratio)}", f"{of('a[i]', 1 - ratio)} + {of('b[i] + x[i]', ratio)}"]
+        plus = lambda have, side: f"CASE WHEN side = {side} THEN list_transform(range(1, len(x) + 1), lambda i: {have}[i] + x[i]) ELSE {have} END"
+        trials = f"""{name}_j AS (SELECT kind, name, sum(value) AS total, CASE kind WHEN 'pairs' THEN 4.0 WHEN 'experiments' THEN 3.0 WHEN 'category' THEN 2.0 ELSE 0.2 END AS weight FROM {name}_f GROUP BY 1, 2),
+{name}_all AS (SELECT list(total ORDER BY kind, name) AS total, list(weight ORDER BY kind, name) AS weight FROM {name}_j),
+{name}_x AS (SELECT g.leakage_group_id, list(COALESCE(f.value, 0.0) ORDER BY j.kind, j.name) AS x, max(f.value) FILTER (j.kind = 'pairs') AS pairs, max(f.value) FILTER (j.kind = 'experiments') AS experiments FROM (SELECT DISTINCT leakage_group_id FROM {name}_f) g CROSS JOIN {name}_j j LEFT JOIN {name}_f f ON f.leakage_group_id = g.leakage_group_id AND f.kind = j.kind AND f.name = j.name GROUP BY 1),
+{name}_order AS (SELECT trial, leakage_group_id, x, h, row_number() OVER (PARTITION BY trial ORDER BY pairs DESC, experiments DESC, h) AS place FROM (SELECT *, sha256('{seed}:' || CAST(trial AS VARCHAR) || ':' || leakage_group_id) AS h FROM {name}_x CROSS JOIN (SELECT unnest(range(0, {greedy})) AS trial))),
+{name}_run AS (SELECT CAST(trial AS BIGINT) AS trial, CAST(0 AS BIGINT) AS place, '' AS leakage_group_id, 0 AS side, list_transform(total, lambda t: 0.0::DOUBLE) AS a, list_transform(total, lambda t: 0.0::DOUBLE) AS b, CAST(0 AS BIGINT) AS m FROM {name}_all CROSS JOIN (SELECT unnest(range(0, {greedy})) AS trial)
+ UNION ALL SELECT trial, place, leakage_group_id, side, {plus('a', 0)}, {plus('b', 1)}, m + side FROM (SELECT *, CASE WHEN m >= {second} THEN 0 WHEN place - 1 - m >= (SELECT n FROM {name}_n) - {second} THEN 1 WHEN abs(s0 - s1) < 1e-12 THEN CAST('0x' || substr(h, 1, 2) AS INT) & 1 WHEN s1 < s0 THEN 1 ELSE 0 END AS side
+  FROM (SELECT r.trial, o.place, o.leakage_group_id, o.x, o.h, r.a, r.b, r.m, {to[0]} AS s0, {to[1]} AS s1 FROM {name}_run r JOIN {name}_order o ON o.trial = r.trial AND o.place = r.place + 1 CROSS JOIN {name}_all))),
+{name}_trials AS (SELECT trial, leakage_group_id, side = 1 AS second FROM {name}_run WHERE place > 0)"""
+    else:
+        trials = f"{name}_trials AS (SELECT t.trial, leakage_group_id, row_number() OVER (PARTITION BY trial ORDER BY sha256('{seed}:' || CAST(t.trial AS VARCHAR) || ':' || leakage_group_id)) <= {second} AS second FROM (SELECT DISTINCT leakage_group_id FROM {name}_f) CROSS JOIN (SELECT unnest(range(0, 256)) AS trial) t)"
     return f"""{name}_f AS (SELECT * FROM features WHERE leakage_group_id IN (SELECT leakage_group_id FROM {groups})), {name}_n AS (SELECT count(DISTINCT leakage_group_id) AS n FROM {name}_f),
-{name}_trials AS (SELECT t.trial, leakage_group_id, row_number() OVER (PARTITION BY trial ORDER BY sha256('{seed}:' || CAST(t.trial AS VARCHAR) || ':' || leakage_group_id)) <= (SELECT least(n - 1, {part(raw[2])} + CASE WHEN {over} THEN 1 ELSE 0 END) FROM {name}_n) AS second FROM (SELECT DISTINCT leakage_group_id FROM {name}_f) CROSS JOIN (SELECT unnest(range(0, 256)) AS trial) t),
+{trials},
 {name}_totals AS (SELECT kind, name, sum(value) AS total FROM {name}_f GROUP BY 1, 2), {name}_got AS (SELECT trial, kind, name, sum(CASE WHEN second THEN value ELSE 0 END) AS got FROM {name}_trials JOIN {name}_f USING (leakage_group_id) GROUP BY 1, 2, 3),
 {name}_scores AS (SELECT trial, round(sum(CASE kind WHEN 'pairs' THEN 4.0 WHEN 'experiments' THEN 3.0 WHEN 'category' THEN 2.0 ELSE 0.2 END * (pow({own}, 2) + pow({rest}, 2))), 9) AS score FROM {name}_got JOIN {name}_totals USING (kind, name) GROUP BY 1),
 {name}_signed AS (SELECT trial, list(CASE WHEN second THEN '{names[1]}' ELSE '{names[0]}' END ORDER BY leakage_group_id) AS signature FROM {name}_trials GROUP BY 1),
@@ -626,9 +641,9 @@ def g3_assign_stage_equal_trials(spark, sf_dir):
     return split.assign_stage(f, 0.5, 8, names=("train_pool", "test"))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {I.SAMPLES}, {_FEATURES}, {_search('outer', 'features', 42, 0.2, greedy=64)} SELECT * FROM outer_best")
 def g3_assign_stage_greedy(spark, sf_dir):
-    """The search whose trials take the largest groups first; its tests hold it against a loop over all choices."""
+    """The search whose trials take the largest groups first."""
     return split.assign_stage(split.group_features(I.samples(spark, sf_dir)), 0.2, 42, 64, greedy=True)
 
 
