@@ -421,13 +421,13 @@ def a7_table_digest(spark, sf_dir):
     return audit.table_digest(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_returnflag"])
 
 
-@query(f"""WITH {I.SAMPLES}, {I.SPLITS}, h AS (SELECT sample_id, leakage_group_id, 'ir' AS modality, sha FROM samples UNION ALL SELECT sample_id, leakage_group_id, 'rgb', CASE WHEN n_chars % 5 <> 0 THEN head_sha END FROM samples)
+@query(f"""WITH {I.SAMPLES}, {I.SPLITS}, h AS (SELECT sample_id, leakage_group_id, 'ir' AS modality, sha FROM samples UNION ALL SELECT sample_id, leakage_group_id, 'rgb', CASE WHEN n_chars % 5 <> 0 THEN bare_sha END FROM samples)
 SELECT modality, sha, CAST(count(DISTINCT leakage_group_id) AS BIGINT) AS groups, CAST(count(DISTINCT split) AS BIGINT) AS splits, CAST(count(DISTINCT sample_id) AS BIGINT) AS copies, CASE WHEN count(DISTINCT split) > 1 THEN 'fatal' ELSE 'warning' END AS level,
  CASE WHEN count(DISTINCT split) > 1 THEN 'cross_split_exact_duplicate' ELSE 'cross_group_exact_duplicate' END AS code FROM h LEFT JOIN (SELECT * FROM members WHERE split <> 'train_pool') USING (sample_id) WHERE sha IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT leakage_group_id) > 1""")
 def a8_exact_duplicates(spark, sf_dir):
     """One in five samples lacks its second hash."""
     s = I.samples(spark, sf_dir)
-    return audit.exact_duplicates(s.withColumn("head_sha", F.when(F.col("n_chars") % 5 != 0, F.col("head_sha"))), pairing.split_members(s, I.group_splits(s)), I.CONTENT)
+    return audit.exact_duplicates(s.withColumn("bare_sha", F.when(F.col("n_chars") % 5 != 0, F.col("bare_sha"))), pairing.split_members(s, I.group_splits(s)), I.CONTENT)
 
 
 @query("""SELECT sha256(text) AS sha, CAST(count(DISTINCT source) AS BIGINT) AS tasks, CAST(count(*) AS BIGINT) AS files FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1""")
@@ -1239,14 +1239,14 @@ def x6_x7_adapt_homography(spark, sf_dir):
     return rows.select("p_partkey", F.round(F.col("a")[0], 6).alias("h11"), F.round(F.col("a")[3], 6).alias("h21"), F.round(F.col("a")[6], 9).alias("h31"), geometry.is_valid(F.col("a")).alias("valid"))
 
 
-@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 25 AS n, s_acctbal / 12000 AS e, s_suppkey % 5 = 0 AS w, s_suppkey % 3 = 0 AS b FROM supplier)
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 25 AS n, s_acctbal / 12000 AS e, s_suppkey % 5 = 0 AS w, s_suppkey % 3 = 0 AS b, s_suppkey % 13 / 20.0 AS cov, 0.5 + s_suppkey % 12 / 10.0 AS area FROM supplier), r AS (SELECT *, n >= 10 AND abs(e) * 3 <= 2.0 AND cov >= 0.15 AND area BETWEEN 0.7 AND 1.4 AS ok FROM s)
 SELECT s_suppkey, CASE WHEN n < 4 THEN 'failed' WHEN w OR e > 0.75 OR e * 1.5 > 1.2 OR e * 3.5 > 2.25 OR e * 1.7 > 1.2 THEN 'provisional_warning' WHEN n >= 18 THEN 'formal' ELSE 'provisional' END AS status,
- n >= 10 AND abs(e) * 3 <= 2.0 AS accepted,
- CASE WHEN b AND e * 3 <= 1 THEN 'excellent' WHEN b AND e * 3 <= 2 THEN 'good' WHEN b THEN 'review_required' WHEN n >= 10 AND abs(e) * 3 <= 0.5 THEN 'excellent' WHEN n >= 10 AND abs(e) * 3 <= 2.0 THEN 'good' WHEN n % 2 = 0 THEN 'calibration_model_passed' ELSE 'calibration_fallback_review_required' END AS rating FROM s""")
+ n >= 10 AND abs(e) * 3 <= 2.0 AND cov >= 0.15 AND area BETWEEN 0.7 AND 1.4 AS accepted,
+ CASE WHEN b AND e * 3 <= 1 THEN 'excellent' WHEN b AND e * 3 <= 2 THEN 'good' WHEN b THEN 'review_required' WHEN ok AND abs(e) * 3 <= 0.5 AND cov >= 0.5 THEN 'excellent' WHEN ok THEN 'good' WHEN n % 2 = 0 THEN 'calibration_model_passed' ELSE 'calibration_fallback_review_required' END AS rating FROM r""")
 def x17_x18_x22_status(spark, sf_dir):
     e = F.col("s_acctbal") / 12000
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).alias("pairs"), e.alias("rmse"), (e * 1.5).alias("p95"), (e * 3.5).alias("max_error"), (e * 1.7).alias("left_out"), (F.col("s_suppkey") % 5 == 0).alias("warning"), (F.col("s_suppkey") % 3 == 0).alias("board_accepted"))
-    rows = geometry.quality_status(s).withColumns({"inliers": F.col("pairs") * 2, "matches": F.col("pairs") * 4, "coverage": F.lit(0.5), "median_error": F.abs("rmse") * 3, "area_ratio": F.lit(1.0), "board_rmse": F.col("rmse") * 3, "calibration_good": F.col("pairs") % 2 == 0})
+    rows = geometry.quality_status(s).withColumns({"inliers": F.col("pairs") * 2, "matches": F.col("pairs") * 4, "coverage": F.col("s_suppkey") % 13 / 20, "median_error": F.abs("rmse") * 3, "area_ratio": F.lit(0.5) + F.col("s_suppkey") % 12 / 10, "board_rmse": F.col("rmse") * 3, "calibration_good": F.col("pairs") % 2 == 0})
     return geometry.geometric_rating(geometry.refine_gate(rows).withColumn("refined", F.col("accepted"))).select("s_suppkey", "status", "accepted", "rating")
 
 

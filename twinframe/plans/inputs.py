@@ -12,19 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Documents as samples: source is the experiment, language the category, their pair the clip.
 SAMPLES = """samples AS (SELECT 'd' || CAST(d.doc_id AS VARCHAR) AS sample_id, d.source AS experiment_key, d.lang AS category, d.source || '_' || d.lang AS clip_id,
-  'group-' || CAST(CAST(substr(d.source, 4) AS INT) % 10 AS VARCHAR) AS leakage_group_id, COALESCE(l.quality, 1) = 1 AS usable, sha256(d.text) AS sha, sha256(substr(d.text, 1, 60)) AS head_sha, d.n_chars AS n_chars
+  'group-' || CAST(CAST(substr(d.source, 4) AS INT) % 10 AS VARCHAR) AS leakage_group_id, COALESCE(l.quality, 1) = 1 AS usable, sha256(d.text) AS sha, sha256(replace(d.text, ' ', '')) AS bare_sha, d.n_chars AS n_chars
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-#: Two contents of a sample: its whole text, and how that begins.
-CONTENT = {"ir": "sha", "rgb": "head_sha"}
+#: Two contents of a sample: its whole text, and that without blanks.
+CONTENT = {"ir": "sha", "rgb": "bare_sha"}
 
 
 def samples(spark, sf_dir) -> DataFrame:
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     return d.join(l, "doc_id", "left").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), F.col("source").alias("experiment_key"), F.col("lang").alias("category"), F.concat("source", F.lit("_"), "lang").alias("clip_id"),
-        F.concat(F.lit("group-"), (F.expr("cast(substr(source, 4) as int)") % 10).cast("string")).alias("leakage_group_id"), (F.coalesce("quality", F.lit(1)) == 1).alias("usable"), F.sha2("text", 256).alias("sha"), F.sha2(F.substring("text", 1, 60), 256).alias("head_sha"), "n_chars")
+        F.concat(F.lit("group-"), (F.expr("cast(substr(source, 4) as int)") % 10).cast("string")).alias("leakage_group_id"), (F.coalesce("quality", F.lit(1)) == 1).alias("usable"), F.sha2("text", 256).alias("sha"), F.sha2(F.replace("text", F.lit(" "), F.lit("")), 256).alias("bare_sha"), "n_chars")
 
 
 #: A fixed split by the last digit of the group.
