@@ -202,8 +202,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     rows = scratch(docs.select("doc_id", _signatures(k)("text").alias("s")).select("doc_id", "s.*"), "signatures")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    set_of = F.coalesce("fp", F.lit(b""))
-    several = scratch(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(set_of).alias("x"), F.max(set_of).alias("y")).where("x <> y").select("doc_id"), "several_texts")
+    # 64 bits tell the sets of one doc_id apart, and sums of fixed width take no sorting
+    set_of = F.xxhash64(F.coalesce("fp", F.lit(b"")))
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(set_of).alias("x"), F.max(set_of).alias("y")).where("x <> y")
     if is_empty(several):
         found = rows.join(_components(full, docs, k, percent), "fp", "left")
     else:
