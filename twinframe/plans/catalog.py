@@ -1330,7 +1330,7 @@ _SEEN = f"""{_solved('points', 'grp, pair')}, seen AS (SELECT grp, pair, k, {_PX
 
 
 @query(f"""WITH RECURSIVE {I.POINTS}, {_SEEN}, d AS (SELECT a.grp, a.pair, b.pair AS o, CASE WHEN a.pair = b.pair THEN 0.0 ELSE median(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) END AS d FROM seen a JOIN seen b ON a.grp = b.grp AND a.k = b.k GROUP BY 1, 2, 3),
-s AS (SELECT grp, pair, median(d) AS spread, max(d) AS widest FROM d GROUP BY 1, 2) SELECT grp, arg_min(pair, spread) AS medoid, round(min(spread), 4) AS spread, round(arg_min(widest, spread), 4) AS widest FROM s GROUP BY 1""")
+s AS (SELECT grp, pair, median(d) AS spread, max(d) AS widest FROM d GROUP BY 1, 2) SELECT grp, arg_min(pair, struct_pack(spread := spread, pair := pair)) AS medoid, round(min(spread), 4) AS spread, round(arg_min(widest, struct_pack(spread := spread, pair := pair)), 4) AS widest FROM s GROUP BY 1""")
 def x14_medoid(spark, sf_dir):
     p = I.points(spark, sf_dir)
     models = geometry.fit_homography(p, ["grp", "pair"]).where("h is not null")
@@ -1338,7 +1338,7 @@ def x14_medoid(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {I.POINTS}, {_SEEN}, whole AS (SELECT grp, k, (1.1 * (k % 3) + 0.02 * (k // 3) + 3.0) / (0.001 * (k % 3) + 1) AS x, (0.03 * (k % 3) + 0.9 * (k // 3) + 2.0) / (0.001 * (k % 3) + 1) AS y FROM (SELECT DISTINCT grp FROM points) CROSS JOIN range(9) r(k)),
-d AS (SELECT grp, pair, median(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM seen a JOIN whole b USING (grp, k) GROUP BY 1, 2) SELECT grp, arg_min(pair, d) AS medoid, round(median(d), 4) AS spread, round(max(d), 4) AS widest FROM d GROUP BY 1""")
+d AS (SELECT grp, pair, median(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM seen a JOIN whole b USING (grp, k) GROUP BY 1, 2) SELECT grp, arg_min(pair, struct_pack(d := d, pair := pair)) AS medoid, round(median(d), 4) AS spread, round(max(d), 4) AS widest FROM d GROUP BY 1""")
 def x14_medoid_of_reference(spark, sf_dir):
     """Against the group's global model."""
     p = I.points(spark, sf_dir)
