@@ -373,6 +373,13 @@ def test_written_shards(spark, tmp_path):
         assert all(r["n"] == 1 or r["b"] <= limit for r in sizes)
 
 
+def test_written_shards_beside_columns_of_another_case(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * i, "a", i) for i in range(20)], "doc_id bigint, text string, Shard string, PAGE int")
+    assert sharding.write_shards(docs, 60, f"{tmp_path}/out") == ("_shard", "_page")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 20 and {"Shard", "PAGE", "_shard", "_page"} <= set(back.columns)
+
+
 def test_shards(spark):
     rows = [(i, "x" * (i % 50)) for i in range(500)] + [(9999, "y" * 5000)] + [(7777, "z" * 30)] * 40 + [(None, None)]
     got = sharding.assign_shards(odd_docs(spark, rows), 400).collect()

@@ -105,12 +105,12 @@ def write_shards(docs: DataFrame, limit: int, path: str) -> tuple[str, str]:
     """The rows of docs, all columns, as Parquet under path, one folder for each shard and page; the two names of the folders' columns.
 
     Each row is placed by itself, by the hash of its doc_id, so rows of one doc_id stay as many as they are. The
-    folders are named by shard, an s and the bits, and page; where docs has such columns, by these names with more
-    underscores. An empty table writes no folders.
+    folders are named by shard, an s and the bits, and page; where docs has such columns, in any case, by these names with
+    more underscores. An empty table writes no folders.
     """
-    names = ["shard", "page"]
+    names, taken = ["shard", "page"], {c.lower() for c in docs.columns}
     for i in range(2):
-        while names[i] in docs.columns:
+        while names[i] in taken:
             names[i] = f"_{names[i]}"
     sizes = scratch(_with_hash(docs, "doc_id").select("hash", "n_bytes"), "sizes")
     placed = _placed(_with_hash(docs, *docs.columns), shard_directory(sizes, limit), limit)
