@@ -104,11 +104,6 @@ def inference_mode(width: Column, height: Column, factor: int = 16, most_tokens:
     return F.when(tokens <= most_tokens, "full").otherwise("sliding")
 
 
-def luma(r: Column, g: Column, b: Column) -> Column:
-    """ITU-R BT.601."""
-    return 0.299 * r + 0.587 * g + 0.114 * b
-
-
 def hamming(hi1: Column, lo1: Column, hi2: Column, lo2: Column) -> Column:
     return F.bit_count(hi1.bitwiseXOR(hi2)) + F.bit_count(lo1.bitwiseXOR(lo2))
 
