@@ -134,6 +134,21 @@ def test_robust_fit_among_many_outliers(spark):
     assert draw(1) == draw(9) and len(draw(3)) == 3 * 16 * 4
 
 
+def test_boards_are_never_sent_to_the_driver(spark, tmp_path):
+    """Spark takes points that are made of a small table for as small as that; corners that are missing are left out."""
+    spark.range(50).write.parquet(f"{tmp_path}/boards")
+    i = F.col("idx")
+    p = spark.read.parquet(f"{tmp_path}/boards").select("id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("idx")).where("idx <> id % 12 or id < 30")
+    at = F.when(F.col("id") % 2 == 0, 11 - i).otherwise(i)
+    x, y = (lambda k: (k % 4) * 20.0 + 100), (lambda k: F.floor(k / 4) * 20.0 + 50)
+    p = p.select("id", "idx", x(i).alias("ir_x"), y(i).alias("ir_y"), (x(at) * 1.1).alias("rgb_x"), (y(at) + 3).alias("rgb_y"))
+    got = geometry.order_corners(p, ["id"], 4, 3)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert {r["id"]: r["turn"] for r in rows} == {n: "same" if n % 2 else "reversed" for n in range(50)}
+    assert all(r["ir_y"] == (r["idx"] if r["turn"] == "same" else 11 - r["idx"]) // 4 * 20 + 50 for r in rows)
+
+
 # --- files ----------------------------------------------------------------------------------------------------------
 
 

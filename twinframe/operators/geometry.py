@@ -7,8 +7,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..sources.steps import discard, written
 from .series import error_metrics
@@ -177,24 +179,58 @@ def refine_homography(points: DataFrame, models: DataFrame, by: list[str], steps
     return out
 
 
+def _solve_boards(x: pa.Array, y: pa.Array, u: pa.Array, v: pa.Array, lengths: np.ndarray) -> list:
+    """Matrices of runs of points (lengths: how many are in each, none 0) by the sums of normal_sums(); terms with a null add nothing."""
+    gaps = np.any([np.asarray(c.is_null()) for c in (x, y, u, v)], axis=0)
+    x, y, u, v = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in (x, y, u, v))
+    one, none = np.ones_like(x), None
+    sides = [[x, y, one, none, none, none, -u * x, -u * y, u], [none, none, none, x, y, one, -v * x, -v * y, v]]
+    starts, sums = np.cumsum(lengths) - lengths, []
+    for i in range(8):
+        for j in range(i, 9):
+            terms = [r[i] * r[j] for r in sides if r[i] is not None and r[j] is not None]
+            term = sum(terms[1:], terms[0]) if terms else np.zeros_like(x)
+            sums.append(np.add.reduceat(np.where(gaps & np.isnan(term), 0.0, term), starts) if len(starts) else term)
+    return [_solve(s) if n >= 4 else None for s, n in zip(np.stack(sums, axis=1), lengths, strict=True)]
+
+
 def order_corners(points: DataFrame, by: list[str], columns: int, rows: int) -> DataFrame:
-    """points (by, idx, ...) of a board: of the four orders of the IR corners, the one that isn't mirrored and turns least, then has the lowest error; by, turn, ordered points."""
+    """points (by, idx, ...) of a board: of the four orders of the IR corners, the one that isn't mirrored and turns least, then has the lowest error; by, turn, ordered points.
+
+    A board is brought together once, as one row of its points; the four orders are tried inside the row, so that no join,
+    whose sides Spark would judge by the table that the points came from, sends them anywhere.
+    """
     n = columns * rows
-    turned = {"same": "idx", "reversed": f"{n - 1} - idx", "rows_reversed": f"({rows - 1} - idx div {columns}) * {columns} + idx % {columns}", "columns_reversed": f"(idx div {columns}) * {columns} + {columns - 1} - idx % {columns}"}
-    ir = points.select(*by, F.col("idx").alias("at"), "ir_x", "ir_y")
-    all_ = None
-    for name, expr in turned.items():
-        part = points.select(*by, "idx", "rgb_x", "rgb_y", F.expr(expr).cast("int").alias("at"), F.lit(name).alias("turn"))
-        all_ = part if all_ is None else all_.union(part)
-    tried = all_.join(ir, [*by, "at"]).drop("at")
-    keys = [*by, "turn"]
-    models = fit_homography(tried, keys)
-    errors = error_metrics(project_points(tried, models, keys), keys)
-    h = F.col("h")
-    mirrored = (determinant(h) < 0).cast("int")
-    far = (F.abs(F.atan2(h[3], h[0])) > math.pi / 2 + 1e-9).cast("int")
-    best = errors.join(models, keys).groupBy(*by).agg(F.min(F.struct(mirrored.alias("m"), far.alias("f"), "rmse", "median", "turn")).alias("b")).select(*by, F.col("b.turn").alias("turn"))
-    return tried.join(best, keys)
+    turned = {"same": "{}", "reversed": f"{n - 1} - {{}}", "rows_reversed": f"({rows - 1} - {{0}} div {columns}) * {columns} + {{0}} % {columns}", "columns_reversed": f"({{0}} div {columns}) * {columns} + {columns - 1} - {{0}} % {columns}"}
+    own = ["idx", "rgb_x", "rgb_y", "ir_x", "ir_y"]
+    known = points.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)) if by else points
+    boards = known.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*own))).alias("_b"))
+    pairs = lambda at: f"flatten(transform(_b, p -> transform(filter(_b, q -> q.idx = cast({at.format('p.idx')} as int)), q -> named_struct('idx', p.idx, 'rgb_x', p.rgb_x, 'rgb_y', p.rgb_y, 'ir_x', q.ir_x, 'ir_y', q.ir_y))))"
+    tries = ", ".join(f"named_struct('turn', '{name}', 'p', {pairs(at)})" for name, at in turned.items())
+    tried = boards.select(*by, F.expr(f"filter(array({tries}), t -> size(t.p) > 0)").alias("_t"))
+
+    def solved(batches):
+        for batch in batches:
+            tries = batch.column("_t")
+            parts = tries.flatten().field("p")
+            points = parts.flatten()
+            h = _solve_boards(*(points.field(c) for c in ("ir_x", "ir_y", "rgb_x", "rgb_y")), np.asarray(parts.value_lengths()))
+            ends = np.concatenate([[0], np.cumsum(np.asarray(tries.value_lengths()))])
+            yield batch.append_column("_h", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h, pa.list_(pa.float64()))))
+
+    tried = tried.mapInArrow(solved, StructType([*tried.schema.fields, StructField("_h", ArrayType(ArrayType(DoubleType())))]))
+
+    def scored(t, h):
+        at = lambda p: project(h, p["ir_x"], p["ir_y"])
+        error = lambda p: F.sqrt(F.pow(at(p)[0] - p["rgb_x"], 2) + F.pow(at(p)[1] - p["rgb_y"], 2))
+        return F.struct((determinant(h) < 0).cast("int").alias("m"), (F.abs(F.atan2(h[3], h[0])) > math.pi / 2 + 1e-9).cast("int").alias("f"), F.sort_array(F.filter(F.transform(t["p"], error), lambda e: e.isNotNull())).alias("e"), t["turn"].alias("turn"), t["p"].alias("p"))
+
+    # median and RMSE of the sorted errors, as error_metrics() has them
+    rmse = lambda e: F.sqrt(F.try_divide(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x), F.size(e)))
+    half = lambda e, at: 0.5 * F.get(e, F.floor((F.size(e) + at) / 2).cast("int"))
+    rated = F.transform(F.zip_with("_t", "_h", scored), lambda x: F.struct(x["m"], x["f"], rmse(x["e"]).alias("rmse"), (half(x["e"], -1) + half(x["e"], 0)).alias("median"), x["turn"], x["p"]))
+    best = tried.select(*by, F.array_min(rated).alias("_x"))
+    return best.select(*by, F.col("_x.turn").alias("turn"), F.inline("_x.p"))
 
 
 #: Draws are ranked by multiplication modulo this prime.
