@@ -195,6 +195,20 @@ def test_tasks_hold_files_by_their_sizes(tmp_path):
     assert sorted(f[0] for p in parts for f in p.files) == [f"{tmp_path}/{i}" for i in range(9)] and max(len(p.files) for p in parts) <= 3 and len(parts) > 2
 
 
+def test_rows_become_files_and_folders_travel_by_name(spark, tmp_path):
+    """No process and no move by the driver for each file; what is planned are folders, not their files."""
+    rows = spark.range(3000).select(F.format_string("%d/part-%d", F.expr("id div 1000"), F.col("id")).alias("name"), F.col("id").cast("string").alias("content"))
+    sinks.write_files(rows.repartition(4), f"file://{tmp_path}/f")
+    sinks.write_files(rows.where("id < 10"), f"{tmp_path}/f")  # run again
+    parts = ranged.FileReader({"path": f"{tmp_path}/f"}).partitions()
+    assert not any(p.files for p in parts) and sorted(f for p in parts for f in p.folders) == [f"{tmp_path}/f/{i}" for i in range(3)]
+    got = scans.scan_fingerprints(spark, f"{tmp_path}/f", "part-*").collect()
+    assert sorted(r["sha256"] for r in got) == sorted(hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000))
+    assert sum(len(files) for _, _, files in os.walk(tmp_path)) == 3000
+    whole = ranged.file_ranges(spark, f"{tmp_path}/f", read="whole").collect()
+    assert sorted(int(bytes(r["head"])) for r in whole) == list(range(3000))
+
+
 # --- writers ----------------------------------------------------------------------------------------------------------
 
 
