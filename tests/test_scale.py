@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinframe.operators import geometry, quantiles, series
+from twinframe.operators import geometry, neardup, quantiles, series
 from twinframe.sources import ranged, scans, sinks
 from twinframe.streaming.intake import start_intake
 
@@ -149,6 +149,21 @@ def test_boards_are_never_sent_to_the_driver(spark, tmp_path):
     assert all(r["ir_y"] == (r["idx"] if r["turn"] == "same" else 11 - r["idx"]) // 4 * 20 + 50 for r in rows)
 
 
+@pytest.mark.parametrize("threshold", [20, 40])
+def test_wide_thresholds_compare_blocks(spark, threshold, monkeypatch):
+    """Every close pair of hashes once, whatever the blocks, without a join on bands of a few bits."""
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 2], rng.getrandbits(32), rng.getrandbits(32)) for i in range(200)]
+    rows += [(i + 1000, *rows[i][1:]) for i in range(20)] + [(5000, "a", None, None)]
+    df = spark.createDataFrame(rows, "id long, modality string, hi long, lo long")
+    near = neardup.near_duplicates(df, threshold)
+    assert "FlatMapGroupsInPandas" in near._jdf.queryExecution().executedPlan().toString()
+    bits = lambda a, b: bin((a[2] ^ b[2]) << 32 | (a[3] ^ b[3])).count("1")
+    want = [(a[1], a[0], b[0], bits(a, b)) for a in rows[:-1] for b in rows[:-1] if a[0] < b[0] and a[1] == b[1] and bits(a, b) <= threshold]
+    assert sorted(map(tuple, near.collect())) == sorted(want)
+
+
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
