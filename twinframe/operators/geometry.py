@@ -399,6 +399,7 @@ def select_medoid(models: DataFrame, by: list[str], name: str, width: float, hei
     if reference is not None:
         far = rows.join(_seen(reference, by, width, height).withColumnRenamed("_seen", "_other"), by).withColumn("_d", _apart("_seen", "_other"))
         return far.groupBy(*by).agg(F.min_by(name, F.struct("_d", name)).alias("medoid"), F.percentile("_d", 0.5).alias("spread"), F.max("_d").alias("widest"))
+    rows = written(rows, "seen_models")  # once: sums in another order would make d(a, b) differ from d(b, a), and so decide between equals
     pairs = rows.join(rows.select(*by, F.col(name).alias("_o"), F.col("_seen").alias("_other")), by).withColumn("_d", F.when(F.col(name) == F.col("_o"), 0.0).otherwise(_apart("_seen", "_other")))
     own = pairs.groupBy(*by, name).agg(F.percentile("_d", 0.5).alias("spread"), F.max("_d").alias("widest"))
     return own.groupBy(*by).agg(F.min_by(F.struct(F.col(name).alias("medoid"), "spread", "widest"), F.struct("spread", name)).alias("s")).select(*by, "s.*")
