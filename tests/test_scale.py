@@ -1,5 +1,6 @@
 """What has to hold at any size: bounded buffers, refinement, files of any length, writers at once, batches run again."""
 
+import collections
 import hashlib
 import os
 import random
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinframe.operators import geometry, neardup, quantiles, series
+from twinframe.operators import geometry, neardup, pairing, quantiles, series
 from twinframe.sources import ranged, scans, sinks
 from twinframe.streaming.intake import start_intake
 
@@ -134,6 +135,21 @@ def test_robust_fit_among_many_outliers(spark):
     assert draw(1) == draw(9) and len(draw(3)) == 3 * 16 * 4
 
 
+def test_strict_issues_need_no_join(spark, tmp_path):
+    """A column of a wide table is taken for small and was sent to all tasks; rows that share a key, or whose key has a null, each are an issue."""
+    rng = random.Random(4)
+    sides = [[(rng.choice([None, *range(40)]), rng.choice([None, "x", "y"])) for _ in range(120)] + [(None, "z")] * n for n in (70_000, 0)]
+    for name, rows in zip("ab", sides, strict=True):
+        spark.createDataFrame(rows, "k int, m string").write.parquet(f"{tmp_path}/{name}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in "ab")
+    issues = pairing.pair_strict(a, b, ["k", "m"])[1]
+    plan = issues._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    lone = lambda own, other: [r for r in own if None in r or r not in other]
+    want = collections.Counter([("only_left", *r) for r in lone(*sides)] + [("only_right", *r) for r in lone(*sides[::-1])])
+    assert issues.columns == ["code", "k", "m"] and collections.Counter(tuple(r) for r in issues.collect()) == want
+
+
 def test_boards_are_never_sent_to_the_driver(spark, tmp_path):
     """Spark takes points that are made of a small table for as small as that; corners that are missing are left out."""
     spark.range(50).write.parquet(f"{tmp_path}/boards")

@@ -18,9 +18,19 @@ def pair_samples(ir: DataFrame, rgb: DataFrame, frames: DataFrame, keys: list[st
 
 
 def pair_strict(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The pairs, and an issue for each key that one side alone has."""
-    only = lambda x, y, code: x.join(y, keys, "left_anti").select(F.lit(code).alias("code"), *keys)
-    return a.join(b, keys), only(a, b, "only_left").unionByName(only(b, a, "only_right"))
+    """The pairs, and an issue for each row whose key the other side doesn't have; a key with a null is never had.
+
+    Issues need no join: the rows of both sides are counted by key, in tasks before they are shuffled.
+    """
+    codes = ("only_left", "only_right")
+    counted = lambda df, code: df.select(*keys, *(F.lit(int(c == code)).alias(c) for c in codes))
+    counts = counted(a, codes[0]).unionByName(counted(b, codes[1])).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in codes))
+    unknown = F.exists(F.array(*(F.col(k).isNull() for k in keys)), lambda x: x)
+    n = lambda own, other: F.struct(F.lit(own).alias("code"), F.when(unknown | (F.col(other) == 0), F.col(own)).otherwise(0).alias("n"))
+    issues = counts.select(*keys, F.inline(F.array(n(*codes), n(*codes[::-1])))).where("n > 0")
+    # a row for each of n, by arrays of a bounded size
+    issues = issues.select("code", *keys, "n", F.explode(F.expr("sequence(0, (n - 1) div 65536)")).alias("part"))
+    return a.join(b, keys), issues.select("code", *keys, F.explode(F.expr("sequence(1, least(65536, n - part * 65536))")).alias("row")).drop("row")
 
 
 def pair_numeric(files: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
