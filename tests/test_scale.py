@@ -135,6 +135,21 @@ def test_robust_fit_among_many_outliers(spark):
     assert draw(1) == draw(9) and len(draw(3)) == 3 * 16 * 4
 
 
+def test_trials_are_scored_without_python(spark):
+    """A point was a row with all models of its group in an Arrow batch; points at infinity, or without a coordinate, are within nothing."""
+    rng = np.random.default_rng(3)
+    points = [(g, *map(float, rng.normal(0, 1, 4))) for g in (0, 1, 1, 1, 2, 2, None) for _ in range(20)] + [(0, 1.0, 0.0, 1.0, 1.0), (1, None, 0.0, 0.0, 0.0), (3, 0.0, 0.0, 0.0, 0.0)]
+    models = [(g, t, [*map(float, rng.normal(0, 1, 6)), -1.0 if t == 4 else 0.1, 0.0, 1.0]) for g in (0, 1, 2, 4) for t in range(5)]
+    got = geometry.trial_scores(spark.createDataFrame(points, "g int, ir_x double, ir_y double, rgb_x double, rgb_y double"), spark.createDataFrame(models, "g int, trial int, h array<double>"), ["g"], 1.5)
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+    want = {}
+    for g, t, h in models[:15]:
+        e = [((h[0] * x + h[1] * y + h[2]) / d - u) ** 2 + ((h[3] * x + h[4] * y + h[5]) / d - v) ** 2 for k, x, y, u, v in points if k == g and x is not None and (d := h[6] * x + h[7] * y + 1)]
+        want[g, t] = (sum(1 - a / 2.25 for a in e if a <= 2.25), sum(a <= 2.25 for a in e))
+    have = {(r["g"], r["trial"]): (r["score"], r["inliers"]) for r in got.collect()}
+    assert have.keys() == want.keys() and all(np.allclose(have[k], want[k]) for k in want) and sum(n for _, n in want.values()) > 50
+
+
 def test_strict_issues_need_no_join(spark, tmp_path):
     """A column of a wide table is taken for small and was sent to all tasks; rows that share a key, or whose key has a null, each are an issue."""
     rng = random.Random(4)

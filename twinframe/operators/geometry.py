@@ -284,35 +284,13 @@ def draw_points(points: DataFrame, by: list[str], trials: int = 64, seed: int =
 def trial_scores(points: DataFrame, models: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """by, trial, score, inliers of models (by, trial, h): a point counts 1 - (e / threshold)^2, the share of all noise levels up to the threshold, evenly likely in their squares, under which it is an inlier.
 
-    A group's models travel to its points as one array, and tasks add up before the shuffle.
+    A point meets its group's models one after another, and tasks add up before the shuffle; nothing but sums is held for it.
     """
-    many = models.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("trial", "h"))).alias("_m"))
-    rows = points.join(many, by)
-    kinds = dict(points.dtypes)
-
-    def run(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            out = []
-            groups = f.groupby(by, dropna=False, sort=False).indices.items() if by else [((), np.arange(len(f)))]
-            for name, own in groups:
-                m = f["_m"].iloc[own[0]]
-                h = np.array([list(x["h"]) for x in m])
-                x, y, u, v = (f[c].to_numpy(np.float64)[own, None] for c in ("ir_x", "ir_y", "rgb_x", "rgb_y"))
-                with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                    d = h[:, 6] * x + h[:, 7] * y + h[:, 8]
-                    e = ((h[:, 0] * x + h[:, 1] * y + h[:, 2]) / d - u) ** 2 + ((h[:, 3] * x + h[:, 4] * y + h[:, 5]) / d - v) ** 2
-                within = e <= threshold**2
-                score = np.where(within, 1 - e / threshold**2, 0.0).sum(axis=0)
-                part = pd.DataFrame({"trial": [x["trial"] for x in m], "score": score, "inliers": within.sum(axis=0)})
-                for i, c in enumerate(by):
-                    part.insert(i, c, name[i] if isinstance(name, tuple) else name)
-                out.append(part)
-            yield pd.concat(out, ignore_index=True)
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "trial int, score double, inliers bigint"])
-    return rows.select(*by, "ir_x", "ir_y", "rgb_x", "rgb_y", "_m").mapInPandas(run, schema).groupBy(*by, "trial").agg(F.sum("score").alias("score"), F.sum("inliers").alias("inliers"))
+    px, py = project(F.col("h"), F.col("ir_x"), F.col("ir_y"))
+    dx, dy = px - F.col("rgb_x"), py - F.col("rgb_y")
+    met = points.select(*by, "ir_x", "ir_y", "rgb_x", "rgb_y").join(models.select(*by, "trial", "h"), by).select(*by, "trial", (dx * dx + dy * dy).alias("_e"))
+    within = F.coalesce(F.col("_e") <= threshold**2, F.lit(False))
+    return met.groupBy(*by, "trial").agg(F.sum(F.when(within, 1 - F.col("_e") / threshold**2).otherwise(0.0)).alias("score"), F.count_if(within).alias("inliers"))
 
 
 def fit_robust(points: DataFrame, by: list[str], trials: int = 64, threshold: float = 3.0, seed: int = 7, key: list[str] | None = None, refine: int = 0) -> DataFrame:
