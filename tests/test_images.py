@@ -183,6 +183,18 @@ def test_medoids_against_brute_force(spark):
         assert np.allclose(whole[g], (int(np.argmin(d)), np.median(d), max(d)))
 
 
+def test_frames_are_made_once_for_their_pixels(spark):
+    """Frames without pixels, and null pixels, have no rows; Spark must not make every frame twice to find that out."""
+    rows = [(0, 2, 2, [1.0, None, 3.0, 4.0], 0), (1, 0, 0, [], 0), (2, 2, 2, None, 0), (3, 1, 2, [5.0, 6.0], 1)]
+    frames = spark.createDataFrame(rows, "frame_id int, height int, width int, v array<double>, crop_y int")
+    flat = grid.to_pixels(frames)
+    assert sorted(tuple(r) for r in flat.collect()) == [(0, 0, 0, 1.0), (0, 1, 0, 3.0), (0, 1, 1, 4.0), (3, 0, 0, 5.0), (3, 0, 1, 6.0)]
+    whole = frames.where("frame_id = 3").select("frame_id", "height", "width", "v")
+    turned = grid.to_pixels(augment.apply_geometry(whole, whole.select("frame_id", F.lit(0).alias("crop_y"), F.lit(0).alias("crop_x"), F.lit(True).alias("flip")), 1))
+    assert turned._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in turned.collect()] == [(3, 0, 0, 5.0)]
+
+
 def test_models_are_seen_once_by_the_medoid(spark):
     """Sums in another order give other last digits each time a model is made; the two of a group are still equally far apart."""
     def made(frames):

@@ -29,7 +29,8 @@ def from_pixels(pixels: DataFrame) -> DataFrame:
 
 def to_pixels(frames: DataFrame, *also: str) -> DataFrame:
     """frame_id, y, x, v of frames; null pixels have no row."""
-    rows = frames.select("frame_id", "width", *also, F.posexplode("v").alias("i", "v")).where("v is not null")
+    # outer: else Spark first drops rows without pixels by a filter of its own, for which it makes the frames a second time
+    rows = frames.select("frame_id", "width", *also, F.posexplode_outer("v").alias("i", "v")).where("v is not null")
     return rows.select("frame_id", F.expr("cast(i div width as int)").alias("y"), F.expr("cast(i % width as int)").alias("x"), "v", *also)
 
 
