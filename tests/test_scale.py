@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinframe.operators import geometry, neardup, pairing, quantiles, series
 from twinframe.sources import ranged, scans, sinks
+from twinframe.streaming import intake
 from twinframe.streaming.intake import start_intake
 
 # --- quantiles ----------------------------------------------------------------------------------------------------
@@ -336,6 +337,38 @@ def test_batches_add_once_and_never_read_the_table(spark, tmp_path):
     assert len(rows) == 26 and len({r["sha256"] for r in rows}) == 26
 
 
+def test_intake_lists_files_in_tasks(spark, tmp_path):
+    at = lambda n: f"{tmp_path}/{n}"
+    for i in range(140):
+        os.makedirs(at(f"in/{i % 70}/deep"), exist_ok=True)
+        for name in (f"{i % 70}/deep/{i}.bin", f"{i % 70}/{i}.dat", f"{i % 70}/.{i}.bin", f"{i % 70}/{i}.txt"):
+            with open(at(f"in/{name}"), "w") as f:
+                f.write(name)
+    os.mkdir(at("in/_hidden"))
+    with open(at("in/_hidden/x.bin"), "w") as f:
+        f.write("x")
+    run = lambda: start_intake(spark, at("in"), at("table"), at("cp"), "*.{bin,dat}").awaitTermination(120)
+    run()
+    rows = spark.read.parquet(at("table")).collect()
+    assert {(r["path"], r["length"]) for r in rows} == {(f"file:{at('in')}/{n}", len(n)) for i in range(140) for n in (f"{i % 70}/deep/{i}.bin", f"{i % 70}/{i}.dat")}
+    # what the stream's source keeps, in its log and in the driver, are listings
+    assert not any(re.search(r"/in/", open(at(f"cp/sources/0/{n}"), errors="replace").read()) for n in os.listdir(at("cp/sources/0")))
+    run()
+    assert len(os.listdir(at("cp/listed"))) - ("_SUCCESS" in os.listdir(at("cp/listed"))) - ("._SUCCESS.crc" in os.listdir(at("cp/listed"))) == 1  # nothing new: no listing
+    with open(at("in/late.bin"), "w") as f:
+        f.write("late")
+    intake._listed(spark, f"file:{at('in')}", "*.{bin,dat}", at("cp/listed"))  # a run that ended before its batch
+    run()
+    assert spark.read.parquet(at("table")).count() == 281
+
+
+@pytest.mark.parametrize("glob", ["*", "part-*", "a?c*", "*.{png,j?g}", "{a,b}[0-9]", "[^a]*", "[!a]*", "a[]b]", r"a\*", "a+(b)|c", "{x,{y,z}}1"])
+def test_names_are_matched_as_by_spark(spark, glob):
+    theirs, own = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob), ranged.name_pattern(glob)
+    names = ["", "a", "a*", "ab", "abc", "abcd", "part-1", "x.png", "x.jpg", "x.jxg", "xjpg", "a1", "b2", "c3", "a]", "a^", "a!", "^", "!", "a+(b)|c", "x1", "y1", "z1", "a\nb", "aac"]
+    assert [n for n in names if theirs.matches(n)] == [n for n in names if own.fullmatch(n)]
+
+
 def test_intake_refuses_tables_of_others(spark, tmp_path):
     spark.range(1).write.parquet(f"{tmp_path}/table")
     with pytest.raises(ValueError, match="wasn't written"):
