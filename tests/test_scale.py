@@ -196,6 +196,32 @@ def test_wide_thresholds_compare_blocks(spark, threshold, monkeypatch):
     assert sorted(map(tuple, near.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize(("threshold", "sorted_", "compared"), [(5, 64, 1 << 28), (14, 64, 1 << 28), (30, 64, 1 << 28), (30, 2, 4000), (30, 0, 500), (64, 20, 3000), (63, 0, 1 << 28)])
+def test_wide_reports_are_made_in_their_order(spark, threshold, sorted_, compared, monkeypatch):
+    """The rows of the joins, once each and in their order, and beyond the smallest distances without a shuffle of pairs."""
+    monkeypatch.setattr(neardup, "SORTED", sorted_)
+    monkeypatch.setattr(neardup, "COMPARED", compared)
+    rng = random.Random(4)
+    rows = [(f"s{i}", "ab"[i % 3 == 0], rng.getrandbits(32), rng.getrandbits(32)) for i in range(150)]
+    rows += [(f"t{i}", *rows[i % 9][1:]) for i in range(40)] + [("u", "a", None, None), ("v", None, 1, 1), ("s3", "a", 5, 5), ("only", "c", 1, 2)]
+    rows += [(f"w{i}", "a", rows[i][2] ^ rng.getrandbits(32) & rng.getrandbits(32) & rng.getrandbits(32), rows[i][3]) for i in range(30)]
+    hashes = spark.createDataFrame(rows, "id string, modality string, hi long, lo long")
+    names = sorted({r[0] for r in rows})
+    samples = spark.createDataFrame([(n, f"g{i % 5}" if i % 11 else None, i % 7 != 0) for i, n in enumerate(names)], "sample_id string, leakage_group_id string, usable boolean")
+    members = spark.createDataFrame([(n, ("train", "val", "test")[i % 3]) for i, n in enumerate(names) if i % 13] + [(n, "train_pool") for n in names], "sample_id string, split string")
+    got = neardup.duplicate_report(hashes, samples, members, threshold)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan or sorted_ > 0
+    known = {n: (f"g{i % 5}" if i % 11 else None, ("train", "val", "test")[i % 3] if i % 13 else None) for i, n in enumerate(names) if i % 7}
+    bits = lambda a, b: ((a[2] ^ b[2]) << 32 | (a[3] ^ b[3])).bit_count()
+    own = [r for r in rows if r[1] and r[2] is not None and r[0] in known]
+    want = [(bits(a, b), a[1], a[0], b[0], known[a[0]][0], known[b[0]][0], x := known[a[0]][1], y := known[b[0]][1], bool(x and y and x != y)) for a in own for b in own if a[1] == b[1] and a[0] < b[0] and bits(a, b) <= threshold]
+    rows = [(r["distance"], r["modality"], r["id_a"], r["id_b"], r["group_a"], r["group_b"], r["split_a"], r["split_b"], r["cross_split"]) for r in got.collect()]
+    assert [r[:4] for r in rows] == sorted(w[:4] for w in want)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(rows, key=key) == sorted(want, key=key) and len(rows) > 0
+
+
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
